@@ -188,21 +188,38 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: list[str] | No
     return source.mapInArrow(run, schema)
 
 
+_DIGESTS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+
+
+def _digests(c: Coder, ids: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    of_ids, of_text = [], []
+    listed = ids.tolist()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        own = listed[a:b]
+        of_ids.append(sha256_hex(" ".join(map(str, own)).encode()))
+        of_text.append(sha256_hex(c.decode(own)))
+    return [pa.array(np.diff(first)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+
+
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 (of the decoded ids' bytes)."""
 
+    def each(texts: pa.Array) -> list[pa.Array]:
+        c = coder(path)
+        return _digests(c, *c.encode(texts))
+
+    return map_texts(docs, text, each, _DIGESTS, keep)
+
+
+def encode_and_check(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds the ids and what round_trip adds."""
+
     def each(texts: pa.Array) -> list[pa.Array]:
         c = coder(path)
         ids, first = c.encode(texts)
-        n, of_ids, of_text = np.diff(first), [], []
-        listed = ids.tolist()
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            own = listed[a:b]
-            of_ids.append(sha256_hex(" ".join(map(str, own)).encode()))
-            of_text.append(sha256_hex(c.decode(own)))
-        return [pa.array(n), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-
-    return map_texts(docs, text, each, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], keep)
+        return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())), *_digests(c, ids, first)]
+
+    return map_texts(docs, text, each, [("ids", T.ArrayType(T.IntegerType())), *_DIGESTS], keep)
 
 
 def _byte_alphabet() -> dict[str, int]:
