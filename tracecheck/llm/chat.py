@@ -92,7 +92,7 @@ def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Arr
     _scatter(out, at + lead + head, content, offsets[:-1], body)
     _scatter(out, at + lead + head + body, pool, places[which, 1], foot)
     bounds = np.append(at[first], len(out)).astype(np.int64)
-    formatted = pa.LargeStringArray.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(out)])
+    formatted = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(out)])
     # Code points before each byte, to give the mask in characters.
     points = np.zeros(len(out) + 1, np.int64)
     np.cumsum((out & 0xC0) != 0x80, out=points[1:])

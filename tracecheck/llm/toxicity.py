@@ -14,24 +14,29 @@ aren't trained on, but are scored. Repeated rows each get a row. With no labelle
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .kit import map_texts, text_array
+from .kit import map_texts, slices, text_array
 
 CATEGORIES = ("plain", "other", "toxic")
 #: Labelled rows to train on at most.
-MAX_ROWS = 4000
+MAX_ROWS = 3000
 #: Features that a model uses at most, and documents that a feature must occur in.
 MAX_FEATURES, MIN_DOCS = 1500, 3
-FOLDS, STEPS, RATE, RIDGE = 4, 120, 0.3, 1e-3
+FOLDS, STEPS, RATE, RIDGE = 3, 300, 0.8, 1e-3
 THRESHOLD = 0.5
+#: Words that a worker remembers.
+MEMO = 400_000
 #: Letters of the word beginnings that count as features beside whole words.
 PREFIXES = (4, 5, 6, 7)
 
@@ -44,8 +49,8 @@ def forms(word: bytes) -> list[str]:
     return ["=" + w, *(w[:k] for k in PREFIXES if len(w) > k)]
 
 
-def count_features(texts: pa.Array, index: dict[str, int], grow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, count) of the features in index; with grow, new ones are added to it."""
+def count_features(texts: pa.Array, features_of: Callable[[bytes], Sequence[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, count) of the features that features_of gives for a word."""
     raw, _, starts, ends, first = words.of(texts)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3
@@ -56,10 +61,9 @@ def count_features(texts: pa.Array, index: dict[str, int], grow: bool) -> tuple[
     ids: list[int] = []
     size = np.zeros(n, np.int64)
     for k, (a, b) in enumerate(zip(starts[where].tolist(), ends[where].tolist(), strict=True)):
-        own = [index.setdefault(f, len(index)) if grow else index.get(f, -1) for f in forms(bytes(raw[a:b]))]
-        own = [i for i in own if i >= 0]
-        ids += own
-        size[k] = len(own)
+        if own := features_of(bytes(raw[a:b])):
+            ids += own
+            size[k] = len(own)
     bounds = np.concatenate([[0], np.cumsum(size)])
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     hit = np.flatnonzero(size[code])
@@ -68,7 +72,7 @@ def count_features(texts: pa.Array, index: dict[str, int], grow: bool) -> tuple[
     feature = np.array(ids, np.int64)[flat]
     if not len(feature):
         return (np.zeros(0, np.int64),) * 3
-    width = max(len(index), 1)
+    width = int(feature.max()) + 1
     pair, count = np.unique(np.repeat(text[hit], at) * width + feature, return_counts=True)
     return pair // width, pair % width, count
 
@@ -118,19 +122,34 @@ def fit(x: np.ndarray, features: np.ndarray, earlier: np.ndarray, y: np.ndarray)
     return Linear(features, w[:k].astype(float), bias, w[k:].astype(float))
 
 
+@lru_cache(maxsize=1)
+def _memo(key: int) -> dict[bytes, tuple[int, ...]]:
+    return {}
+
+
 @dataclass
 class Chain:
     """The fitted models over the columns of `index`."""
 
     index: dict[str, int]
     models: list[Linear]
+    key: int = 0
+
+    def features_of(self, word: bytes) -> Sequence[int]:
+        """Remembered by the worker, for words come again in other slices and tasks."""
+        memo = _memo(self.key)
+        if (known := memo.get(word)) is None:
+            if len(memo) > MEMO:
+                memo.clear()
+            known = memo[word] = tuple(self.index[f] for f in forms(word) if f in self.index)
+        return known
 
     def predict(self, texts: pa.Array) -> np.ndarray:
         """Probabilities (texts by categories)."""
         out = np.zeros((len(texts), len(CATEGORIES)))
         if not self.models:
             return out
-        text, feature, count = count_features(texts, self.index, grow=False)
+        text, feature, count = count_features(texts, self.features_of)
         for at in range(0, len(texts), 2000):
             use = (text >= at) & (text < at + 2000)
             x = np.zeros((min(2000, len(texts) - at), len(self.index)))
@@ -146,7 +165,12 @@ def train(texts: pa.Array, labels: np.ndarray) -> Chain:
     if not n:
         return Chain({}, [])
     vocabulary: dict[str, int] = {}
-    rows, features, counts = count_features(texts, vocabulary, grow=True)
+    parts = []
+    for at, to in slices(texts):
+        r, f, c = count_features(texts.slice(at, to - at), lambda w: [vocabulary.setdefault(x, len(vocabulary)) for x in forms(w)])
+        parts.append((r + at, f, c))
+    rows, features, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     fold = np.arange(n) % FOLDS
     chosen, pieces = [], []
     for k in range(len(CATEGORIES)):
@@ -176,7 +200,8 @@ def train(texts: pa.Array, labels: np.ndarray) -> Chain:
         m.features = np.array([place[int(c)] for c in m.features], np.int64)
     kept = used[final]
     names = list(vocabulary)
-    return Chain({names[c]: i for i, c in enumerate(kept.tolist())}, models)
+    index = {names[c]: i for i, c in enumerate(kept.tolist())}
+    return Chain(index, models, xxhash.xxh64_intdigest("\n".join(index)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> tuple[pa.Array, np.ndarray]:
