@@ -176,7 +176,7 @@ ORACLES = {
     "format_values": "SELECT p_partkey, '0x' || lpad(lower(to_hex(p_partkey)), CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END, '0') AS shown, 'b' || bin(p_partkey) || 'x' AS unclean FROM part",
     "vcd_samples": f"{_E} SELECT trace_id, ti, t, buy, val FROM s",
     "vcd_steps": f"{_E} SELECT trace_id, ti, step FROM st",
-    "vcd_traces": f"""{_E}, f AS (SELECT trace_id, step, buy, CASE WHEN val = 'x' THEN 'bx' ELSE '0x' || regexp_replace(lower(to_hex(CAST(list_reduce(list_transform(string_split(val, ''), lambda c: CASE WHEN c = '1' THEN 1 ELSE 0 END), lambda p, q: p * 2 + q) AS BIGINT))), '^(.)$', '0\1') END AS v FROM st)
+    "vcd_traces": f"""{_E}, f AS (SELECT trace_id, step, buy, CASE WHEN val = 'x' THEN 'bx' ELSE '0x' || regexp_replace(lower(to_hex(CAST(list_reduce(list_transform(string_split(val, ''), lambda c: CASE WHEN c = '1' THEN 1 ELSE 0 END), lambda p, q: p * 2 + q) AS BIGINT))), '^(.)$', '0\\1') END AS v FROM st)
       SELECT trace_id, 'buy' AS name, 1 AS width, count(*) AS n, md5(string_agg(buy, ',' ORDER BY step)) AS digest FROM f GROUP BY trace_id
       UNION ALL SELECT trace_id, 'val', 8, count(*), md5(string_agg(v, ',' ORDER BY step)) FROM f GROUP BY trace_id""",
 }
