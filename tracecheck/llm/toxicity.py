@@ -33,6 +33,8 @@ CATEGORIES = ("plain", "other", "toxic")
 MAX_ROWS = 3000
 #: Features that a model uses at most, and documents that a feature must occur in.
 MAX_FEATURES, MIN_DOCS = 1500, 3
+#: Standard errors by which a feature's frequencies in the two classes have to differ.
+MIN_SCORE = 4.0
 FOLDS, STEPS, RATE, RIDGE = 3, 300, 0.8, 1e-3
 THRESHOLD = 0.5
 #: Words that a worker remembers.
@@ -101,7 +103,7 @@ def select(rows: np.ndarray, features: np.ndarray, y: np.ndarray, keep: np.ndarr
     n1, n0 = max(1.0, float(y[keep].sum())), max(1.0, float((1 - y[keep]).sum()))
     p = (hot + cold) / (n1 + n0)
     score = np.abs(hot / n1 - cold / n0) / np.sqrt(p * (1 - p) / n1 + p * (1 - p) / n0 + 1e-9)
-    score[hot + cold < MIN_DOCS] = 0
+    score[(hot + cold < MIN_DOCS) | (score < MIN_SCORE)] = 0
     best = np.argsort(-score, kind="stable")[:MAX_FEATURES]
     return np.sort(best[score[best] > 0])
 
