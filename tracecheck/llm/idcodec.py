@@ -5,17 +5,17 @@ be decoded alone; numpy codes all blocks of a frame side by side, one id of each
 
 Model. The two ids before give an order-2 and an order-1 prediction (the id that last followed there, with a
 confidence). Two binary events, "it is the order-2 id" and "it is the order-1 id", each get a probability that mixes
-two adaptive counters (by confidence, and by recent success) in the logistic domain, with weights that learn. An id
-that neither predicts is coded by an adaptive order-0 distribution over the ids' high bytes; its low byte goes
-verbatim. All arithmetic is on integers, so writer and reader agree to the bit.
+two adaptive counters (by the predictions' confidence and agreement, and by recent success); the mixing weight moves
+towards the counter that was nearer to what came. An id that neither predicts is coded by an adaptive order-0
+distribution over the ids' high bytes; its low byte goes verbatim. All arithmetic is on integers, so writer and reader
+agree to the bit.
 
-Coder. A 48-bit range coder that renormalises by 16-bit words. Carries are added to the word before and settled when
-the block ends.
+Coder. A 48-bit range coder that renormalises by 16-bit words. A word may carry into the one before; carries
+stay in the words until the block ends and are settled then.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from dataclasses import dataclass
 
@@ -25,17 +25,16 @@ MAGIC = b"ACM1"
 #: Ids in a block.
 BLOCK = 2048
 #: Blocks that are coded side by side at most.
-LANES = 4096
+LANES = 2048
 #: Slots of an order-1 or order-2 table.
-SLOT_BITS = 11
+SLOT_BITS = 9
 _SLOTS = 1 << SLOT_BITS
 _ONE = 1 << 16
 _ROOM = 61440  # of 65536: the most that the two predictions share, so an unpredicted id keeps a sixteenth
 _SCALE_BITS = 12
-_REBUILD = frozenset((16, 32, 64, 128, 256, 512, 1024, 1536))
-
-_STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int64)
-_SQUASH = np.array([min(65536 - 64, max(64, round(65536 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int64)
+#: Ids after which the order-0 distribution is worked out anew.
+_REBUILD = (0, 32, 96, 256, 640, 1280)
+_M32, _M48 = (1 << 32) - 1, (1 << 48) - 1
 
 
 class DamagedBlock(ValueError):
@@ -48,92 +47,137 @@ class _Flag:
     def __init__(self, lanes: int):
         self.base = np.arange(lanes) * 8
         self.first, self.second = (np.full(lanes * 8, _ONE // 4, np.int64) for _ in range(2))
-        self.w0, self.w1 = (np.full(lanes, 40000, np.int64) for _ in range(2))
+        self.weight = np.full(lanes, _ONE // 2, np.int64)
         self.recent = np.zeros(lanes, np.int64)
 
     def cut(self, n: int) -> None:
-        for k in ("base", "w0", "w1", "recent"):
+        for k in ("base", "weight", "recent"):
             setattr(self, k, getattr(self, k)[:n])
 
     def predict(self, context: np.ndarray) -> np.ndarray:
         self.i, self.j = self.base + context, self.base + self.recent
-        self.p, self.q = self.first[self.i], self.second[self.j]
-        self.s, self.t = _STRETCH[self.p >> 4], _STRETCH[self.q >> 4]
-        dot = (self.w0 * self.s + self.w1 * self.t) >> 16
-        np.clip(dot, -2048, 2047, out=dot)
-        self.mixed = _SQUASH[dot + 2048]
-        return self.mixed
+        self.p, self.q = self.first.take(self.i, mode="clip"), self.second.take(self.j, mode="clip")
+        mixed = self.p - self.q
+        mixed *= self.weight
+        mixed >>= 16
+        mixed += self.q
+        return mixed
 
     def update(self, bit: np.ndarray, live: np.ndarray | None = None) -> None:
         """bit: 0 or 1. live: lanes to learn from, as 0 or -1 (all by default)."""
         target = bit << 16
-        e = (target - self.mixed) >> 4
-        p, q = (target - self.p) >> 4, (target - self.q) >> 4
-        new = ((self.recent << 1) | bit) & 7
+        p, q = target - self.p, target - self.q
+        # The weight goes a 64th of the way to whichever counter was nearer.
+        step = (np.abs(q) > np.abs(p)).astype(np.int64)
+        step <<= 16
+        step -= self.weight
+        step >>= 6
+        p >>= 4
+        q >>= 4
+        new = self.recent << 1
+        new |= bit
+        new &= 7
         if live is not None:
-            e &= live
+            step &= live
             p &= live
             q &= live
             new = np.where(live, new, self.recent)
-        self.first[self.i] = self.p + p
-        self.second[self.j] = self.q + q
-        self.w0 += (self.s * e) >> 12
-        self.w1 += (self.t * e) >> 12
+        p += self.p
+        q += self.q
+        self.first[self.i] = p
+        self.second[self.j] = q
+        self.weight += step
         self.recent = new
 
 
 class _Model:
     def __init__(self, lanes: int):
         self.n = lanes
-        self.lane = np.arange(lanes)
         self.t1, self.t2 = (np.full(lanes * _SLOTS, -4, np.int32) for _ in range(2))
-        self.base = self.lane * _SLOTS
+        self.base = np.arange(lanes) * _SLOTS
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.a, self.b = _Flag(lanes), _Flag(lanes)
         self.count = np.zeros((lanes, 256), np.int64)
-        self.cum = np.broadcast_to(np.arange(257) * 16, (lanes, 257)).copy()
-        self.at257, self.at256 = self.lane * 257, self.lane * 256
-        self.slots: np.ndarray | None = None
+        self.at256 = np.arange(lanes) * 256
+        #: For each lane and high byte: where its share of the 4096 parts starts, and its size, as start << 16 | size.
+        self.share = np.zeros(lanes * 256, np.int64)
+        self.slots = np.zeros(0, np.uint8)
+        self.slot_base = np.arange(lanes) << _SCALE_BITS
 
     def cut(self, n: int) -> None:
         """Only the first n lanes go on."""
         self.n = n
-        for k in ("lane", "base", "last", "before", "at257", "at256"):
+        for k in ("base", "last", "before", "at256", "slot_base"):
             setattr(self, k, getattr(self, k)[:n])
-        self.count, self.cum = self.count[:n], self.cum[:n]
+        self.count = self.count[:n]
         self.a.cut(n)
         self.b.cut(n)
 
     def predict(self) -> None:
         """Sets the predicted ids and how the 65536 parts are shared: `pa` to the order-2 id, `pb` to the order-1 id."""
-        self.i1 = ((self.last * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - SLOT_BITS)) + self.base
-        self.i2 = ((self.last * 0x85EBCA6B + self.before * 0x27D4EB2F & 0xFFFFFFFF) >> (32 - SLOT_BITS)) + self.base
-        e1, e2 = self.t1[self.i1].astype(np.int64), self.t2[self.i2].astype(np.int64)
-        self.e1, self.e2 = e1, e2
+        i1 = self.last * 0x9E3779B1
+        i2 = self.before * 0x27D4EB2F
+        i2 += self.last * 0x85EBCA6B
+        for i in (i1, i2):
+            i &= _M32
+            i >>= 32 - SLOT_BITS
+            i += self.base
+        self.i1, self.i2 = i1, i2
+        self.e1, self.e2 = e1, e2 = self.t1.take(i1, mode="clip"), self.t2.take(i2, mode="clip")
         self.o1, self.o2 = e1 >> 2, e2 >> 2
+        differ = self.o1 != self.o2
         c2 = e2 & 3
-        self.differ = -(self.o1 != self.o2).astype(np.int64)
-        self.pa = (self.a.predict((c2 << 1) - self.differ) * _ROOM) >> 16
-        self.pb = (1 + (((_ROOM - self.pa) * self.b.predict(((e1 & 3) << 1) | (c2 > 0))) >> 16)) & self.differ
-        self.known = self.pa + self.pb
+        self.differ = -differ.astype(np.int64)
+        self.pa = self.a.predict((c2 << 1) + differ)
+        self.pa *= _ROOM
+        self.pa >>= 16
+        pb = self.b.predict(((e1 & 3) << 1) + (c2 > 0))
+        pb *= _ROOM - self.pa
+        pb >>= 16
+        pb += 1
+        pb &= self.differ
+        self.pb = pb
+        self.pa += 1
+        self.known = self.pa + pb
         self.rest = _ONE - self.known
 
-    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """x: the ids; hit2: is the order-2 id, hit1: is the order-1 id (either as 0 or 1)."""
-        self.a.update(hit2)
-        self.b.update(hit1, self.differ & (hit2 - 1))
-        fresh = x << 2
-        self.t2[self.i2] = np.where(hit2, self.e2 + ((self.e2 & 3) < 3), fresh)
-        self.t1[self.i1] = np.where(self.o1 == x, self.e1 + ((self.e1 & 3) < 3), fresh)
-        self.count.reshape(-1)[self.at256 + (x >> 8)] += 1
+    def shares(self, high: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of what was coded: an id by its high byte, or a hit of either prediction."""
+        both = self.share.take(self.at256 + high, mode="clip")
+        start = both >> 16
+        end = start + (both & 0xFFFF)
+        for x in (start, end):
+            x *= self.rest
+            x >>= _SCALE_BITS
+            x += self.known
+        start = np.where(hit1, self.pa, start)
+        end = np.where(hit1, self.known, end)
+        start *= ~hit2
+        end = np.where(hit2, self.pa, end)
+        end -= start
+        return start, end
+
+    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, right1: np.ndarray) -> None:
+        """x: the ids. hit2: it is the order-2 id. hit1: it is the order-1 id and not hit2. right1: it is the order-1 id."""
+        two = hit2.astype(np.int64)
+        self.a.update(two)
+        self.b.update(hit1.astype(np.int64), self.differ & (two - 1))
+        fresh = (x << 2).astype(np.int32)
+        for table, i, e, right in ((self.t2, self.i2, self.e2, hit2), (self.t1, self.i1, self.e1, right1)):
+            e += (e & 3) < 3
+            table[i] = np.where(right, e, fresh)
         self.before, self.last = self.last, x
 
-    def rebuild(self, slots: bool) -> None:
-        """The order-0 distribution anew, from the counts so far."""
+    def rebuild(self, seen: np.ndarray, slots: bool) -> None:
+        """The order-0 distribution anew, with the ids seen since (rows by lanes)."""
+        if len(seen):
+            flat = (seen[:, : self.n].astype(np.int64) >> 8) + self.at256
+            self.count += np.bincount(flat.ravel(), minlength=self.n * 256).reshape(self.n, 256)
         total = self.count.sum(axis=1, keepdims=True)
         freq = 1 + self.count * ((1 << _SCALE_BITS) - 256) // np.maximum(total, 1)
         freq[:, 0] += (1 << _SCALE_BITS) - freq.sum(axis=1)
-        np.cumsum(freq, axis=1, out=self.cum[:, 1:])
+        start = np.cumsum(freq, axis=1) - freq
+        self.share = (start << 16 | freq).ravel()
         if slots:
             self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), freq.ravel())
 
@@ -148,61 +192,59 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Words and verbatim bytes of each block."""
     n = len(ids)
     lanes, tail = _lanes(n)
-    x_all = np.zeros((BLOCK, lanes), np.int64)
-    padded = np.zeros(lanes * BLOCK, np.int64)
+    padded = np.zeros(lanes * BLOCK, np.int32)
     padded[:n] = ids
-    x_all[:] = padded.reshape(lanes, BLOCK).T
+    by_step = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     m = _Model(lanes)
-    low, rng = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-    words = np.zeros((BLOCK + 4, lanes), np.int32)
-    flat = words.reshape(-1)
-    pos, raws = np.arange(lanes), np.arange(lanes)  # flat places: row * lanes + lane
-    raw = np.zeros((BLOCK, lanes), np.uint8)
-    raw_flat = raw.reshape(-1)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _M48, np.int64)
+    words = np.zeros((lanes, BLOCK + 4), np.int32)
+    raw = np.zeros((lanes, BLOCK + 1), np.uint8)
+    flat, raw_flat = words.reshape(-1), raw.reshape(-1)
+    pos, raws = np.arange(lanes) * (BLOCK + 4), np.arange(lanes) * (BLOCK + 1)  # flat places
     all_low, all_pos, all_raws = low, pos, raws
+    done = 0
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
+            m.rebuild(by_step[done:t], False)
+            done = t
             m.cut(lanes - 1)
             low, rng, pos, raws = low[:-1], rng[:-1], pos[:-1], raws[:-1]
-        if t in _REBUILD:
-            m.rebuild(False)
-        x = x_all[t, : m.n]
+        if t in _REBUILD or t == done > 0:
+            m.rebuild(by_step[done:t], False)
+            done = t
+        x = by_step[t, : m.n].astype(np.int64)
         m.predict()
-        hit2 = (x == m.o2).astype(np.int64)
-        hit1 = (x == m.o1) & (hit2 == 0)
-        high = m.at257 + (x >> 8)
-        cum = m.cum.reshape(-1)
-        start = m.known + ((cum[high] * m.rest) >> _SCALE_BITS)
-        size = m.known + ((cum[high + 1] * m.rest) >> _SCALE_BITS) - start
-        plain = (hit2 == 0) & ~hit1
-        start = np.where(plain, start, np.where(hit1, m.pa, 0))
-        size = np.where(plain, size, np.where(hit1, m.pb, m.pa))
-        part = rng >> 16
-        low += part * start
-        np.multiply(part, size, out=rng)
-        over = np.flatnonzero(low >> 48)
-        if len(over):
-            flat[pos[over] - lanes] += 1
-            low[over] &= (1 << 48) - 1
-        short = np.flatnonzero(rng < (1 << 32))
-        flat[pos[short]] = low[short] >> 32
-        low[short] = (low[short] & 0xFFFFFFFF) << 16
-        rng[short] <<= 16
-        pos[short] += lanes
-        lit = np.flatnonzero(plain)
-        raw_flat[raws[lit]] = x[lit] & 0xFF
-        raws[lit] += lanes
-        m.update(x, hit2, hit1.astype(np.int64))
+        hit2, right1 = x == m.o2, x == m.o1
+        hit1 = right1 & ~hit2
+        start, size = m.shares(x >> 8, hit2, hit1)
+        rng >>= 16
+        start *= rng
+        low += start
+        rng *= size
+        # All lanes write; what a lane that isn't short writes is written over by its next word.
+        flat[pos] = low >> 32
+        short = (rng <= _M32).astype(np.int64)
+        shift = short << 4
+        rng <<= shift
+        keep = short - 1
+        keep |= _M32
+        low &= keep
+        low <<= shift
+        pos += short
+        raw_flat[raws] = x
+        raws += ~(hit1 | hit2)
+        m.update(x, hit2, hit1, right1)
     for shift in (32, 16, 0):
-        flat[all_pos] = (all_low >> shift) & 0xFFFF
-        all_pos += lanes
-    rows = int(all_pos.max()) // lanes + 1
-    for k in range(rows - 1, 0, -1):
-        words[k - 1] += words[k] >> 16
-        words[k] &= 0xFFFF
-    n_words, n_raw = all_pos // lanes, all_raws // lanes
-    of_words, of_raw = np.ascontiguousarray(words.T).astype("<u2"), np.ascontiguousarray(raw.T)
-    return [of_words[i, : n_words[i]].tobytes() for i in range(lanes)], [of_raw[i, : n_raw[i]].tobytes() for i in range(lanes)]
+        flat[all_pos] = (all_low >> shift) & (0xFFFF if shift < 32 else 0x1FFFF)
+        all_pos += 1
+    n_words, n_raw = all_pos - np.arange(lanes) * (BLOCK + 4), all_raws - np.arange(lanes) * (BLOCK + 1)
+    words[np.arange(BLOCK + 4) >= n_words[:, None]] = 0
+    while len(over := np.flatnonzero(flat >> 16)):
+        carry = flat[over] >> 16
+        flat[over] &= 0xFFFF
+        flat[over - 1] += carry
+    small = words.astype("<u2")
+    return [small[i, : n_words[i]].tobytes() for i in range(lanes)], [raw[i, : n_raw[i]].tobytes() for i in range(lanes)]
 
 
 def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
@@ -213,51 +255,58 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
     for i, (w, r) in enumerate(zip(words, raw, strict=True)):
         by_row[i, : len(w) // 2] = np.frombuffer(w, "<u2")
         raw_row[i, : len(r)] = np.frombuffer(r, np.uint8)
-    flat, raw_flat = np.ascontiguousarray(by_row.T).reshape(-1), np.ascontiguousarray(raw_row.T).reshape(-1)
+    flat, raw_flat = by_row.reshape(-1), raw_row.reshape(-1)
     m = _Model(lanes)
-    m.slots = np.tile(np.repeat(np.arange(256, dtype=np.uint8), 16), lanes)
-    slot_base = np.arange(lanes) << _SCALE_BITS
-    pos, raws = np.arange(lanes), np.arange(lanes)
+    pos, raws = np.arange(lanes) * by_row.shape[1], np.arange(lanes) * raw_row.shape[1]
     code = np.zeros(lanes, np.int64)
     for _ in range(3):
         code = code << 16 | flat[pos]
-        pos += lanes
-    rng = np.full(lanes, (1 << 48) - 1, np.int64)
+        pos += 1
+    rng = np.full(lanes, _M48, np.int64)
     out = np.zeros((BLOCK, lanes), np.int32)
+    done = 0
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
+            m.rebuild(out[done:t], True)
+            done = t
             m.cut(lanes - 1)
-            code, rng, pos, raws, slot_base = code[:-1], rng[:-1], pos[:-1], raws[:-1], slot_base[:-1]
-        if t in _REBUILD:
-            m.rebuild(True)
+            code, rng, pos, raws = code[:-1], rng[:-1], pos[:-1], raws[:-1]
+        if t in _REBUILD or t == done > 0:
+            m.rebuild(out[done:t], True)
+            done = t
         m.predict()
-        part = rng >> 16
-        value = np.minimum((code / part).astype(np.int64), _ONE - 1)  # quotients under 2**17 of 48-bit integers: exact
-        hit2 = (value < m.pa).astype(np.int64)
+        rng >>= 16
+        value = (code / rng).astype(np.int64)  # quotients under 2**17 of 48-bit integers: exact
+        np.minimum(value, _ONE - 1, out=value)
+        hit2 = value < m.pa
         plain = value >= m.known
-        hit1 = (1 - hit2) & ~plain
+        hit1 = ~(hit2 | plain)
         # For lanes that predict the id, the slot is any; it is not used.
-        slot = ((((np.maximum(value - m.known, 0) + 1) << _SCALE_BITS) - 1) / m.rest).astype(np.int64)
+        value -= m.known
+        value += 1
+        value <<= _SCALE_BITS
+        value -= 1
+        slot = (value / m.rest).astype(np.int64)
         slot &= (1 << _SCALE_BITS) - 1
-        high = m.slots[slot_base + slot].astype(np.int64)
-        lit = np.flatnonzero(plain)
-        x = np.where(hit2, m.o2, m.o1)
-        x[lit] = high[lit] << 8 | raw_flat[raws[lit]]
-        raws[lit] += lanes
-        at = m.at257 + high
-        cum = m.cum.reshape(-1)
-        start = m.known + ((cum[at] * m.rest) >> _SCALE_BITS)
-        size = m.known + ((cum[at + 1] * m.rest) >> _SCALE_BITS) - start
-        start = np.where(plain, start, np.where(hit1, m.pa, 0))
-        size = np.where(plain, size, np.where(hit1, m.pb, m.pa))
-        code -= part * start
-        np.multiply(part, size, out=rng)
-        short = np.flatnonzero(rng < (1 << 32))
-        code[short] = code[short] << 16 | flat[pos[short]]
-        rng[short] <<= 16
-        pos[short] += lanes
+        slot += m.slot_base
+        high = m.slots.take(slot, mode="clip").astype(np.int64)
+        x = high << 8
+        x |= raw_flat.take(raws, mode="clip")
+        x = np.where(plain, x, np.where(hit2, m.o2, m.o1))
+        raws += plain
+        start, size = m.shares(high, hit2, hit1)
+        start *= rng
+        code -= start
+        rng *= size
+        short = (rng <= _M32).astype(np.int64)
+        shift = short << 4
+        rng <<= shift
+        code <<= shift
+        more = flat.take(pos, mode="clip") & -short
+        code |= more
+        pos += short
         out[t, : m.n] = x
-        m.update(x, hit2, hit1)
+        m.update(x, hit2, hit1, x == m.o1)
     return np.ascontiguousarray(out.T).reshape(-1)[:n]
 
 

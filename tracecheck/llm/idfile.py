@@ -28,7 +28,7 @@ from .kit import per_document, slices, text_array
 
 END_ID = 0
 #: Ids in a frame, at most.
-FRAME_IDS = idcodec.BLOCK * idcodec.LANES // 2
+FRAME_IDS = idcodec.BLOCK * idcodec.LANES
 #: Pieces that a worker remembers.
 MEMO = 400_000
 

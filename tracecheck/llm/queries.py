@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, idfile, pii, quality, simhash, toxicity
+from . import bpe, chat, decontam, idfile, pii, quality, simhash, suffix, toxicity
 from .kit import documents
 
 
@@ -48,6 +48,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 #: The turns of conversation -1.
 ODD_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -88,7 +92,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_toxicity, op3_token_counts, op4_quality_rules, op6_chat_format, op7_byte_bpe, op8_decontamination, op9_simhash, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_toxicity, op3_token_counts, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_byte_bpe, op8_decontamination, op9_simhash, op10_pii)}
 
 #: op4's rules again, as SQL. A line's words, windows and marks are worked out with list functions and grouping.
 OP4_SQL = r"""
