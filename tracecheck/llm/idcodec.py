@@ -30,7 +30,7 @@ LANES = 2048
 SLOT_BITS = 9
 _SLOTS = 1 << SLOT_BITS
 _ONE = 1 << 16
-_ROOM = 61440  # of 65536: the most that the two predictions share, so an unpredicted id keeps a sixteenth
+_ROOM = 61000  # of 65536: about the most that the two predictions share; the rest stays over 4096, so that each of its 4096 parts has a size
 _SCALE_BITS = 12
 #: Ids after which the order-0 distribution is worked out anew.
 _REBUILD = (0, 32, 96, 256, 640, 1280)
