@@ -205,11 +205,9 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     done = 0
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
-            m.rebuild(by_step[done:t], False)
-            done = t
             m.cut(lanes - 1)
             low, rng, pos, raws = low[:-1], rng[:-1], pos[:-1], raws[:-1]
-        if t in _REBUILD or t == done > 0:
+        if t in _REBUILD:
             m.rebuild(by_step[done:t], False)
             done = t
         x = by_step[t, : m.n].astype(np.int64)
@@ -267,11 +265,9 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
     done = 0
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
-            m.rebuild(out[done:t], True)
-            done = t
             m.cut(lanes - 1)
             code, rng, pos, raws = code[:-1], rng[:-1], pos[:-1], raws[:-1]
-        if t in _REBUILD or t == done > 0:
+        if t in _REBUILD:
             m.rebuild(out[done:t], True)
             done = t
         m.predict()
