@@ -109,3 +109,9 @@ def test_suffix_buckets_are_equal_strings():
         for o in range(suffix.LEFT + 1):
             seen.setdefault(bytes(rows_[u, o : o + 50]), set()).add(int(buckets[u, o]))
     assert all(len(v) == 1 for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == len(seen)
+
+
+def test_homes_are_sparks(spark):
+    ids = [0, 1, -5, 2**40 + 3, (1 << 62) + 9]
+    got = [r.h for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("pmod(xxhash64(i), 37) as h").collect()]
+    assert suffix.home_of(np.array(ids), 37).tolist() == got

@@ -17,7 +17,8 @@ Rows that move are packed, compressed arrays. Texts are dealt out once, by a has
 the same exchange. A passage that many documents share costs each task that meets it one row.
 
 Defined results: a null or empty text has no byte. A null id counts as larger than all others. Rows with equal ids are
-one document to each other: they never remove each other's bytes. Matches never cross rows.
+one document to each other: they never remove each other's bytes; so are all rows with a null id. Matches never cross
+rows. Ids lie below 2 ** 62.
 """
 
 from __future__ import annotations
@@ -38,10 +39,16 @@ MATCH, GRAM = 50, 20
 LEFT = MATCH - GRAM
 WIDTH = LEFT + MATCH
 #: Anchors that a task holds before it hands them on.
-HELD = 1_000_000
+HELD = 2_000_000
+#: Text bytes that a task holds before it hands them on.
+HELD_BYTES = 24 << 20
 #: Buckets a partition.
 SPREAD = 4
+#: Rows without an id get numbers from here on, by their text; as documents they are all this one.
+NO_ID = 1 << 62
 LAST = (1 << 63) - 1
+#: Bits of an anchor's hash that go on. Two anchors that only seem equal are told apart later, by their bytes.
+KEY_BITS = 40
 
 _C1, _C2, _C3, _C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 _U32 = np.uint64(32)
@@ -58,7 +65,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         head.append(struct.pack("<3sq", a.dtype.str.encode(), len(a)))
         body.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
-    return b"".join(head) + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+    return b"".join(head) + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -239,14 +246,34 @@ def _valid(rows: np.ndarray) -> np.ndarray:
 # --- the distributed steps ---
 
 _BLOB = "bucket long, blob binary"
+_BLOB_ARROW = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
 
-def _doc_table(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return ids.fill_null(LAST).to_numpy(zero_copy_only=False), texts.to_numpy(zero_copy_only=False)
+def home_of(ids: np.ndarray, m: int) -> np.ndarray:
+    """pmod(xxhash64(id), m) as Spark has it."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x: np.ndarray, k: int) -> np.ndarray:
+        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+    with np.errstate(over="ignore"):
+        h = np.full(len(ids), np.uint64(42 + 8) + p5, np.uint64)
+        h ^= turn(ids.view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        h ^= h >> _U32
+    return h.view(np.int64) % m
+
+
+def _document(ids: np.ndarray) -> np.ndarray:
+    return np.minimum(ids, NO_ID)
 
 
 class _Outbox:
-    """Collects rows of several arrays by bucket, and packs them. Arrays are parallel; the first is the bucket."""
+    """Collects rows of parallel arrays by bucket (the first array), and packs them."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -257,20 +284,23 @@ class _Outbox:
             self.parts.append(arrays)
             self.size += len(arrays[0])
 
-    def send(self, sort: int) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket; its arrays are sorted by array `sort`, which goes as differences."""
+    def send(self) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket; its arrays are sorted by the first of them, which goes as differences."""
         if not self.parts:
             return
         arrays = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
         self.parts, self.size = [], 0
-        order = np.lexsort((arrays[sort], arrays[0]))
+        order = np.lexsort((arrays[1], arrays[0]))
         arrays = [a[order] for a in arrays]
         bounds = np.flatnonzero(np.concatenate([[True], arrays[0][1:] != arrays[0][:-1], [True]]))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             own = [x[a:b] for x in arrays[1:]]
-            v = own[sort - 1]
-            own[sort - 1] = np.concatenate([v[:1], v[1:] - v[:-1]])
-            yield pa.RecordBatch.from_pydict({"bucket": [int(arrays[0][a])], "blob": [pack(*own)]}, pa.schema([("bucket", pa.int64()), ("blob", pa.binary())]))
+            own[0] = np.concatenate([own[0][:1], np.diff(own[0])])
+            yield _row(int(arrays[0][a]), pack(*own))
+
+
+def _row(bucket: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": [bucket], "blob": [blob]}, _BLOB_ARROW)
 
 
 def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -287,106 +317,167 @@ def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
+def _together(blobs: Iterable[bytes]) -> list[np.ndarray]:
+    """The arrays of blobs that an outbox has sent."""
+    parts = [unpack(x) for x in blobs]
+    for p in parts:
+        p[0] = np.cumsum(p[0], dtype=p[0].dtype)
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def _dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
+class _Bucket:
+    """The distinct (id, text) rows of a bucket, by id."""
+
+    def __init__(self, table: pa.Table):
+        ids, sizes, raw = [], [], []
+        for x in table.column("blob"):
+            i, n, data = unpack(x.as_py())
+            ids.append(i)
+            sizes.append(n)
+            raw.append(data)
+        all_ids, all_sizes = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+        data = np.concatenate(raw)
+        ends = np.cumsum(all_sizes)
+        order = np.argsort(all_ids, kind="stable")
+        again = np.flatnonzero(np.diff(all_ids[order]) == 0)
+        self.copies = np.ones(len(order), np.int64)
+        if len(again):  # rows of one id: by text, equal ones once
+            texts = [data[e - n : e].tobytes() for e, n in zip(ends.tolist(), all_sizes.tolist(), strict=True)]
+            count: dict[tuple[int, bytes], list[int]] = {}
+            for k in order.tolist():
+                count.setdefault((int(all_ids[k]), texts[k]), []).append(k)
+            keys = sorted(count)
+            order = np.array([count[k][0] for k in keys])
+            self.copies = np.array([len(count[k]) for k in keys])
+        self.ids = all_ids[order]
+        size = all_sizes[order]
+        self.offsets = np.concatenate([[0], np.cumsum(size)])
+        self.data = data[np.repeat(ends[order] - size - self.offsets[:-1], size) + np.arange(self.offsets[-1])]
+        self.first = np.searchsorted(self.ids, self.ids, side="left")
+
+    def place(self, ids: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """The row that is the nth of its id."""
+        return np.searchsorted(self.ids, ids, side="left") + nth
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row; with_text: also what is left, as `kept` (binary)."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     m = n * SPREAD
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    tagged = named.withColumn("th", F.xxhash64("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th"), F.lit(m)))
-    long_enough = tagged.where(F.octet_length("text") >= MATCH)
+    number = F.coalesce("doc_id", F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit((1 << 60) - 1)))
+    long_enough = named.where(F.octet_length("text") >= MATCH).select(number.alias("doc_id"), "text")
+    drop_bits = np.uint64(64 - KEY_BITS)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = _Outbox()
         for batch in batches:
-            texts = text_array(batch.column(1))
-            ids, th = _doc_table(batch.column(0), batch.column(2))
-            home = batch.column(3).to_numpy()
+            texts, ids = text_array(batch.column(1)), batch.column(0).to_numpy()
             for a, b in slices(texts):
                 offsets, raw = text_buffers(texts.slice(a, b - a))
                 at, key = anchors(np.frombuffer(raw, np.uint8), offsets)
                 doc = np.searchsorted(offsets, at, side="right") - 1
-                key >>= np.uint64(16)
-                box.put((key % np.uint64(m)).astype(np.int64), key, ids[a + doc], th[a + doc], home[a + doc].astype(np.int32), (at - offsets[doc]).astype(np.uint32))
+                key >>= drop_bits
+                box.put((key % np.uint64(m)).astype(np.int64), key, ids[a + doc], (at - offsets[doc]).astype(np.uint32))
                 if box.size >= HELD:
-                    yield from box.send(1)
-        yield from box.send(1)
+                    yield from box.send()
+        yield from box.send()
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = _Outbox()
         for blobs in _by_bucket(batches):
-            parts = [unpack(x) for x in blobs]
-            key = np.concatenate([np.cumsum(p[0]) for p in parts])
-            ids, th, home, at = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+            key, ids, at = _together(blobs)
             order = np.argsort(key, kind="stable")
-            k = key[order]
+            k, d = key[order], _document(ids)[order]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            least, most = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
-            size = np.diff(np.append(first, len(k)))
-            some = order[np.repeat(least != most, size)]
-            box.put(home[some].astype(np.int64), th[some], ids[some], at[some])
+            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            some = order[np.repeat(several, np.diff(np.append(first, len(k))))]
+            box.put(home_of(ids[some], m), ids[some], at[some])
             if box.size >= HELD:
-                yield from box.send(1)
-        yield from box.send(1)
+                yield from box.send()
+        yield from box.send()
+
+    def pack_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, pa.Array]] = []
+        size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([h[0] for h in held])
+            texts = pa.concat_arrays([h[1] for h in held])
+            home = home_of(ids, m)
+            order = np.argsort(home, kind="stable")
+            ids, home, texts = ids[order], home[order], texts.take(pa.array(order))
+            offsets, raw = text_buffers(texts)
+            data = np.frombuffer(raw, np.uint8)
+            bounds = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                yield _row(int(home[a]), pack(ids[a:b], np.diff(offsets[a : b + 1]).astype(np.uint32), data[offsets[a] : offsets[b]]))
+
+        for batch in batches:
+            texts, ids = text_array(batch.column(1)), batch.column(0).to_numpy()
+            for a, b in slices(texts):
+                held.append((ids[a:b], texts.slice(a, b - a)))
+                size += int(text_buffers(held[-1][1])[0][-1])
+                if size >= HELD_BYTES:
+                    yield from send()
+                    held, size = [], 0
+        if held:
+            yield from send()
 
     found = _dealt(long_enough.mapInArrow(find, _BLOB), n).mapInArrow(shared, _BLOB)
-    texts = long_enough.select("bucket", "doc_id", "text", "th").repartition(n, "bucket")
+    texts = long_enough.mapInArrow(pack_texts, _BLOB).repartition(n, "bucket")
 
     def surround(left: pa.Table, right: pa.Table) -> pa.Table:
-        box = _Outbox()
+        rows: list[tuple[int, bytes]] = []
         if left.num_rows and right.num_rows:
-            texts_, keys_, ids = _group_texts(left)
-            offsets, raw = text_buffers(texts_)
-            data = np.frombuffer(raw, np.uint8)
-            th, doc, at = _joined(right, 0)
-            row = _rows_of(keys_, doc, th)
-            start, end = offsets[row], offsets[row + 1]
-            place = start + at
-            for a in range(0, len(place), 1 << 17):
-                s = slice(a, a + (1 << 17))
-                around = surroundings(data, place[s], start[s], end[s])
-                u, number = distinct(around)
-                key = gram_hash(np.ascontiguousarray(around[u, LEFT : LEFT + GRAM]).ravel())[::GRAM] >> np.uint64(16)
-                _send_surroundings(box, key, around[u], number, doc[s], th[s], at[s], int(left.column("bucket")[0].as_py()), m)
-        return box_table(box)
+            own = _Bucket(left)
+            ids, at = _together(x.as_py() for x in right.column("blob"))
+            # Of several rows with the id, all are looked at; only the bytes that are there count.
+            low, high = (np.searchsorted(own.ids, ids, side=x) for x in ("left", "right"))
+            count = high - low
+            row = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            at = np.repeat(at, count).astype(np.int64)
+            fits = at + GRAM <= own.offsets[row + 1] - own.offsets[row]
+            row, at = row[fits], at[fits]
+            for a in range(0, len(at), 1 << 18):
+                r, p = row[a : a + (1 << 18)], at[a : a + (1 << 18)]
+                start, end = own.offsets[r], own.offsets[r + 1]
+                around = surroundings(own.data, start + p, start, end)
+                u, which = distinct(around)
+                key = gram_hash(np.ascontiguousarray(around[u, LEFT : LEFT + GRAM]).ravel())[::GRAM] >> drop_bits
+                rows += _packed_surroundings(key, around[u], which, own.ids[r], (r - own.first[r]).astype(np.uint32), p.astype(np.uint32), m)
+        return pa.Table.from_pydict({"bucket": [r[0] for r in rows], "blob": [r[1] for r in rows]}, _BLOB_ARROW)
 
     around = _dealt(texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(surround, _BLOB), n)
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = _Outbox()
         for blobs in _by_bucket(batches):
-            keys, rows, docs_, mu, md, mt, ma, mh = [], [], [], [], [], [], [], []
-            n_rows = 0
+            parts, n_rows = [], 0
             for blob in blobs:
-                key, flat, doc, number, ids, th, at, home = unpack(blob)
-                keys.append(key)
-                rows.append(flat.reshape(len(key), WIDTH + 2))
-                docs_.append(doc)
-                mu.append(number.astype(np.int64) + n_rows)
-                md.append(ids)
-                mt.append(th)
-                ma.append(at)
-                mh.append(np.repeat(home, len(ids)))
+                key, flat, doc, which, ids, nth, at = unpack(blob)
+                parts.append((key, flat.reshape(len(key), WIDTH + 2), doc, which.astype(np.int64) + n_rows, ids, nth, at))
                 n_rows += len(key)
-            keys, rows, docs_, mu, md, mt, ma, mh = (np.concatenate(x) for x in (keys, rows, docs_, mu, md, mt, ma, mh))
-            u, number = distinct(rows)
+            key, rows, doc, which, ids, nth, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            u, again = distinct(rows)
             least = np.full(len(u), LAST)
-            np.minimum.at(least, number, docs_)
-            small = smallest(keys[u], rows[u], least)
-            own = number[mu]
-            for a in range(0, len(own), 1 << 18):
+            np.minimum.at(least, again, doc)
+            small = smallest(key[u], rows[u], least)
+            mine = again[which]
+            for a in range(0, len(mine), 1 << 18):
                 s = slice(a, a + (1 << 18))
-                earlier = small[own[s]] < md[s][:, None]
+                earlier = small[mine[s]] < _document(ids[s])[:, None]
                 bits = (earlier.astype(np.uint32) << np.arange(LEFT + 1, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
                 hit = np.flatnonzero(bits)
-                box.put(mh[s][hit].astype(np.int64), mt[s][hit], md[s][hit], ma[s][hit], bits[hit])
+                box.put(home_of(ids[s][hit], m), ids[s][hit], nth[s][hit], at[s][hit], bits[hit])
                 if box.size >= HELD:
-                    yield from box.send(1)
-        yield from box.send(1)
+                    yield from box.send()
+        yield from box.send()
 
     marks = around.mapInArrow(sort, _BLOB)
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
@@ -394,27 +485,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
-            texts_, keys_, ids = _group_texts(left)
-            offsets, raw = text_buffers(texts_)
-            data = np.frombuffer(raw, np.uint8)
-            gone = np.zeros(len(data) + 1, np.int64)
+            own = _Bucket(left)
+            change = np.zeros(len(own.data) + 1, np.int64)
             if right.num_rows:
-                th, doc, at, bits = _joined(right, 0)
-                place = offsets[_rows_of(keys_, doc, th)] + at - LEFT
+                ids, nth, at, bits = _together(x.as_py() for x in right.column("blob"))
+                place = own.offsets[own.place(ids, nth)] + at - LEFT
                 which, o = np.nonzero((bits[:, None] >> np.arange(LEFT + 1, dtype=np.uint32)) & 1)
-                begins = np.zeros(len(data) + 1, bool)
+                begins = np.zeros(len(own.data) + 1, bool)
                 begins[place[which] + o] = True
                 begins = np.flatnonzero(begins)
-                gone[begins] += 1
-                gone[begins + MATCH] -= 1
-            covered = np.cumsum(gone[:-1]) > 0
-            # begins + MATCH may fall on the next text's first byte, which another start then counts: sums stay right.
-            for k, (i, copies) in enumerate(ids):
-                a, b = int(offsets[k]), int(offsets[k + 1])
-                own = covered[a:b]
-                kept = data[a:b][~own].tobytes()
-                spans = int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1]))
-                rows += [(i, b - a, int(own.sum()), spans, sha256_hex(kept), *([kept] if with_text else []))] * copies
+                change[begins] += 1
+                change[begins + MATCH] -= 1
+            covered = np.cumsum(change[:-1]) > 0
+            for k, (i, copies) in enumerate(zip(own.ids.tolist(), own.copies.tolist(), strict=True)):
+                a, b = int(own.offsets[k]), int(own.offsets[k + 1])
+                gone = covered[a:b]
+                kept = own.data[a:b][~gone].tobytes()
+                spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+                rows += [(i if i < NO_ID else None, b - a, int(gone.sum()), spans, sha256_hex(kept), *([kept] if with_text else []))] * copies
         return _table(rows, with_text)
 
     cut_texts = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(cut, fields)
@@ -432,51 +520,18 @@ def _table(rows: list[tuple], with_text: bool) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def box_table(box: _Outbox) -> pa.Table:
-    schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
-    return pa.Table.from_batches([pa.RecordBatch.from_pydict({"bucket": [p[0]], "blob": [p[1]]}, schema) for p in box.parts], schema)
-
-
-def _send_surroundings(box: _Outbox, key: np.ndarray, rows: np.ndarray, number: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, home: int, m: int) -> None:
-    """Packs distinct surroundings with their members by the anchor's bucket."""
+def _packed_surroundings(key: np.ndarray, rows: np.ndarray, which: np.ndarray, ids: np.ndarray, nth: np.ndarray, at: np.ndarray, m: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct surroundings with their members, by the anchor's bucket."""
     least = np.full(len(rows), LAST)
-    np.minimum.at(least, number, doc)
+    np.minimum.at(least, which, _document(ids))
     bucket = (key % np.uint64(m)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
-    member = np.argsort(place[number], kind="stable")
+    member = np.argsort(place[which], kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]]))
     ends = np.append(starts[1:], len(by))
-    m_place = place[number[member]]
-    m_start, m_end = np.searchsorted(m_place, starts), np.searchsorted(m_place, ends)
-    for a, b, c, d in zip(starts.tolist(), ends.tolist(), m_start.tolist(), m_end.tolist(), strict=True):
+    m_place = place[which[member]]
+    for a, b, c, d in zip(starts.tolist(), ends.tolist(), np.searchsorted(m_place, starts).tolist(), np.searchsorted(m_place, ends).tolist(), strict=True):
         own, mine = by[a:b], member[c:d]
-        box.parts.append((int(bucket[own[0]]), pack(key[own], rows[own].ravel(), least[own], (m_place[c:d] - a).astype(np.uint32), doc[mine], th[mine], at[mine], np.array([home], np.int32))))
-
-
-def _group_texts(left: pa.Table) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray], list[tuple[int | None, int]]]:
-    """The distinct documents of a bucket: texts, their sorted (hash, id) keys, and (id, number of equal rows)."""
-    ids, th = _doc_table(left.column("doc_id").combine_chunks(), left.column("th").combine_chunks())
-    order = np.lexsort((ids, th))
-    new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (th[order][1:] != th[order][:-1])])
-    first = order[new]
-    copies = np.diff(np.append(np.flatnonzero(new), len(order)))
-    texts = text_array(left.column("text")).take(pa.array(first))
-    named = [(None if i == LAST else i, c) for i, c in zip(ids[first].tolist(), copies.tolist(), strict=True)]
-    return texts, (th[first], ids[first]), named
-
-
-def _joined(right: pa.Table, sort: int) -> list[np.ndarray]:
-    """The arrays of all blobs; array `sort` comes as differences."""
-    parts = [unpack(x.as_py()) for x in right.column("blob")]
-    for p in parts:
-        p[sort] = np.cumsum(p[sort])
-    return [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
-
-
-def _rows_of(keys: tuple[np.ndarray, np.ndarray], ids: np.ndarray, th: np.ndarray) -> np.ndarray:
-    """The number of the document with each (hash, id)."""
-    table = np.rec.fromarrays(keys, dtype=[("t", np.int64), ("i", np.int64)])
-    pairs, back = np.unique(np.rec.fromarrays((th, ids), dtype=[("t", np.int64), ("i", np.int64)]), return_inverse=True)
-    return np.searchsorted(table, pairs)[back.ravel()]
+        yield int(bucket[own[0]]), pack(key[own], rows[own].ravel(), least[own], (m_place[c:d] - a).astype(np.uint32), ids[mine], nth[mine], at[mine])
