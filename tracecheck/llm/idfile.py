@@ -2,8 +2,9 @@
 
 Documents are dealt out by ranges of their id, so partitions and the rows in them are in order. Each task encodes
 whole documents into frames of at most FRAME_IDS ids (a longer document is a frame of its own) and writes them with
-Spark's own committer, so a lost executor's tasks just run again. A row of the file is (part, seq, n_ids, index,
-frame): `index` lists the frame's documents, `frame` is described in idcodec.
+Spark's own committer, so a lost executor's tasks just run again. A row of the file is (part, start,
+n_ids, index, frame): `start` is the number of ids before it in its part, `index` lists the frame's documents, `frame`
+is described in idcodec.
 
 Defined results: a null or empty text is a document of the end id alone. A null id sorts first and is kept.
 Repeated ids are separate documents, in the order of their texts.
@@ -95,7 +96,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-FILE = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("index", T.BinaryType()), T.StructField("frame", T.BinaryType())])
+FILE = T.StructType([T.StructField("part", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("index", T.BinaryType()), T.StructField("frame", T.BinaryType())])
 
 
 def _index(ids: pa.Array, sizes: np.ndarray) -> bytes:
@@ -113,14 +114,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     dealt = source.repartitionByRange(partitions, "doc_id") if partitions else source.repartitionByRange("doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, written = TaskContext.get().partitionId(), 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
 
         def done() -> pa.RecordBatch:
             ids = np.concatenate([h[2] for h in held])
             index = b"".join(_index(h[0], h[1]) for h in held)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [len(ids)], "index": [index], "frame": [idcodec.encode_frame(ids)]})
+            return pa.RecordBatch.from_pydict({"part": [part], "start": [written], "n_ids": [len(ids)], "index": [index], "frame": [idcodec.encode_frame(ids)]})
 
         for batch in batches:
             texts = text_array(batch.column(1))
@@ -132,7 +133,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
                     end = int(np.searchsorted(start, room, side="right")) - 1
                     if end <= k and size:
                         yield done()
-                        held, size, seq = [], 0, seq + 1
+                        held, size, written = [], 0, written + size
                         continue
                     end = min(max(end, k + 1), to - at)
                     own = ids[start[k] : start[end]]
@@ -156,12 +157,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for row in totals:
         before.append((row["part"], start))
         start += row["n"]
+    # One row a part, so what is broadcast is bounded by the number of the writer's tasks.
     base = spark.createDataFrame(before, "part long, before long")
-    within = frames.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("seq", "n_ids"))).alias("all"))
-    offsets = within.join(F.broadcast(base), "part").select(
-        "part", F.posexplode("all").alias("k", "f"), F.col("before"), "all"
-    ).select("part", F.col("f.seq").alias("seq"), (F.col("before") + F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x["n_ids"])).alias("before"))
-    placed = frames.join(offsets, ["part", "seq"]).select("before", "index", "frame")
+    placed = frames.join(F.broadcast(base), "part").select((F.col("before") + F.col("start")).alias("before"), "index", "frame")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

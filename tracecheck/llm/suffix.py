@@ -43,7 +43,7 @@ HELD = 2_000_000
 #: Text bytes that a task holds before it hands them on.
 HELD_BYTES = 24 << 20
 #: Buckets a partition.
-SPREAD = 4
+SPREAD = 2
 #: Rows without an id get numbers from here on, by their text; as documents they are all this one.
 NO_ID = 1 << 62
 LAST = (1 << 63) - 1
@@ -219,7 +219,7 @@ def smallest(keys: np.ndarray, rows: np.ndarray, docs: np.ndarray) -> np.ndarray
     same[:-1] |= k[1:] == k[:-1]
     several = order[same]
     valid = _valid(rows)
-    step = 1 << 17
+    step = 1 << 15
     at = 0
     while at < len(several):
         to = min(at + step, len(several))
