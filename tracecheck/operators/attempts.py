@@ -35,8 +35,8 @@ def candidate_rank(status: Column, n_skipped: Column, n_failed: Column, step: Co
 def winners(attempts: DataFrame, by: list[str], key: Column) -> DataFrame:
     """The best attempt of each trajectory; the first of equals. Partial minima are merged, so nothing is sorted."""
     row = F.struct(*attempts.columns)
-    best = attempts.groupBy(*by).agg(F.min_by(row, F.struct(key.alias("k"), F.col("ord").alias("o"))).alias("w"))
-    return best.select("w.*")
+    best = attempts.groupBy(*by).agg(F.min_by(row, F.struct(key.alias("k"), F.col("ord").alias("o"))).alias("__best"))
+    return best.select("__best.*")
 
 
 def best_of_n(samples: DataFrame, by: list[str], rank: Column, clean: Column) -> DataFrame:

@@ -44,8 +44,8 @@ def with_defaults(left: DataFrame, right: DataFrame, on: list[str], defaults: di
 
 def first_by(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group; by partial minima."""
-    best = rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("b"))
-    return best.select("b.*")
+    best = rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("__best"))
+    return best.select("__best.*")
 
 
 def drop_duplicates_against(rows: DataFrame, kept: DataFrame, name: str, refs: str | None = None) -> DataFrame:

@@ -22,8 +22,8 @@ def weight(kill_rate: Column, floor: float = 0.25, unscored: float = 0.5) -> Col
 
 def dedupe_best(rows: DataFrame, by: list[str], value: Column, seq: str) -> DataFrame:
     """The row of greatest value in each group, the first of equals; by partial aggregation, not by sorting."""
-    best = rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.struct((-value).alias("v"), F.col(seq).alias("s"))).alias("b"))
-    return best.select("b.*")
+    best = rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.struct((-value).alias("v"), F.col(seq).alias("s"))).alias("__best"))
+    return best.select("__best.*")
 
 
 def copies(weight_: Column, times: int) -> Column:
@@ -66,7 +66,7 @@ def fit_tokens(chars: Column, fixed: Column, limit: int, factor: float = 0.7, le
     while steps[-1] * factor > least:
         steps.append(steps[-1] * factor)
     options = F.array(*[F.lit(s) for s in steps])
-    return F.coalesce(F.element_at(F.filter(options, lambda s: estimate_tokens(F.floor(chars * s) + fixed) <= limit), 1), F.lit(steps[-1]))
+    return F.coalesce(F.try_element_at(F.filter(options, lambda s: estimate_tokens(F.floor(chars * s) + fixed) <= limit), F.lit(1)), F.lit(steps[-1]))
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:

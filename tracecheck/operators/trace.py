@@ -79,7 +79,7 @@ def visible(signals: DataFrame, top: str, include_internal: bool = False, only:
     if only:
         return s.where(F.col("name").isin(only) | full.isin(only))
     s = s.where(~F.col("name").endswith("_EN"))
-    own = (F.size("scope") == 0) | (F.element_at("scope", 1) == top) if not include_internal else F.lit(True)
+    own = (F.size("scope") == 0) | (F.coalesce(F.try_element_at("scope", F.lit(1)) == top, F.lit(False))) if not include_internal else F.lit(True)
     deep = F.size("scope") <= 1 if not include_internal else F.lit(True)
     return s.where(own & deep)
 

@@ -54,7 +54,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     )
     m = mutants(f).groupBy(*by).agg(F.count("*").alias("mutants"))
     joined = catalog.with_defaults(per, m, by, {"mutants": 0})
-    one = F.element_at("rtl", 1)
+    one = F.try_element_at("rtl", F.lit(1))
     vhdl = F.size(F.filter("rtl", lambda x: x["ext"].isin(*VHDL)))
     open_ = F.when(F.size("rtl") == 1, _dual(F.concat(F.transform("rtl", lambda x: x["text"]), F.transform("inc", lambda x: x["text"])))).otherwise(False)
     reason = catalog.skip_reason(F.size("rtl") - vhdl, vhdl, F.coalesce("spec", F.lit(False)), open_)
@@ -63,7 +63,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
         F.concat_ws("/", F.lit("designs"), catalog.slug(F.col("category")), catalog.slug(F.col("design"))).alias("key"),
         "category",
         F.col("design").alias("name"),
-        F.when(F.size("rtl") == 0, F.col("design")).when(one["ext"].isin(*VHDL), stem).otherwise(_top(one["text"], stem)).alias("top"),
+        F.when(F.size("rtl") != 1, F.col("design")).when(one["ext"].isin(*VHDL), stem).otherwise(_top(one["text"], stem)).alias("top"),
         F.when(F.size("rtl") != 1, "unknown").when(one["ext"].isin(*VHDL), "vhdl").otherwise("verilog").alias("language"),
         "mutants",
         F.transform("inc", lambda x: x["path"]).alias("extras"),
