@@ -25,16 +25,18 @@ MAGIC = b"ACM1"
 #: Ids in a block.
 BLOCK = 2048
 #: Blocks that are coded side by side at most.
-LANES = 2048
+LANES = 4096
 #: Slots of an order-1 or order-2 table.
-SLOT_BITS = 9
+SLOT_BITS = 8
 _SLOTS = 1 << SLOT_BITS
 _ONE = 1 << 16
-_ROOM = 61000  # of 65536: about the most that the two predictions share; the rest stays over 4096, so that each of its 4096 parts has a size
+#: Probabilities of the binary events, and mixing weights, are of 32768.
+_P_BITS = 15
 _SCALE_BITS = 12
 #: Ids after which the order-0 distribution is worked out anew.
-_REBUILD = (0, 32, 96, 256, 640, 1280)
+_REBUILD = (0, 64, 256, 1024)
 _M32, _M48 = (1 << 32) - 1, (1 << 48) - 1
+_H1, _H2, _H3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x27D4EB2F)
 
 
 class DamagedBlock(ValueError):
@@ -45,62 +47,63 @@ class _Flag:
     """The probability of one binary event for each lane: two counters, mixed."""
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes) * 8
-        self.first, self.second = (np.full(lanes * 8, _ONE // 4, np.int64) for _ in range(2))
-        self.weight = np.full(lanes, _ONE // 2, np.int64)
-        self.recent = np.zeros(lanes, np.int64)
+        self.base = np.arange(lanes, dtype=np.int32) * 8
+        self.first, self.second = (np.full(lanes * 8, 1 << (_P_BITS - 2), np.int32) for _ in range(2))
+        self.weight = np.full(lanes, 1 << (_P_BITS - 1), np.int32)
+        self.recent = np.zeros(lanes, np.int32)
 
     def cut(self, n: int) -> None:
         for k in ("base", "weight", "recent"):
             setattr(self, k, getattr(self, k)[:n])
 
     def predict(self, context: np.ndarray) -> np.ndarray:
-        self.i, self.j = self.base + context, self.base + self.recent
+        context += self.base
+        self.i, self.j = context.astype(np.int64), (self.base + self.recent).astype(np.int64)
         self.p, self.q = self.first.take(self.i, mode="clip"), self.second.take(self.j, mode="clip")
         mixed = self.p - self.q
         mixed *= self.weight
-        mixed >>= 16
+        mixed >>= _P_BITS
         mixed += self.q
         return mixed
 
     def update(self, bit: np.ndarray, live: np.ndarray | None = None) -> None:
         """bit: 0 or 1. live: lanes to learn from, as 0 or -1 (all by default)."""
-        target = bit << 16
+        target = bit << _P_BITS
         p, q = target - self.p, target - self.q
         # The weight goes a 64th of the way to whichever counter was nearer.
-        step = (np.abs(q) > np.abs(p)).astype(np.int64)
-        step <<= 16
+        step = (np.abs(q) > np.abs(p)).astype(np.int32)
+        step <<= _P_BITS
         step -= self.weight
         step >>= 6
         p >>= 4
         q >>= 4
-        new = self.recent << 1
-        new |= bit
-        new &= 7
-        if live is not None:
+        if live is None:
+            self.recent = ((self.recent << 1) | bit) & 7
+        else:
             step &= live
             p &= live
             q &= live
-            new = np.where(live, new, self.recent)
+            # A lane that doesn't learn keeps its recent bits: it shifts by 0 and adds 0.
+            self.recent = ((self.recent << -live) | (bit & live)) & 7
         p += self.p
         q += self.q
         self.first[self.i] = p
         self.second[self.j] = q
         self.weight += step
-        self.recent = new
 
 
 class _Model:
     def __init__(self, lanes: int):
         self.n = lanes
         self.t1, self.t2 = (np.full(lanes * _SLOTS, -4, np.int32) for _ in range(2))
-        self.base = np.arange(lanes) * _SLOTS
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.base = np.arange(lanes, dtype=np.uint32)
+        self.lanes = np.uint32(lanes)
+        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.a, self.b = _Flag(lanes), _Flag(lanes)
-        self.count = np.zeros((lanes, 256), np.int64)
-        self.at256 = np.arange(lanes) * 256
+        self.count = np.zeros((lanes, 256), np.int32)
+        self.at256 = np.arange(lanes, dtype=np.int32) * 256
         #: For each lane and high byte: where its share of the 4096 parts starts, and its size, as start << 16 | size.
-        self.share = np.zeros(lanes * 256, np.int64)
+        self.share = np.zeros(lanes * 256, np.int32)
         self.slots = np.zeros(0, np.uint8)
         self.slot_base = np.arange(lanes) << _SCALE_BITS
 
@@ -115,43 +118,51 @@ class _Model:
 
     def predict(self) -> None:
         """Sets the predicted ids and how the 65536 parts are shared: `pa` to the order-2 id, `pb` to the order-1 id."""
-        i1 = self.last * 0x9E3779B1
-        i2 = self.before * 0x27D4EB2F
-        i2 += self.last * 0x85EBCA6B
-        for i in (i1, i2):
-            i &= _M32
-            i >>= 32 - SLOT_BITS
+        last = self.last.view(np.uint32)
+        i1 = last * _H1
+        i2 = self.before.view(np.uint32) * _H3
+        i2 += last * _H2
+        for i in (i1, i2):  # slots are stored side by side for all lanes
+            i >>= np.uint32(32 - SLOT_BITS)
+            i *= self.lanes
             i += self.base
-        self.i1, self.i2 = i1, i2
+        self.i1, self.i2 = i1, i2 = i1.astype(np.int64), i2.astype(np.int64)
         self.e1, self.e2 = e1, e2 = self.t1.take(i1, mode="clip"), self.t2.take(i2, mode="clip")
         self.o1, self.o2 = e1 >> 2, e2 >> 2
-        differ = self.o1 != self.o2
-        c2 = e2 & 3
-        self.differ = -differ.astype(np.int64)
-        self.pa = self.a.predict((c2 << 1) + differ)
-        self.pa *= _ROOM
-        self.pa >>= 16
-        pb = self.b.predict(((e1 & 3) << 1) + (c2 > 0))
-        pb *= _ROOM - self.pa
-        pb >>= 16
+        differ = (self.o1 != self.o2).astype(np.int32)
+        c1, c2 = e1 & 3, e2 & 3
+        c1 <<= 1
+        c1 += c2 > 0
+        c2 <<= 1
+        c2 += differ
+        self.differ = -differ
+        # The two predictions share 60930 parts at most; the rest stays over 4096, so each of its 4096 parts has a size.
+        pa = self.a.predict(c2)
+        pa *= 119
+        pa >>= 6
+        pb = 60928 - pa
+        pb >>= 1
+        pb *= self.b.predict(c1)
+        pb >>= _P_BITS - 1
         pb += 1
         pb &= self.differ
-        self.pb = pb
-        self.pa += 1
-        self.known = self.pa + pb
+        pa += 1
+        self.pa, self.pb = pa, pb
+        self.known = pa + pb
         self.rest = _ONE - self.known
 
     def shares(self, high: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of what was coded: an id by its high byte, or a hit of either prediction."""
-        both = self.share.take(self.at256 + high, mode="clip")
+        both = self.share.take((self.at256 + high).astype(np.int64), mode="clip")
         start = both >> 16
-        end = start + (both & 0xFFFF)
-        for x in (start, end):
+        both &= 0xFFFF
+        both += start
+        for x in (start, both):
             x *= self.rest
             x >>= _SCALE_BITS
             x += self.known
         start = np.where(hit1, self.pa, start)
-        end = np.where(hit1, self.known, end)
+        end = np.where(hit1, self.known, both)
         start *= ~hit2
         end = np.where(hit2, self.pa, end)
         end -= start
@@ -159,10 +170,10 @@ class _Model:
 
     def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, right1: np.ndarray) -> None:
         """x: the ids. hit2: it is the order-2 id. hit1: it is the order-1 id and not hit2. right1: it is the order-1 id."""
-        two = hit2.astype(np.int64)
+        two = hit2.astype(np.int32)
         self.a.update(two)
-        self.b.update(hit1.astype(np.int64), self.differ & (two - 1))
-        fresh = (x << 2).astype(np.int32)
+        self.b.update(hit1.astype(np.int32), self.differ & (two - 1))
+        fresh = x << 2
         for table, i, e, right in ((self.t2, self.i2, self.e2, hit2), (self.t1, self.i1, self.e1, right1)):
             e += (e & 3) < 3
             table[i] = np.where(right, e, fresh)
@@ -171,13 +182,18 @@ class _Model:
     def rebuild(self, seen: np.ndarray, slots: bool) -> None:
         """The order-0 distribution anew, with the ids seen since (rows by lanes)."""
         if len(seen):
-            flat = (seen[:, : self.n].astype(np.int64) >> 8) + self.at256
-            self.count += np.bincount(flat.ravel(), minlength=self.n * 256).reshape(self.n, 256)
-        total = self.count.sum(axis=1, keepdims=True)
-        freq = 1 + self.count * ((1 << _SCALE_BITS) - 256) // np.maximum(total, 1)
-        freq[:, 0] += (1 << _SCALE_BITS) - freq.sum(axis=1)
-        start = np.cumsum(freq, axis=1) - freq
-        self.share = (start << 16 | freq).ravel()
+            flat = (seen[:, : self.n] >> 8) + self.at256
+            self.count += np.bincount(flat.ravel(), minlength=self.n * 256).reshape(self.n, 256).astype(np.int32)
+        total = np.maximum(self.count.sum(axis=1, keepdims=True, dtype=np.int32), 1)
+        freq = self.count * np.int32((1 << _SCALE_BITS) - 256)
+        freq //= total
+        freq += 1
+        freq[:, 0] += (1 << _SCALE_BITS) - freq.sum(axis=1, dtype=np.int32)
+        start = np.cumsum(freq, axis=1, dtype=np.int32)
+        start -= freq
+        start <<= 16
+        start |= freq
+        self.share = start.ravel()
         if slots:
             self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), freq.ravel())
 
@@ -188,19 +204,27 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, n - (lanes - 1) * BLOCK
 
 
+def _turned(a: np.ndarray) -> np.ndarray:
+    """The transpose, copied in strips that stay in the cache."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for k in range(0, a.shape[0], 64):
+        out[:, k : k + 64] = a[k : k + 64].T
+    return out
+
+
 def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Words and verbatim bytes of each block."""
     n = len(ids)
     lanes, tail = _lanes(n)
     padded = np.zeros(lanes * BLOCK, np.int32)
     padded[:n] = ids
-    by_step = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+    by_step = _turned(padded.reshape(lanes, BLOCK))
     m = _Model(lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _M48, np.int64)
-    words = np.zeros((lanes, BLOCK + 4), np.int32)
-    raw = np.zeros((lanes, BLOCK + 1), np.uint8)
+    words = np.zeros((BLOCK + 4, lanes), np.int32)
+    raw = np.zeros((BLOCK + 1, lanes), np.uint8)
     flat, raw_flat = words.reshape(-1), raw.reshape(-1)
-    pos, raws = np.arange(lanes) * (BLOCK + 4), np.arange(lanes) * (BLOCK + 1)  # flat places
+    pos, raws = np.arange(lanes), np.arange(lanes)  # flat places: row * lanes + lane
     all_low, all_pos, all_raws = low, pos, raws
     done = 0
     for t in range(BLOCK if lanes > 1 else tail):
@@ -210,17 +234,16 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         if t in _REBUILD:
             m.rebuild(by_step[done:t], False)
             done = t
-        x = by_step[t, : m.n].astype(np.int64)
+        x = by_step[t, : m.n]
         m.predict()
         hit2, right1 = x == m.o2, x == m.o1
         hit1 = right1 & ~hit2
         start, size = m.shares(x >> 8, hit2, hit1)
         rng >>= 16
-        start *= rng
-        low += start
+        low += rng * start
         rng *= size
         # All lanes write; what a lane that isn't short writes is written over by its next word.
-        flat[pos] = low >> 32
+        flat[pos] = (low >> 32).astype(np.int32)
         short = (rng <= _M32).astype(np.int64)
         shift = short << 4
         rng <<= shift
@@ -228,21 +251,25 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         keep |= _M32
         low &= keep
         low <<= shift
+        short *= lanes
         pos += short
-        raw_flat[raws] = x
-        raws += ~(hit1 | hit2)
+        raw_flat[raws] = x.astype(np.uint8)
+        raws += ~(hit1 | hit2) * np.int64(lanes)
         m.update(x, hit2, hit1, right1)
     for shift in (32, 16, 0):
         flat[all_pos] = (all_low >> shift) & (0xFFFF if shift < 32 else 0x1FFFF)
-        all_pos += 1
-    n_words, n_raw = all_pos - np.arange(lanes) * (BLOCK + 4), all_raws - np.arange(lanes) * (BLOCK + 1)
-    words[np.arange(BLOCK + 4) >= n_words[:, None]] = 0
+        all_pos += lanes
+    n_words, n_raw = all_pos // lanes, all_raws // lanes
+    rows = int(n_words.max())
+    words = words[:rows]
+    words[np.arange(rows)[:, None] >= n_words] = 0
+    flat = words.reshape(-1)
     while len(over := np.flatnonzero(flat >> 16)):
         carry = flat[over] >> 16
         flat[over] &= 0xFFFF
-        flat[over - 1] += carry
-    small = words.astype("<u2")
-    return [small[i, : n_words[i]].tobytes() for i in range(lanes)], [raw[i, : n_raw[i]].tobytes() for i in range(lanes)]
+        flat[over - lanes] += carry
+    of_words, of_raw = _turned(words.astype("<u2")), _turned(raw)
+    return [of_words[i, : n_words[i]].tobytes() for i in range(lanes)], [of_raw[i, : n_raw[i]].tobytes() for i in range(lanes)]
 
 
 def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
@@ -253,13 +280,13 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
     for i, (w, r) in enumerate(zip(words, raw, strict=True)):
         by_row[i, : len(w) // 2] = np.frombuffer(w, "<u2")
         raw_row[i, : len(r)] = np.frombuffer(r, np.uint8)
-    flat, raw_flat = by_row.reshape(-1), raw_row.reshape(-1)
+    flat, raw_flat = _turned(by_row).reshape(-1), _turned(raw_row).reshape(-1)
     m = _Model(lanes)
-    pos, raws = np.arange(lanes) * by_row.shape[1], np.arange(lanes) * raw_row.shape[1]
+    pos, raws = np.arange(lanes), np.arange(lanes)
     code = np.zeros(lanes, np.int64)
     for _ in range(3):
         code = code << 16 | flat[pos]
-        pos += 1
+        pos += lanes
     rng = np.full(lanes, _M48, np.int64)
     out = np.zeros((BLOCK, lanes), np.int32)
     done = 0
@@ -272,7 +299,7 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
             done = t
         m.predict()
         rng >>= 16
-        value = (code / rng).astype(np.int64)  # quotients under 2**17 of 48-bit integers: exact
+        value = (code / rng).astype(np.int32)  # quotients under 2**17 of 48-bit integers: exact
         np.minimum(value, _ONE - 1, out=value)
         hit2 = value < m.pa
         plain = value >= m.known
@@ -285,14 +312,13 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         slot = (value / m.rest).astype(np.int64)
         slot &= (1 << _SCALE_BITS) - 1
         slot += m.slot_base
-        high = m.slots.take(slot, mode="clip").astype(np.int64)
+        high = m.slots.take(slot, mode="clip").astype(np.int32)
         x = high << 8
         x |= raw_flat.take(raws, mode="clip")
         x = np.where(plain, x, np.where(hit2, m.o2, m.o1))
-        raws += plain
+        raws += plain * np.int64(lanes)
         start, size = m.shares(high, hit2, hit1)
-        start *= rng
-        code -= start
+        code -= rng * start
         rng *= size
         short = (rng <= _M32).astype(np.int64)
         shift = short << 4
@@ -300,10 +326,11 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         code <<= shift
         more = flat.take(pos, mode="clip") & -short
         code |= more
+        short *= lanes
         pos += short
         out[t, : m.n] = x
         m.update(x, hit2, hit1, x == m.o1)
-    return np.ascontiguousarray(out.T).reshape(-1)[:n]
+    return _turned(out).reshape(-1)[:n]
 
 
 def encode_frame(ids: np.ndarray) -> bytes:

@@ -31,7 +31,7 @@ END_ID = 0
 #: Ids in a frame, at most.
 FRAME_IDS = idcodec.BLOCK * idcodec.LANES
 #: Pieces that a worker remembers.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 class Encoder:
@@ -40,41 +40,43 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, list[int]] = {}
-
-    def pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        memo = self.memo
-        new = [p for p in pieces if p not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = pieces
+        self.forget()
+
+    def forget(self) -> None:
+        #: Each known piece's number; its ids are flat[bounds[number]:bounds[number + 1]].
+        self.known: dict[bytes, int] = {}
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Each piece's number; the library encodes those that are new."""
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > MEMO and known:
+            self.forget()
+            known, new = self.known, pieces
+        flat, bounds = [self.flat], [self.bounds]
+        end = len(self.flat)
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
             e = self.tokenizer.encode([p.decode() for p in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids)
-            word = np.array(e.word_ids)
-            ends = np.searchsorted(word, np.arange(len(some)), side="right").tolist()
-            listed = ids.tolist()
-            a = 0
-            for p, b in zip(some, ends, strict=True):
-                memo[p] = listed[a:b]
-                a = b
-        return [memo[p] for p in pieces]
+            flat.append(np.array(e.ids, np.int32))
+            bounds.append(end + np.searchsorted(np.array(e.word_ids), np.arange(len(some)), side="right"))
+            end += len(flat[-1])
+        if new:
+            known.update(zip(new, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(new)), strict=True))
+            self.flat, self.bounds = np.concatenate(flat), np.concatenate(bounds)
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's followed by END_ID, and each document's first (n + 1 values)."""
         pieces, code, first = pretok.split(texts)
-        found = self.pieces(pieces) if pieces else []
-        bounds = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=bounds[1:])
-        flat = np.fromiter((i for f in found for i in f), np.int64, int(bounds[-1]))
-        sizes = (bounds[1:] - bounds[:-1])[code] if len(code) else np.zeros(0, np.int64)
-        n = per_document(sizes, first)
+        code = self.numbers(pieces)[code]
+        n = per_document(self.bounds[code + 1] - self.bounds[code], first)
         start = np.concatenate([[0], np.cumsum(n + 1)])
-        ids = np.full(int(start[-1]), END_ID, np.int64)
+        ids = np.full(int(start[-1]), END_ID, np.int32)
         keep = np.ones(len(ids), bool)
         keep[start[1:] - 1] = False
-        ids[keep] = pretok.gather(code, flat, bounds)
+        ids[keep] = pretok.gather(code, self.flat, self.bounds)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :]
         raw = memoryview(texts.buffers()[2] or b"")[int(offsets[0]) : int(offsets[len(texts)])]
         if any(s in bytes(raw) for s in self.special):
@@ -85,7 +87,7 @@ class Encoder:
         own = []
         for k, t in enumerate(texts.to_pylist()):
             if any(s.decode() in t for s in self.special):
-                own.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], np.int64))
+                own.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], np.int32))
             else:
                 own.append(ids[start[k] : start[k + 1]])
         return np.concatenate(own), np.concatenate([[0], np.cumsum([len(o) for o in own])])

@@ -95,10 +95,11 @@ def split_around(texts: pa.Array, special: str) -> tuple[list[bytes], np.ndarray
 
 def gather(code: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """values[bounds[c]:bounds[c + 1]] for each c of code, one after the other."""
-    size = (bounds[1:] - bounds[:-1])[code]
+    start = bounds[code]
+    size = bounds[code + 1] - start
     total = int(size.sum())
     if not total:
         return values[:0]
-    at = np.repeat(bounds[:-1][code] - (np.cumsum(size) - size), size)
+    at = np.repeat(start - (np.cumsum(size) - size), size)
     at += np.arange(total)
     return values[at]
