@@ -3,6 +3,10 @@
 Rows of a trace are numbered in order; all checks read the same window, so a block costs one shuffle and one sort,
 whatever the number of its checks. Verdicts speak of the recorded rows only: HOLDS (live at least once, never
 violated), VIOLATED, VACUOUS (never live though there were rows enough), UNCHECKED (too few rows).
+
+A trace is one window partition, so a trace with a large share of all rows would be one long task. With `split`, rows
+are first numbered by ranges, and traces are then checked in chunks of `split` rows; each chunk also gets the last rows
+of the chunk before, as many as the plan looks back, so all checks see the same history. Results are the same.
 """
 
 from __future__ import annotations
@@ -12,9 +16,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracecheck.sources.shared import checkpoint
+
 from .properties import Check, Plan
 
 CYCLE = "__cycle"
+#: Chunks are longer than any plan looks back.
+LEAST_SPLIT = 1024
 
 
 def _sql(text: str, trace: list[str], order: list[str]) -> str:
@@ -22,35 +30,64 @@ def _sql(text: str, trace: list[str], order: list[str]) -> str:
     return text.replace("OVER w", f"OVER (PARTITION BY {by} ORDER BY {', '.join(f'`{c}`' for c in order)})")
 
 
-def with_checks(rows: DataFrame, plan: Plan, trace: list[str], order: list[str]) -> DataFrame:
+def number_rows(rows: DataFrame, trace: list[str], order: list[str]) -> DataFrame:
+    """rows with their place in their trace, without bringing a trace to one task.
+
+    Rows are dealt out by ranges of (trace, order). Only the sizes of a trace's pieces are summed up in order.
+    """
+    dealt = rows.repartitionByRange(*trace, *order).sortWithinPartitions(*trace, *order)
+    placed = checkpoint(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(*trace, "__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    earlier = Window.partitionBy(*trace).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select(*[F.col(c).alias(f"__t{i}") for i, c in enumerate(trace)], F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__t{i}")) for i, c in enumerate(trace)], F.col("__part") == F.col("__p"))
+    joined = placed.join(start, same)
+    return joined.withColumn(CYCLE, (F.col("__row") - F.col("__first") + F.col("__before")).cast("int")).select(*rows.columns, CYCLE)
+
+
+def _chunks(rows: DataFrame, plan: Plan, trace: list[str], order: list[str], split: int) -> DataFrame:
+    """Numbered rows with their chunk; rows at a chunk's end also go to the next, marked as history."""
+    size, back = max(split, LEAST_SPLIT), max(1, plan.max_history)
+    own = F.floor(F.col(CYCLE) / size).cast("int")
+    near = F.col(CYCLE) % size >= size - back
+    copy = F.when(near, F.array(F.struct(own.alias("c"), F.lit(False).alias("h")), F.struct((own + 1).alias("c"), F.lit(True).alias("h")))).otherwise(F.array(F.struct(own.alias("c"), F.lit(False).alias("h"))))
+    return number_rows(rows, trace, order).withColumn("__x", F.explode(copy)).select("*", F.col("__x.c").alias("__chunk"), F.col("__x.h").alias("__history")).drop("__x")
+
+
+def with_checks(rows: DataFrame, plan: Plan, trace: list[str], order: list[str], split: int | None = None) -> DataFrame:
     """rows with their cycle, and for each check `__live<k>` and `__bad<k>` (for a cover: reached)."""
-    w = Window.partitionBy(*trace).orderBy(*order)
-    numbered = rows.withColumn(CYCLE, F.row_number().over(w) - 1)
+    if split is None:
+        by, at = trace, order
+        numbered = rows.withColumn(CYCLE, F.row_number().over(Window.partitionBy(*by).orderBy(*at)) - 1)
+    else:
+        by, at = [*trace, "__chunk"], [CYCLE]
+        numbered = _chunks(rows, plan, trace, order, split)
     made: dict[str, Column] = {}
     for k, c in enumerate(plan.checks):
-        gate = (F.col(CYCLE) >= c.depth) & F.expr(_sql(c.gate, trace, order))
-        held = F.coalesce(F.expr(_sql(c.condition, trace, order)), F.lit(False)) if c.condition is not None else F.lit(True)
-        body = F.coalesce(F.expr(_sql(c.body, trace, order)), F.lit(False))
+        gate = (F.col(CYCLE) >= c.depth) & F.expr(_sql(c.gate, by, at))
+        held = F.coalesce(F.expr(_sql(c.condition, by, at)), F.lit(False)) if c.condition is not None else F.lit(True)
+        body = F.coalesce(F.expr(_sql(c.body, by, at)), F.lit(False))
         made[f"__live{k}"] = gate & held
         made[f"__bad{k}"] = gate & held & (body if c.kind == "cover" else ~body)
-    return numbered.withColumns(made)
+    checked = numbered.withColumns(made)
+    return checked if split is None else checked.where("not __history").drop("__chunk", "__history")
 
 
-def violations(rows: DataFrame, plan: Plan, trace: list[str], order: list[str]) -> DataFrame:
+def violations(rows: DataFrame, plan: Plan, trace: list[str], order: list[str], split: int | None = None) -> DataFrame:
     """(trace, label, cycle) of each violated check."""
-    checked = with_checks(rows, plan, trace, order)
+    checked = with_checks(rows, plan, trace, order, split)
     at = [(k, c) for k, c in enumerate(plan.checks) if c.kind != "cover"]
     each = F.array(*[F.when(F.col(f"__bad{k}"), F.lit(c.label)) for k, c in at])
     bad = reduce(lambda a, b: a | b, [F.col(f"__bad{k}") for k, _ in at])
     return checked.where(bad).select(*trace, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("label"), F.col(CYCLE).alias("cycle"))
 
 
-def tally(rows: DataFrame, plan: Plan, trace: list[str], order: list[str]) -> DataFrame:
+def tally(rows: DataFrame, plan: Plan, trace: list[str], order: list[str], split: int | None = None) -> DataFrame:
     """(trace, label, kind, n_rows, n_live, n_hit, first_hit): a row for each trace and check.
 
     n_hit counts violations of an assert, and reached rows of a cover.
     """
-    checked = with_checks(rows, plan, trace, order)
+    checked = with_checks(rows, plan, trace, order, split)
     sums = [F.count("*").alias("n_rows")]
     for k in range(len(plan.checks)):
         sums += [F.count_if(f"__live{k}").alias(f"n{k}"), F.count_if(f"__bad{k}").alias(f"b{k}"), F.min(F.when(F.col(f"__bad{k}"), F.col(CYCLE))).alias(f"f{k}")]
@@ -59,9 +96,9 @@ def tally(rows: DataFrame, plan: Plan, trace: list[str], order: list[str]) -> Da
     return per_trace.select(*trace, "n_rows", F.explode(each).alias("c")).select(*trace, "n_rows", "c.*")
 
 
-def verdicts(rows: DataFrame, plan: Plan, trace: list[str], order: list[str]) -> DataFrame:
+def verdicts(rows: DataFrame, plan: Plan, trace: list[str], order: list[str], split: int | None = None) -> DataFrame:
     """tally with a verdict: for covers REACHED, UNREACHED or UNCHECKED."""
-    return tally(rows, plan, trace, order).withColumn(
+    return tally(rows, plan, trace, order, split).withColumn(
         "verdict",
         F.when(F.col("n_rows") <= F.col("depth"), "UNCHECKED")
         .when(F.col("kind") == "cover", F.when(F.col("n_hit") > 0, "REACHED").otherwise("UNREACHED"))
@@ -71,9 +108,9 @@ def verdicts(rows: DataFrame, plan: Plan, trace: list[str], order: list[str]) ->
     )
 
 
-def suite(rows: DataFrame, plan: Plan, trace: list[str], order: list[str]) -> DataFrame:
+def suite(rows: DataFrame, plan: Plan, trace: list[str], order: list[str], split: int | None = None) -> DataFrame:
     """One verdict a trace: the worst of its asserts, with the violated labels and the first violation."""
-    per_check = verdicts(rows, plan, trace, order).where("kind <> 'cover'")
+    per_check = verdicts(rows, plan, trace, order, split).where("kind <> 'cover'")
     return per_check.groupBy(*trace).agg(
         F.max("n_rows").alias("n_rows"),
         F.count("*").alias("n_checks"),

@@ -63,6 +63,13 @@ def prop_suite_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.suite(events(spark, sf_dir), parse_block(SUITE, auto_cover=False), BY, ORDER)
 
 
+def prop_split_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one trace a month's parity, checked in chunks: traces that one task shouldn't take."""
+    rows = events(spark, sf_dir).withColumn("half", F.month("ts") % 2)
+    plan = parse_block("a_l: assert property (vw ##1 clk |=> ##[0:5] buy); a_p: assert property (vw |=> val > $past(val) - 20);", auto_cover=False)
+    return monitor.verdicts(rows, plan, ["half"], ORDER, split=2048)
+
+
 def prop_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.violations(events(spark, sf_dir), _plan("prop_disable_iff"), BY, ORDER)
 
@@ -141,7 +148,7 @@ def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: _checked(n) for n in BLOCKS} | {
-    f.__name__: f for f in (prop_suite_verdicts, prop_violations, prop_first_fail, cex_window, changed_at_failure, step_by_change, step_by_edge, dense_forward_fill, skipped_items, stream_violations)
+    f.__name__: f for f in (prop_suite_verdicts, prop_split_traces, prop_violations, prop_first_fail, cex_window, changed_at_failure, step_by_change, step_by_edge, dense_forward_fill, skipped_items, stream_violations)
 }
 
 # --- SQL: looks forward from each antecedent with joins, where the plan looks back with lags ---
@@ -203,6 +210,11 @@ ORACLES = {
       min(first_hit) FILTER (verdict = 'VIOLATED') AS first_violation,
       CASE WHEN bool_or(verdict = 'VIOLATED') THEN 'VIOLATED' WHEN bool_or(verdict = 'UNCHECKED') THEN 'UNCHECKED' WHEN bool_or(verdict = 'VACUOUS') THEN 'VACUOUS' ELSE 'HOLDS' END AS verdict
       FROM ({_SUITE_SQL}) GROUP BY user_id""",
+    "prop_split_traces": _verdicts(
+        ("a_l", "assert", 7, """SELECT a.user_id, d.c, NOT EXISTS (SELECT 1 FROM t x WHERE x.user_id = a.user_id AND x.buy AND x.c BETWEEN a.c + 2 AND a.c + 7) AS bad
+          FROM t a JOIN t b ON b.user_id = a.user_id AND b.c = a.c + 1 JOIN t d ON d.user_id = a.user_id AND d.c = a.c + 7 WHERE a.vw AND b.clk"""),
+        ("a_p", "assert", 1, _delayed(1, "NOT (b.val > a.val - 20)")),
+    ).replace("SELECT user_id, event_id", "SELECT month(ts) % 2 AS user_id, event_id", 1).replace("PARTITION BY user_id", "PARTITION BY month(ts) % 2", 1).replace("SELECT *, CASE WHEN n_rows", "SELECT user_id AS half, * EXCLUDE user_id, CASE WHEN n_rows", 1),
     "prop_violations": f"{_T} SELECT a.user_id, 'a_x' AS label, b.c AS cycle {_AFTER.format(k=2)} AND NOT b.buy {_DISABLED}",
     "prop_first_fail": f"{_FAIL} SELECT user_id, failing_cycle FROM f",
     "cex_window": f"{_FAIL} SELECT t.user_id, c AS cycle, event_id, event_type, val, failing_cycle AS at FROM t JOIN f USING (user_id) WHERE c BETWEEN failing_cycle - 4 AND failing_cycle",

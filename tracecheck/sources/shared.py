@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
     """A new path in the folder that the session names in spark.checkpoint.dir; /tmp/checkpoints where it names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     return f"{base.rstrip('/')}/tracecheck-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again from there: what comes after doesn't depend on its making."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return df.checkpoint(eager=True)
