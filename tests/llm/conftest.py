@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept string, Text2 string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept string, Text2 string, _rule_kept int, _masked string, ids string, fp string"
 
 
 @pytest.fixture(scope="session")
@@ -12,7 +12,7 @@ def odd(spark):
         (7, "a" * 200_000), (8, ("lorem ipsum dolor " * 30_000)), (9, "é漢🙂 " * 500), (10, "x\ny\nx\n\nx"), (None, None),
         (11, "mail me at jo.doe@mail.example.com or +1 (724) 555-7058, 44.161.181.40"), (12, "<|endoftext|> it's  we'll\r\n x"),
     ]
-    rows = [(i, t, "en", "s", len(t) if t else None, -1, "clash", "c") for i, t in texts]
+    rows = [(i, t, "en", "s", len(t) if t else None, -1, "clash", "c", 7, "m", None, "f") for i, t in texts]
     return spark.createDataFrame(rows, DOCS)
 
 

@@ -40,6 +40,7 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd, none, name):
         assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         rows = out.collect()
         assert len(rows) <= docs.count()
+        assert all((r._rule_kept, r._masked, r.kept, r.fp, r.n_words) == (7, "m", "clash", "f", -1) for r in rows)
 
 
 def test_near_duplicates_keep_one_of_each_group(spark, odd):

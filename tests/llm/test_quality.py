@@ -30,6 +30,8 @@ def test_measures_equal_brute_force(odd, sample, spark):
 def test_all_columns_pass_and_clashing_names_do_not_matter(odd):
     led = quality.ledger(odd, prefix="__")
     assert led.columns[: len(odd.columns)] == odd.columns and led.count() == odd.count()
+    plain = quality.apply_policy(quality.ledger(odd))  # columns of the same name are replaced
+    assert plain.columns.count("n_words") == 1 and plain.where("n_words = -1").count() == 0 and plain.count() == odd.count()
 
 
 def test_policies_and_ablations(spark):

@@ -56,9 +56,11 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array]]
     """`keep` columns of df (all by default) and `fields`, which fn computes from slices of texts.
 
     fn gets a large_string array without nulls and returns one array a field, in the order of `fields`.
-    Rows keep their other columns, so nothing has to be joined back.
+    Rows keep their other columns, so nothing has to be joined back. A column that has the name of a new one, case
+    aside, is replaced by it.
     """
-    names = df.columns if keep is None else keep
+    new = {n.lower() for n, _ in fields}
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([source.schema[i] for i in range(len(names))] + [T.StructField(n, t) for n, t in fields])
     width = len(names)
@@ -73,6 +75,14 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array]]
     return source.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or any(t.startswith(name.lower()) for t in taken):
+        name = "_" + name
+    return name
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
