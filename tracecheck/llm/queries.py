@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterable, Iterator
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, idfile, pii, quality, simhash, suffix, toxicity
 from .kit import documents
