@@ -2,8 +2,8 @@
 
 import pytest
 
-from tracecheck.functions import blocks, context, mutate, scan
-from tracecheck.sources import designs
+from tracecheck.functions import blocks, canonical, context, jobs, mutate, prompts, scan, udtf
+from tracecheck.sources import designs, generation, logs
 
 MODULE = """module m #(parameter W = 4) (
   input clk, input rst_n, input [W-1:0] a, b,
@@ -136,5 +136,74 @@ def test_design_tree(spark, tmp_path):
         "bad": ("designs/other/bad", "bad", "unknown", 0, "no HDL"),
         "many": ("designs/other/many", "many", "unknown", 0, "multiple HDL files"),
     }
+    f = designs.files(spark, f"file://{tmp_path}")
+    assert designs.load_mutants(designs.mutants(f), 1).select("mutant_id").collect()[0][0] == "M_0"
+    assert designs.golden_blocks(f).count() == 0
+    lines = [r.line for r in designs.index(designs.discover(spark, f"file://{tmp_path}")).orderBy("ord").collect()]
+    assert lines[0] == '{"designs":5,"open_ok":1,"with_mutants":1}' and len(lines) == 6
     m = {r.mutant_id: (r.operator, r.text) for r in designs.mutants(designs.files(spark, f"file://{tmp_path}")).collect()}
     assert m == {"M_0": ("LOR(Plus->Minus)", "m0"), "M_1": ("shipped", "m1")}
+
+
+def test_jobs():
+    assert jobs.parse_parameters(["A=1", "B=8'hFF", 'C="x"', "D=-1.5"]) == {"A": "1", "B": "8'hFF", "C": '"x"', "D": "-1.5"}
+    for bad in (["A"], ["1A=2"], ["A=x y"], ["A=1", "A=2"]):
+        with pytest.raises(ValueError):
+            jobs.parse_parameters(bad)
+    one = jobs.Job("m", ("m.sv",), parameters=(("W", "4"),)).render()
+    assert one.splitlines()[:3] == ["[options]", "mode bmc", "depth 20"] and "chparam -set W 4 m\nprep -top m" in one and "[tasks]" not in one
+    two = jobs.Job("m", ("m.sv",), (jobs.Task("a"), jobs.Task("b", "live", timeout=9)), multiclock=True)
+    assert "[tasks]\na\nb\n" in two.render() and "b: timeout 9" in two.render() and "b: depth" not in two.render()
+    assert (two.folder("x", two.tasks[1]), jobs.Job("m", ("f",)).folder("x", jobs.Task("a"))) == ("x_b", "x")
+    for bad in ({"top": "1m"}, {"files": ()}, {"files": ("a/b",)}, {"tasks": ()}, {"tasks": (jobs.Task("a"), jobs.Task("a"))}):
+        with pytest.raises(ValueError):
+            jobs.Job(**{"top": "m", "files": ("f",), **bad})
+    with pytest.raises(ValueError):
+        jobs.Task("x", depth=0)
+
+
+def test_canonical_blocks():
+    block = "// long thoughts\n// more thoughts\nproperty p; a |-> b; endproperty // trailing\n\n// loose\n\n/* gone */\nx: assert property (p);\n"
+    clean, same = canonical.canonical_or_raw(block)
+    assert same and "more thoughts" not in clean and "gone" not in clean and "trailing" not in clean and "// long thoughts\nproperty p" in clean
+    assert canonical.labels(clean) == ["x"]
+    assert canonical.unwrap_answer("```\nx: assert property (a |-> b);\n```").startswith("`ifdef FORMAL") or canonical.labels("```\nx: assert property (a |-> b);\n```")
+    assert canonical.unwrap_answer("nothing") == "nothing"
+
+
+def test_prompts():
+    c = context.extract(MODULE, "m")
+    assert "clock: clk" in prompts.describe(c) and "disable iff (!rst_n)" in prompts.describe(c)
+    assert prompts.after_survivors(1, 8, [str(i) for i in range(9)]).count("---") == prompts.MOST_SURVIVORS - 1
+    assert "No mutant" in prompts.after_survivors(0, 0, []) and "a_x" in prompts.after_failure("b", ["a_x"], "r")
+    assert blocks.has_assert(prompts.smoke_block(c)) and "//" not in prompts.short_answer("// c\nx: assert property (a);")
+    for text in (prompts.system(), prompts.first("m", "s", MODULE, c), prompts.after_no_block(), prompts.only_covers("b"), prompts.after_vacuity("b", ["v"]), prompts.after_skips([("x", "why")])):
+        assert text.strip()
+
+
+def test_table_functions(spark):
+    udtf.register(spark)
+    spark.createDataFrame([(MODULE,), (None,)], "code string").createOrReplaceTempView("texts")
+    assert spark.sql("SELECT m.name FROM texts, LATERAL mutants(code, 5) AS m").count() == 5
+    rows = spark.sql("SELECT * FROM declarations('property p; a; endproperty x: assert property (p);')").collect()
+    assert [(r.kind, r.name, r.ref) for r in rows] == [("property", "p", None), ("assert", "x", "p")]
+
+
+def test_generation(spark):
+    def send(request):
+        if "bad" in request["prompt"] or (request["max_tokens"] > 300 and "long" in request["prompt"]) or (request.get("grammar") and "plain" in request["prompt"]):
+            raise OSError("refused")
+        return f"{request['prompt']}-{request['seed']}-{request['max_tokens']}"
+
+    jobs_ = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "long"), (4, "plain")], "job int, prompt string")
+    answers = generation.samples(jobs_, send, 2, 512)
+    got = {(r.job, r.sample): r.answer for r in answers.collect()}
+    assert got == {(1, 0): "ok-0-512", (1, 1): "ok-1-512", (2, 0): None, (2, 1): None, (3, 0): "long-0-256", (3, 1): "long-1-256", (4, 0): "plain-0-256", (4, 1): "plain-1-256"}
+    assert [r.job for r in generation.failed_jobs(answers).collect()] == [2]
+
+
+def test_requests(spark):
+    body = logs.messages_request([{"role": "user", "content": "x"}], "m", 5, 0.2)
+    assert body["max_tokens"] == 5 and body["messages"][0]["content"] == "x"
+    df = spark.createDataFrame([('{"choices": [{"message": {"content": "hi"}}]}',), ("{}",)], "r string")
+    assert [r[0] for r in df.select(logs.reply_content("r")).collect()] == ["hi", None]

@@ -93,3 +93,8 @@ def test_counterexample_window(spark):
     got = [(r.t, r.c) for r in trace.counterexample(rows, fails, ["t"], "c").orderBy("t", "c").collect()]
     assert got == [("a", c) for c in range(2, 7)] + [("b", 0), ("b", 1)]
     assert {r.t: r.changed for r in trace.changed_at(rows, fails, ["t"], "c", ["v"]).collect()} == {"a": ["v"], "b": []}
+
+
+def test_render(spark):
+    df = spark.createDataFrame([("q", ["0x1", "0x2"], True)], "n string, v array<string>, c boolean")
+    assert df.select(trace.render(F.col("v"), F.col("n"), F.col("c"), 4).alias("x")).first().x == "q" + " " * 19 + " |  0x1  0x2 *"

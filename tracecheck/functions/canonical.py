@@ -1,0 +1,54 @@
+"""Proven blocks without a model's reasoning in their comments."""
+
+from __future__ import annotations
+
+import re
+
+from tracecheck.plans.properties import parse_block
+
+from . import blocks, scan
+
+#: Characters that a comment which is kept has at most.
+LONGEST = 140
+_HEADED = re.compile(r"\s*(?:property\b|sequence\b|[A-Za-z_]\w*\s*:\s*(?:assert|cover|assume)\b)")
+
+
+def canonical(block: str) -> str:
+    """Of comments only the first line of a short run right above a declaration stays."""
+    text = blocks.unwrap(blocks.strip_truncated(block))
+    clear = scan.blank_comments(text).splitlines()
+    kept: list[str] = []
+    run: list[str] = []
+    for line, code in zip(text.splitlines(), clear, strict=True):
+        if line.lstrip().startswith("//"):
+            run.append(line.rstrip())
+            continue
+        if not code.strip():
+            if not run:
+                kept.append("")
+            continue
+        if run and _HEADED.match(code) and len(run[0]) <= LONGEST:
+            kept.append(run[0])
+        run = []
+        kept.append(code.rstrip())
+    return blocks.wrap(re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip())
+
+
+def labels(block: str) -> list[str]:
+    return [c.label for c in parse_block(blocks.unwrap(block), auto_cover=False).checks]
+
+
+def canonical_or_raw(block: str) -> tuple[str, bool]:
+    """The canonical text if it gives the same checks, else the text itself."""
+    clean = canonical(block)
+    return (clean, True) if labels(clean) == labels(block) else (block, False)
+
+
+def unwrap_answer(answer: str) -> str:
+    """The answer if it gives checks as it is, else the block in it, else the answer."""
+    if labels(answer):
+        return answer
+    try:
+        return blocks.extract(answer)
+    except blocks.NoBlock:
+        return answer

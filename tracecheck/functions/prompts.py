@@ -1,0 +1,73 @@
+"""Texts for asking a model for property blocks, and for asking again after a result. The wording is our own."""
+
+from __future__ import annotations
+
+from . import blocks, scan
+from .context import Context
+
+#: Survivors that a request shows at most.
+MOST_SURVIVORS = 6
+
+
+def describe(c: Context) -> str:
+    """A module's ports and names as lines."""
+    ports = [f"  {d} {w} {n}" for n, d, w in c.ports]
+    inner = [f"  {w} {n}" for n, w in c.internals]
+    parts = [f"module {c.top}", "ports:", *ports]
+    if inner:
+        parts += ["inside:", *inner]
+    if c.constants:
+        parts.append("constants: " + ", ".join(c.constants))
+    if c.clock:
+        parts.append(f"clock: {c.clock}")
+    if c.reset:
+        parts.append(f"reset: {c.reset}, {c.disable_clause()}")
+    return "\n".join(parts)
+
+
+def system() -> str:
+    return "Write concurrent assertions for the module that is given. Answer with one `ifdef FORMAL block and nothing else."
+
+
+def first(module: str, spec: str, text: str, c: Context) -> str:
+    return f"Module {module}.\n\nWhat it should do:\n{spec}\n\nIts text:\n{text}\n\n{describe(c)}\n"
+
+
+def after_failure(block: str, failed: list[str], report: str) -> str:
+    return f"These were violated: {', '.join(failed) or 'unknown'}.\n{report}\n\nCorrect them; the block was:\n{block}"
+
+
+def after_no_block() -> str:
+    return "There was no block in the answer. Give one `ifdef FORMAL block with labelled statements."
+
+
+def only_covers(block: str) -> str:
+    return f"The block has covers but no assertion:\n{block}\nAdd assertions about the module's behaviour."
+
+
+def after_vacuity(block: str, labels: list[str]) -> str:
+    return f"These can never be triggered: {', '.join(labels)}. Change what comes before their implication.\n{block}"
+
+
+def after_skips(skipped: list[tuple[str, str]]) -> str:
+    return "These were not checked:\n" + "\n".join(f"- {label}: {why}" for label, why in skipped)
+
+
+def after_survivors(killed: int, valid: int, hunks: list[str]) -> str:
+    """What the block doesn't notice; with no valid mutant, that nothing could be scored."""
+    if not valid:
+        return "No mutant could be scored; make the assertions easier to check."
+    shown = "\n---\n".join(h for h in hunks[:MOST_SURVIVORS] if h)
+    return f"{killed} of {valid} faults are noticed. These are not:\n{shown}\nAdd assertions that fail for them."
+
+
+def smoke_block(c: Context) -> str:
+    """A block that holds wherever the tools work."""
+    name = next(iter(c.interesting()), c.clock or "clk")
+    return blocks.wrap(f"a_smoke: assert property (@(posedge {c.clock or 'clk'}) {name} == {name});")
+
+
+def short_answer(block: str) -> str:
+    """An earlier answer as history: without comments and empty lines."""
+    lines = (x.rstrip() for x in scan.strip_comments(blocks.unwrap(block)).splitlines())
+    return blocks.wrap("\n".join(x for x in lines if x))

@@ -1,0 +1,29 @@
+"""Table functions for SQL: SELECT ... FROM t, LATERAL mutants(t.code, 8)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+from . import blocks, mutate
+
+
+@udtf(returnType="name string, operator string, description string, code string")
+class Mutants:
+    def eval(self, code: str, most: int) -> Iterator[tuple[str, str, str, str]]:
+        for m in mutate.mutants(code or "", most if most is not None else 8):
+            yield m.name, m.operator, m.description, m.text
+
+
+@udtf(returnType="kind string, name string, ref string, complete boolean")
+class Declarations:
+    def eval(self, block: str) -> Iterator[tuple[str, str, str | None, bool]]:
+        for i in blocks.items(blocks.unwrap(block or "")):
+            yield i.kind, i.name, i.ref, i.end >= 0
+
+
+def register(spark: SparkSession) -> None:
+    spark.udtf.register("mutants", Mutants)
+    spark.udtf.register("declarations", Declarations)

@@ -127,6 +127,17 @@ def suite(rows: DataFrame, plan: Plan, trace: list[str], order: list[str], split
     )
 
 
+def reset_held(rows: DataFrame, trace: list[str], order: list[str], active: str, cycles: int) -> DataFrame:
+    """Rows of the traces whose first `cycles` rows all have the reset active (an SQL condition).
+
+    Checks that assume a reset are made on these, with min_depth=cycles; other traces tell nothing about them.
+    """
+    w = Window.partitionBy(*trace).orderBy(*order)
+    marked = rows.withColumn(CYCLE, F.row_number().over(w) - 1)
+    broken = F.max(((F.col(CYCLE) < cycles) & ~F.coalesce(F.expr(active), F.lit(False))).cast("int")).over(Window.partitionBy(*trace))
+    return marked.withColumn("__broken", broken).where("__broken = 0").drop(CYCLE, "__broken")
+
+
 def check_labels(plan: Plan) -> list[tuple[str, str, str, int]]:
     """(label, base label, kind, depth) of each check, for a table beside the verdicts."""
     return [(c.label, c.base, c.kind, c.depth) for c in plan.checks]

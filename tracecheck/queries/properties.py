@@ -63,6 +63,12 @@ def prop_suite_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.suite(events(spark, sf_dir), parse_block(SUITE, auto_cover=False), BY, ORDER)
 
 
+def prop_reset_assumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces that start without an error in their first two rows, checked from the third row on."""
+    rows = monitor.reset_held(events(spark, sf_dir), BY, ORDER, "NOT err", 2)
+    return monitor.verdicts(rows, parse_block(BLOCKS["prop_nonoverlap"], min_depth=2, auto_cover=False), BY, ORDER)
+
+
 def prop_split_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as one trace a month's parity, checked in chunks: traces that one task shouldn't take."""
     rows = events(spark, sf_dir).withColumn("half", F.month("ts") % 2)
@@ -148,7 +154,7 @@ def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: _checked(n) for n in BLOCKS} | {
-    f.__name__: f for f in (prop_suite_verdicts, prop_split_traces, prop_violations, prop_first_fail, cex_window, changed_at_failure, step_by_change, step_by_edge, dense_forward_fill, skipped_items, stream_violations)
+    f.__name__: f for f in (prop_suite_verdicts, prop_reset_assumed, prop_split_traces, prop_violations, prop_first_fail, cex_window, changed_at_failure, step_by_change, step_by_edge, dense_forward_fill, skipped_items, stream_violations)
 }
 
 # --- SQL: looks forward from each antecedent with joins, where the plan looks back with lags ---
@@ -210,6 +216,10 @@ ORACLES = {
       min(first_hit) FILTER (verdict = 'VIOLATED') AS first_violation,
       CASE WHEN bool_or(verdict = 'VIOLATED') THEN 'VIOLATED' WHEN bool_or(verdict = 'UNCHECKED') THEN 'UNCHECKED' WHEN bool_or(verdict = 'VACUOUS') THEN 'VACUOUS' ELSE 'HOLDS' END AS verdict
       FROM ({_SUITE_SQL}) GROUP BY user_id""",
+    "prop_reset_assumed": _verdicts(("a_n", "assert", 2, _delayed(1, "NOT b.buy", "AND b.c >= 2"))).replace(
+        "n AS (SELECT user_id, count(*) AS n_rows FROM t GROUP BY user_id)",
+        "n AS (SELECT user_id, count(*) AS n_rows FROM t GROUP BY user_id HAVING NOT bool_or(err AND c < 2))",
+    ),
     "prop_split_traces": _verdicts(
         ("a_l", "assert", 7, """SELECT a.user_id, d.c, NOT EXISTS (SELECT 1 FROM t x WHERE x.user_id = a.user_id AND x.buy AND x.c BETWEEN a.c + 2 AND a.c + 7) AS bad
           FROM t a JOIN t b ON b.user_id = a.user_id AND b.c = a.c + 1 JOIN t d ON d.user_id = a.user_id AND d.c = a.c + 7 WHERE a.vw AND b.clk"""),

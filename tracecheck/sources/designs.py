@@ -6,7 +6,7 @@ counts as empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,3 +94,21 @@ def mutants(f: DataFrame) -> DataFrame:
         F.when(F.coalesce("log", F.lit("")) == "", F.concat(F.lit("shipped mutant "), "mutant_id")).otherwise(F.col("log")).alias("description"),
         "text",
     )
+
+
+def load_mutants(found: DataFrame, most: int = 20) -> DataFrame:
+    """At most `most` mutants of each design, by id."""
+    place = F.row_number().over(Window.partitionBy("category", "design").orderBy("mutant_id"))
+    return found.withColumn("__place", place).where(F.col("__place") <= max(0, most)).drop("__place")
+
+
+def golden_blocks(f: DataFrame) -> DataFrame:
+    """(category, design) of folders that hold a file named like them."""
+    return f.where((F.size("rest") == 1) & (F.col("name") == F.concat("design", F.lit(".sv")))).select("category", "design").distinct()
+
+
+def index(designs: DataFrame) -> DataFrame:
+    """A JSON line for the totals, and one for each design: (ord, line)."""
+    totals = catalog.totals(designs).select(F.lit(0).alias("ord"), F.to_json(F.struct("designs", "open_ok", "with_mutants")).alias("line"))
+    each = designs.select(F.lit(1).alias("ord"), F.to_json(F.struct(*designs.columns), {"ignoreNullFields": "false"}).alias("line"))
+    return totals.unionAll(each)
