@@ -85,3 +85,48 @@ def test_radius_by_quarter_counts_loses_nothing():
         ca, cb = (simhash.quarter_counts(np.array([v], np.uint64))[0] for v in (a, b))
         d = tuple((int(cb) >> 8 * i & 255) - (int(ca) >> 8 * i & 255) for i in range(4))
         assert d in steps or tuple(-x for x in d) in steps
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(a & b) / max(1, len(a | b))
+
+
+def copies(seed, groups, most):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(2000)]
+    docs = []
+    for _ in range(groups):
+        base = [r.choice(words) for _ in range(r.randint(60, 300))]
+        for _ in range(r.randint(1, most)):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice(words)
+            docs.append((len(docs), " ".join(w)))
+    return docs
+
+
+def test_similar_texts_are_linked(spark, monkeypatch):
+    docs = copies(5, 40, 5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {i: i for i, _ in docs}
+    for i, t in docs:
+        for j, u in docs[:i]:
+            if jaccard(t, u) >= 0.8:
+                a, b = sorted((want[i], want[j]))
+                want = {k: (a if v == b else v) for k, v in want.items()}
+    plain = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    for tile, sent in ((2048, 100_000), (2, 0)):  # also with many tiles a key, and texts joined by a shuffle
+        monkeypatch.setattr(simhash, "TILE", tile)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, similar=simhash.Similar(sent=sent)).collect()}
+        assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+        assert all(got[i] <= plain[i] for i in got)
+        by = defaultdict(list)
+        for i, c in got.items():
+            by[c].append(i)
+        assert all(max(jaccard(docs[i][1], docs[k][1]) for k in g if k != i) >= 0.8 or len({plain[k] for k in g}) == 1 for g in by.values() if len(g) > 1 for i in g)
+
+
+def test_similar_with_odd_rows(odd, none):
+    rows = simhash.near_duplicates(odd, similar=simhash.Similar()).collect()
+    assert len(rows) == odd.count() and simhash.near_duplicates(none, similar=simhash.Similar()).count() == 0

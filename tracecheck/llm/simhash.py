@@ -7,6 +7,11 @@ without loss; the rest is compared exactly with numpy exclusive-or and bit count
 spanning forest of its links, never all linked pairs. Components are then found by alternating star
 contractions over checkpointed tables.
 
+Beyond the fingerprints' links, `near_duplicates` can also link texts of a given similarity (`Similar`), for which
+fingerprints may differ in more bits. Texts that share one of their smallest shingle hashes meet in a tile; pairs
+within a wider radius and of like length are candidates, of which each tile keeps the closest that connect it; the
+exact share of common shingles then decides.
+
 Defined results: a null or empty text, or one without a word, has fingerprint zero and links like any other.
 Repeated rows each get a row. A null id takes part in no component of others' ids: it gets a null component
 unless its fingerprint also belongs to a document with an id. Other columns of the input don't take part.
@@ -15,6 +20,7 @@ unless its fingerprint also belongs to a document with an id. Other columns of t
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -30,6 +36,8 @@ from .kit import map_texts, text_buffers
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a tile at most.
 TILE = 2048
+#: Candidates of a text within a tile, besides those that connect it.
+NEAREST = 12
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
@@ -105,10 +113,14 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarr
         yield np.array(keep_i, np.int64), np.array(keep_j, np.int64)
 
 
-def tiles(nodes: DataFrame) -> DataFrame:
-    """Packs (fp, node) rows into tiles: cell (packed quarter counts), a tile's number, and its rows as bytes."""
+def by_counts(nodes: DataFrame) -> DataFrame:
+    """nodes (fp, node) with their cell: the packed quarter counts."""
+    return nodes.mapInPandas(lambda it: (p.assign(cell=quarter_counts(p["fp"].to_numpy(np.int64).view(np.uint64))) for p in it), "fp long, node long, cell long")
+
+
+def tiles(cells: DataFrame) -> DataFrame:
+    """Packs (cell, fp, node) rows into tiles: their cell, a number, and their rows as bytes."""
     schema = "cell long, part int, fps binary, ids binary"
-    cells = nodes.mapInPandas(lambda it: (p.assign(cell=quarter_counts(p["fp"].to_numpy(np.int64).view(np.uint64))) for p in it), "fp long, node long, cell long")
     # The number of tiles a cell is split into follows its count, which is known before rows move.
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
     parts = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / (TILE / 2))).cast("int"))
@@ -125,7 +137,7 @@ def tiles(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) node pairs that connect all fingerprints of `nodes` (fp, node: both distinct) within the radius."""
-    packed = checkpoint(tiles(nodes))
+    packed = checkpoint(tiles(by_counts(nodes)))
     steps = neighbour_steps(radius)
     moves = F.array(*[F.lit(sum(x << (8 * i) for i, x in enumerate(s))).cast("long") for s in steps])
     left = packed.select(F.explode(F.transform(moves, lambda m: m + F.col("cell"))).alias("to"), F.col("cell").alias("ca"), F.col("part").alias("pa"), F.col("fps").alias("fa"), F.col("ids").alias("ia"))
@@ -174,14 +186,161 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
+@dataclass(frozen=True)
+class Similar:
+    """Texts count as near duplicates from this share of common shingles (of `size` words) on."""
+
+    size: int = 5
+    share: float = 0.8
+    #: Smallest shingle hashes of a text, of which two texts have to share one. At a share of 0.8, one in 10 ** 6 pairs does not.
+    sketch: int = 8
+    #: Bits that fingerprints of such texts may differ in.
+    radius: int = 16
+    #: Candidates that are sent to the texts' scan; where there are more, texts are joined to them by a shuffle.
+    sent: int = 100_000
+
+
+def _sketched(named: DataFrame, size: int, similar: Similar) -> DataFrame:
+    """(doc_id, fp, n, sketch): n distinct shingles, and the smallest of their hashes."""
+
+    def each(texts: pa.Array) -> list[pa.Array]:
+        offsets, raw = text_buffers(texts)
+        fps, counts, smallest = [], [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            text = bytes(raw[a:b])
+            fps.append(fingerprint(shingle_hashes(text, size)))
+            own = np.unique(shingle_hashes(text, similar.size))
+            counts.append(len(own))
+            smallest.append(own[: similar.sketch].view(np.int64))
+        flat = np.concatenate([np.zeros(0, np.int64), *smallest])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in smallest])])
+        return [_signed(fps), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+
+    return map_texts(named, "text", each, [("fp", T.LongType()), ("n", T.LongType()), ("sketch", T.ArrayType(T.LongType()))], ["doc_id"])
+
+
+def closest(fps: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray, similar: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius and of like length: of these each text's NEAREST, and the closest that connect all."""
+    i, j, d = [], [], []
+    step = max(1, (1 << 20) // max(1, len(other)))
+    for at in range(0, len(fps), step):
+        bits = np.bitwise_count(fps[at : at + step, None] ^ other[None, :])
+        low, high = np.minimum(sizes[at : at + step, None], other_sizes[None, :]), np.maximum(sizes[at : at + step, None], other_sizes[None, :])
+        x, y = np.nonzero((bits <= similar.radius) & (bits > 0) & (low >= similar.share * high))
+        i.append(x + at)
+        j.append(y)
+        d.append(bits[x, y])
+    i, j, d = (np.concatenate(x) for x in (i, j, d))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    keep = []
+    left, right = fps.view(np.int64).tolist(), other.view(np.int64).tolist()
+    partners: dict[int, int] = {}
+    for k in np.argsort(d, kind="stable").tolist():
+        x, y = left[i[k]], right[j[k]]
+        a, b = root(x), root(y)
+        if a != b:
+            parent[a] = b
+        elif partners.get(x, 0) >= NEAREST and partners.get(y, 0) >= NEAREST:
+            continue
+        partners[x], partners[y] = partners.get(x, 0) + 1, partners.get(y, 0) + 1
+        keep.append(k)
+    return i[keep], j[keep]
+
+
+def similar_links(named: DataFrame, nodes: DataFrame, similar: Similar) -> DataFrame:
+    """(a, b) node pairs whose texts have at least the given share of shingles in common. nodes: fp, node, n, sketch."""
+    keyed = nodes.select(F.explode("sketch").alias("cell"), "fp", "node", "n")
+    sizes = keyed.groupBy("cell").agg(F.count("*").alias("__n")).where("__n > 1")
+    met = checkpoint(keyed.join(sizes, "cell"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bounds = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+            found = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                fps, n = np.ascontiguousarray(rows[a:b, 1]).view(np.uint64), rows[a:b, 3]
+                i, j = closest(fps, n, fps, n, similar)
+                found.append(np.stack([rows[a:b, 2][i], rows[a:b, 2][j]], axis=1))
+            every = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(every.min(axis=1)), pa.array(every.max(axis=1))], names=["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
+            if not len(rows):
+                continue
+            held.append(rows)
+            last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+            if len(last):
+                cut = int(last[-1]) + 1
+                yield from pairs(np.concatenate([*held[:-1], rows[:cut]]))
+                held = [rows[cut:]]
+        if held:
+            yield from pairs(np.concatenate(held))
+
+    few = met.where(F.col("__n") <= TILE).select("cell", "fp", "node", "n").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    packed = checkpoint(tiles_with_sizes(met.where(F.col("__n") > TILE).drop("__n")))
+
+    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = (np.frombuffer(v.as_py(), np.int64).reshape(3, -1) for v in (x, y))
+                i, j = closest(a[0].view(np.uint64), a[2], b[0].view(np.uint64), b[2], similar)
+                ends = np.stack([a[1][i], b[1][j]], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
+
+    other = packed.select("cell", F.col("part").alias("p2"), F.col("rows").alias("r2"))
+    many = packed.join(other, "cell").where("part <= p2").select("rows", "r2").mapInArrow(across, "a long, b long")
+    edges = checkpoint(few.unionAll(many).distinct())
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
+    if edges.count() <= similar.sent:
+        wanted = F.broadcast(wanted)
+    # A row for each id is enough: rows of one id and fingerprint are alike.
+    texts = named.join(wanted, F.col("doc_id") == F.col("__node"), "left_semi").dropDuplicates(["doc_id"])
+
+    def shingles(texts_: pa.Array) -> list[pa.Array]:
+        own = [np.unique(shingle_hashes(t.encode(), similar.size)).view(np.int64) for t in texts_.to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))]
+
+    sets = map_texts(texts, "text", shingles, [("s", T.ArrayType(T.LongType()))], ["doc_id"])
+    both = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similar.share * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def tiles_with_sizes(cells: DataFrame) -> DataFrame:
+    """Tiles of (cell, fp, node, n) rows: cell, part, rows (fps, nodes and ns, one after the other)."""
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("__k"))
+    parts = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("__k") / (TILE / 2))).cast("int"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([pdf[c].to_numpy(np.int64) for c in ("fp", "node", "n")])
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "rows": [rows.tobytes()]})
+
+    return parts.select("cell", "part", "fp", "node", "n").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, rows binary")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, similar: Similar | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs; with `similar`, texts of that similarity are linked too."""
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    fps = checkpoint(fingerprints(named, "text", keep=["doc_id"], size=size))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
-    roots = components(links(nodes, radius))
+    fps = checkpoint(fingerprints(named, "text", keep=["doc_id"], size=size) if similar is None else _sketched(named, size, similar))
+    if similar is None:
+        nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
+        edges = links(nodes, radius)
+    else:
+        nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("n", "doc_id").alias("n"), F.min_by("sketch", "doc_id").alias("sketch"))
+        edges = links(nodes.select("fp", "node"), radius).unionAll(similar_links(named, nodes, similar))
+    roots = components(edges)
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(column: str) -> Column:
