@@ -79,8 +79,10 @@ def test_modules():
 def test_context():
     c = context.extract(MODULE, "m")
     assert [p[0] for p in c.ports] == ["clk", "rst_n", "a", "b", "q"] and [i[0] for i in c.internals] == ["state", "go", "stop"]
-    assert (c.clock, c.reset, c.active_low) == ("clk", "rst_n", True) and c.constants == ["W", "S0"]
+    assert (c.clock, c.reset, c.active_low) == ("clk", "rst_n", True) and c.constants == ["S0"]
     assert c.disable_clause() == "disable iff (!rst_n)"
+    assert context.Context("m", reset="sys_resetn").disable_clause() == "disable iff (!sys_resetn)" and context.Context("m", reset="arst").disable_clause() == "disable iff (arst)"
+    assert [context.pick_clock([n], []) for n in ("sys_clk", "pclk", "i_clock", "clk_in", "click")] == ["sys_clk", "pclk", "i_clock", "clk_in", None]
     assert context.cone(c, "a: assert property (go |-> q != a);")[0] == ["a", "q", "go"]
     assert context.cone(context.Context("x"), "z")[1] == 1.0
     assert context.dual_edge_clocks("always @(posedge c) x; always @(negedge c) y;", "posedge d // negedge d") == ["c"]
@@ -121,7 +123,7 @@ def test_design_tree(spark, tmp_path):
     put("LIB/box one/mutations/mutants/M_0/box.sv", "m0")
     put("LIB/box one/mutations/mutants/M_1/other.v", "m1")
     put("LIB/box one/mutations/mutants/M_2/readme.txt", "")
-    put("LIB/box one/mutations/mutation_summary.json", '{"mutants": [{"mutant_id": "M_0", "log": "did LOR(Plus->Minus) here"}]}')
+    put("LIB/box one/mutations/mutation_summary.json", '{"mutants": [{"mutant_id": "M_0", "log": "Mutation applied. LOR(Plus->Minus) at 3"}]}')
     put("LIB/vh/a.vhd", "entity")
     put("OTHER/two/a.v", "module q; always @(posedge c) x; always @(negedge c) y; endmodule")
     put("OTHER/two/spec.md", "s")

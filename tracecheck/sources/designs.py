@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from tracecheck.functions import blocks, context
 from tracecheck.operators import catalog
 
-VERILOG = ("v", "sv", "vh", "svh")
+# Extensions of sources, and how a log names a mutant's operator.
+VERILOG = ("v", "sv")
 VHDL = ("vhd", "vhdl")
+_OPERATOR = r"applied\.\s+([A-Za-z0-9_()><-]+)"
 SUMMARY = "struct<mutants: array<struct<mutant_id: string, log: string>>>"
 
 
@@ -85,7 +87,7 @@ def mutants(f: DataFrame) -> DataFrame:
     listed = side.select("category", "design", F.explode(F.from_json("text", SUMMARY)["mutants"]).alias("m")).select("category", "design", F.btrim("m.mutant_id").alias("mutant_id"), F.btrim(F.coalesce("m.log", F.lit(""))).alias("log"))
     said = listed.where("mutant_id <> ''").groupBy("category", "design", "mutant_id").agg(F.max("log").alias("log"))
     both = picked.join(said, ["category", "design", "mutant_id"], "left")
-    operator = F.regexp_extract(F.coalesce("log", F.lit("")), r"([A-Z]{2,5}\([^)]*\))", 1)
+    operator = F.regexp_extract(F.coalesce("log", F.lit("")), _OPERATOR, 1)
     return both.select(
         "category",
         "design",
