@@ -49,7 +49,9 @@ def test_parse(spark):
     assert names == [("clk", 1, ["top"]), ("n", 4, ["top"]), ("tick", 1, ["top"]), ("any", 1, ["top", "_witness_"]), ("go_EN", 1, ["top"]), ("smt_step", 32, [])]
     assert [(r.ti, r.t) for r in t["times"].orderBy("ti").collect()] == [(0, 0), (1, 5), (2, 10), (3, 10)]
     assert [r.name for r in trace.visible(t["signals"], "top").orderBy("ord").collect()] == ["clk", "n"]
-    assert [r.name for r in trace.visible(t["signals"], "top", only=["go_EN"]).collect()] == ["go_EN"]
+    assert [r.name for r in trace.visible(t["signals"], "top", only=["top.go_EN"]).collect()] == ["go_EN"]
+    assert [r.name for r in trace.visible(t["signals"], "top", include_internal=True).orderBy("ord").collect()] == ["clk", "n", "any", "go_EN"]
+    assert trace.visible(t["signals"], "other").count() == 0 and trace.visible(t["signals"]).count() == 2
 
 
 @pytest.mark.parametrize("bad", ["no end", "$scope module $end $enddefinitions $end", "$var wire x ! a $end $enddefinitions $end"])

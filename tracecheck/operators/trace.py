@@ -72,16 +72,23 @@ def steps(samples: DataFrame, signals: DataFrame, clock: str | None = None) -> D
     return all_ways.withColumn("__best", best).where("how = __best").select("trace_id", "ti", "step")
 
 
-def visible(signals: DataFrame, top: str, include_internal: bool = False, only: list[str] | None = None) -> DataFrame:
-    """The signals that a report shows."""
-    full = F.concat_ws(".", F.concat("scope", F.array("name")))
-    s = signals.where((F.col("name") != "smt_step") & (F.col("kind") != "event") & ~F.exists("scope", lambda x: x == "_witness_"))
-    if only:
-        return s.where(F.col("name").isin(only) | full.isin(only))
-    s = s.where(~F.col("name").endswith("_EN"))
-    own = (F.size("scope") == 0) | (F.coalesce(F.try_element_at("scope", F.lit(1)) == top, F.lit(False))) if not include_internal else F.lit(True)
-    deep = F.size("scope") <= 1 if not include_internal else F.lit(True)
-    return s.where(own & deep)
+def visible(signals: DataFrame, top: str | None = None, include_internal: bool = False, only: list[str] | None = None) -> DataFrame:
+    """The signals that a report shows: those of the top module or of no scope, in any depth.
+
+    Step marks and events never; solver-made ones (witness scopes, names in _EN) only with include_internal, the
+    latter also if they are asked for by name.
+    """
+    name, full = F.col("name"), F.concat_ws(".", F.concat("scope", F.array("name")))
+    shown = (name != "smt_step") & (F.col("kind") != "event")
+    if not include_internal:
+        shown &= ~F.exists("scope", lambda x: x == "_witness_")
+        if only is None:
+            shown &= ~name.endswith("_EN")
+    if top is not None:
+        shown &= (F.size("scope") == 0) | F.coalesce(F.try_element_at("scope", F.lit(1)) == top, F.lit(False))
+    if only is not None:
+        shown &= name.isin(only) | full.isin(only)
+    return signals.where(shown)
 
 
 def _padded(raw: Column, width: Column) -> Column:
