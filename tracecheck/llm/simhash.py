@@ -9,8 +9,8 @@ contractions over checkpointed tables.
 
 Beyond the fingerprints' links, `near_duplicates` can also link texts of a given similarity (`Similar`), for which
 fingerprints may differ in more bits. Texts that share one of their smallest shingle hashes meet in a tile; pairs
-within a wider radius and of like length are candidates, of which each tile keeps the closest that connect it; the
-exact share of common shingles then decides.
+within a wider radius and of like length are candidates, of which each text keeps its first and its nearest; the exact
+share of common shingles then decides.
 
 Defined results: a null or empty text, or one without a word, has fingerprint zero and links like any other.
 Repeated rows each get a row. A null id takes part in no component of others' ids: it gets a null component
@@ -36,8 +36,8 @@ from .kit import map_texts, text_buffers
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a tile at most.
 TILE = 2048
-#: Candidates of a text within a tile, besides those that connect it.
-NEAREST = 12
+#: Candidates of a text within a tile, besides its first partner.
+NEAREST = 3
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
@@ -220,37 +220,28 @@ def _sketched(named: DataFrame, size: int, similar: Similar) -> DataFrame:
 
 
 def closest(fps: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray, similar: Similar) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius and of like length: of these each text's NEAREST, and the closest that connect all."""
-    i, j, d = [], [], []
+    """Pairs within the radius and of like length: of these each text's first partner, and its NEAREST."""
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b = sizes.astype(np.float32)[:, None], other_sizes.astype(np.float32)[None, :]
+    share = np.float32(similar.share)
     step = max(1, (1 << 20) // max(1, len(other)))
     for at in range(0, len(fps), step):
         bits = np.bitwise_count(fps[at : at + step, None] ^ other[None, :])
-        low, high = np.minimum(sizes[at : at + step, None], other_sizes[None, :]), np.maximum(sizes[at : at + step, None], other_sizes[None, :])
-        x, y = np.nonzero((bits <= similar.radius) & (bits > 0) & (low >= similar.share * high))
-        i.append(x + at)
-        j.append(y)
-        d.append(bits[x, y])
-    i, j, d = (np.concatenate(x) for x in (i, j, d))
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
-
-    keep = []
-    left, right = fps.view(np.int64).tolist(), other.view(np.int64).tolist()
-    partners: dict[int, int] = {}
-    for k in np.argsort(d, kind="stable").tolist():
-        x, y = left[i[k]], right[j[k]]
-        a, b = root(x), root(y)
-        if a != b:
-            parent[a] = b
-        elif partners.get(x, 0) >= NEAREST and partners.get(y, 0) >= NEAREST:
+        good = (bits <= similar.radius) & (bits > 0)
+        good &= a[at : at + step] >= share * b
+        good &= b >= share * a[at : at + step]
+        rows = np.flatnonzero(good.any(axis=1))
+        if not len(rows):
             continue
-        partners[x], partners[y] = partners.get(x, 0) + 1, partners.get(y, 0) + 1
-        keep.append(k)
-    return i[keep], j[keep]
+        good, bits = good[rows], bits[rows]
+        i.append(rows + at)
+        j.append(good.argmax(axis=1))
+        bits[~good] = 255
+        near = np.argpartition(bits, NEAREST - 1, axis=1)[:, :NEAREST] if len(other) > NEAREST else np.broadcast_to(np.arange(len(other)), bits.shape)
+        x, y = np.nonzero(np.take_along_axis(bits, near, axis=1) < 255)
+        i.append(rows[x] + at)
+        j.append(near[x, y])
+    return np.concatenate(i), np.concatenate(j)
 
 
 def similar_links(named: DataFrame, nodes: DataFrame, similar: Similar) -> DataFrame:
