@@ -130,3 +130,29 @@ def test_similar_texts_are_linked(spark, monkeypatch):
 def test_similar_with_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd, similar=simhash.Similar()).collect()
     assert len(rows) == odd.count() and simhash.near_duplicates(none, similar=simhash.Similar()).count() == 0
+
+
+def test_similar_texts_with_far_or_equal_fingerprints(spark):
+    """Repeated sentences and appended words move the fingerprint; texts of one fingerprint may differ."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    docs = []
+    for k in range(30):
+        base, more = [word() for _ in range(200)], [word() for _ in range(10)]
+        base[50:60] = more
+        docs.append((2 * k, " ".join(base)))
+        docs.append((2 * k + 1, " ".join(base + more * 10)))
+    far = 0
+    for k in range(30):
+        a, b = (simhash.fingerprint(simhash.shingle_hashes(docs[2 * k + x][1].encode())) for x in (0, 1))
+        far += bin(a ^ b).count("1") > 16
+        assert jaccard(docs[2 * k][1], docs[2 * k + 1][1]) >= 0.8
+    assert far > 5
+    # One fingerprint (of the repeated words) and different ends; 91 is near 90 only.
+    hot, end = [word() for _ in range(3)] * 200, [word() for _ in range(60)]
+    docs += [(80, " ".join(hot)), (90, " ".join(hot + end)), (91, " ".join(hot[:9] + end))]
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similar=simhash.Similar()).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(30))
+    a, b, c = (simhash.fingerprint(simhash.shingle_hashes(t.encode())) for _, t in docs[-3:])
+    assert a == b != c and bin(a ^ c).count("1") > 2 and jaccard(docs[-2][1], docs[-1][1]) >= 0.8
+    assert got[90] == got[91] == 80

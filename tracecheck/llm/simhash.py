@@ -8,9 +8,9 @@ spanning forest of its links, never all linked pairs. Components are then found
 contractions over checkpointed tables.
 
 Beyond the fingerprints' links, `near_duplicates` can also link texts of a given similarity (`Similar`), for which
-fingerprints may differ in more bits. Texts that share one of their smallest shingle hashes meet in a tile; pairs
-within a wider radius and of like length are candidates, of which each text keeps its first and its nearest; the exact
-share of common shingles then decides.
+fingerprints may differ in any number of bits. Texts that share one of their smallest shingle hashes meet in a tile;
+pairs whose numbers of shingles and parity maps allow the similarity are candidates, of which each text keeps its first
+and its nearest; the exact share of common shingles then decides.
 
 Defined results: a null or empty text, or one without a word, has fingerprint zero and links like any other.
 Repeated rows each get a row. A null id takes part in no component of others' ids: it gets a null component
@@ -194,98 +194,140 @@ class Similar:
     share: float = 0.8
     #: Smallest shingle hashes of a text, of which two texts have to share one. At a share of 0.8, one in 10 ** 6 pairs does not.
     sketch: int = 8
-    #: Bits that fingerprints of such texts may differ in.
-    radius: int = 16
+    #: Bits of a text's parity map. Each bit in which two maps differ is a shingle that only one of the texts has.
+    bits: int = 1024
     #: Candidates that are sent to the texts' scan; where there are more, texts are joined to them by a shuffle.
     sent: int = 100_000
 
 
+def parity(own: np.ndarray, bits: int) -> bytes:
+    """A bit is 1 if an odd number of the distinct hashes fall on it."""
+    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
 def _sketched(named: DataFrame, size: int, similar: Similar) -> DataFrame:
-    """(doc_id, fp, n, sketch): n distinct shingles, and the smallest of their hashes."""
+    """(doc_id, fp, n, digest, sketch, map): n distinct shingles, a digest, the smallest and the parity map of their hashes."""
 
     def each(texts: pa.Array) -> list[pa.Array]:
         offsets, raw = text_buffers(texts)
-        fps, counts, smallest = [], [], []
+        fps, counts, digests, smallest, maps = [], [], [], [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             text = bytes(raw[a:b])
             fps.append(fingerprint(shingle_hashes(text, size)))
             own = np.unique(shingle_hashes(text, similar.size))
             counts.append(len(own))
+            digests.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             smallest.append(own[: similar.sketch].view(np.int64))
+            maps.append(parity(own, similar.bits))
         flat = np.concatenate([np.zeros(0, np.int64), *smallest])
         ends = np.concatenate([[0], np.cumsum([len(x) for x in smallest])])
-        return [_signed(fps), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+        return [_signed(fps), pa.array(counts, pa.int64()), _signed(digests), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(maps, pa.binary())]
+
+    fields = [("fp", T.LongType()), ("n", T.LongType()), ("digest", T.LongType()), ("sketch", T.ArrayType(T.LongType())), ("map", T.BinaryType())]
+    return map_texts(named, "text", each, fields, ["doc_id"])
+
+
+@dataclass(frozen=True)
+class Tile:
+    """Texts of one cell: node, number of shingles and parity map (a row a text)."""
+
+    nodes: np.ndarray
+    n: np.ndarray
+    maps: np.ndarray
+
+    def to_bytes(self) -> bytes:
+        return b"".join([self.nodes.tobytes(), self.n.tobytes(), self.maps.tobytes()])
 
-    return map_texts(named, "text", each, [("fp", T.LongType()), ("n", T.LongType()), ("sketch", T.ArrayType(T.LongType()))], ["doc_id"])
+    @staticmethod
+    def of(raw: bytes, bits: int) -> Tile:
+        rows = np.frombuffer(raw, np.uint64)
+        k = len(rows) // (2 + bits // 64)
+        return Tile(rows[:k].view(np.int64), rows[k : 2 * k].view(np.int64), rows[2 * k :].reshape(k, -1))
 
+    def part(self, a: int, b: int) -> Tile:
+        return Tile(self.nodes[a:b], self.n[a:b], self.maps[a:b])
 
-def closest(fps: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray, similar: Similar) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius and of like length: of these each text's first partner, and its NEAREST."""
+
+def closest(left: Tile, right: Tile, similar: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may be of the similarity: of these each left text's first partner, and its NEAREST.
+
+    Of two texts with a and b shingles, the smaller number has to be a share of the larger one, and at most
+    (1 - share) / (1 + share) * (a + b) shingles are in only one of them; their maps can't differ in more bits.
+    """
     i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    a, b = sizes.astype(np.float32)[:, None], other_sizes.astype(np.float32)[None, :]
-    share = np.float32(similar.share)
-    step = max(1, (1 << 20) // max(1, len(other)))
-    for at in range(0, len(fps), step):
-        bits = np.bitwise_count(fps[at : at + step, None] ^ other[None, :])
-        good = (bits <= similar.radius) & (bits > 0)
-        good &= a[at : at + step] >= share * b
-        good &= b >= share * a[at : at + step]
+    share, slack = similar.share, 1e-6  # a rounding error may not reject a pair
+    apart = (1 - share) / (1 + share)
+    step = max(1, (1 << 20) // max(1, len(right.n)))
+    for at in range(0, len(left.n), step):
+        own = left.part(at, at + step)
+        a, b = own.n.astype(np.float64)[:, None], right.n.astype(np.float64)[None, :]
+        good = (a + slack >= share * b) & (b + slack >= share * a) & (own.nodes[:, None] != right.nodes[None, :])
         rows = np.flatnonzero(good.any(axis=1))
         if not len(rows):
             continue
-        good, bits = good[rows], bits[rows]
+        good = good[rows]
+        bits = np.zeros(good.shape, np.uint16)
+        for w in range(right.maps.shape[1]):
+            bits += np.bitwise_count(own.maps[rows, w][:, None] ^ right.maps[:, w][None, :])
+        good &= bits <= apart * (a[rows] + b) + slack
+        some = good.any(axis=1)
+        rows, good, bits = rows[some], good[some], bits[some]
+        if not len(rows):
+            continue
         i.append(rows + at)
         j.append(good.argmax(axis=1))
-        bits[~good] = 255
-        near = np.argpartition(bits, NEAREST - 1, axis=1)[:, :NEAREST] if len(other) > NEAREST else np.broadcast_to(np.arange(len(other)), bits.shape)
-        x, y = np.nonzero(np.take_along_axis(bits, near, axis=1) < 255)
+        bits[~good] = 0xFFFF
+        near = np.argpartition(bits, NEAREST - 1, axis=1)[:, :NEAREST] if bits.shape[1] > NEAREST else np.broadcast_to(np.arange(bits.shape[1]), bits.shape)
+        x, y = np.nonzero(np.take_along_axis(bits, near, axis=1) < 0xFFFF)
         i.append(rows[x] + at)
         j.append(near[x, y])
     return np.concatenate(i), np.concatenate(j)
 
 
 def similar_links(named: DataFrame, nodes: DataFrame, similar: Similar) -> DataFrame:
-    """(a, b) node pairs whose texts have at least the given share of shingles in common. nodes: fp, node, n, sketch."""
-    keyed = nodes.select(F.explode("sketch").alias("cell"), "fp", "node", "n")
+    """(a, b) node pairs whose texts have at least the given share of shingles in common. nodes: node, n, sketch, map."""
+    keyed = nodes.select(F.explode("sketch").alias("cell"), "node", "n", "map")
     sizes = keyed.groupBy("cell").agg(F.count("*").alias("__n")).where("__n > 1")
     met = checkpoint(keyed.join(sizes, "cell"))
 
+    def ends(a: Tile, b: Tile) -> pa.RecordBatch:
+        i, j = closest(a, b, similar)
+        found = np.stack([a.nodes[i], b.nodes[j]], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            bounds = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
-            found = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                fps, n = np.ascontiguousarray(rows[a:b, 1]).view(np.uint64), rows[a:b, 3]
-                i, j = closest(fps, n, fps, n, similar)
-                found.append(np.stack([rows[a:b, 2][i], rows[a:b, 2][j]], axis=1))
-            every = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(every.min(axis=1)), pa.array(every.max(axis=1))], names=["a", "b"])
+        held: list[pa.RecordBatch] = []
+
+        def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rows)
+            cell, node, n = (table.column(k).to_numpy() for k in range(3))
+            whole = Tile(node, n, np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(len(node), -1))
+            bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
+            found = [ends(t, t) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for t in [whole.part(a, b)]]
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
-            if not len(rows):
+            if not batch.num_rows:
                 continue
-            held.append(rows)
-            last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
-            if len(last):
-                cut = int(last[-1]) + 1
-                yield from pairs(np.concatenate([*held[:-1], rows[:cut]]))
-                held = [rows[cut:]]
+            cell = batch.column(0).to_numpy()
+            last = np.flatnonzero(cell != cell[-1])
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held and (cut or held[-1].column(0)[-1].as_py() != cell[0]):
+                yield from pairs([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield from pairs([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
         if held:
-            yield from pairs(np.concatenate(held))
+            yield from pairs(held)
 
-    few = met.where(F.col("__n") <= TILE).select("cell", "fp", "node", "n").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    few = met.where(F.col("__n") <= TILE).select("cell", "node", "n", "map").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
     packed = checkpoint(tiles_with_sizes(met.where(F.col("__n") > TILE).drop("__n")))
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = (np.frombuffer(v.as_py(), np.int64).reshape(3, -1) for v in (x, y))
-                i, j = closest(a[0].view(np.uint64), a[2], b[0].view(np.uint64), b[2], similar)
-                ends = np.stack([a[1][i], b[1][j]], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
+                yield ends(Tile.of(x.as_py(), similar.bits), Tile.of(y.as_py(), similar.bits))
 
     other = packed.select("cell", F.col("part").alias("p2"), F.col("rows").alias("r2"))
     many = packed.join(other, "cell").where("part <= p2").select("rows", "r2").mapInArrow(across, "a long, b long")
@@ -308,30 +350,36 @@ def similar_links(named: DataFrame, nodes: DataFrame, similar: Similar) -> DataF
 
 
 def tiles_with_sizes(cells: DataFrame) -> DataFrame:
-    """Tiles of (cell, fp, node, n) rows: cell, part, rows (fps, nodes and ns, one after the other)."""
+    """Tiles of (cell, node, n, map) rows: cell, part, rows (a Tile as bytes)."""
     sizes = cells.groupBy("cell").agg(F.count("*").alias("__k"))
     parts = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("__k") / (TILE / 2))).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.concatenate([pdf[c].to_numpy(np.int64) for c in ("fp", "node", "n")])
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "rows": [rows.tobytes()]})
+        tile = Tile(pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["map"]), np.uint64))
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "rows": [tile.to_bytes()]})
 
-    return parts.select("cell", "part", "fp", "node", "n").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, rows binary")
+    return parts.select("cell", "part", "node", "n", "map").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, rows binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, similar: Similar | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; with `similar`, texts of that similarity are linked too."""
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     fps = checkpoint(fingerprints(named, "text", keep=["doc_id"], size=size) if similar is None else _sketched(named, size, similar))
+    one = fps.where("doc_id is not null")
     if similar is None:
-        nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
+        key = ["fp"]
+        nodes = one.groupBy("fp").agg(F.min("doc_id").alias("node"))
         edges = links(nodes, radius)
     else:
-        nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("n", "doc_id").alias("n"), F.min_by("sketch", "doc_id").alias("sketch"))
-        edges = links(nodes.select("fp", "node"), radius).unionAll(similar_links(named, nodes, similar))
+        # Equal fingerprints are linked, but their texts may differ: each set of shingles is a node of its own.
+        key = ["fp", "digest"]
+        nodes = checkpoint(one.groupBy(*key).agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("n", "sketch", "map")]))
+        firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+        same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        edges = links(firsts.select("fp", F.col("first").alias("node")), radius).unionAll(same).unionAll(similar_links(named, nodes, similar))
     roots = components(edges)
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = nodes.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
+    return fps.select("doc_id", *key).join(classes, key, "left").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(column: str) -> Column:
