@@ -156,3 +156,21 @@ def test_similar_texts_with_far_or_equal_fingerprints(spark):
     a, b, c = (simhash.fingerprint(simhash.shingle_hashes(t.encode())) for _, t in docs[-3:])
     assert a == b != c and bin(a ^ c).count("1") > 2 and jaccard(docs[-2][1], docs[-1][1]) >= 0.8
     assert got[90] == got[91] == 80
+
+
+def test_no_candidate_is_left_uncompared(spark):
+    """Pages of one template (similarity 0.7): many are nearer by chance than the one that is a near duplicate."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    template, docs = [word() for _ in range(200)], []
+    for k in range(60):
+        page = [word() for _ in range(32)] + template[32:]
+        docs += [(2 * k, " ".join(page)), (2 * k + 1, " ".join(page[:184] + [word() for _ in range(16)]))]
+    for a, b, least in ((0, 1, True), (0, 2, False), (1, 2, False), (1, 3, False)):
+        assert (jaccard(docs[a][1], docs[b][1]) >= 0.8) == least
+    df = spark.createDataFrame(r.sample(docs, len(docs)), "doc_id long, text string")
+    for similar in (simhash.Similar(), simhash.Similar(bits=64)):  # with 64 bits, maps hardly tell texts apart
+        got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, similar=similar).collect()}
+        plain = {x.doc_id: x.component_id for x in simhash.near_duplicates(df).collect()}
+        assert len(set(plain.values())) > 100
+        assert all(got[2 * k] == got[2 * k + 1] for k in range(60))

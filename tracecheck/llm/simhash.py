@@ -9,8 +9,10 @@ contractions over checkpointed tables.
 
 Beyond the fingerprints' links, `near_duplicates` can also link texts of a given similarity (`Similar`), for which
 fingerprints may differ in any number of bits. Texts that share one of their smallest shingle hashes meet in a tile;
-pairs whose numbers of shingles and parity maps allow the similarity are candidates, of which each text keeps its first
-and its nearest; the exact share of common shingles then decides.
+pairs whose numbers of shingles and parity maps allow the similarity are candidates, and the exact share of common
+shingles decides. Each text first offers its first candidate and its nearest. While some text has more, the links found
+so far are merged into groups and it offers NEAREST times as many of other groups, until each candidate was compared or
+lies in the text's own group.
 
 Defined results: a null or empty text, or one without a word, has fingerprint zero and links like any other.
 Repeated rows each get a row. A null id takes part in no component of others' ids: it gets a null component
@@ -36,7 +38,7 @@ from .kit import map_texts, text_buffers
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a tile at most.
 TILE = 2048
-#: Candidates of a text within a tile, besides its first partner.
+#: Candidates that a text offers within a tile at first, besides its first partner, and their growth from round to round.
 NEAREST = 3
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
@@ -229,39 +231,41 @@ def _sketched(named: DataFrame, size: int, similar: Similar) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tile:
-    """Texts of one cell: node, number of shingles and parity map (a row a text)."""
+    """Texts of one cell: node, group, number of shingles and parity map (a row a text)."""
 
     nodes: np.ndarray
+    groups: np.ndarray
     n: np.ndarray
     maps: np.ndarray
 
     def to_bytes(self) -> bytes:
-        return b"".join([self.nodes.tobytes(), self.n.tobytes(), self.maps.tobytes()])
+        return b"".join([self.nodes.tobytes(), self.groups.tobytes(), self.n.tobytes(), self.maps.tobytes()])
 
     @staticmethod
     def of(raw: bytes, bits: int) -> Tile:
         rows = np.frombuffer(raw, np.uint64)
-        k = len(rows) // (2 + bits // 64)
-        return Tile(rows[:k].view(np.int64), rows[k : 2 * k].view(np.int64), rows[2 * k :].reshape(k, -1))
+        k = len(rows) // (3 + bits // 64)
+        return Tile(*rows[: 3 * k].view(np.int64).reshape(3, k), rows[3 * k :].reshape(k, -1))
 
     def part(self, a: int, b: int) -> Tile:
-        return Tile(self.nodes[a:b], self.n[a:b], self.maps[a:b])
+        return Tile(self.nodes[a:b], self.groups[a:b], self.n[a:b], self.maps[a:b])
 
 
-def closest(left: Tile, right: Tile, similar: Similar) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that may be of the similarity: of these each left text's first partner, and its NEAREST.
+def closest(left: Tile, right: Tile, similar: Similar, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of two groups that may be of the similarity: of these each left text's first partner, and its `most`
+    nearest; and the left texts that have more.
 
     Of two texts with a and b shingles, the smaller number has to be a share of the larger one, and at most
     (1 - share) / (1 + share) * (a + b) shingles are in only one of them; their maps can't differ in more bits.
     """
-    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, j, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     share, slack = similar.share, 1e-6  # a rounding error may not reject a pair
     apart = (1 - share) / (1 + share)
     step = max(1, (1 << 20) // max(1, len(right.n)))
     for at in range(0, len(left.n), step):
         own = left.part(at, at + step)
         a, b = own.n.astype(np.float64)[:, None], right.n.astype(np.float64)[None, :]
-        good = (a + slack >= share * b) & (b + slack >= share * a) & (own.nodes[:, None] != right.nodes[None, :])
+        good = (a + slack >= share * b) & (b + slack >= share * a) & (own.groups[:, None] != right.groups[None, :])
         rows = np.flatnonzero(good.any(axis=1))
         if not len(rows):
             continue
@@ -277,31 +281,52 @@ def closest(left: Tile, right: Tile, similar: Similar) -> tuple[np.ndarray, np.n
         i.append(rows + at)
         j.append(good.argmax(axis=1))
         bits[~good] = 0xFFFF
-        near = np.argpartition(bits, NEAREST - 1, axis=1)[:, :NEAREST] if bits.shape[1] > NEAREST else np.broadcast_to(np.arange(bits.shape[1]), bits.shape)
+        more.append(rows[good.sum(axis=1) > most] + at)
+        near = np.argpartition(bits, most - 1, axis=1)[:, :most] if bits.shape[1] > most else np.broadcast_to(np.arange(bits.shape[1]), bits.shape)
         x, y = np.nonzero(np.take_along_axis(bits, near, axis=1) < 0xFFFF)
         i.append(rows[x] + at)
         j.append(near[x, y])
-    return np.concatenate(i), np.concatenate(j)
+    return np.concatenate(i), np.concatenate(j), np.concatenate(more)
 
 
-def similar_links(named: DataFrame, nodes: DataFrame, similar: Similar) -> DataFrame:
-    """(a, b) node pairs whose texts have at least the given share of shingles in common. nodes: node, n, sketch, map."""
+def similar_links(named: DataFrame, nodes: DataFrame, known: DataFrame, similar: Similar) -> DataFrame:
+    """`known` and further (a, b) node pairs, which connect all texts with the given share of shingles in common.
+
+    nodes: node, n, sketch, map. Texts that `known` connects aren't compared again.
+    """
     keyed = nodes.select(F.explode("sketch").alias("cell"), "node", "n", "map")
     sizes = keyed.groupBy("cell").agg(F.count("*").alias("__n")).where("__n > 1")
-    met = checkpoint(keyed.join(sizes, "cell"))
+    met = checkpoint(keyed.join(sizes.select("cell"), "cell"))
+    found, tested, most = known, None, NEAREST
+    while True:
+        roots = components(found).withColumnRenamed("root", "group")
+        grouped = met.join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
+        mixed = grouped.groupBy("cell").agg(F.count("*").alias("__n"), F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("cell", "__n")
+        offers = checkpoint(offered(grouped.join(mixed, "cell"), similar, most).distinct())
+        edges = offers.where("a <> b")
+        fresh = checkpoint(edges.join(tested, ["a", "b"], "left_anti")) if tested is not None else edges
+        found = checkpoint(found.unionAll(verified(named, fresh, similar)))
+        if offers.where("a = b").isEmpty():
+            return found
+        tested = fresh if tested is None else tested.unionAll(fresh)
+        most *= NEAREST
+
+
+def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
+    """(a, b) candidate pairs of the cells' texts, at most so many a text and tile; (a, a) for a text that has more."""
 
     def ends(a: Tile, b: Tile) -> pa.RecordBatch:
-        i, j = closest(a, b, similar)
-        found = np.stack([a.nodes[i], b.nodes[j]], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
+        i, j, more = closest(a, b, similar, most)
+        pairs = np.concatenate([np.stack([a.nodes[i], b.nodes[j]], axis=1), np.stack([a.nodes[more]] * 2, axis=1)])
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(rows)
-            cell, node, n = (table.column(k).to_numpy() for k in range(3))
-            whole = Tile(node, n, np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(len(node), -1))
+            cell, node, group, n = (table.column(k).to_numpy() for k in range(4))
+            whole = Tile(node, group, n, np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(len(node), -1))
             bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
             found = [ends(t, t) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for t in [whole.part(a, b)]]
             yield from pa.Table.from_batches(found).combine_chunks().to_batches()
@@ -321,7 +346,7 @@ def similar_links(named: DataFrame, nodes: DataFrame, similar: Similar) -> DataF
         if held:
             yield from pairs(held)
 
-    few = met.where(F.col("__n") <= TILE).select("cell", "node", "n", "map").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    few = met.where(F.col("__n") <= TILE).select("cell", "node", "group", "n", "map").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
     packed = checkpoint(tiles_with_sizes(met.where(F.col("__n") > TILE).drop("__n")))
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +356,15 @@ def similar_links(named: DataFrame, nodes: DataFrame, similar: Similar) -> DataF
 
     other = packed.select("cell", F.col("part").alias("p2"), F.col("rows").alias("r2"))
     many = packed.join(other, "cell").where("part <= p2").select("rows", "r2").mapInArrow(across, "a long, b long")
-    edges = checkpoint(few.unionAll(many).distinct())
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
-    if edges.count() <= similar.sent:
+    return few.unionAll(many)
+
+
+def verified(named: DataFrame, edges: DataFrame, similar: Similar) -> DataFrame:
+    """The edges whose texts have at least the given share of shingles in common."""
+    wanted, n = edges.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), edges.count()
+    if not n:
+        return edges
+    if n <= similar.sent:
         wanted = F.broadcast(wanted)
     # A row for each id is enough: rows of one id and fingerprint are alike.
     texts = named.join(wanted, F.col("doc_id") == F.col("__node"), "left_semi").dropDuplicates(["doc_id"])
@@ -350,15 +381,15 @@ def similar_links(named: DataFrame, nodes: DataFrame, similar: Similar) -> DataF
 
 
 def tiles_with_sizes(cells: DataFrame) -> DataFrame:
-    """Tiles of (cell, node, n, map) rows: cell, part, rows (a Tile as bytes)."""
+    """Tiles of (cell, node, group, n, map) rows: cell, part, rows (a Tile as bytes)."""
     sizes = cells.groupBy("cell").agg(F.count("*").alias("__k"))
     parts = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("__k") / (TILE / 2))).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        tile = Tile(pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["map"]), np.uint64))
+        tile = Tile(*(pdf[c].to_numpy(np.int64) for c in ("node", "group", "n")), np.frombuffer(b"".join(pdf["map"]), np.uint64))
         return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "rows": [tile.to_bytes()]})
 
-    return parts.select("cell", "part", "node", "n", "map").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, rows binary")
+    return parts.select("cell", "part", "node", "group", "n", "map").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, rows binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, similar: Similar | None = None) -> DataFrame:
@@ -376,7 +407,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         nodes = checkpoint(one.groupBy(*key).agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("n", "sketch", "map")]))
         firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
         same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        edges = links(firsts.select("fp", F.col("first").alias("node")), radius).unionAll(same).unionAll(similar_links(named, nodes, similar))
+        known = checkpoint(links(firsts.select("fp", F.col("first").alias("node")), radius).unionAll(same))
+        edges = similar_links(named, nodes, known, similar)
     roots = components(edges)
     classes = nodes.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
     return fps.select("doc_id", *key).join(classes, key, "left").select("doc_id", "fp", "component_id")
