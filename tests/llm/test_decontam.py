@@ -79,3 +79,36 @@ def test_odd_rows(spark, odd, none, bench):
     assert decontam.overlaps(none, bench).count() == 0
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.overlaps(odd, empty).count() == 0 and decontam.flag(odd, empty, to="hit").where("hit").count() == 0
+
+
+def test_every_run_of_a_diagonal_counts(spark):
+    item = [f"i{k}" for k in range(40)]
+    texts = []
+    for gap in (4, 3):
+        w = list(item[: 11 + gap + 5 + 1 + 5 + 1 + 4])
+        for k in (*range(11, 11 + gap), 16 + gap, 22 + gap):
+            w[k] = "other"
+        texts.append((gap, " ".join(w)))  # 11 equal, then 14 in a run of less score
+    texts.append((9, " ".join([*item[:11], *["other"] * 29])))
+    found = decontam.overlaps(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {(r.doc_id, r.start, r.n_tokens, r.n_matched) for r in found.collect()} == {(4, 15, 16, 14), (3, 14, 16, 14)}
+
+
+def test_short_items(spark):
+    """Items of 1 to 14 tokens: whole, and with so few tokens changed that MIN_SHARE is left in one run."""
+    items = [(n, " ".join(f"t{n}x{k}" for k in range(n))) for n in range(1, 15)]
+    texts, want = [], set()
+    for n, item in items:
+        for k in [None, *range(n)]:
+            w = item.split()
+            if k is not None:
+                w[k] = "other"
+            t = f"some words {' '.join(w)} and more"
+            if brute(t, item):
+                want.add((len(texts), n))
+            texts.append((len(texts), t))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.overlaps(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert want <= found and len(want) > 60
+    assert {n for _, n in found} == {n for n, _ in items}
+    assert all(sum(a == b for a, b in zip(texts[i][1].split()[2:], dict(items)[n].split())) >= decontam.needed(n) for i, n in found)

@@ -3,9 +3,10 @@
 Tokens are words, lower-cased and stripped of everything but letters and digits. A mask picks SEED_WEIGHT of the
 tokens in a short window and ignores the others, so a substituted token between them does no harm. Hashes of the
 benchmark's windows are joined to those of the training texts under each mask; around each hit the whole benchmark
-item is laid along the document on the hit's diagonal, and the best run of tokens, scored +1 for an equal token and
--MISMATCH for another, is the overlap. An overlap counts from MIN_MATCHED equal tokens on (or MIN_SHARE of an item
-that is shorter).
+item is laid along the document on the hit's diagonal, and each maximal run of tokens, scored +1 for an equal token and
+-MISMATCH for another, is an overlap. An overlap counts from MIN_MATCHED equal tokens on (or MIN_SHARE of an item
+that is shorter). Items of which MIN_SHARE is less than a longer item needs are found without masks: a match misses few
+of their tokens, so one of a few contiguous pieces is whole.
 
 The benchmark is read in blocks of a fixed size; each block's hashes are sent to the executors and all rows are held
 against it, so nothing that is sent grows with the data, and the training texts are never shuffled.
@@ -75,6 +76,49 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, mask: tuple[int, ...])
     return value[at], at
 
 
+def needed(size: int) -> int:
+    return min(MIN_MATCHED, max(1, int(np.ceil(MIN_SHARE * size))))
+
+
+def pieces(size: int) -> list[tuple[int, int]]:
+    """(start, tokens) pieces of a short item, one of which is whole in every match; none for longer items."""
+    parts = size - needed(size) + 1
+    if not size or int(np.ceil(MIN_SHARE * size)) > MIN_MATCHED or size // parts > len(_MIX) - 1 and parts > 1:
+        return []
+    ends = [size * k // parts for k in range(parts + 1)]
+    return [(a, min(b - a, len(_MIX))) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def runs(equal: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each maximal run: no part in front of it or behind it that could be added keeps its score."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(np.int8), [0]])))
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
+    found: list[tuple[int, int, int, int]] = []
+    for a, b in edges.reshape(-1, 2).tolist():
+        low, high = int(total[a]), int(total[b])
+        while True:
+            j = next((j for j in range(len(found) - 1, -1, -1) if found[j][0] <= low), None)
+            if j is None or found[j][1] > high:
+                found.append((low, high, a, b))
+                break
+            low, _, a, _ = found[j]
+            del found[j:]
+    return [(a, b) for _, _, a, b in found]
+
+
+def _hits(hashes: np.ndarray, first: np.ndarray, mask: tuple[int, ...], value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token of the text, token of the benchmark) of each window of the texts that is among the sorted values."""
+    own, place = window_hashes(hashes, first, mask)
+    if not len(own) or not len(value):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.searchsorted(value, own, side="left")
+    hit = np.flatnonzero(value[np.minimum(low, len(value) - 1)] == own)
+    low, place = low[hit], place[hit]
+    count = np.searchsorted(value, own[hit], side="right") - low
+    each = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    return np.repeat(place, count), at[each]
+
+
 class Benchmark:
     """One block of items, ready to be looked up."""
 
@@ -87,37 +131,53 @@ class Benchmark:
             order = np.argsort(value, kind="stable")
             self.seeds.append((value[order], at[order]))
         self.item = np.repeat(np.arange(len(ids)), np.diff(self.first))
+        sizes = np.diff(self.first)
+        self.need = np.array([needed(n) for n in sizes.tolist()], np.int64)
+        starts: dict[int, list[int]] = {}
+        for start, size in zip(self.first[:-1].tolist(), sizes.tolist(), strict=True):
+            for k, n in pieces(size):
+                starts.setdefault(n, []).append(start + k)
+        self.short = []
+        for n, places in sorted(starts.items()):
+            value, at = window_hashes(self.hashes, self.first, tuple(range(n)))
+            own = np.isin(at, places)
+            order = np.argsort(value[own], kind="stable")
+            self.short.append((tuple(range(n)), value[own][order], at[own][order]))
+
+    def _equal(self, hashes: np.ndarray, first: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Equal tokens of the whole item on the diagonal, for (text, item, place) rows of short items."""
+        t, i, at = key.T
+        size, total = self.first[i + 1] - self.first[i], np.zeros(len(key), np.int64)
+        for k in range(int(size.max(initial=0))):
+            p = at + k
+            inside = (k < size) & (p >= first[t]) & (p < first[t + 1])
+            total[inside] += hashes[p[inside]] == self.hashes[self.first[i[inside]] + k]
+        return total
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, first token, tokens, equal tokens, tokens of the item) of each overlap."""
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         keys = []
         for mask, (value, at) in zip(MASKS, self.seeds, strict=True):
-            own, place = window_hashes(hashes, first, mask)
-            if not len(own) or not len(value):
-                continue
-            low = np.searchsorted(value, own, side="left")
-            hit = np.flatnonzero(value[np.minimum(low, len(value) - 1)] == own)
-            low, place = low[hit], place[hit]
-            count = np.searchsorted(value, own[hit], side="right") - low
-            each = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            q, p = at[each], np.repeat(place, count)
+            p, q = _hits(hashes, first, mask, value, at)
             item = self.item[q]
             keys.append(np.stack([text[p], item, p - (q - self.first[item])], axis=1))
-        if not keys:
-            return []
+        for mask, value, at in self.short:
+            p, q = _hits(hashes, first, mask, value, at)
+            item = self.item[q]
+            key = np.stack([text[p], item, p - (q - self.first[item])], axis=1)
+            keys.append(key[self._equal(hashes, first, key) >= self.need[item]])
         found = []
         for t, i, at in np.unique(np.concatenate(keys), axis=0).tolist():
             size = int(self.first[i + 1] - self.first[i])
             a, b = max(at, int(first[t])), min(at + size, int(first[t + 1]))
             equal = hashes[a:b] == self.hashes[self.first[i] + a - at : self.first[i] + b - at]
-            score = np.cumsum(np.where(equal, 1, -MISMATCH))
-            floor = np.minimum.accumulate(np.concatenate([[0], score[:-1]]))
-            end = int(np.argmax(score - floor))
-            start = int(np.argmax(np.concatenate([[0], score[:-1]])[: end + 1] == floor[end]))
-            matched = int(equal[start : end + 1].sum())
-            if matched >= min(MIN_MATCHED, max(1, int(np.ceil(MIN_SHARE * size)))):
-                found.append((t, i, a + start - int(first[t]), end + 1 - start, matched, size))
+            if equal.sum() < self.need[i]:
+                continue
+            for start, end in runs(equal):
+                matched = int(equal[start:end].sum())
+                if matched >= self.need[i]:
+                    found.append((t, i, a + start - int(first[t]), end - start, matched, size))
         return found
 
 
