@@ -10,7 +10,9 @@ Counting (`Counter`). Symbols are a linked list, adjacent pairs wait in a heap b
 merged until none is left. The count is the number of symbols at first minus the merges; no ids are made.
 
 Defined results: a null or empty text has no token. Texts are tokenized whole; very long pieces take time in
-proportion to their length (times its logarithm for the counter).
+proportion to their length (times its logarithm for the counter). Repeated rows each get a row, and a null id is kept.
+Of equal ranks in a piece the leftmost pair merges first. An empty table gives an empty table. Columns of the input
+that have a new column's name, case aside, are replaced by it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import ahocorasick
@@ -229,6 +232,24 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Settings of a tokenizer file under which a text's pieces are those of pretok.
+_PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def added_tokens(spec: dict) -> re.Pattern[str] | None:
+    """A pattern of a file's added tokens, the longest first, as the library finds them; other settings are refused."""
+    splitter, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or spec.get("truncation") or any(splitter.get(k) != v for k, v in _PLAIN.items()):
+        raise ValueError("only byte-level files without a normalizer, a prefix space or truncation can be counted")
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("only plain merges can be counted")
+    added = spec.get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in what is around them can't be counted")
+    names = sorted((t["content"] for t in added), key=len, reverse=True)
+    return re.compile("|".join(map(re.escape, names))) if names else None
+
+
 class Counter:
     """Counts the tokens of pieces under the merges of a tokenizer file (.json, byte-level BPE)."""
 
@@ -243,7 +264,7 @@ class Counter:
         self.symbol = [0] * 256
         for ch, b in alphabet.items():
             self.symbol[b] = vocab[ch]
-        self.special = [x["content"] for x in spec.get("added_tokens") or []]
+        self.special = added_tokens(spec)
         self.memo: dict[bytes, int] = {}
 
     def count(self, piece: bytes) -> int:
@@ -290,7 +311,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
 
     def each(texts: pa.Array) -> list[pa.Array]:
         c = counter(path)
-        pieces, code, first, special = pretok.split_around(texts, c.special[0] if c.special else "")
+        pieces, code, first, special = pretok.split_around(texts, c.special, pretok.TOKENIZERS)
         sizes = np.fromiter(map(c.count, pieces), np.int64, len(pieces))
         n = per_document(sizes[code] if len(code) else np.zeros(0, np.int64), first) + special
         n_bytes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1])

@@ -84,7 +84,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's followed by END_ID, and each document's first (n + 1 values)."""
-        pieces, code, first = pretok.split(texts)
+        pieces, code, first = pretok.split(texts, pretok.TOKENIZERS)
         code = self.numbers(pieces)[code]
         n = per_document(self.bounds[code + 1] - self.bounds[code], first)
         start = np.concatenate([[0], np.cumsum(n + 1)])
