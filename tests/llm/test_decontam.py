@@ -64,14 +64,52 @@ def test_overlaps_against_brute_force(spark, bench, docs):
     assert exact <= found
 
 
-def test_blocks_give_the_same(spark, bench, docs, monkeypatch):
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    whole = sorted(map(tuple, decontam.overlaps(d, bench).collect()))
+def test_joined_gives_the_same_as_sent(spark, bench, docs, odd, none, monkeypatch):
+    """A benchmark that is too large to be sent: its windows are joined to the texts' by a shuffle."""
+    d = spark.createDataFrame([*docs, (None, docs[0][1]), (3, docs[3][1])], "doc_id long, text string")
+    twice = bench.unionAll(bench.where("item_id < 3"))
+    whole = sorted(map(str, decontam.overlaps(d, twice).collect()))
+    one_by_one = {str(x) for k in (1, 2, 3, 4) for x in decontam.overlaps(d, bench.where(f"item_id = {k}")).collect()}
+    assert one_by_one <= set(whole)
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 4)
-    assert len(list(decontam.blocks(bench, "item_id", "text"))) > 2
-    assert sorted(map(tuple, decontam.overlaps(d, bench).collect())) == whole
-    flagged = {r.doc_id for r in decontam.flag(d, bench, to="hit").where("hit").collect()}
-    assert flagged == {x[0] for x in whole}
+    assert decontam.sent(decontam._named(bench, "item_id", "text")) is None
+    assert sorted(map(str, decontam.overlaps(d, twice).collect())) == whole
+    flagged = decontam.flag(d, twice, to="hit")
+    assert {f"doc_id={r.doc_id}" for r in flagged.where("hit").collect()} == {x.split("(")[1].split(",")[0] for x in whole} and flagged.count() == d.count()
+    for rows in (odd, none):
+        assert decontam.overlaps(rows, bench).count() == 0 and decontam.flag(rows, bench, to="hit").columns == [*rows.columns, "hit"]
+
+
+def test_many_items_joined_and_sent(spark, monkeypatch):
+    """Fifty times as many items as one task was sent before, of all lengths."""
+    items = [(k, prose(1 + k % 40)) for k in range(200)]
+    rows = [(k, f"{prose(30)} {items[k * 7 % 200][1]} {prose(5)}") for k in range(100)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontam.overlaps(d, b).collect()))
+    assert {(k, k * 7 % 200) for k in range(100)} <= {x[:2] for x in whole}
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 4)
+    assert sorted(map(tuple, decontam.overlaps(d, b).collect())) == whole
+
+
+def test_repeating_text_and_item():
+    """Texts that repeat themselves share windows on nearly all diagonals."""
+    import time
+
+    import pyarrow as pa
+
+    few = [f"w{k}" for k in range(7)]
+    noisy = random.Random(4)
+    texts = [" ".join(["again"] * 30_000), " ".join(few * 4000), " ".join(noisy.choice(few[:2]) for _ in range(3000)), " ".join(["again"] * 5 + ["x"]) * 3]
+    items = [" ".join(["again"] * 1500), " ".join(few * 200), " ".join(noisy.choice(few[:2]) for _ in range(100)), " ".join(["again"] * 40)]
+    block = decontam.Benchmark([0, 1, 2, 3], pa.array(items, pa.large_string()))
+    hashes, first = decontam.tokens(pa.array(texts, pa.large_string()))
+    began = time.perf_counter()
+    found = {(t, i): (start, n, matched) for t, i, start, n, matched, _ in block.search(hashes, first)}
+    assert time.perf_counter() - began < 5  # about 0.3 s on a quiet machine
+    assert found[0, 0] == (0, 1500, 1500) and found[0, 3] == (0, 40, 40) and found[1, 1] == (0, 1400, 1400)
+    doc, item = hashes[first[2] : first[3]], block.hashes[block.first[2] : block.first[3]]
+    best = max((int(eq[a:b].sum()) for d in range(1 - len(item), len(doc)) for lo, hi in [(max(d, 0), min(d + len(item), len(doc)))] for eq in [doc[lo:hi] == item[lo - d : hi - d]] for a, b in decontam.runs(eq)))
+    assert found[2, 2][2] == best >= 12
 
 
 def test_odd_rows(spark, odd, none, bench):

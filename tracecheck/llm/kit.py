@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,5 +87,23 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def documents(spark, sf_dir: str) -> DataFrame:
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local master may go without."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = "/tmp/checkpoints"
+    return place.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, and read from there by what follows."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

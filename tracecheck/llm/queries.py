@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, decontam, idfile, pii, quality, simhash, suffix, toxicity
-from .kit import documents
+from .kit import documents, shared_base
 
 
 def vocabulary(name: str) -> str:
@@ -23,7 +23,7 @@ def vocabulary(name: str) -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/tracecheck-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/tracecheck-{uuid.uuid4().hex}"
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kit import map_texts, text_buffers
+from .kit import checkpoint, map_texts, text_buffers
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a tile at most.
@@ -157,14 +157,6 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.select("fa", "ia", "fb", "ib").mapInArrow(compare, "a long, b long").where("a <> b")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to spark.checkpoint.dir, which all executors share; set only where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over the edges (a, b). Nodes without an edge have no row.
 
