@@ -56,6 +56,21 @@ def test_near_duplicates_keep_one_of_each_group(spark, odd):
     assert sorted(left) == sorted(want)
 
 
+def test_different_texts_of_one_id_stay(spark):
+    """Rows of one id go together; equal ones once, whatever their order."""
+    words = " ".join(f"v{i}" for i in range(80))
+    rows = [(1, words, "a"), (1, words, "b"), (1, "quite another text", "c"), (2, words, "d"), (3, "quite another text", "e"), (4, "alone", "f"), (None, words, "g")]
+    left = [{tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(x, "doc_id long, text string, other string"), "").collect()} for x in (rows, rows[::-1])]
+    assert left[0] == left[1] and len(left[0]) == 4
+    assert {(r[0], r[1]) for r in left[0]} == {(1, words), (1, "quite another text"), (4, "alone"), (None, words)}
+
+
+def test_tokens_of_odd_rows(spark, odd, none):
+    for docs in (odd, none):
+        rows = corpus_pipeline.tokens(spark, docs, "").collect()
+        assert len(rows) == docs.count() and all(len(r.ids) == r.n_tokens for r in rows)
+
+
 def test_personal_data_is_masked(spark, odd):
     text = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.personal_data(spark, odd, "").collect()}
     assert text[11][0] == "mail me at <EMAIL> or <PHONE>, <IP>" and text[11][1] == len(text[11][0])

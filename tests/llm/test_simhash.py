@@ -87,6 +87,24 @@ def test_radius_by_quarter_counts_loses_nothing():
         assert d in steps or tuple(-x for x in d) in steps
 
 
+def test_forest_connects_what_links_connect():
+    r = random.Random(6)
+    for n, m in ((40, 50), (1, 300), (200, 1)):
+        centre = r.getrandbits(64)
+        a, b = (np.array([centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) if r.random() < 0.7 else r.getrandbits(64) for _ in range(k)], np.uint64) for k in (n, m))
+        linked = np.argwhere(np.bitwise_count(a[:, None] ^ b[None, :]) <= 2)
+        want, got = (list(range(n + m)) for _ in range(2))
+
+        def join(label, x, y):
+            label[:] = [min(label[x], label[y]) if v in (label[x], label[y]) else v for v in label]
+
+        for i, j in linked.tolist():
+            join(want, i, j + n)
+        for i, j in zip(*(x.tolist() for x in simhash.forest(a, b, 2)), strict=True):
+            join(got, i, j)
+        assert got == want
+
+
 def jaccard(a, b):
     a, b = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
     return len(a & b) / max(1, len(a | b))

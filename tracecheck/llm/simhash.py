@@ -15,8 +15,10 @@ so far are merged into groups and it offers NEAREST times as many of other group
 lies in the text's own group.
 
 Defined results: a null or empty text, or one without a word, has fingerprint zero and links like any other.
-Repeated rows each get a row. A null id takes part in no component of others' ids: it gets a null component
-unless its fingerprint also belongs to a document with an id. Other columns of the input don't take part.
+Repeated rows each get a row; rows of one id are one document, so what either of their texts is linked to is linked.
+A null id takes part in no component of others' ids: it gets a null component unless its fingerprint also belongs to a
+document with an id. An empty table gives an empty table. Other columns of the input, whatever their names, don't take
+part.
 """
 
 from __future__ import annotations
@@ -91,28 +93,28 @@ def neighbour_steps(radius: int) -> list[tuple[int, ...]]:
     return [s for s in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, s)) <= radius and s >= (0, 0, 0, 0)]
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between a and b within the radius, thinned to a forest: (index in a, index in b) arrays."""
+def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links between a and b within the radius connect, at most one a fingerprint.
+
+    Fingerprints are numbered through a and then b. Each strip's links only lower the labels: the smallest number
+    reached so far; an edge leads from each fingerprint to its label.
+    """
     step = max(1, (1 << 20) // max(1, len(b)))
-    parent = np.arange(len(a) + len(b))
+    label = np.arange(len(a) + len(b))
     for at in range(0, len(a), step):
         i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
-        if not len(i):
-            continue
-        keep_i, keep_j = [], []
-        for x, y in zip((i + at).tolist(), (j + len(a)).tolist(), strict=True):
-            u, v = x, y
-            while parent[u] != u:
-                parent[u] = parent[parent[u]]
-                u = parent[u]
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-                keep_i.append(x)
-                keep_j.append(y - len(a))
-        yield np.array(keep_i, np.int64), np.array(keep_j, np.int64)
+        i, j = i + at, j + len(a)
+        while len(i):
+            x, y = label[i], label[j]
+            apart = x != y
+            if not apart.any():
+                break
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))  # roots are joined, so what they stand for follows
+            while (label[label] != label).any():
+                label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
 
 
 def by_counts(nodes: DataFrame) -> DataFrame:
@@ -142,19 +144,26 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     packed = checkpoint(tiles(by_counts(nodes)))
     steps = neighbour_steps(radius)
     moves = F.array(*[F.lit(sum(x << (8 * i) for i, x in enumerate(s))).cast("long") for s in steps])
-    left = packed.select(F.explode(F.transform(moves, lambda m: m + F.col("cell"))).alias("to"), F.col("cell").alias("ca"), F.col("part").alias("pa"), F.col("fps").alias("fa"), F.col("ids").alias("ia"))
-    right = packed.select(F.col("cell").alias("to"), F.col("part").alias("pb"), F.col("fps").alias("fb"), F.col("ids").alias("ib"))
-    pairs = left.join(right, "to").where((F.col("ca") != F.col("to")) | (F.col("pa") <= F.col("pb")))
+    # Tile pairs go as rows of their own, so the tiles of a full cell don't meet in one task.
+    own = packed.select(F.col("cell").alias("ca"), F.col("part").alias("pa")).withColumn("cb", F.explode(F.transform(moves, lambda m: m + F.col("ca"))))
+    pairs = own.join(packed.select(F.col("cell").alias("cb"), F.col("part").alias("pb")), "cb").where("ca <> cb or pa <= pb")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for fa, ia, fb, ib in zip(*(batch.column(k) for k in ("fa", "ia", "fb", "ib")), strict=True):
                 a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (fa, fb))
-                na, nb = (np.frombuffer(x.as_py(), np.int64) for x in (ia, ib))
-                for i, j in forest(a, b, radius):
-                    yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], names=["a", "b"])
+                ids = np.frombuffer(ia.as_py() + ib.as_py(), np.int64)
+                i, j = forest(a, b, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    return tile_pairs(pairs, packed, ["fps", "ids"], ["fa", "ia", "fb", "ib"]).mapInArrow(compare, "a long, b long").where("a <> b")
+
 
-    return pairs.select("fa", "ia", "fb", "ib").mapInArrow(compare, "a long, b long").where("a <> b")
+def tile_pairs(pairs: DataFrame, packed: DataFrame, columns: list[str], to: list[str]) -> DataFrame:
+    """The columns of both tiles of each pair (ca, pa, cb, pb), named `to`; each pair is a row with a key of its own."""
+    k = len(columns)
+    sides = [packed.select(F.col("cell").alias(f"c{x}"), F.col("part").alias(f"p{x}"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]) for x, names in (("a", to[:k]), ("b", to[k:]))]
+    return pairs.join(sides[0], ["ca", "pa"]).join(sides[1], ["cb", "pb"]).select(*to)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -346,8 +355,9 @@ def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 yield ends(Tile.of(x.as_py(), similar.bits), Tile.of(y.as_py(), similar.bits))
 
-    other = packed.select("cell", F.col("part").alias("p2"), F.col("rows").alias("r2"))
-    many = packed.join(other, "cell").where("part <= p2").select("rows", "r2").mapInArrow(across, "a long, b long")
+    parts = packed.select("cell", "part")
+    pairs = parts.toDF("ca", "pa").join(parts.toDF("cb", "pb"), (F.col("ca") == F.col("cb")) & (F.col("pa") <= F.col("pb")))
+    many = tile_pairs(pairs, packed, ["rows"], ["r1", "r2"]).mapInArrow(across, "a long, b long")
     return few.unionAll(many)
 
 
