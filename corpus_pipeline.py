@@ -4,8 +4,9 @@ Each stage gets the documents that its predecessor kept and gives documents agai
 Columns that a table has besides doc_id and text pass through.
 
 Defined results: null texts count as empty, and are rejected by the quality rules. A document without an id can't
-stand for its group, nor be told from others: it stays. Repeated rows of one document become one in the
-near-duplicate stage. An empty table gives empty tables.
+stand for its group, nor be told from others: it stays. Rows of one id are one document: the near-duplicate stage keeps
+or drops them together, and of rows with equal id and text it keeps one (that of the smallest hash over all columns).
+An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracecheck.llm import bpe, decontam, pii, quality, simhash
-from tracecheck.llm.kit import free_name
+from tracecheck.llm.kit import checkpoint, free_name, shared_base
 from tracecheck.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -36,16 +37,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups are linked fingerprints, and texts with four fifths of their shingles of five words in common.
     """
     classes = simhash.near_duplicates(docs, similar=simhash.Similar())
-    # Repeated rows of an id share its fingerprint, or the id has several; either way one row is kept.
     per_id = classes.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    per_id = simhash.checkpoint(per_id.where("n > 1 or c <> doc_id"))
+    per_id = checkpoint(per_id.where("n > 1 or c <> doc_id"))
     gone = free_name(docs, "_gone")
     goes = per_id.where("c <> doc_id").select(F.col("doc_id").alias(gone))
     kept = docs.join(goes, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
-    if per_id.where("n > 1").isEmpty():
+    again = per_id.where("n > 1 and c = doc_id").select(F.col("doc_id").alias(gone))
+    if again.isEmpty():
         return kept
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionAll(kept.where("doc_id is null"))
+    same = F.col("doc_id").cast("long") == F.col(gone)
+    rows = kept.join(again, same, "left_semi").select(F.struct(*_own(docs)).alias("row"))
+    once = rows.groupBy("row.doc_id", "row.text").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return kept.join(again, same, "left_anti").unionAll(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,8 +88,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written as Parquet under spark.checkpoint.dir and read again by the next."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    place = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    place = f"{shared_base(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
