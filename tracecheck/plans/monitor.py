@@ -138,6 +138,25 @@ def reset_held(rows: DataFrame, trace: list[str], order: list[str], active: str,
     return marked.withColumn("__broken", broken).where("__broken = 0").drop(CYCLE, "__broken")
 
 
+def assumptions(plan: Plan) -> tuple[Plan, Plan]:
+    """The plan's assumptions, and the rest of it."""
+    return tuple(Plan([c for c in plan.checks if (c.kind == "assume") == own]) for own in (True, False))
+
+
+def assumed(rows: DataFrame, plan: Plan, trace: list[str], order: list[str]) -> DataFrame:
+    """Rows of each trace before the first that violates one of the plan's assumptions; what follows tells nothing.
+
+    The running maximum reads the same window as the checks, so there is one shuffle and one sort.
+    """
+    own = assumptions(plan)[0]
+    if not own.checks:
+        return rows
+    checked = with_checks(rows, own, trace, order)
+    bad = reduce(lambda a, b: a | b, [F.col(f"__bad{k}") for k in range(len(own.checks))])
+    so_far = Window.partitionBy(*trace).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return checked.withColumn("__broken", F.max(bad).over(so_far)).where("not __broken").select(*rows.columns)
+
+
 def check_labels(plan: Plan) -> list[tuple[str, str, str, int]]:
     """(label, base label, kind, depth) of each check, for a table beside the verdicts."""
     return [(c.label, c.base, c.kind, c.depth) for c in plan.checks]

@@ -12,6 +12,7 @@ lands in `skipped` with its reason.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 from tracecheck.functions import scan
@@ -22,7 +23,10 @@ MAX_HISTORY = 254
 KINDS = ("assert", "assume", "cover")
 _BANNED = re.compile(r"\b(throughout|within|intersect|until|until_with|s_until|eventually|s_eventually|nexttime|s_nexttime|always|s_always|first_match|strong|weak|matched|accept_on|reject_on)\b")
 _REPEAT = re.compile(r"\[\s*(?:\*|->|=)")
-_TOKEN = re.compile(r"\s*(?:(\d+)?'([bodhBODH])([0-9a-fA-F_]+)|(\d+(?:\.\d+)?)|('[^']*')|(\$?[A-Za-z_]\w*)|(<=|>=|==|!=|&&|\|\||<<|>>|[-+*/%<>!~&|^(),=]))")
+_TOKEN = re.compile(
+    r"\s*(?:(?P<width>\d+)?\s*'[sS]?(?P<base>[bodhBODH])\s*(?P<digits>[0-9a-fA-F_]+)|'(?P<fill>[01])(?![\w'])|(?P<number>\d+(?:\.\d+)?)|(?P<string>'[^']*')|(?P<name>\$?[A-Za-z_]\w*)"
+    r"|(?P<op>===|!==|>>>|<=|>=|==|!=|&&|\|\||<<|>>|~&|~\||~\^|\+:|-:|[-+*/%<>!~&|^(),=\[\]{}?:]))"
+)
 
 
 class PropertyError(ValueError):
@@ -31,16 +35,191 @@ class PropertyError(ValueError):
 
 # --- expressions ---
 
+#: (kind, ...): num value width, str, const, name, un op x, bin op a b, if c a b, part x high low, pick x at width, cat parts,
+#: call name args, null x negated, in x list negated, like x pattern negated.
+Node = tuple
+
+#: Binary operators, loosest first; of each row, what they are called inside.
+_LEVELS: tuple[dict[str, str], ...] = (
+    {"||": "or", "or": "or"},
+    {"&&": "and", "and": "and"},
+    {"|": "|"},
+    {"^": "^", "~^": "~^"},
+    {"&": "&"},
+    {"==": "==", "=": "==", "===": "==", "!=": "!=", "!==": "!="},
+    {"<": "<", "<=": "<=", ">": ">", ">=": ">="},
+    {"<<": "<<", ">>": ">>", ">>>": ">>"},
+    {"+": "+", "-": "-"},
+    {"*": "*", "/": "/", "%": "%"},
+)
+_NOT_LEVEL = 2  # `not` binds tighter than `and`, looser than all operators below
+_UNARY = ("!", "~", "-", "+", "&", "|", "^", "~&", "~|", "~^")
+_COMPARED = ("is", "in", "like", "not")
+SAMPLED = ("$past", "$rose", "$fell", "$stable", "$changed", "$onehot", "$onehot0", "$countones")
+
+
+class _Reader:
+    """Reads tokens (kind, value, width) to a node, by precedence."""
+
+    def __init__(self, tokens: list[tuple], known: Mapping[str, Node], text: str):
+        self.tokens, self.known, self.text, self.at = tokens, known, text, 0
+
+    def peek(self) -> str | None:
+        kind, value, _ = self.tokens[self.at] if self.at < len(self.tokens) else (None, None, None)
+        return value.lower() if kind == "name" else value if kind == "op" else None
+
+    def take(self, *wanted: str) -> bool:
+        if self.peek() in wanted:
+            self.at += 1
+            return True
+        return False
+
+    def need(self, wanted: str) -> None:
+        if not self.take(wanted):
+            raise PropertyError(f"{wanted!r} is missing in {self.text!r}")
+
+    def whole(self) -> Node:
+        node = self.choice()
+        if self.at < len(self.tokens):
+            raise PropertyError(f"can't read all of {self.text!r}")
+        return node
+
+    def choice(self) -> Node:
+        condition = self.level(0)
+        if not self.take("?"):
+            return condition
+        yes = self.choice()
+        self.need(":")
+        return ("if", condition, yes, self.choice())
+
+    def level(self, k: int) -> Node:
+        if k == _NOT_LEVEL and self.take("not"):
+            return ("un", "!", self.level(k))
+        if k == len(_LEVELS):
+            return self.unary()
+        left = self.level(k + 1)
+        while True:
+            op = self.peek()
+            if op in _LEVELS[k]:
+                self.at += 1
+                left = ("bin", _LEVELS[k][op], left, self.level(k + 1))
+            elif k == 6 and op in _COMPARED:
+                left = self.compared(left)
+            else:
+                return left
+
+    def compared(self, left: Node) -> Node:
+        """x is [not] null, x [not] in (...), x [not] like '...'."""
+        if self.take("is"):
+            negated = self.take("not")
+            self.need("null")
+            return ("null", left, negated)
+        negated = self.take("not")
+        if self.take("in"):
+            self.need("(")
+            return ("in", left, self.listed(")"), negated)
+        self.need("like")
+        return ("like", left, self.unary(), negated)
+
+    def listed(self, end: str) -> tuple[Node, ...]:
+        found = []
+        while not self.take(end):
+            if found:
+                self.need(",")
+            found.append(self.choice())
+        return tuple(found)
+
+    def unary(self) -> Node:
+        if self.peek() in _UNARY and self.tokens[self.at][0] == "op":
+            op = self.peek()
+            self.at += 1
+            x = self.unary()
+            return x if op == "+" else ("un", op, x)
+        return self.selected(self.primary())
+
+    def selected(self, node: Node) -> Node:
+        while self.take("["):
+            first = self.choice()
+            if self.take(":"):
+                high, low = _whole(first), _whole(self.choice())
+                if low > high:
+                    raise PropertyError("a part-select goes upwards")
+                node = ("part", node, high, low)
+            elif self.peek() in ("+:", "-:"):
+                down = self.take("-:") or not self.take("+:")
+                width = _whole(self.choice())
+                node = ("pick", node, ("bin", "-", first, ("num", width - 1, None)) if down else first, width)
+            else:
+                node = ("part", node, first[1], first[1]) if first[0] == "num" else ("pick", node, first, 1)
+            self.need("]")
+        return node
+
+    def primary(self) -> Node:
+        if self.at >= len(self.tokens):
+            raise PropertyError(f"{self.text!r} breaks off")
+        kind, value, width = self.tokens[self.at]
+        self.at += 1
+        if kind in ("num", "str"):
+            return (kind, value, width) if kind == "num" else (kind, value)
+        if value == "(":
+            node = self.choice()
+            self.need(")")
+            return node
+        if value == "{":
+            parts = self.listed_or_repeated()
+            return ("cat", parts)
+        if kind == "op":
+            raise PropertyError(f"can't read {value!r} in {self.text!r}")
+        if value.lower() in ("true", "false", "null"):
+            return ("const", {"true": True, "false": False, "null": None}[value.lower()])
+        if self.take("("):
+            return self.call(value, self.listed(")"))
+        if value.startswith("$"):
+            raise PropertyError(f"{value} needs arguments")
+        return self.known.get(value, ("name", value))
+
+    def listed_or_repeated(self) -> tuple[Node, ...]:
+        first = self.choice()
+        if self.take("{"):
+            parts = self.listed("}")
+            self.need("}")
+            return parts * _whole(first)
+        if self.take("}"):
+            return (first,)
+        self.need(",")
+        return (first, *self.listed("}"))
+
+    def call(self, name: str, args: tuple[Node, ...]) -> Node:
+        if name.startswith("$"):
+            if name not in SAMPLED:
+                raise PropertyError(f"{name} is not supported")
+            if len(args) not in ((1, 2) if name == "$past" else (1,)):
+                raise PropertyError(f"{name} has {len(args)} arguments")
+            if name == "$past":
+                if len(args) == 2 and (args[1][0] != "num" or not isinstance(args[1][1], int)):
+                    raise PropertyError("$past takes a whole number of rows")
+                return ("call", name, (args[0], args[1][1] if len(args) == 2 else 1))
+        return ("call", name, args)
+
+
+def _whole(node: Node) -> int:
+    if node[0] != "num" or not isinstance(node[1], int):
+        raise PropertyError("a select or repetition needs whole numbers")
+    return node[1]
+
 
 @dataclass(frozen=True)
 class Expression:
-    """A boolean or numeric expression at one row; `tokens` are (kind, text)."""
+    """A boolean or numeric expression at one row."""
 
     text: str
-    tokens: tuple[tuple[str, str], ...]
+    node: Node
+    #: Bits of signals; in a concatenation, a signal that isn't here is one bit.
+    widths: tuple[tuple[str, int], ...] = ()
 
     @staticmethod
-    def parse(text: str) -> Expression:
+    def parse(text: str, known: Mapping[str, Node] | None = None, widths: Mapping[str, int] | None = None) -> Expression:
+        """known: names that stand for other expressions."""
         text = text.strip()
         if not text:
             raise PropertyError("an expression is empty")
@@ -57,136 +236,219 @@ class Expression:
                 if text[at:].isspace():
                     break
                 raise PropertyError(f"can't read {text[at:at + 20]!r}")
-            if m[2]:
-                base = {"b": 2, "o": 8, "d": 10, "h": 16}[m[2].lower()]
-                tokens.append(("number", str(int(m[3].replace("_", ""), base))))
-            elif m[4]:
-                tokens.append(("number", m[4]))
-            elif m[5]:
-                tokens.append(("string", m[5]))
-            elif m[6]:
-                tokens.append(("name", m[6]))
+            if m["base"]:
+                try:
+                    value = int(m["digits"].replace("_", ""), {"b": 2, "o": 8, "d": 10, "h": 16}[m["base"].lower()])
+                except ValueError:
+                    raise PropertyError(f"can't read {m.group().strip()!r}") from None
+                tokens.append(("num", value, int(m["width"] or 32)))
+            elif m["fill"] == "0":
+                tokens.append(("num", 0, 1))
+            elif m["fill"]:
+                raise PropertyError("'1 is not supported, for its width isn't known")
+            elif m["number"]:
+                tokens.append(("num", float(m["number"]) if "." in m["number"] else int(m["number"]), None))
+            elif m["string"]:
+                tokens.append(("str", m["string"][1:-1], None))
             else:
-                tokens.append(("op", m[7]))
+                tokens.append(("name" if m["name"] else "op", m["name"] or m["op"], None))
             at = m.end()
-        return Expression(text, tuple(tokens))
+        return Expression(text, _Reader(tokens, known or {}, text).whole(), tuple(sorted((widths or {}).items())))
 
     def sql(self, back: int = 0) -> str:
-        """SQL at the row `back` rows ago."""
-        out, at = _render(self.tokens, 0, back, ())
-        if at != len(self.tokens):
-            raise PropertyError(f"can't read all of {self.text!r}")
-        return f"({out})"
+        """SQL of its truth at the row `back` rows ago."""
+        return f"({_truth(*_render(self.node, back, dict(self.widths)))})"
 
     def history(self) -> int:
         """Rows that the expression itself looks back."""
-        return _depth(self.tokens)
+        return _depth(self.node)
 
     def names(self) -> set[str]:
-        return {t for k, t in self.tokens if k == "name" and t[0] != "$" and t.lower() not in _WORDS}
+        return {n[1] for n in _walk(self.node) if n[0] == "name"}
 
 
-_WORDS = {"and": "AND", "or": "OR", "not": "NOT", "true": "true", "false": "false", "null": "null", "is": "IS", "in": "IN", "like": "LIKE"}
-_OPS = {"&&": "AND", "||": "OR", "==": "=", "!=": "<>"}
-_SAMPLED = ("$past", "$rose", "$fell", "$stable", "$changed", "$onehot", "$onehot0", "$countones")
+def _children(node: Node) -> list[Node]:
+    return [y for x in node[1:] for y in (x if isinstance(x, tuple) and (not x or isinstance(x[0], tuple)) else [x]) if isinstance(y, tuple)]
 
 
-def _close(tokens: tuple, at: int) -> int:
-    depth = 0
-    for i in range(at, len(tokens)):
-        if tokens[i] == ("op", "("):
-            depth += 1
-        elif tokens[i] == ("op", ")"):
-            depth -= 1
-            if not depth:
-                return i
-    raise PropertyError("a bracket is not closed")
+def _walk(node: Node) -> Iterator[Node]:
+    yield node
+    for child in _children(node):
+        yield from _walk(child)
 
 
-def _arguments(tokens: tuple, at: int) -> tuple[list[tuple], int]:
-    end, depth, args, start = _close(tokens, at), 0, [], at + 1
-    for i in range(at, end):
-        depth += (tokens[i] == ("op", "(")) - (tokens[i] == ("op", ")"))
-        if depth == 1 and tokens[i] == ("op", ","):
-            args.append(tokens[start:i])
-            start = i + 1
-    return [*args, tokens[start:end]], end + 1
+def _depth(node: Node) -> int:
+    own = 0
+    if node[0] == "call":
+        own = node[2][1] if node[1] == "$past" else int(node[1] in ("$rose", "$fell", "$stable", "$changed"))
+        return own + max((_depth(x) for x in node[2] if isinstance(x, tuple)), default=0)
+    return max((_depth(x) for x in _children(node)), default=0)
 
 
-def _past_rows(args: list[tuple]) -> int:
-    if len(args) == 1:
-        return 1
-    if len(args) == 2 and len(args[1]) == 1 and args[1][0][0] == "number" and args[1][0][1].isdigit():
-        return int(args[1][0][1])
-    raise PropertyError("$past takes a whole number of rows")
-
-
-def _operand(tokens: tuple, at: int, back: int) -> tuple[str, int]:
-    """One operand of a unary operator."""
-    kind, text = tokens[at]
-    if (kind, text) in (("op", "!"), ("op", "~"), ("op", "-")):
-        inner, end = _operand(tokens, at + 1, back)
-        return (f"(NOT {inner})" if text == "!" else f"({text}{inner})"), end
-    if (kind, text) == ("op", "("):
-        end = _close(tokens, at)
-        return f"({_render(tokens[at + 1 : end], 0, back, ())[0]})", end + 1
-    if kind == "name" and at + 1 < len(tokens) and tokens[at + 1] == ("op", "("):
-        return _call(text, tokens, at + 1, back)
+def width_of(node: Node, widths: Mapping[str, int]) -> int | None:
+    """Bits of an expression's value, where they are known."""
+    kind = node[0]
+    if kind == "num":
+        return node[2]
     if kind == "name":
-        if text.startswith("$"):
-            raise PropertyError(f"{text} needs arguments")
-        if text.lower() in _WORDS:
-            return _WORDS[text.lower()], at + 1
-        return (f"lag(`{text}`, {back}) OVER w" if back else f"`{text}`"), at + 1
-    return text, at + 1
+        return widths.get(node[1])
+    if kind == "part":
+        return node[2] - node[3] + 1
+    if kind == "pick":
+        return node[3]
+    if kind == "cat":
+        return sum(width_of(x, widths) or 1 for x in node[1])
+    if kind in ("null", "in", "like", "const") or (kind == "un" and node[1] not in ("~", "-")) or (kind == "bin" and node[1] in ("or", "and", "==", "!=", "<", "<=", ">", ">=")):
+        return 1
+    if kind == "call":
+        return width_of(node[2][0], widths) if node[1] == "$past" else (1 if node[1] in SAMPLED and node[1] != "$countones" else None)
+    of = [width_of(x, widths) for x in _children(node)[1 if kind == "if" else 0 :]]
+    return None if not of or None in of else max(of)
+
+
+def _mask(width: int) -> int:
+    return (1 << width) - 1 if width < 64 else -1
+
 
+#: What a piece of SQL gives: a truth value, a number of bits, or a column whose type isn't known here.
+BOOL, BITS, ANY = "bool", "bits", "any"
 
-def _call(name: str, tokens: tuple, at: int, back: int) -> tuple[str, int]:
-    args, end = _arguments(tokens, at)
+
+def _truth(text: str, kind: str) -> str:
+    return text if kind == BOOL else f"({text} <> 0)" if kind == BITS else f"CAST({text} AS BOOLEAN)"
+
+
+def _bits(text: str, kind: str) -> str:
+    return text if kind == BITS else f"CAST({text} AS BIGINT)"
+
+
+def _number(text: str, kind: str) -> str:
+    return f"CAST({text} AS BIGINT)" if kind == BOOL else text
+
+
+def _equal(op: str, a: tuple[str, str], b: tuple[str, str], x: Node, y: Node) -> str:
+    """Columns are compared as they are, but as numbers where the other side shows that they are bits."""
+    sides = [a, b]
+    for k, (own, other) in enumerate(((x, y), (y, x))):
+        if sides[k][1] == ANY and own[0] not in ("str", "const"):
+            if sides[1 - k][1] == BOOL or (other[0] == "num" and other[2] is not None) or (sides[1 - k][1] == BITS and other[0] != "num"):
+                sides[k] = (_bits(*sides[k]), BITS)
+            elif other[0] == "num" and other[1] in (0, 1):
+                sides[k] = (f"CAST({sides[k][0]} AS DOUBLE)", BITS)  # of a flag or of any number
+    if a[1] != b[1]:
+        sides = [(_number(*s), BITS) for s in sides]
+    return f"({sides[0][0]} {'=' if op == '==' else '<>'} {sides[1][0]})"
+
+
+def _render(node: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
+    """SQL at the row `back` rows ago, and what it gives."""
+    kind = node[0]
+    if kind == "num":
+        return repr(node[1]), BITS
+    if kind == "str":
+        return "'" + node[1] + "'", ANY
+    if kind == "const":
+        return {True: "true", False: "false", None: "NULL"}[node[1]], BOOL
+    if kind == "name":
+        return (f"lag(`{node[1]}`, {back}) OVER w" if back else f"`{node[1]}`"), ANY
+    if kind == "part":
+        x = _bits(*_render(node[1], back, widths))
+        return f"(shiftright({x}, {node[3]}) & {_mask(node[2] - node[3] + 1)})", BITS
+    if kind == "pick":
+        x, at = _bits(*_render(node[1], back, widths)), _bits(*_render(node[2], back, widths))
+        return f"(shiftright({x}, CAST({at} AS INT)) & {_mask(node[3])})", BITS
+    if kind == "cat":
+        if (width_of(node, widths) or 0) > 63:
+            raise PropertyError("a concatenation of over 63 bits is not supported")
+        out, at = [], 0
+        for part in reversed(node[1]):
+            n = width_of(part, widths) or 1
+            out.append(f"shiftleft({_bits(*_render(part, back, widths))} & {_mask(n)}, {at})")
+            at += n
+        return f"({' | '.join(out)})", BITS
+    if kind == "if":
+        yes, no = _render(node[2], back, widths), _render(node[3], back, widths)
+        if yes[1] != no[1]:
+            yes, no = (_bits(*yes), BITS), (_bits(*no), BITS)
+        c = _truth(*_render(node[1], back, widths))
+        return f"CASE WHEN {c} THEN {yes[0]} WHEN NOT {c} THEN {no[0]} END", yes[1]
+    if kind == "un":
+        return _render_unary(node[1], node[2], back, widths)
+    if kind == "bin":
+        return _render_binary(node, back, widths)
+    if kind == "null":
+        return f"({_render(node[1], back, widths)[0]} IS {'NOT ' if node[2] else ''}NULL)", BOOL
+    if kind == "in":
+        listed = ", ".join(_render(x, back, widths)[0] for x in node[2])
+        return f"({_render(node[1], back, widths)[0]} {'NOT ' if node[3] else ''}IN ({listed}))", BOOL
+    if kind == "like":
+        return f"({_render(node[1], back, widths)[0]} {'NOT ' if node[3] else ''}LIKE {_render(node[2], back, widths)[0]})", BOOL
+    return _render_call(node[1], node[2], back, widths)
+
+
+def _render_unary(op: str, x: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
+    inner = _render(x, back, widths)
+    if op == "!":
+        return f"(NOT {_truth(*inner)})", BOOL
+    if op == "-":
+        return f"(- {_number(*inner)})", BITS if inner[1] == BOOL else inner[1]
+    own, width = _bits(*inner), width_of(x, widths)
+    if op == "~":
+        return (f"(~{own})" if width is None else f"(~{own} & {_mask(width)})"), BITS
+    if op in ("&", "~&") and width is None:
+        raise PropertyError("an and over all bits needs a known width")
+    test = {"&": f"({own} = {_mask(width or 1)})", "|": f"({own} <> 0)", "^": f"(bit_count({own}) % 2 = 1)"}[op[-1]]
+    return (f"(NOT {test})" if op[0] == "~" else test), BOOL
+
+
+def _render_binary(node: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
+    _, op, x, y = node
+    a, b = _render(x, back, widths), _render(y, back, widths)
+    if op in ("and", "or"):
+        return f"({_truth(*a)} {op.upper()} {_truth(*b)})", BOOL
+    if op in ("==", "!="):
+        return _equal(op, a, b, x, y), BOOL
+    if op in ("<", "<=", ">", ">="):
+        return f"({_number(*a)} {op} {_number(*b)})", BOOL
+    if op in ("<<", ">>"):
+        return f"shift{'left' if op == '<<' else 'right'}({_bits(*a)}, CAST({_bits(*b)} AS INT))", BITS
+    if op in ("&", "|", "^", "~^"):
+        both = f"({_bits(*a)} {op[-1]} {_bits(*b)})"
+        return (both if op != "~^" else f"(~{both})"), BITS
+    return f"({_number(*a)} {op} {_number(*b)})", BITS if ANY not in (a[1], b[1]) else ANY
+
+
+def _render_call(name: str, args: tuple, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
     if not name.startswith("$"):
-        return f"{name}({', '.join(_render(a, 0, back, ())[0] for a in args)})", end
-    if name not in _SAMPLED:
-        raise PropertyError(f"{name} is not supported")
-    now = f"({_render(args[0], 0, back, ())[0]})"
+        return f"{name}({', '.join(_render(a, back, widths)[0] for a in args)})", ANY
     if name == "$past":
-        return f"({_render(args[0], 0, back + _past_rows(args), ())[0]})", end
+        return _render(args[0], back + args[1], widths)
+    now = _render(args[0], back, widths)
     if name in ("$countones", "$onehot", "$onehot0"):
-        return {"$countones": f"bit_count{now}", "$onehot": f"(bit_count{now} = 1)", "$onehot0": f"(bit_count{now} <= 1)"}[name], end
-    before = f"({_render(args[0], 0, back + 1, ())[0]})"
-    return {"$rose": f"({now} AND NOT {before})", "$fell": f"(NOT {now} AND {before})", "$stable": f"({now} = {before})", "$changed": f"({now} <> {before})"}[name], end
-
-
-def _render(tokens: tuple, at: int, back: int, _: tuple) -> tuple[str, int]:
-    out = []
-    while at < len(tokens):
-        kind, text = tokens[at]
-        if kind == "op" and text in ("!", "~", "("):
-            piece, at = _operand(tokens, at, back)
-        elif kind == "name":
-            piece, at = _operand(tokens, at, back)
-        else:
-            piece, at = _OPS.get(text, text), at + 1
-        out.append(piece)
-    return " ".join(out), at
-
-
-def _depth(tokens: tuple) -> int:
-    deepest, at = 0, 0
-    while at < len(tokens):
-        kind, text = tokens[at]
-        if kind == "name" and text.startswith("$") and at + 1 < len(tokens) and tokens[at + 1] == ("op", "("):
-            args, end = _arguments(tokens, at + 1)
-            own = _past_rows(args) if text == "$past" else 1 if text in ("$rose", "$fell", "$stable", "$changed") else 0
-            deepest = max(deepest, own + _depth(args[0]))
-            at = end
-        else:
-            at += 1
-    return deepest
+        n = f"bit_count({now[0]})"
+        return {"$countones": (n, BITS), "$onehot": (f"({n} = 1)", BOOL), "$onehot0": (f"({n} <= 1)", BOOL)}[name]
+    before = _render(args[0], back + 1, widths)
+    if name in ("$rose", "$fell"):
+        low, high = (before, now) if name == "$rose" else (now, before)
+        return f"({_truth(*high)} AND NOT {_truth(*low)})", BOOL
+    return f"({now[0]} {'=' if name == '$stable' else '<>'} {before[0]})", BOOL
 
 
 # --- sequences and properties ---
 
 
+@dataclass
+class Defaults:
+    """What holds for a whole block: its disabling condition, names that stand for expressions, bits of signals."""
+
+    disable: Expression | None = None
+    known: dict[str, Node] = field(default_factory=dict)
+    widths: dict[str, int] = field(default_factory=dict)
+
+    def expression(self, text: str) -> Expression:
+        return Expression.parse(text, self.known, self.widths)
+
+
 @dataclass(frozen=True)
 class Sequence:
     """Expressions, each some rows after the first."""
@@ -262,7 +524,7 @@ def base_label(label: str) -> str:
 _DELAY = re.compile(r"\s*##\s*(?:(\d+)|\[\s*(\d+)\s*:\s*(\d+|\$)\s*\])")
 
 
-def parse_sequence(text: str, ranged: bool = False) -> tuple[Sequence, tuple[int, int] | None]:
+def parse_sequence(text: str, ranged: bool = False, defaults: Defaults | None = None) -> tuple[Sequence, tuple[int, int] | None]:
     """A sequence; with `ranged`, it may start with a delay, and a ranged one is returned beside it."""
     at, offset, window = 0, 0, None
     if m := _DELAY.match(text):
@@ -280,7 +542,7 @@ def parse_sequence(text: str, ranged: bool = False) -> tuple[Sequence, tuple[int
     parts, offsets = [], []
     while True:
         nxt = scan.find_top_level(text, "##", at)
-        parts.append(Expression.parse(scan.strip_parens(text[at : nxt if nxt >= 0 else None])))
+        parts.append((defaults or Defaults()).expression(scan.strip_parens(text[at : nxt if nxt >= 0 else None])))
         offsets.append(offset)
         if nxt < 0:
             break
@@ -293,19 +555,19 @@ def parse_sequence(text: str, ranged: bool = False) -> tuple[Sequence, tuple[int
     return Sequence(tuple(parts), tuple(offsets)), window
 
 
-def parse_implication(text: str, disable: Expression | None) -> Property:
+def parse_implication(text: str, disable: Expression | None, defaults: Defaults | None = None) -> Property:
     text = scan.strip_parens(text)
     for operator in ("|->", "|=>"):
         if (at := scan.find_top_level(text, operator)) >= 0:
             left, right = text[:at], scan.strip_parens(text[at + 3 :])
             if "|->" in right or "|=>" in right or "|->" in left or "|=>" in left:
                 raise PropertyError("nested implications are not supported")
-            antecedent = parse_sequence(scan.strip_parens(left))[0]
+            antecedent = parse_sequence(scan.strip_parens(left), defaults=defaults)[0]
             if disable is not None and _same(antecedent, disable):
                 raise PropertyError("the antecedent is the disabling condition, so the check would be vacuous")
-            consequent, window = parse_sequence(right, ranged=True)
+            consequent, window = parse_sequence(right, True, defaults)
             return Property(antecedent, operator, consequent, window, disable)
-    return Property(parse_sequence(text)[0], disable=disable)
+    return Property(parse_sequence(text, defaults=defaults)[0], disable=disable)
 
 
 def _same(antecedent: Sequence, disable: Expression) -> bool:
@@ -314,11 +576,6 @@ def _same(antecedent: Sequence, disable: Expression) -> bool:
     return len(antecedent.parts) == 1 and squeeze(antecedent.parts[0].text) == squeeze(disable.text)
 
 
-@dataclass
-class Defaults:
-    disable: Expression | None = None
-
-
 _CLOCK = re.compile(r"\s*@\s*\(\s*posedge\s+(\w+)\s*\)")
 _DISABLE = re.compile(r"\s*disable\s+iff\s*(?=\()")
 
@@ -333,16 +590,16 @@ def parse_body(text: str, defaults: Defaults | None = None) -> list[Property]:
         end = scan.closing(text, m.end())
         if end < 0:
             raise PropertyError("disable iff: a bracket is not closed")
-        disable, at = Expression.parse(text[m.end() + 1 : end - 1]), end
+        disable, at = (defaults or Defaults()).expression(text[m.end() + 1 : end - 1]), end
     body = scan.strip_parens(text[at:])
     parts = scan.split_top_level(body, "and")
     if len(parts) > 1:
         implied = [("|->" in p) or ("|=>" in p) for p in parts]
         if not any(implied):
-            return [parse_implication(body, disable)]
+            return [parse_implication(body, disable, defaults)]
         if not all(implied):
             raise PropertyError("implications and plain expressions can't be mixed in a conjunction")
-    return [parse_implication(p, disable) for p in parts]
+    return [parse_implication(p, disable, defaults) for p in parts]
 
 
 def _gate(disable: Expression | None, rows: int) -> str:
@@ -384,18 +641,51 @@ def checks_of(label: str, kind: str, prop: Property, min_depth: int = 0, auto_co
 _PROPERTY = re.compile(r"\bproperty\s+(\w+)\s*;(.*?)\bendproperty\b(?:\s*:\s*\w+)?", re.S)
 _STATEMENT = re.compile(r"(?:\b(\w+)\s*:\s*)?\b(assert|assume|cover)\s+property\s*(?=\()")
 _DEFAULT_DISABLE = re.compile(r"\bdefault\s+disable\s+iff\s*(?=\()")
+#: A declaration: a kind, a range, a name and perhaps a value; or an assignment.
+_DECLARED = re.compile(
+    r"(?:^|(?<=;))[ \t]*(?:localparam|parameter|wire|logic|reg|bit|int|integer|assign)\b(?:\s+(?:signed|unsigned|int|logic|bit))*\s*"
+    r"(?:\[\s*(?P<high>\d+)\s*:\s*(?P<low>\d+)\s*\]\s*)?(?P<name>[A-Za-z_]\w*)\s*(?:=\s*(?P<value>[^;]+?))?\s*;",
+    re.M,
+)
+_RUNNING = re.compile(r"\b(always\w*|initial)\b")
 _PREFIX = {"assert": "a", "assume": "m", "cover": "c"}
 
 
-def parse_block(text: str, min_depth: int = 0, auto_cover: bool = True, strict: bool = True) -> Plan:
-    """All checks of a block. strict: assumptions are refused, for they would weaken what is checked."""
+def _declare(text: str, defaults: Defaults, plan: Plan) -> str:
+    """Takes in a block's own declarations, and returns the rest of its text.
+
+    A name that is given a value stands for that expression; one that isn't is a column, and only its width is noted.
+    Code that runs (always, initial) can't be followed over recorded rows, and is reported.
+    """
+    for m in _DECLARED.finditer(text):
+        if m["name"] and m["high"]:
+            defaults.widths[m["name"]] = int(m["high"]) - int(m["low"]) + 1
+        if m["value"]:
+            try:
+                defaults.known[m["name"]] = defaults.expression(m["value"]).node
+            except PropertyError as e:
+                plan.skipped.append((m["name"], str(e)))
+    rest = _DECLARED.sub(" ", text)
+    plan.skipped += [(m[1], "code that runs is not supported") for m in _RUNNING.finditer(rest)]
+    return rest
+
+
+def parse_block(text: str, min_depth: int = 0, auto_cover: bool = True, strict: bool = True, widths: Mapping[str, int] | None = None, disable: str | None = None) -> Plan:
+    """All checks of a block.
+
+    strict: assumptions are refused, for they would weaken what is checked. widths: bits of signals, where they matter
+    (concatenations, ~ and & over all bits). disable: the condition that counts where neither a property nor the block
+    names one.
+    """
     text = scan.strip_comments(text)
     text = scan.expand_macros(text, scan.defines(text))
-    plan, defaults = Plan(), Defaults()
-    if m := _DEFAULT_DISABLE.search(text):
-        defaults.disable = Expression.parse(text[m.end() + 1 : scan.closing(text, m.end()) - 1])
+    plan, defaults = Plan(), Defaults(widths=dict(widths or {}))
     bodies = {m[1]: m[2].strip().rstrip(";") for m in _PROPERTY.finditer(text)}
-    rest = _PROPERTY.sub(" ", text)
+    rest = _declare(_PROPERTY.sub(" ", text), defaults, plan)
+    if m := _DEFAULT_DISABLE.search(text):
+        defaults.disable = defaults.expression(text[m.end() + 1 : scan.closing(text, m.end()) - 1])
+    elif disable is not None:
+        defaults.disable = defaults.expression(disable)
     for n, m in enumerate(_STATEMENT.finditer(rest)):
         end = scan.closing(rest, m.end())
         if end < 0:

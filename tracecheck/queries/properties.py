@@ -18,7 +18,7 @@ BY, ORDER = ["user_id"], ["ts", "event_id"]
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.col("event_type")
-    return e.select("user_id", "ts", "event_id", "event_type", F.col("value").alias("val"), *[(kind == k).alias(s) for k, s in (("view", "vw"), ("click", "clk"), ("purchase", "buy"), ("signup", "sgn"), ("error", "err"))])
+    return e.select("user_id", "ts", "event_id", "event_type", F.col("value").alias("val"), F.floor("value").cast("long").alias("num"), *[(kind == k).alias(s) for k, s in (("view", "vw"), ("click", "clk"), ("purchase", "buy"), ("signup", "sgn"), ("error", "err"))])
 
 
 #: The blocks, by query.
@@ -38,6 +38,19 @@ BLOCKS = {
     "prop_vacuity": "a_v: assert property (vw && clk |-> buy);",
     "prop_invariant": "a_i: assert property (val >= 0 && !(vw && clk));",
     "prop_guard_unchecked": "a_u: assert property (vw |-> ##70 buy);",
+    "prop_bit_select": "a_b: assert property (num[0] |=> num[2:1] != 2'd3 || $past(num[3]));",
+    "prop_concat": "a_k: assert property (vw |=> {$past(vw), buy, num[1:0]} != 4'b1000);",
+    "prop_onehot": "a_h: assert property ($onehot(num[3:0]) |=> $countones(num[3:0]) > 1 || $onehot0({vw, clk, num[4]}));",
+    "prop_choice": "a_q: assert property (vw |=> (buy ? num[0] : ^num[1:0]));",
+    "prop_bitwise": "a_w: assert property (1'b1 |=> (num[3:0] & ~$past(num[3:0])) != 4'd0 || (num >> 2 | 1) == num[5:2] + !num[2]);",
+    "prop_declared": """
+      default clocking cb @(posedge clock); endclocking
+      default disable iff (err);
+      localparam LIMIT = 10;
+      wire low = val < LIMIT;
+      property p_low; low |=> !low || buy; endproperty
+      a_l: assert property (p_low) else $error("low");
+    """,
 }
 #: Queries whose plan also has the covers of the antecedents.
 WITH_COVERS = {"prop_vacuity"}
@@ -76,6 +89,13 @@ def prop_split_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.verdicts(rows, plan, ["half"], ORDER, split=2048)
 
 
+def prop_assume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks over the rows before a trace's first row that breaks an assumption."""
+    plan = parse_block("m_a: assume property (vw |=> !sgn); a_n: assert property (vw |=> buy);", auto_cover=False, strict=False)
+    rows = monitor.assumed(events(spark, sf_dir), plan, BY, ORDER)
+    return monitor.verdicts(rows, monitor.assumptions(plan)[1], BY, ORDER)
+
+
 def prop_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.violations(events(spark, sf_dir), _plan("prop_disable_iff"), BY, ORDER)
 
@@ -154,13 +174,13 @@ def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: _checked(n) for n in BLOCKS} | {
-    f.__name__: f for f in (prop_suite_verdicts, prop_reset_assumed, prop_split_traces, prop_violations, prop_first_fail, cex_window, changed_at_failure, step_by_change, step_by_edge, dense_forward_fill, skipped_items, stream_violations)
+    f.__name__: f for f in (prop_suite_verdicts, prop_reset_assumed, prop_split_traces, prop_assume, prop_violations, prop_first_fail, cex_window, changed_at_failure, step_by_change, step_by_edge, dense_forward_fill, skipped_items, stream_violations)
 }
 
 # --- SQL: looks forward from each antecedent with joins, where the plan looks back with lags ---
 
 _T = """WITH t AS (
-  SELECT user_id, event_id, event_type, value AS val, event_type = 'view' AS vw, event_type = 'click' AS clk, event_type = 'purchase' AS buy,
+  SELECT user_id, event_id, event_type, value AS val, floor(value)::BIGINT AS num, event_type = 'view' AS vw, event_type = 'click' AS clk, event_type = 'purchase' AS buy,
     event_type = 'signup' AS sgn, event_type = 'error' AS err, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS c FROM events
 ), n AS (SELECT user_id, count(*) AS n_rows FROM t GROUP BY user_id)"""
 _AFTER = "FROM t a JOIN t b ON b.user_id = a.user_id AND b.c = a.c + {k} WHERE a.vw"
@@ -211,6 +231,21 @@ ORACLES = {
     "prop_vacuity": _verdicts(("a_v", "assert", 0, "SELECT user_id, c, NOT buy AS bad FROM t WHERE vw AND clk"), ("a_v__cov", "cover", 0, "SELECT user_id, c, vw AND clk AS bad FROM t")),
     "prop_invariant": _verdicts(("a_i", "assert", 0, "SELECT user_id, c, NOT (val >= 0 AND NOT (vw AND clk)) AS bad FROM t")),
     "prop_guard_unchecked": _verdicts(("a_u", "assert", 70, _delayed(70, "NOT b.buy"))),
+    "prop_bit_select": _verdicts(("a_b", "assert", 1, _delayed(1, "NOT ((b.num >> 1) % 4 <> 3 OR (a.num >> 3) % 2 = 1)").replace("a.vw", "a.num % 2 = 1"))),
+    "prop_concat": _verdicts(("a_k", "assert", 1, _delayed(1, "NOT b.buy AND b.num % 4 = 0"))),
+    "prop_onehot": _verdicts(
+        ("a_h", "assert", 1, _delayed(1, "NOT (bit_count((b.num % 16)::INT) > 1 OR b.vw::INT + b.clk::INT + (b.num >> 4) % 2 <= 1)").replace("a.vw", "a.num % 16 IN (1, 2, 4, 8)"))
+    ),
+    "prop_choice": _verdicts(("a_q", "assert", 1, _delayed(1, "CASE WHEN b.buy THEN b.num % 2 = 0 ELSE b.num % 4 IN (0, 3) END"))),
+    "prop_bitwise": _verdicts(
+        ("a_w", "assert", 1, _delayed(1, "NOT ((b.num % 16) & (15 - a.num % 16) <> 0 OR ((b.num >> 2) | 1) = (b.num >> 2) % 16 + ((b.num >> 2) % 2 = 0)::INT)").replace("WHERE a.vw", ""))
+    ),
+    "prop_declared": _verdicts(("a_l", "assert", 1, _delayed(1, "b.val < 10 AND NOT b.buy", "AND NOT a.err AND NOT b.err").replace("a.vw", "a.val < 10"))),
+    "prop_assume": _verdicts(("a_n", "assert", 1, _delayed(1, "NOT b.buy")))
+    .replace("WITH t AS (", "WITH t0 AS (")
+    .replace("), n AS (", "), t AS (SELECT * FROM t0 x WHERE NOT EXISTS (SELECT 1 FROM t0 p JOIN t0 q ON q.user_id = p.user_id AND q.c = p.c + 1 WHERE p.user_id = x.user_id AND q.c <= x.c AND p.vw AND q.sgn)), n AS (", 1),
+    "skipped_items": """SELECT * FROM (VALUES ('checked', 'a_ok', 'depth 1'), ('skipped', 'a_rep', 'repetition is not supported'), ('skipped', 'a_inf', 'an unbounded delay is not supported'),
+      ('skipped', 'a_ref', 'property p_missing is not declared'), ('skipped', 'm_one', 'property vw is not declared'), ('skipped', 'a_far', 'reaches back over 254 rows')) AS v(what, item, reason)""",
     "prop_suite_verdicts": f"""SELECT user_id, max(n_rows) AS n_rows, count(*) AS n_checks, count(*) FILTER (verdict = 'HOLDS') AS n_holds,
       count(*) FILTER (verdict = 'VIOLATED') AS n_violated, count(*) FILTER (verdict = 'VACUOUS') AS n_vacuous, count(*) FILTER (verdict = 'UNCHECKED') AS n_unchecked,
       min(first_hit) FILTER (verdict = 'VIOLATED') AS first_violation,
