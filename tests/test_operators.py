@@ -95,10 +95,13 @@ def test_history_and_tokens(spark):
 
 def test_weighted_draw_follows_weights(spark):
     rows = spark.createDataFrame([(i, 9.0 if i == 3 else 1.0) for i in range(10)] + [(10, 0.0)], "k long, w double")
-    drawn = curate.weighted_draw(rows, "k", F.col("w"), 4000, seed=1, buckets=4)
+    drawn = curate.weighted_draw(rows, "k", F.col("w"), 4000, seed=1)
     counts = {r.k: r["count"] for r in drawn.groupBy("k").count().collect()}
     assert sum(counts.values()) == 4000
     assert abs(counts[3] - 2000) < 200 and counts.get(10, 0) < 10
+    again = curate.weighted_draw(rows.repartition(3), "k", F.col("w"), None, seed=1)
+    assert again.columns == ["draw", "k", "w"] and sorted(r.draw for r in again.collect()) == list(range(11))
+    assert curate.weighted_draw(rows.where("k < 0"), "k", F.col("w"), 5, seed=1).count() == 0
 
 
 def test_catalog(spark):

@@ -1,8 +1,10 @@
 """Source text: scanning, blocks, modules, mutants, contexts, catalogs."""
 
-import pytest
+from pyspark.sql import functions as F
 
-from tracecheck.functions import blocks, canonical, context, jobs, mutate, prompts, scan, udtf
+from tracecheck.functions import scan
+from tracecheck.operators import mutants as mutation
+from tracecheck.operators import source
 from tracecheck.sources import designs, generation, logs
 
 MODULE = """module m #(parameter W = 4) (
@@ -39,77 +41,123 @@ def test_scanning():
     assert scan.leftover_macros("`ifdef X `Y `endif `Y // `Z") == ["Y"]
 
 
-def test_block_edits():
-    block = "`ifdef FORMAL\nproperty p; a |-> b; endproperty\nproperty o; c; endproperty\nx: assert property (p);\n// y: assert property (q);\nz: cover property (c);\n`endif\n"
-    assert blocks.declared(block) == ({"p", "o"}, {"x", "z"}) and blocks.has_assert(block) and blocks.has_cover(block)
-    left = blocks.strip_labels(block, ["X"])
-    assert blocks.declared(left) == (set(), {"z"}) and "`ifdef FORMAL" in left
-    fresh, dropped = blocks.drop_duplicates("property P; d; endproperty\nz: cover property (d);", block)
-    assert blocks.declared(fresh) == ({"o"}, set()) and set(dropped) == {"x", "z", "p"}
-    assert blocks.drop_duplicates("", block) == (block, ())
-    assert blocks.declared(blocks.merge(left, "n: assert property (k);"))[1] == {"z", "n"}
-    cut = blocks.strip_truncated("a: assert property (x);\nproperty q; y |->")
-    assert blocks.declared(cut) == (set(), {"a"})
-    assert not blocks.has_assert("// a: assert property (x);")
-
-
-def test_extraction():
-    answer = "<think>a: assert property (wrong);</think>Sure!\n```systemverilog\nHere is prose.\nproperty p;\n  a |-> b;\nendproperty\na_p: assert property (p);\n```\nBye"
-    got = blocks.extract(answer)
-    assert "prose" not in got and blocks.declared(got) == ({"p"}, {"a_p"})
-    assert blocks.declared(blocks.extract("`ifdef FORMAL\nc: cover property (x);\n`endif"))[1] == {"c"}
-    assert blocks.declared(blocks.extract("```verilog\nc: cover property (x);"))[1] == {"c"}
-    with pytest.raises(blocks.NoBlock):
-        blocks.extract("I can write: cover property of this. No.")
+def each(spark, make, *values):
+    """make(column) of one row whose columns c0, c1, ... hold the values."""
+    df = spark.createDataFrame([tuple(values)], ", ".join(f"c{i} {'array<string>' if isinstance(v, list) else 'string'}" for i, v in enumerate(values)))
+    return df.select(make(*[F.col(c) for c in df.columns]).alias("x")).first().x
+
+
+def names(found, *kinds):
+    return {x["name"] for x in found if x["kind"] in kinds}
+
+
+def test_comments(spark):
+    t = 'a = 1; // x\nb = "// no"; /* c\nd */ e'
+    assert each(spark, source.strip_comments, t) == scan.strip_comments(t) == 'a = 1; \nb = "// no";   e'
+    assert each(spark, source.blank_comments, t) == scan.blank_comments(t) and each(spark, source.mask, t) == scan.mask_strings(t)
+    for odd in ("", '"open', "/* open", "a / b", '"a\\"b" // "c"', "/*/ x */ y", "x" * 50_000 + "// y"):
+        assert each(spark, source.strip_comments, odd) == scan.strip_comments(odd) and each(spark, source.blank_comments, odd) == scan.blank_comments(odd)
+    assert each(spark, source.strip_comments, None) is None
 
 
-def test_modules():
-    assert blocks.module_names(MODULE + "// module no\nmodule two; endmodule") == ["m", "two"]
-    once = blocks.inject(MODULE, "a: assert property (q >= 0);", "m")
+def test_block_edits(spark):
+    block = "`ifdef FORMAL\nproperty p; a |-> b; endproperty\nproperty o; c; endproperty\nx: assert property (p);\n// y: assert property (q);\nz: cover property (c);\n`endif\n"
+    got = each(spark, source.items, block)
+    assert [(x.kind, x.name, x.ref, x.complete) for x in got] == [("property", "p", None, True), ("property", "o", None, True), ("assert", "x", "p", True), ("cover", "z", "c", True)]
+    left = each(spark, lambda b: source.written(source.strip_labels(source.items(b), F.array(F.lit("x")))), block)
+    assert left == "`ifdef FORMAL\nz: cover property (c);\n`endif\n"
+    rows = source.statements(spark.createDataFrame([(1, block)], "k int, b string"), ["k"], "b")
+    kept = source.statements(spark.createDataFrame([(1, "property P; d; endproperty\nz: cover property (d);")], "k int, b string"), ["k"], "b")
+    fresh, gone = source.drop_duplicates(rows, kept, ["k"])
+    assert [r.name for r in fresh.collect()] == ["o"] and {r.name for r in gone.collect()} == {"x", "z", "p"}
+    cut = each(spark, source.items, "a: assert property (x);\nproperty q; y |->")
+    assert [(x.name, x.complete) for x in cut] == [("a", True), ("q", False)]
+    assert each(spark, lambda b: source.has_kind(b, "assert", "assume"), "// a: assert property (x);") is False
+    assert each(spark, source.items, "") == []
+
+
+def test_extraction(spark):
+    get = lambda t: each(spark, source.extract_block, t)
+    answer = "<think>a: assert property (wrong);</think>Sure!\n```systemverilog\nHere is prose.\nproperty p;\n  a |-> b;\nendproperty\na_p: assert property (p);\n```\nBye"
+    got = get(answer)
+    found = each(spark, source.items, got)
+    assert "prose" not in got and names(found, "property") == {"p"} and names(found, "assert") == {"a_p"}
+    assert names(each(spark, source.items, get("`ifdef FORMAL\nc: cover property (x);\n`endif")), "cover") == {"c"}
+    assert names(each(spark, source.items, get("```verilog\nc: cover property (x);")), "cover") == {"c"}
+    assert "a: assert" in get("<think>a: assert property (only);</think>none") and "`define A 1" in get("```\n`define A 1\na: assert property (x);\n```")
+    assert get("I can write: cover property of this. No.") is None and get(None) is None
+
+
+def test_modules(spark):
+    assert each(spark, source.module_names, MODULE + "// module no\nmodule two; endmodule") == ["m", "two"]
+    once = each(spark, source.inject, MODULE, "a: assert property (q >= 0);", "m")
     assert once.index("assert") < once.index("endmodule") and "`ifdef FORMAL" in once
-    assert "".join(blocks.strip_formal(once).split()) == "".join(MODULE.split())
+    strip = lambda t: each(spark, source.strip_formal, t)
+    assert "".join(strip(once).split()) == "".join(MODULE.split())
     nested = "a\n`ifdef FORMAL\nx\n`ifdef Y\ny\n`endif\n`else\nkept\n`endif\nb\n`ifdef Z\nz\n`endif\n"
-    assert blocks.strip_formal(nested) == "a\nkept\nb\n`ifdef Z\nz\n`endif\n"
-    assert blocks.strip_formal("`ifdef FORMAL\nx\n`elsif Q\nq\n`else\nr\n`endif\n") == "`ifdef Q\nq\n`else\nr\n`endif\n"
-    for bad in (("module x; ", "m"), (MODULE, "none")):
-        with pytest.raises(blocks.NoModule):
-            blocks.inject(bad[0], "a: assert property (q);", bad[1])
+    assert strip(nested) == "a\nkept\nb\n`ifdef Z\nz\n`endif\n"
+    assert strip("`ifdef FORMAL\nx\n`elsif Q\nq\n`else\nr\n`endif\n") == "`ifdef Q\nq\n`else\nr\n`endif\n"
+    for bad in (("module x; ", "a: b;", "m"), (MODULE, "a: b;", "none"), (MODULE, "// nothing", "m")):
+        assert each(spark, source.inject, *bad) is None
 
 
-def test_context():
-    c = context.extract(MODULE, "m")
-    assert [p[0] for p in c.ports] == ["clk", "rst_n", "a", "b", "q"] and [i[0] for i in c.internals] == ["state", "go", "stop"]
+def test_context(spark):
+    df = source.with_context(spark.createDataFrame([(MODULE, "m"), (MODULE, "none"), (None, "m")], "code string, top string"), "code", "top")
+    c, none, null = df.collect()
+    assert [p.name for p in c.ports] == ["clk", "rst_n", "a", "b", "q"] and [i.name for i in c.internals] == ["state", "go", "stop"]
+    assert (c.ports[2].width, c.ports[2].direction, c.internals[0].width) == ("[W-1:0]", "input", "[1:0]")
     assert (c.clock, c.reset, c.active_low) == ("clk", "rst_n", True) and c.constants == ["S0"]
-    assert c.disable_clause() == "disable iff (!rst_n)"
-    assert context.Context("m", reset="sys_resetn").disable_clause() == "disable iff (!sys_resetn)" and context.Context("m", reset="arst").disable_clause() == "disable iff (arst)"
-    assert [context.pick_clock([n], []) for n in ("sys_clk", "pclk", "i_clock", "clk_in", "click")] == ["sys_clk", "pclk", "i_clock", "clk_in", None]
-    assert context.cone(c, "a: assert property (go |-> q != a);")[0] == ["a", "q", "go"]
-    assert context.cone(context.Context("x"), "z")[1] == 1.0
-    assert context.dual_edge_clocks("always @(posedge c) x; always @(negedge c) y;", "posedge d // negedge d") == ["c"]
-    assert context.pick_clock(["x", "y"], [("posedge", "y"), ("posedge", "x"), ("posedge", "y")]) == "y"
-    assert context.polarity("r", [], "if (r) x; if (!r) y; if (!r) z;") is True and context.polarity("r", [], "") is None
-
-
-def test_mutants():
-    found = mutate.mutants(MODULE, limit=100)
-    operators = [m.operator for m in found]
-    assert len({m.text for m in found}) == len(found) and all(m.text != MODULE for m in found)
+    assert none.ports == [] and none.clock is None and null.ports is None
+    assert each(spark, lambda r: source.disable_clause(r, F.lit(None).cast("boolean")), "sys_resetn") == "disable iff (!sys_resetn)"
+    assert each(spark, lambda r: source.disable_clause(r, F.lit(None).cast("boolean")), "arst") == "disable iff (arst)"
+    for n, want in (("sys_clk", "sys_clk"), ("pclk", "pclk"), ("i_clock", "i_clock"), ("clk_in", "clk_in"), ("click", None)):
+        assert each(spark, source.pick_clock, [n], []) == want
+    assert each(spark, source.pick_clock, ["x", "y"], ["y", "x", "y"]) == "y"
+    assert each(spark, source.dual_edge_clocks, "always @(posedge c) x; always @(negedge c) y;\nposedge d // negedge d") == ["c"]
+    low = lambda body: each(spark, source.active_low, "r", [], [], body)
+    assert low("if (r) x; if (!r) y; if (!r) z;") is True and low("") is None and low("if (r == 1'b1) x;") is False
+    told = df.where("top = 'm' and code is not null").select(source.describe(F.col("top"), *[F.col(x) for x in ("ports", "internals", "constants", "clock", "reset", "active_low")]).alias("x")).first().x
+    assert "clock: clk" in told and "disable iff (!rst_n)" in told
+
+
+def test_mutants(spark):
+    df = spark.createDataFrame([(1, MODULE), (2, ""), (3, "module x; assign y = a + b; endmodule"), (4, None)], "k int, code string")
+    rows = mutation.mutants(df, "k", "code", limit=100).collect()
+    found = [r for r in rows if r.k == 1]
+    found.sort(key=lambda r: int(r.name.rpartition("_")[2]))
+    operators = [r.operator for r in found]
+    assert len({r.text for r in found}) == len(found) and all(r.text != MODULE for r in found)
     assert {"le_ge", "le_lt", "ne_eq", "and_or", "add_sub", "const_flip", "if_not", "case_swap"} <= set(operators)
-    assert operators.count("case_swap") == 1 and not any("q >= a" in m.text for m in found)
+    assert operators.count("case_swap") == 1 and not any("q >= a" in r.text or "q >= 0" in r.text for r in found)
     kinds = list(dict.fromkeys(operators))
     assert operators[: len(kinds)] == kinds  # one of each first
-    assert mutate.mutants(MODULE) == found[:8] or [m.text for m in mutate.mutants(MODULE)] == [m.text for m in found[:8]]
-    assert mutate.mutants(MODULE, limit=0) == []
-    assert [mutate.flip_literal(*x) for x in (("4", "", "d", "0"), ("1", "", "b", "1"), ("8", "", "h", "FF"), ("1", "", "d", "3"), ("4", "", "b", "9"))] == ["4'd1", "1'b0", "8'hFE", None, None]
-    assert mutate.hunk("a\nb", "a\nc").splitlines()[-2:] == ["-b", "+c"]
+    (swap,) = [r for r in found if r.operator == "case_swap"]
+    assert "2'd1: q <= a;" in swap.text and "2'd0: q <= b;" in swap.text
+    (negated,) = [r for r in found if r.operator == "if_not"]
+    assert "else if (!go) q" in negated.text and negated.hunk == "-    else if (go) q <= q + 1;\n+    else if (!go) q <= q + 1;"
+    few = mutation.mutants(df, "k", "code", limit=8).where("k = 1").collect()
+    assert {r.text for r in few} == {r.text for r in found[:8]} and mutation.mutants(df, "k", "code", limit=0).count() == 0
+    assert [(r.operator, r.text) for r in rows if r.k == 3] == [("add_sub", "module x; assign y = a - b; endmodule")]
+    assert {r.k for r in rows} == {1, 3}
+    flips = [each(spark, mutation.flip_literal, x) for x in ("4'd0", "1'b1", "8'hFF", "8'hfe", "1'd3", "4'b9", "8'b0000_0001")]
+    assert flips == ["4'd1", "1'b0", "8'hFE", "8'hff", None, None, "8'b00000000"]
+
+
+def test_clip(spark):
+    text = "# Intro\n" + "i" * 50 + "\n# Ports\n" + "p" * 30 + "\n# More\n" + "m" * 50
+    got = each(spark, lambda t: source.clip(t, 60, "Ports"), text)
+    assert got.startswith("# Ports\npppp") and "[cut to fit]" in got and each(spark, lambda t: source.clip(t, 9, "z"), "x") == "x"
 
 
-def test_clip():
-    import re
-
-    text = "# Intro\n" + "i" * 50 + "\n# Ports\n" + "p" * 30 + "\n# More\n" + "m" * 50
-    got = blocks.clip(text, 60, re.compile("Ports"))
-    assert got.startswith("# Ports\npppp") and "[cut to fit]" in got and blocks.clip("x", 9, re.compile("z")) == "x"
+def test_job_files(spark):
+    why = lambda *p: each(spark, source.parameter_errors, list(p))
+    assert why("A=1", "B=8'hFF", 'C="x"', "D=-1.5") is None and why("A=1", "A=2") == "a name is set twice"
+    assert all(why(x).startswith("not NAME=VALUE") for x in ("A", "1A=2", "A=x y"))
+    job = lambda top, files, mode="bmc", depth=20: each(spark, lambda t, f: source.job_errors(t, f, F.lit(mode), F.lit(depth)), top, files)
+    assert job("m", ["m.sv"]) is None and job("1m", ["f"]) == "not a top module" and job("m", []) == "no file"
+    assert (job("m", ["a/b"]), job("m", ["f"], "x"), job("m", ["f"], "bmc", 0)) == ("files need bare names", "not a mode", "no depth")
+    text = each(spark, lambda t, f, p: source.job_file(t, f, p, F.lit("bmc"), F.lit(20)), "m", ["m.sv"], ["W=4"])
+    assert text.splitlines()[:3] == ["[options]", "mode bmc", "depth 20"] and "chparam -set W 4 m\nprep -top m" in text
 
 
 def test_design_tree(spark, tmp_path):
@@ -147,50 +195,6 @@ def test_design_tree(spark, tmp_path):
     assert m == {"M_0": ("LOR(Plus->Minus)", "m0"), "M_1": ("shipped", "m1")}
 
 
-def test_jobs():
-    assert jobs.parse_parameters(["A=1", "B=8'hFF", 'C="x"', "D=-1.5"]) == {"A": "1", "B": "8'hFF", "C": '"x"', "D": "-1.5"}
-    for bad in (["A"], ["1A=2"], ["A=x y"], ["A=1", "A=2"]):
-        with pytest.raises(ValueError):
-            jobs.parse_parameters(bad)
-    one = jobs.Job("m", ("m.sv",), parameters=(("W", "4"),)).render()
-    assert one.splitlines()[:3] == ["[options]", "mode bmc", "depth 20"] and "chparam -set W 4 m\nprep -top m" in one and "[tasks]" not in one
-    two = jobs.Job("m", ("m.sv",), (jobs.Task("a"), jobs.Task("b", "live", timeout=9)), multiclock=True)
-    assert "[tasks]\na\nb\n" in two.render() and "b: timeout 9" in two.render() and "b: depth" not in two.render()
-    assert (two.folder("x", two.tasks[1]), jobs.Job("m", ("f",)).folder("x", jobs.Task("a"))) == ("x_b", "x")
-    for bad in ({"top": "1m"}, {"files": ()}, {"files": ("a/b",)}, {"tasks": ()}, {"tasks": (jobs.Task("a"), jobs.Task("a"))}):
-        with pytest.raises(ValueError):
-            jobs.Job(**{"top": "m", "files": ("f",), **bad})
-    with pytest.raises(ValueError):
-        jobs.Task("x", depth=0)
-
-
-def test_canonical_blocks():
-    block = "// long thoughts\n// more thoughts\nproperty p; a |-> b; endproperty // trailing\n\n// loose\n\n/* gone */\nx: assert property (p);\n"
-    clean, same = canonical.canonical_or_raw(block)
-    assert same and "more thoughts" not in clean and "gone" not in clean and "trailing" not in clean and "// long thoughts\nproperty p" in clean
-    assert canonical.labels(clean) == ["x"]
-    assert canonical.unwrap_answer("```\nx: assert property (a |-> b);\n```").startswith("`ifdef FORMAL") or canonical.labels("```\nx: assert property (a |-> b);\n```")
-    assert canonical.unwrap_answer("nothing") == "nothing"
-
-
-def test_prompts():
-    c = context.extract(MODULE, "m")
-    assert "clock: clk" in prompts.describe(c) and "disable iff (!rst_n)" in prompts.describe(c)
-    assert prompts.after_survivors(1, 8, [str(i) for i in range(9)]).count("---") == prompts.MOST_SURVIVORS - 1
-    assert "No mutant" in prompts.after_survivors(0, 0, []) and "a_x" in prompts.after_failure("b", ["a_x"], "r")
-    assert blocks.has_assert(prompts.smoke_block(c)) and "//" not in prompts.short_answer("// c\nx: assert property (a);")
-    for text in (prompts.system(), prompts.first("m", "s", MODULE, c), prompts.after_no_block(), prompts.only_covers("b"), prompts.after_vacuity("b", ["v"]), prompts.after_skips([("x", "why")])):
-        assert text.strip()
-
-
-def test_table_functions(spark):
-    udtf.register(spark)
-    spark.createDataFrame([(MODULE,), (None,)], "code string").createOrReplaceTempView("texts")
-    assert spark.sql("SELECT m.name FROM texts, LATERAL mutants(code, 5) AS m").count() == 5
-    rows = spark.sql("SELECT * FROM declarations('property p; a; endproperty x: assert property (p);')").collect()
-    assert [(r.kind, r.name, r.ref) for r in rows] == [("property", "p", None), ("assert", "x", "p")]
-
-
 def test_generation(spark):
     def send(request):
         if "bad" in request["prompt"] or (request["max_tokens"] > 300 and "long" in request["prompt"]) or (request.get("grammar") and "plain" in request["prompt"]):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracecheck.sources.shared import checkpoint
+
 from .verdicts import TOLERANCE
 
 
@@ -74,23 +76,34 @@ def shuffle_key(seed: int, *keys: str) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
 
 
-def weighted_draw(rows: DataFrame, key: str, weight_: Column, draws: int, seed: int, buckets: int = 64, floor: float = 1e-3) -> DataFrame:
-    """`draws` rows with replacement, each with chance in proportion to max(weight, floor).
+def weighted_draw(rows: DataFrame, key: str, weight_: Column, draws: int | None, seed: int, floor: float = 1e-3) -> DataFrame:
+    """`draws` rows with replacement (None: as many as there are rows), each with chance in proportion to max(weight, floor).
 
-    Rows are dealt to buckets by their key; only the buckets' totals are brought together, so running sums stay
-    within buckets and no task sees all rows. A draw picks a bucket, then a row of it, by range.
+    Rows are put on a line, each as long as its weight, and draws are points on it; both lie in one ordered stream, in
+    which each point takes the row before it. Ranges of the stream are numbered first, so running sums stay within a
+    range and only one total a range is brought together; no row meets a draw that isn't its own.
     """
+    spark = rows.sparkSession
     w = F.greatest(F.coalesce(weight_, F.lit(0.0)), F.lit(floor)).cast("double")
-    r = rows.withColumn("__w", w).withColumn("__b", F.pmod(F.xxhash64(key, F.lit(17)), F.lit(buckets)).cast("int"))
-    totals = r.groupBy("__b").agg(F.sum("__w").alias("__t"))  # a row a bucket
-    span = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = totals.select("__b", "__t", (F.sum("__t").over(span) - F.col("__t")).alias("__from"), F.sum("__t").over(Window.partitionBy()).alias("__all"))
-    inside = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    placed = r.withColumn("__to", F.sum("__w").over(inside)).withColumn("__at", F.col("__to") - F.col("__w"))
-    unit = (F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)).cast("double")) / float(1 << 52)
-    drawn = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("__u", unit)
-    # The bounds are `buckets` rows, so this join is broadcast of a known size.
-    chosen = drawn.join(F.broadcast(bounds), (F.col("__u") * F.col("__all") >= F.col("__from")) & (F.col("__u") * F.col("__all") < F.col("__from") + F.col("__t")))
-    point = chosen.select("draw", "__b", (F.col("__u") * F.col("__all") - F.col("__from")).alias("__p"))
-    hit = placed.join(point, "__b").where("__p >= __at and __p < __to")
-    return hit.drop("__w", "__b", "__to", "__at", "__p")
+    dealt = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{key}`").alias("__key"), w.alias("__w")).repartitionByRange("__key").sortWithinPartitions("__key")
+    placed = checkpoint(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__nth", F.monotonically_increasing_id()))
+    inside = Window.partitionBy("__part").orderBy("__nth").rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy("__part").agg(F.sum("__w").alias("t"), F.count("*").alias("n")).orderBy("__part").collect()  # a row a partition
+    if not totals:
+        return rows.withColumn("draw", F.lit(0).cast("bigint")).select("draw", *rows.columns)
+    whole, before, at = float(sum(r["t"] for r in totals)), [], 0.0
+    for r in totals:
+        before.append((r["__part"], at))
+        at += float(r["t"])
+    base = F.broadcast(spark.createDataFrame(before, "__part int, __before double"))  # a row a partition, too
+    own = placed.join(base, "__part").select((F.col("__before") + F.sum("__w").over(inside) - F.col("__w")).alias("__at"), F.lit(None).cast("bigint").alias("draw"), "row")
+    unit = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    points = spark.range(sum(r["n"] for r in totals) if draws is None else draws).select((unit * whole).alias("__at"), F.col("id").alias("draw"), F.lit(None).cast(own.schema["row"].dataType).alias("row"))
+    line = checkpoint(own.unionAll(points).repartitionByRange("__at", F.col("draw").isNotNull()).sortWithinPartitions("__at", F.col("draw").isNotNull()).withColumn("__part", F.spark_partition_id()))
+    order = Window.partitionBy("__part").orderBy("__at", F.col("draw").isNotNull())
+    filled = line.withColumn("row", F.last("row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("draw is not null")
+    # A range that begins with draws takes the last row of the ranges before it: one row a range.
+    last = line.where("draw is null").groupBy("__part").agg(F.max_by("row", "__at").alias("last")).withColumnRenamed("__part", "p")
+    ranges = line.select("__part").distinct().join(last, F.col("p") < F.col("__part"), "left").groupBy("__part").agg(F.max_by("last", "p").alias("carried"))
+    both = filled.join(F.broadcast(ranges), "__part").select("draw", F.coalesce("row", "carried").alias("row"))
+    return both.select("draw", "row.*")

@@ -62,9 +62,9 @@ def training_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many draws as there are kept rows are made for a training epoch; here a report of how often sources come."""
+    """As many draws as there are kept rows are made for a training epoch; by the row before each draw on a line of weights."""
     k = kept(spark, sf_dir).select("doc_id", "source", "weight")
-    return curate.weighted_draw(k, "doc_id", F.col("weight"), 1000, seed=3).select("draw", "doc_id", "source")
+    return curate.weighted_draw(k, "doc_id", F.col("weight"), None, seed=3).select("draw", "doc_id", "source")
 
 
 def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracecheck.functions import blocks, context, mutate, scan
-from tracecheck.operators import trace
+from tracecheck.operators import mutants as mutation
+from tracecheck.operators import source, trace
 from tracecheck.sources import vcd
-
-_code_only = F.pandas_udf(lambda s: s.map(scan.strip_comments, na_action="ignore"), T.StringType())
-_blanked = F.pandas_udf(lambda s: s.map(scan.blank_comments, na_action="ignore"), T.StringType())
+from tracecheck.sources.shared import checkpoint
 
 
 def _commented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +18,12 @@ def _commented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _commented(spark, sf_dir).select("doc_id", F.md5(_code_only("code")).alias("digest"))
+    return _commented(spark, sf_dir).select("doc_id", F.md5(source.strip_comments(F.col("code"))).alias("digest"))
 
 
 def blank_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _commented(spark, sf_dir)
-    out = _blanked("code")
+    out = source.blank_comments(F.col("code"))
     return c.select("doc_id", F.length("code").alias("n"), F.length(out).alias("m"), F.md5(F.regexp_replace(out, " +", " ")).alias("digest"))
 
 
@@ -58,59 +52,101 @@ def module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules(spark, sf_dir).select("p_partkey", F.array_join(F.regexp_extract_all("code", F.lit(r"\bmodule\s+([A-Za-z_]\w*)"), F.lit(1)), ",").alias("names"))
 
 
-def _map(df: DataFrame, fn, schema: str) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
+def _joined(values: str, *fields: str) -> Column:
+    """An array of structs as text."""
+    return F.array_join(F.transform(values, lambda x: F.concat_ws(":", *[x[f] for f in fields])), ",")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([r for row in pdf.itertuples(index=False) for r in fn(row)], columns=names)
 
-    return df.mapInPandas(run, schema)
+_CONTEXT = ("ports", "internals", "constants", "clock", "reset")
 
 
 def design_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def each(row):
-        c = context.extract(row.code, row.top)
-        ports = ",".join(f"{n}:{d}:{w}" for n, d, w in c.ports)
-        yield row.p_partkey, ports, ",".join(n for n, _ in c.internals), ",".join(c.constants), c.clock, c.reset, c.active_low, ",".join(context.dual_edge_clocks(row.code))
+    c = source.with_context(modules(spark, sf_dir), "code", "top")
+    ports, internals = _joined("ports", "name", "direction", "width"), _joined("internals", "name")
+    dual = F.array_join(source.dual_edge_clocks(F.col("code")), ",")
+    return c.select("p_partkey", ports.alias("ports"), internals.alias("internals"), F.array_join("constants", ",").alias("constants"), "clock", "reset", "active_low", dual.alias("dual_edge"))
 
-    return _map(modules(spark, sf_dir), each, "p_partkey bigint, ports string, internals string, constants string, clock string, reset string, active_low boolean, dual_edge string")
 
+def module_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is told about a module, what a property can be about, and a block that holds."""
+    c = source.with_context(modules(spark, sf_dir), "code", "top")
+    context = [F.col(x) for x in _CONTEXT]
+    names = source.interesting(*context)
+    told = source.describe(F.col("top"), *context, F.col("active_low"))
+    return c.select("p_partkey", F.md5(told).alias("digest"), F.array_join(names, ",").alias("names"), source.smoke_block(names[0], F.col("clock")).alias("smoke"))
 
-def mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def each(row):
-        for m in mutate.mutants(row.code):
-            yield row.p_partkey, m.name, m.operator, m.description, mutate.hunk(row.code, m.text)
 
-    return _map(modules(spark, sf_dir), each, "p_partkey bigint, name string, operator string, description string, hunk string")
+def cone_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of a module's names that a block is about."""
+    c = source.with_context(modules(spark, sf_dir), "code", "top")
+    names = source.interesting(*[F.col(x) for x in _CONTEXT])
+    block = F.concat(F.lit("a_1: assert property (go |-> q >= LIMIT); // d\n"), F.when(F.col("p_size") % 2 == 0, "a_2: assert property (d >= 0);").otherwise(""))
+    used = F.array_intersect(names, source.names_used(block))
+    return c.select("p_partkey", F.array_join(used, ",").alias("used"), F.round(F.size(used) / F.size(names), 6).alias("share"))
 
 
-def inject_and_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block injected twice (the second replaces the first) and stripped again."""
+def mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutation.mutants(modules(spark, sf_dir), "p_partkey", "code").drop("text")
 
-    def each(row):
-        once = blocks.inject_clean(row.code, f"a_{row.top}: assert property (@(posedge clk) q >= 0);", row.top)
-        twice = blocks.inject_clean(once, "a_other: assert property (@(posedge clk) d >= 0);", row.top)
-        back = blocks.strip_formal(twice)
-        yield row.p_partkey, once.count("assert"), "a_other" in twice and f"a_{row.top}" not in twice, "".join(back.split()) == "".join(row.code.split())
 
-    return _map(modules(spark, sf_dir), each, "p_partkey bigint, n_asserts bigint, replaced boolean, restored boolean")
+def inject_and_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block injected twice (the second replaces the first) and stripped again."""
+    m = modules(spark, sf_dir)
+    first = F.concat(F.lit("a_"), F.col("top"), F.lit(": assert property (@(posedge clk) q >= 0);"))
+    m = m.withColumn("once", source.inject(source.strip_formal(F.col("code")), first, F.col("top")))
+    m = m.withColumn("twice", source.inject(source.strip_formal(F.col("once")), F.lit("a_other: assert property (@(posedge clk) d >= 0);"), F.col("top")))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    replaced = F.col("twice").contains("a_other") & ~F.col("twice").contains(F.concat(F.lit("a_"), F.col("top")))
+    restored = bare(source.strip_formal(F.col("twice"))) == bare(F.col("code"))
+    return m.select("p_partkey", F.regexp_count("once", F.lit("assert")).cast("bigint").alias("n_asserts"), replaced.alias("replaced"), restored.alias("restored"))
 
 
 def block_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers made of order lines: the block is extracted, merged with a kept one, thinned, and mended."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 3")
     stmt = F.concat(F.lit("a_"), F.col("l_linenumber").cast("string"), F.lit(": assert property (@(posedge clk) q <= "), F.col("l_suppkey").cast("string"), F.lit(");"))
-    per = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", stmt.alias("s")))), lambda x: x["s"]), "\n").alias("s"), F.count("*").alias("n"))
+    per = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", stmt.alias("s")))), lambda x: x["s"]), "\n").alias("s"))
     answer = F.concat(F.lit("<think>hm</think> Here it is:\n```systemverilog\n"), "s", F.lit("\nproperty p_cut; @(posedge clk) q\n```\n"))
+    got = per.select("l_orderkey", source.written(source.complete(source.items(source.extract_block(answer)))).alias("block"))
+    kept = got.select("l_orderkey", F.lit("a_2: assert property (x);").alias("block"))
+    rows = source.statements(got, ["l_orderkey"], "block")
+    fresh, dropped = source.drop_duplicates(rows, source.statements(kept, ["l_orderkey"], "block"), ["l_orderkey"])
+    marked = fresh.withColumn("gone", F.lit(False)).unionByName(dropped.withColumn("gone", F.lit(True)))
+    left = source.labelled(source.strip_labels(source.items(F.col("block")), F.array(F.lit("a_1"))))
+    per_order = marked.groupBy("l_orderkey").agg(
+        F.size(F.collect_set("name")).cast("bigint").alias("n_found"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("name")))), ",").alias("dropped"),
+        F.size(F.collect_set(F.when(~F.col("gone"), F.col("name")))).cast("bigint").alias("n_fresh"),
+    )
+    edited = got.select("l_orderkey", F.size(F.array_distinct(F.transform(left, lambda x: x["name"]))).cast("bigint").alias("n_left"))
+    return per_order.join(edited, "l_orderkey").select("*", (F.col("n_fresh") + 1).alias("n_merged"))
+
+
+def extract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that hold a page before their block: as reasoning, or as prose."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    even, key = F.col("page_id") % 2 == 0, F.col("page_id").cast("string")
+    block = F.concat(F.lit("property p_"), key, F.lit(";\n  a |=> b;\nendproperty\nc_"), key, F.lit(": cover property (p_"), key, F.lit(");\n"))
+    answer = F.concat(F.when(even, "<think>").otherwise("Here: "), F.coalesce("html", F.lit("")), F.when(even, "</think>\n").otherwise("\n"), F.lit("```verilog\n"), block, F.lit("```\nDone."))
+    return p.select("page_id", source.extract_block(answer).alias("block"))
+
+
+def clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a specification's sections, cut to fit."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.concat(F.lit("# Intro\n"), F.coalesce("text", F.lit("")), F.lit("\n# Ports\n"), F.coalesce("source", F.lit("")), F.lit("\n."))
+    return d.select("doc_id", F.md5(source.clip(text, 400, "Ports")).alias("digest"))
 
-    def each(row):
-        got = blocks.strip_truncated(blocks.extract(row.answer))
-        fresh, dropped = blocks.drop_duplicates("a_2: assert property (x);", got)
-        left = blocks.strip_labels(got, ["a_1"])
-        yield row.l_orderkey, len(blocks.declared(got)[1]), ",".join(dropped), len(blocks.declared(fresh)[1]), len(blocks.declared(left)[1]), len(blocks.declared(blocks.merge("a_2: assert property (x);", fresh))[1])
 
-    return _map(per.select("l_orderkey", answer.alias("answer")), each, "l_orderkey bigint, n_found bigint, dropped string, n_fresh bigint, n_left bigint, n_merged bigint")
+def job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job of each module: why it can't run, or the digest of its file."""
+    m = modules(spark, sf_dir)
+    key = F.col("p_partkey")
+    params = F.array(F.concat(F.lit("W="), F.col("p_size").cast("string")), F.when(key % 5 == 0, "W=1").when(key % 7 == 0, "1X=2").otherwise("S=8'hFF"))
+    files = F.array(F.concat(F.when(key % 3 == 0, "a/").otherwise(""), "top", F.lit(".sv")))
+    mode = F.when(key % 11 == 0, "none").when(key % 2 == 0, "live").otherwise("bmc")
+    why = F.coalesce(source.job_errors(F.col("top"), files, mode, F.col("p_size")), source.parameter_errors(params))
+    return m.select("p_partkey", why.alias("reason"), F.when(why.isNull(), F.md5(source.job_file(F.col("top"), files, params, mode, F.col("p_size")))).alias("digest"))
 
 
 def format_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,23 +165,26 @@ def _dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("user_id").cast("string").alias("trace_id")).agg(F.concat(F.lit(head), body).alias("text"))
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of all dumps, which are parsed once."""
+    rows = checkpoint(vcd.parse_tables(_dumps(spark, sf_dir), "trace_id", "text"))
+    return {t: vcd.table_of(rows, t) for t in vcd.SCHEMAS}
+
+
 def vcd_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _dumps(spark, sf_dir)
-    tables = {t: vcd.parse_column(d, "trace_id", "text", t) for t in vcd.SCHEMAS}
+    tables = _tables(spark, sf_dir)
     s = trace.dense(tables["changes"], tables["times"], tables["signals"])
     return s.groupBy("trace_id", "ti", "t").agg(F.max(F.when(F.col("code") == "!", F.col("raw"))).alias("buy"), F.max(F.when(F.col("code") == '"', F.col("raw"))).alias("val"))
 
 
 def vcd_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _dumps(spark, sf_dir)
-    tables = {t: vcd.parse_column(d, "trace_id", "text", t) for t in vcd.SCHEMAS}
+    tables = _tables(spark, sf_dir)
     s = trace.dense(tables["changes"], tables["times"], tables["signals"])
     return trace.steps(s, tables["signals"], "buy").select("trace_id", "ti", "step")
 
 
 def vcd_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _dumps(spark, sf_dir)
-    tables = {t: vcd.parse_column(d, "trace_id", "text", t) for t in vcd.SCHEMAS}
+    tables = _tables(spark, sf_dir)
     s = trace.dense(tables["changes"], tables["times"], tables["signals"])
     shown = trace.visible(tables["signals"], "top")
     t = trace.traces(s, trace.steps(s, tables["signals"], "buy"), shown)
@@ -154,7 +193,7 @@ def vcd_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (strip_comments, blank_comments, module_names, design_context, mutants, inject_and_strip, block_edits, format_values, vcd_samples, vcd_steps, vcd_traces)
+    for f in (strip_comments, blank_comments, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_steps, vcd_traces)
 }
 
 _E = """WITH e AS (SELECT user_id::VARCHAR AS trace_id, event_id AS t, event_type = 'purchase' AS b, CASE WHEN event_type <> 'view' THEN bin(floor(value)::BIGINT + 1) END AS v,
@@ -164,9 +203,40 @@ m AS (SELECT *, buy = '1' AND coalesce(lag(buy) OVER (PARTITION BY trace_id ORDE
 a AS (SELECT *, bool_or(up) OVER (PARTITION BY trace_id) AS rises FROM m),
 st AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ti) - 1 AS step FROM a WHERE up OR NOT rises)"""
 
+#: The module's text in SQL, and its mutants: a rule, what stands before its place, what goes, what comes.
+_CODE = "'" + _MODULE.replace("'", "''") + "'"
+for _name, _value in (("k", "p_partkey"), ("w", "p_size % 8 + 1"), ("s", "p_size"), ("b", "p_partkey % 2")):
+    _CODE = f"replace({_CODE}, '{{{_name}}}', ({_value})::VARCHAR)"
+_SITES = """(VALUES ('gt_lt', 'assign go = (d ', '>', '<'), ('gt_ge', 'assign go = (d ', '>', '>='), ('and_or', 'assign go = (d > q) ', '&&', '||'), ('ne_eq', 'assign go = (d > q) && (d ', '!=', '=='),
+  ('const_flip', 'assign go = (d > q) && (d != ', '@', '@'), ('if_not', 'else ', 'if (go)', 'if (!go)'), ('add_sub', 'q <= d ', '+', '-')) AS s(operator, lead, old, new)"""
+
 ORACLES = {
     "strip_comments": r"""SELECT doc_id, md5('x = 1; ' || substr(c, 1 + coalesce(nullif(strpos(c, chr(10)), 0), 1) - 1) || 'y = "a // b";   z = 2;' || chr(10)) AS digest
       FROM (SELECT doc_id, regexp_replace(text, '["/*]', '', 'g') || chr(10) AS c FROM documents)""",
+    "blank_comments": r"""SELECT doc_id, (length(c) + 41)::BIGINT AS n, (length(c) + 41)::BIGINT AS m,
+      md5(regexp_replace('x = 1; ' || substr(c, coalesce(nullif(strpos(c, chr(10)), 0), 1)) || 'y = "a // b"; ' || chr(10) || ' z = 2;' || chr(10), ' +', ' ', 'g')) AS digest
+      FROM (SELECT doc_id, regexp_replace(text, '["/*]', '', 'g') || chr(10) AS c FROM documents)""",
+    "module_prompts": """SELECT p_partkey, md5('module part_' || p_partkey || chr(10) || 'ports:' || chr(10) || '  input 1 clk' || chr(10) || '  input 1 rst_n' || chr(10) || '  input [' || w || ':0] d' || chr(10)
+      || '  output [' || w || ':0] q' || chr(10) || 'inside:' || chr(10) || '  1 go' || chr(10) || 'constants: LIMIT' || chr(10) || 'clock: clk' || chr(10) || 'reset: rst_n, disable iff (!rst_n)') AS digest,
+      'd,q,go,LIMIT' AS names, '`ifdef FORMAL' || chr(10) || 'a_smoke: assert property (@(posedge clk) d == d);' || chr(10) || '`endif' || chr(10) AS smoke FROM (SELECT *, p_size % 8 + 1 AS w FROM part)""",
+    "cone_of_blocks": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'd,q,go,LIMIT' ELSE 'q,go,LIMIT' END AS used, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.75 END::DOUBLE AS share FROM part",
+    "mutants": f"""WITH m AS (SELECT p_partkey, p_size % 8 + 1 AS w, p_partkey % 2 AS b, {_CODE} AS code FROM part),
+      s AS (SELECT p_partkey, code, operator, CASE WHEN old = '@' THEN w || chr(39) || 'd' || b ELSE old END AS old, CASE WHEN new = '@' THEN w || chr(39) || 'd' || (1 - b) ELSE new END AS new,
+        strpos(code, lead) - 1 + length(lead) AS place FROM m, {_SITES}),
+      r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5(md5(code) || ':' || operator || ':' || place)) - 1 AS k, substr(code, 1, place) || new || substr(code, place + 1 + length(old)) AS changed FROM s)
+      SELECT p_partkey, operator || '_' || k AS name, operator, old || ' -> ' || new AS description,
+        '-' || string_split(code, chr(10))[n] || chr(10) || '+' || string_split(changed, chr(10))[n] AS hunk
+      FROM (SELECT *, length(substr(code, 1, place)) - length(replace(substr(code, 1, place), chr(10), '')) + 1 AS n FROM r)""",
+    "extract_blocks": """SELECT page_id, '`ifdef FORMAL' || chr(10) || 'property p_' || page_id || ';' || chr(10) || '  a |=> b;' || chr(10) || 'endproperty' || chr(10) || 'c_' || page_id || ': cover property (p_' || page_id || ');'
+      || chr(10) || '`endif' || chr(10) AS block FROM pages""",
+    "clip_text": r"""SELECT doc_id, md5(CASE WHEN length(a) <= 400 THEN a
+      ELSE trim(regexp_replace(substr('# Ports' || chr(10) || coalesce(source, '') || chr(10) || '.# Intro' || chr(10) || coalesce(text, '') || chr(10), 1, 400), '\n[^\n]*$', ''), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || '[cut to fit]' || chr(10) END) AS digest
+      FROM (SELECT *, trim('# Intro' || chr(10) || coalesce(text, '') || chr(10) || '# Ports' || chr(10) || coalesce(source, '') || chr(10) || '.', ' ' || chr(9) || chr(10) || chr(13)) AS a FROM documents)""",
+    "job_files": """SELECT p_partkey, reason, CASE WHEN reason IS NULL THEN md5('[options]' || chr(10) || 'mode ' || m || CASE WHEN m = 'live' THEN '' ELSE chr(10) || 'depth ' || p_size END || chr(10) || chr(10)
+        || '[engines]' || chr(10) || 'smtbmc z3' || chr(10) || chr(10) || '[script]' || chr(10) || 'read_verilog -sv -formal ' || t || '.sv' || chr(10) || 'chparam -set W ' || p_size || ' ' || t || chr(10)
+        || 'chparam -set S 8' || chr(39) || 'hFF ' || t || chr(10) || 'prep -top ' || t || chr(10) || chr(10) || '[files]' || chr(10) || t || '.sv' || chr(10)) END AS digest
+      FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'files need bare names' WHEN p_partkey % 11 = 0 THEN 'not a mode' WHEN p_partkey % 5 = 0 THEN 'a name is set twice' WHEN p_partkey % 7 = 0 THEN 'not NAME=VALUE: 1X=2' END AS reason,
+        CASE WHEN p_partkey % 2 = 0 THEN 'live' ELSE 'bmc' END AS m, 'part_' || p_partkey AS t FROM part)""",
     "module_names": "SELECT p_partkey, 'part_' || p_partkey AS names FROM part",
     "design_context": """SELECT p_partkey, 'clk:input:1,rst_n:input:1,d:input:[' || (p_size % 8 + 1) || ':0],q:output:[' || (p_size % 8 + 1) || ':0]' AS ports, 'go' AS internals, 'LIMIT' AS constants,
       'clk' AS clock, 'rst_n' AS reset, true AS active_low, '' AS dual_edge FROM part""",

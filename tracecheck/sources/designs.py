@@ -6,12 +6,10 @@ counts as empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracecheck.functions import blocks, context
-from tracecheck.operators import catalog
+from tracecheck.operators import catalog, source
 
 # Extensions of sources, and how a log names a mutant's operator.
 VERILOG = ("v", "sv")
@@ -32,15 +30,10 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return named.select(F.col("p")[0].alias("category"), F.col("p")[1].alias("design"), rest.alias("rest"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), "text")
 
 
-@F.udf(T.BooleanType())
-def _dual(texts: list[str]) -> bool:
-    return bool(context.dual_edge_clocks(*[t or "" for t in texts]))
-
-
-@F.udf(T.StringType())
-def _top(text: str, stem: str) -> str:
-    names = blocks.module_names(text or "")
-    return stem if stem in names or not names else names[0]
+def top_of(text: Column, stem: Column) -> Column:
+    """The module that a file is about: the one named like it, else its first, else its name."""
+    names = source.module_names(F.coalesce(text, F.lit("")))
+    return F.when(F.array_contains(names, stem) | (F.size(names) == 0), stem).otherwise(F.try_element_at(names, F.lit(1)))
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -58,14 +51,15 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     joined = catalog.with_defaults(per, m, by, {"mutants": 0})
     one = F.try_element_at("rtl", F.lit(1))
     vhdl = F.size(F.filter("rtl", lambda x: x["ext"].isin(*VHDL)))
-    open_ = F.when(F.size("rtl") == 1, _dual(F.concat(F.transform("rtl", lambda x: x["text"]), F.transform("inc", lambda x: x["text"])))).otherwise(False)
+    texts = F.array_join(F.concat(F.transform("rtl", lambda x: x["text"]), F.transform("inc", lambda x: x["text"])), "\n")
+    open_ = (F.size("rtl") == 1) & (F.size(source.dual_edge_clocks(texts)) > 0)
     reason = catalog.skip_reason(F.size("rtl") - vhdl, vhdl, F.coalesce("spec", F.lit(False)), open_)
     stem = F.regexp_replace(one["name"], r"\.[^.]+$", "")
     return joined.select(
         F.concat_ws("/", F.lit("designs"), catalog.slug(F.col("category")), catalog.slug(F.col("design"))).alias("key"),
         "category",
         F.col("design").alias("name"),
-        F.when(F.size("rtl") != 1, F.col("design")).when(one["ext"].isin(*VHDL), stem).otherwise(_top(one["text"], stem)).alias("top"),
+        F.when(F.size("rtl") != 1, F.col("design")).when(one["ext"].isin(*VHDL), stem).otherwise(top_of(one["text"], stem)).alias("top"),
         F.when(F.size("rtl") != 1, "unknown").when(one["ext"].isin(*VHDL), "vhdl").otherwise("verilog").alias("language"),
         "mutants",
         F.transform("inc", lambda x: x["path"]).alias("extras"),

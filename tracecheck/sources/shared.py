@@ -7,16 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def base(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Only a local master may go without."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = "/tmp/checkpoints"
+    return place.rstrip("/")
+
+
 def folder(spark: SparkSession) -> str:
-    """A new path in the folder that the session names in spark.checkpoint.dir; /tmp/checkpoints where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tracecheck-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{base(spark)}/tracecheck-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again from there: what comes after doesn't depend on its making."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(base(df.sparkSession))
     return df.checkpoint(eager=True)

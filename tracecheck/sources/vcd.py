@@ -13,7 +13,9 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -51,7 +53,8 @@ def parse(text: str) -> Iterator[tuple[str, tuple]]:
             if len(words) < 4 or not words[1].isdigit():
                 raise VcdError(f"malformed $var {m[2].strip()!r}")
             declared.pop(words[2], None)
-            declared[words[2]] = (words[2], words[3], [*scope], int(words[1]), words[0])
+            name = re.sub(r"\[\d+(?::\d+)?\]$", "", words[3]) or words[3]  # a range may be attached
+            declared[words[2]] = (words[2], name, [*scope], int(words[1]), words[0])
     for n, row in enumerate(declared.values()):
         yield "signals", (n, *row)
     ti, t, seq = -1, None, 0
@@ -114,19 +117,33 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(VcdSource)
 
 
-def parse_column(texts: DataFrame, trace: str, text: str, table: str) -> DataFrame:
-    """The rows of one table from dumps that are a column already."""
-    schema = SCHEMAS[table]
+#: One stream of rows for all tables: what a row belongs to, and the columns of all of them.
+_ALL = "table string, trace_id string, ord int, code string, name string, scope array<string>, width int, kind string, ti int, t long, seq long, raw string"
+_COLUMNS = {k: [f.split()[0] for f in re.split(r",\s*(?![^<]*>)", v)] for k, v in SCHEMAS.items()}
+
+
+def parse_tables(texts: DataFrame, trace: str, text: str) -> DataFrame:
+    """The rows of all tables from dumps that are a column already; each dump is parsed once."""
+    schema = StructType.fromDDL(_ALL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [dict(zip(_COLUMNS[table], (t, *row), strict=True), table=table) for table, row in parse(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(schema.names, kinds, strict=True)], names=schema.names)
 
-    def run(batches):
-        import pandas as pd
+    return texts.select(F.col(trace).cast("string"), F.col(text).cast("string")).mapInArrow(run, schema)
 
-        names = [f.split()[0] for f in re.split(r",\s*(?![^<]*>)", schema)]
-        for pdf in batches:
-            rows = [(t, *row) for t, x in zip(pdf[trace], pdf[text], strict=True) for kind, row in parse(x) if kind == table]
-            yield pd.DataFrame(rows, columns=names)
 
-    return texts.select(trace, text).mapInPandas(run, schema)
+def table_of(rows: DataFrame, table: str) -> DataFrame:
+    """One table of parse_tables."""
+    return rows.where(F.col("table") == table).select(*_COLUMNS[table])
+
+
+def parse_column(texts: DataFrame, trace: str, text: str, table: str) -> DataFrame:
+    """The rows of one table from dumps that are a column already."""
+    return table_of(parse_tables(texts, trace, text), table)
 
 
 def read_vcd(spark: SparkSession, path: str, table: str) -> DataFrame:
