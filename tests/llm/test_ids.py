@@ -24,7 +24,10 @@ def test_codec_round_trip(n, kinds):
 def test_codec_edges():
     assert len(idcodec.decode_frame(idcodec.encode_frame(np.zeros(0, int)))) == 0
     with pytest.raises(ValueError):
-        idcodec.encode_frame(np.array([70000]))
+        idcodec.encode_frame(np.array([-1]))
+    wide = np.random.default_rng(5).integers(0, 200_000, 5000)
+    assert (idcodec.decode_frame(idcodec.encode_frame(wide)) == wide).all()
+    assert (idcodec.decode_block(idcodec.encode_frame(wide), 1) == wide[2048:4096]).all()
     ids = np.tile(np.random.default_rng(0).integers(0, 50000, 50), 200)
     frame = idcodec.encode_frame(ids)
     assert len(frame) < len(ids) / 4  # repeated contexts are predicted
@@ -34,6 +37,13 @@ def test_codec_edges():
         idcodec.decode_frame(bytes(broken))
 
 
+def test_order_0_predicts_whole_ids():
+    """Ids that come again without their context cost less than their number of bits."""
+    few = np.random.default_rng(7).integers(0, 50_000, 40)
+    ids = np.random.default_rng(8).choice(few, 20_000)
+    assert 8 * len(idcodec.encode_frame(ids)) / len(ids) < 7.5  # log2(40) is 5.3; 16 bits with bare low bytes took over 11
+
+
 def test_file(spark, odd, none, tmp_path):
     tokenizer = Tokenizer.from_file(JSON)
     idfile.write(odd, f"file://{tmp_path}/ids", JSON, partitions=3)

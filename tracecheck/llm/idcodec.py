@@ -6,9 +6,11 @@ be decoded alone; numpy codes all blocks of a frame side by side, one id of each
 Model. The two ids before give an order-2 and an order-1 prediction (the id that last followed there, with a
 confidence). Two binary events, "it is the order-2 id" and "it is the order-1 id", each get a probability that mixes
 two adaptive counters (by the predictions' confidence and agreement, and by recent success); the mixing weight moves
-towards the counter that was nearer to what came. An id that neither predicts is coded by an adaptive order-0
-distribution over the ids' high bytes; its low byte goes verbatim. All arithmetic is on integers, so writer and reader
-agree to the bit.
+towards the counter that was nearer to what came. An id that neither predicts is coded by the block's order-0
+distribution over whole ids, as often as each has come, with a share for those that haven't; such a new id is coded by
+the distribution of new ids' high bytes, and its low byte, about which nothing is known, goes as it is. The order-0
+distributions are worked out anew at the ids of _REBUILD. All arithmetic is on integers, so writer and reader agree to
+the bit. Ids over 16 bits are coded as two sequences, the low 16 bits and the rest.
 
 Coder. A 48-bit range coder that renormalises by 16-bit words. A word may carry into the one before; carries
 stay in the words until the block ends and are settled then.
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"ACM1"
+MAGIC, WIDE = b"ACM3", b"ACW3"
 #: Ids in a block.
 BLOCK = 2048
 #: Blocks that are coded side by side at most.
@@ -34,7 +36,7 @@ _ONE = 1 << 16
 _P_BITS = 15
 _SCALE_BITS = 12
 #: Ids after which the order-0 distribution is worked out anew.
-_REBUILD = (0, 64, 256, 1024)
+_REBUILD = (0, 32, 128, 384, 768, 1280)
 _M32, _M48 = (1 << 32) - 1, (1 << 48) - 1
 _H1, _H2, _H3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x27D4EB2F)
 
@@ -100,19 +102,16 @@ class _Model:
         self.lanes = np.uint32(lanes)
         self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.a, self.b = _Flag(lanes), _Flag(lanes)
-        self.count = np.zeros((lanes, 256), np.int32)
+        self.lane = np.arange(lanes, dtype=np.int32) << 16
         self.at256 = np.arange(lanes, dtype=np.int32) * 256
-        #: For each lane and high byte: where its share of the 4096 parts starts, and its size, as start << 16 | size.
-        self.share = np.zeros(lanes * 256, np.int32)
-        self.slots = np.zeros(0, np.uint8)
         self.slot_base = np.arange(lanes) << _SCALE_BITS
+        self.rebuild(np.zeros((0, lanes), np.int32), False)
 
     def cut(self, n: int) -> None:
         """Only the first n lanes go on."""
         self.n = n
-        for k in ("base", "last", "before", "at256", "slot_base"):
+        for k in ("base", "last", "before", "at256", "lane", "slot_base", "new_start", "new_end"):
             setattr(self, k, getattr(self, k)[:n])
-        self.count = self.count[:n]
         self.a.cut(n)
         self.b.cut(n)
 
@@ -151,18 +150,31 @@ class _Model:
         self.known = pa + pb
         self.rest = _ONE - self.known
 
-    def shares(self, high: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of what was coded: an id by its high byte, or a hit of either prediction."""
-        both = self.share.take((self.at256 + high).astype(np.int64), mode="clip")
-        start = both >> 16
-        both &= 0xFFFF
-        both += start
-        for x in (start, both):
-            x *= self.rest
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Each id's place in `keys`, or -1 (ids and result: steps by lanes). Looked up lane by lane, whose keys lie together."""
+        if not len(self.keys):
+            return np.full(ids.shape, -1, np.int32)
+        key = _turned(ids) | self.lane[:, None]
+        at = np.searchsorted(self.keys, key.ravel()).astype(np.int32)
+        np.minimum(at, len(self.keys) - 1, out=at)
+        at[self.keys.take(at) != key.ravel()] = -1
+        return _turned(at.reshape(key.shape))
+
+    def seen(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each lane's order-0 share starts and ends, of 4096 parts; and whether it is that of new ids."""
+        new = place < 0
+        if not len(self.keys):
+            return self.new_start, self.new_end, new
+        return np.where(new, self.new_start, self.starts.take(place, mode="clip")), np.where(new, self.new_end, self.ends.take(place, mode="clip")), new
+
+    def shares(self, start: np.ndarray, end: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of what was coded, of 65536: an order-0 share, or a hit of either prediction."""
+        start, end = start * self.rest, end * self.rest
+        for x in (start, end):
             x >>= _SCALE_BITS
             x += self.known
         start = np.where(hit1, self.pa, start)
-        end = np.where(hit1, self.known, both)
+        end = np.where(hit1, self.known, end)
         start *= ~hit2
         end = np.where(hit2, self.pa, end)
         end -= start
@@ -180,22 +192,40 @@ class _Model:
         self.before, self.last = self.last, x
 
     def rebuild(self, seen: np.ndarray, slots: bool) -> None:
-        """The order-0 distribution anew, with the ids seen since (rows by lanes)."""
-        if len(seen):
-            flat = (seen[:, : self.n] >> 8) + self.at256
-            self.count += np.bincount(flat.ravel(), minlength=self.n * 256).reshape(self.n, 256).astype(np.int32)
-        total = np.maximum(self.count.sum(axis=1, keepdims=True, dtype=np.int32), 1)
-        freq = self.count * np.int32((1 << _SCALE_BITS) - 256)
-        freq //= total
+        """The order-0 distributions anew, from all ids so far (rows by lanes)."""
+        t, n = len(seen), self.n
+        rows = np.sort(_turned(seen[:, :n]).astype(np.uint16), axis=1, kind="stable")
+        fresh = np.ones((n, t), bool)
+        np.not_equal(rows[:, 1:], rows[:, :-1], out=fresh[:, 1:])
+        at = np.flatnonzero(fresh)
+        lane = (at // max(t, 1)).astype(np.int32)
+        ids = rows.ravel()[at].astype(np.int32)
+        distinct = np.bincount(lane, minlength=n).astype(np.int32)
+        # Of the parts, each id gets one and a share by its count; new ids count as often as different ids have come.
+        size = np.diff(np.append(at, n * t)).astype(np.int32) * ((1 << _SCALE_BITS) - 256 - distinct[lane])
+        size //= t + distinct[lane]
+        size += 1
+        end = np.cumsum(size, dtype=np.int64)
+        first = np.concatenate([[0], end])[np.cumsum(distinct) - distinct]
+        end = (end - first[lane]).astype(np.int32)
+        self.keys, self.starts, self.ends = (lane << 16) | ids, end - size, end
+        self.new_start = np.bincount(lane, size, minlength=n).astype(np.int32)
+        self.new_end = np.full(n, 1 << _SCALE_BITS, np.int32)
+        count = np.bincount((lane << 8) | (ids >> 8), minlength=n * 256).reshape(n, 256).astype(np.int32)
+        freq = count * np.int32((1 << _SCALE_BITS) - 256)
+        freq //= np.maximum(distinct, 1)[:, None]
         freq += 1
         freq[:, 0] += (1 << _SCALE_BITS) - freq.sum(axis=1, dtype=np.int32)
         start = np.cumsum(freq, axis=1, dtype=np.int32)
         start -= freq
-        start <<= 16
-        start |= freq
-        self.share = start.ravel()
+        #: For each lane and high byte of a new id: where its share of 4096 parts starts, and its size, as start << 16 | size.
+        self.share = ((start << 16) | freq).ravel()
         if slots:
-            self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), freq.ravel())
+            #: What each part stands for: the id's place in `keys`, or one for new ids; and the high byte.
+            parts = np.insert(size, np.cumsum(distinct), self.new_end - self.new_start)
+            what = np.insert(np.arange(len(ids), dtype=np.int32), np.cumsum(distinct), -1)
+            self.slots = np.repeat(what, parts)
+            self.high_slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), freq.ravel())
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -221,24 +251,24 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     by_step = _turned(padded.reshape(lanes, BLOCK))
     m = _Model(lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _M48, np.int64)
-    words = np.zeros((BLOCK + 4, lanes), np.int32)
+    words = np.zeros((2 * BLOCK + 4, lanes), np.int32)  # a new id takes up to two words; rows that aren't needed aren't touched
     raw = np.zeros((BLOCK + 1, lanes), np.uint8)
     flat, raw_flat = words.reshape(-1), raw.reshape(-1)
     pos, raws = np.arange(lanes), np.arange(lanes)  # flat places: row * lanes + lane
     all_low, all_pos, all_raws = low, pos, raws
-    done = 0
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
             m.cut(lanes - 1)
             low, rng, pos, raws = low[:-1], rng[:-1], pos[:-1], raws[:-1]
         if t in _REBUILD:
-            m.rebuild(by_step[done:t], False)
-            done = t
+            m.rebuild(by_step[:t], False)
+            since, places = t, m.places(by_step[t : min((k for k in _REBUILD if k > t), default=BLOCK), : m.n])
         x = by_step[t, : m.n]
         m.predict()
         hit2, right1 = x == m.o2, x == m.o1
         hit1 = right1 & ~hit2
-        start, size = m.shares(x >> 8, hit2, hit1)
+        start, end, new = m.seen(places[t - since, : m.n])
+        start, size = m.shares(start, end, hit2, hit1)
         rng >>= 16
         low += rng * start
         rng *= size
@@ -253,8 +283,19 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         low <<= shift
         short *= lanes
         pos += short
-        raw_flat[raws] = x.astype(np.uint8)
-        raws += ~(hit1 | hit2) * np.int64(lanes)
+        e = np.flatnonzero(new & ~(hit1 | hit2))
+        if len(e):
+            both = m.share[m.at256[e] + (x[e] >> 8)]
+            r, p = rng[e] >> _SCALE_BITS, pos[e]
+            own = low[e] + r * (both >> 16)
+            r *= both & 0xFFFF
+            flat[p] = (own >> 32).astype(np.int32)
+            short = r <= _M32
+            rng[e] = np.where(short, r << 16, r)
+            low[e] = np.where(short, (own & _M32) << 16, own)
+            pos[e] = p + short * lanes
+            raw_flat[raws[e]] = x[e].astype(np.uint8)
+            raws[e] += lanes
         m.update(x, hit2, hit1, right1)
     for shift in (32, 16, 0):
         flat[all_pos] = (all_low >> shift) & (0xFFFF if shift < 32 else 0x1FFFF)
@@ -289,14 +330,13 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         pos += lanes
     rng = np.full(lanes, _M48, np.int64)
     out = np.zeros((BLOCK, lanes), np.int32)
-    done = 0
+    m.rebuild(out[:0], True)
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
             m.cut(lanes - 1)
             code, rng, pos, raws = code[:-1], rng[:-1], pos[:-1], raws[:-1]
-        if t in _REBUILD:
-            m.rebuild(out[done:t], True)
-            done = t
+        if t in _REBUILD and t:
+            m.rebuild(out[:t], True)
         m.predict()
         rng >>= 16
         value = (code / rng).astype(np.int32)  # quotients under 2**17 of 48-bit integers: exact
@@ -312,12 +352,12 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         slot = (value / m.rest).astype(np.int64)
         slot &= (1 << _SCALE_BITS) - 1
         slot += m.slot_base
-        high = m.slots.take(slot, mode="clip").astype(np.int32)
-        x = high << 8
-        x |= raw_flat.take(raws, mode="clip")
+        which = m.slots.take(slot, mode="clip")
+        new = which < 0
+        start, end, _ = m.seen(which)
+        x = m.keys.take(which, mode="clip") & 0xFFFF if len(m.keys) else np.zeros(m.n, np.int32)
         x = np.where(plain, x, np.where(hit2, m.o2, m.o1))
-        raws += plain * np.int64(lanes)
-        start, size = m.shares(high, hit2, hit1)
+        start, size = m.shares(start, end, hit2, hit1)
         code -= rng * start
         rng *= size
         short = (rng <= _M32).astype(np.int64)
@@ -328,20 +368,46 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         code |= more
         short *= lanes
         pos += short
+        e = np.flatnonzero(new & plain)
+        if len(e):
+            r, own = rng[e] >> _SCALE_BITS, code[e]
+            high = m.high_slots[np.minimum(own // r, (1 << _SCALE_BITS) - 1) + m.slot_base[e]].astype(np.int32)
+            both = m.share[m.at256[e] + high]
+            own -= r * (both >> 16)
+            r *= both & 0xFFFF
+            short = r <= _M32
+            p = pos[e]
+            rng[e] = np.where(short, r << 16, r)
+            code[e] = np.where(short, own << 16 | flat.take(p, mode="clip"), own)
+            pos[e] = p + short * lanes
+            x[e] = high << 8 | raw_flat.take(raws[e], mode="clip")
+            raws[e] += lanes
         out[t, : m.n] = x
         m.update(x, hit2, hit1, x == m.o1)
     return _turned(out).reshape(-1)[:n]
 
 
 def encode_frame(ids: np.ndarray) -> bytes:
-    """Magic, number of ids, then for each block its words' and verbatim bytes' lengths and their checksum; then the bytes."""
-    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > 0xFFFF):
-        raise ValueError("ids have to lie in 0..65535")
+    """Magic, number of ids, then for each block its words' and verbatim bytes' lengths and their checksum; then the bytes.
+
+    Where an id has over 16 bits: another magic, the length of the low 16 bits' frame, that frame, and the rest's frame.
+    """
+    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >> 32):
+        raise ValueError("ids have to lie in 0..2**32 - 1")
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        wide = np.asarray(ids, np.int64)
+        low = encode_frame(wide & 0xFFFF)
+        return b"".join([WIDE, np.array([len(low)], "<u8").tobytes(), low, encode_frame(wide >> 16)])
     words, raw = _encode(np.asarray(ids, np.int64)) if len(ids) else ([], [])
     table = np.array([(len(w), len(r), zlib.crc32(r, zlib.crc32(w))) for w, r in zip(words, raw, strict=True)], "<u4").reshape(-1, 3)
     return b"".join([MAGIC, np.array([len(ids)], "<u8").tobytes(), table.tobytes(), *(x for pair in zip(words, raw, strict=True) for x in pair)])
 
 
+def _halves(data: bytes) -> tuple[bytes, bytes]:
+    size = int(np.frombuffer(data, "<u8", 1, 4)[0])
+    return data[12 : 12 + size], data[12 + size :]
+
+
 @dataclass
 class Frame:
     n: int
@@ -368,6 +434,9 @@ def read_frame(data: bytes) -> Frame:
 
 
 def decode_frame(data: bytes) -> np.ndarray:
+    if data[:4] == WIDE:
+        low, high = map(decode_frame, _halves(data))
+        return low | high.astype(np.int64) << 16
     f = read_frame(data)
     if not f.n:
         return np.zeros(0, np.int32)
@@ -376,6 +445,9 @@ def decode_frame(data: bytes) -> np.ndarray:
 
 def decode_block(data: bytes, block: int) -> np.ndarray:
     """One block of a frame alone."""
+    if data[:4] == WIDE:
+        low, high = (decode_block(x, block) for x in _halves(data))
+        return low | high.astype(np.int64) << 16
     f = read_frame(data)
     size = _lanes(f.n)[1] if block == len(f.words) - 1 else BLOCK
     return _decode(size, [f.words[block]], [f.raw[block]])

@@ -7,7 +7,8 @@ n_ids, index, frame): `start` is the number of ids before it in its part, `index
 is described in idcodec.
 
 Defined results: a null or empty text is a document of the end id alone. A null id sorts first and is kept.
-Repeated ids are separate documents, in the order of their texts.
+Repeated ids are separate documents, in the order of their texts. An empty table gives an empty file. A very
+long text is a frame of its own. Other columns of the input, whatever their names, don't take part.
 """
 
 from __future__ import annotations
@@ -128,7 +129,8 @@ def read_index(data: bytes) -> np.ndarray:
 def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
     """Encodes docs and writes the file."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    dealt = source.repartitionByRange(partitions, "doc_id") if partitions else source.repartitionByRange("doc_id")
+    keys = ("doc_id", F.substring("text", 1, 64))  # so rows that share an id, or have none, don't all go to one task
+    dealt = source.repartitionByRange(partitions, *keys) if partitions else source.repartitionByRange(*keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, written = TaskContext.get().partitionId(), 0
@@ -160,7 +162,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
         if held:
             yield done()
 
-    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE).write.mode("overwrite").parquet(path)
+    dealt.sortWithinPartitions(*keys, "text").mapInArrow(run, FILE).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
