@@ -115,3 +115,23 @@ def test_homes_are_sparks(spark):
     ids = [0, 1, -5, 2**40 + 3, (1 << 62) + 9]
     got = [r.h for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("pmod(xxhash64(i), 37) as h").collect()]
     assert suffix.home_of(np.array(ids), 37).tolist() == got
+
+
+def test_buckets_of_equal_strings():
+    """Pointers are equal exactly where the MATCH bytes are, also where they only differ at the end or start."""
+    r = np.random.default_rng(4)
+    base = r.integers(97, 100, suffix.WIDTH + 2).astype(np.uint8)
+    rows = [base]
+    for k in range(300):
+        row = rows[r.integers(0, len(rows))].copy()
+        for at in r.integers(0, suffix.WIDTH, k % 4):
+            row[at] = r.integers(97, 100)
+        rows.append(row if k % 5 else np.roll(row, int(r.integers(1, 4))))
+    rows = np.array(rows)
+    found = suffix.suffix_buckets(rows)
+    number, same = {}, {}
+    for i, row in enumerate(rows):
+        for o in range(suffix.LEFT + 1):
+            text = row[o : o + suffix.MATCH].tobytes()
+            assert same.setdefault(text, int(found[i, o])) == found[i, o]
+            assert number.setdefault(int(found[i, o]), text) == text

@@ -8,17 +8,18 @@ corpus in one place is out of the question, so suffixes are dealt out by their q
 2. Anchors are brought together by their hash; those of a single document can't lie in a repeated string and go.
 3. What is around the remaining anchors (the strings of MATCH bytes over the anchor) is brought together by bucket;
    equal surroundings are merged before and after they move. In each bucket the suffixes of the surroundings are
-   sorted: 8-byte buckets first, then, pass by pass, by the bucket numbers of the suffixes 8, 16 and 18 bytes on, each
-   pass reusing the numbers that the pass before has given, until MATCH bytes are told apart. Each bucket of equal
-   strings then knows its smallest document.
+   sorted: 8-byte buckets first; buckets of several suffixes are refined by the bucket pointers of the suffixes 8, 16
+   and 18 bytes on, which are updated in place and reused by the passes after, until MATCH bytes are told apart. Each
+   bucket of equal strings then knows its smallest document.
 4. The strings that have a smaller document are brought back to their texts, which are cut.
 
 Rows that move are packed, compressed arrays. Texts are dealt out once, by a hash of the document; steps 3 and 4 read
 the same exchange. A passage that many documents share costs each task that meets it one row.
 
 Defined results: a null or empty text has no byte. A null id counts as larger than all others. Rows with equal ids are
-one document to each other: they never remove each other's bytes; so are all rows with a null id. Matches never cross
-rows. Ids lie below 2 ** 62.
+one document to each other: they never remove each other's bytes; so are all rows with a null id. Repeated rows each get
+a row. Matches never cross rows. Ids lie below 2 ** 62. An empty table gives an empty table. Other columns of the input,
+whatever their names, don't take part.
 """
 
 from __future__ import annotations
@@ -184,25 +185,51 @@ def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[np.concatenate([[True], ~same])], number
 
 
-def refine(buckets: np.ndarray, step: int) -> np.ndarray:
-    """Bucket numbers of twice the depth: suffixes are sorted by their own bucket and that of the suffix `step` on."""
-    a, b = buckets[:, : buckets.shape[1] - step], buckets[:, step:]
-    key = a * (int(buckets.max()) + 1) + b
-    return np.unique(key, return_inverse=True)[1].reshape(key.shape)
+def refine(pointers: np.ndarray, members: np.ndarray, step: int) -> np.ndarray:
+    """Sorts the members of unresolved buckets by the bucket pointers of the suffixes `step` on; returns those still unresolved.
+
+    A pointer is the place of the bucket's first suffix in suffix order. Each part that a bucket falls into gets the
+    place of its own first suffix, in place, so later passes reuse it, and buckets that aren't touched keep theirs.
+    """
+    own, later = pointers[members], pointers[members + step]
+    order = np.lexsort((later, own))
+    own, later = own[order], later[order]
+    fresh = np.concatenate([[True], own[1:] != own[:-1]])
+    part = fresh | np.concatenate([[True], later[1:] != later[:-1]])
+    at = np.arange(len(order))
+    bucket = np.maximum.accumulate(np.where(fresh, at, 0))
+    first = np.maximum.accumulate(np.where(part, at, 0))
+    pointers[members[order]] = own + (first - bucket)
+    size = np.diff(np.append(np.flatnonzero(part), len(order)))
+    return members[order[np.repeat(size > 1, size)]]
 
 
 def suffix_buckets(rows: np.ndarray) -> np.ndarray:
-    """For each row and each of its strings of MATCH bytes, the number of its bucket of equal strings."""
-    n = len(rows)
+    """For each row and each of its strings of MATCH bytes, the pointer of its bucket of equal strings.
+
+    Buckets of 8-byte grams come first. A bucket of one suffix is resolved and never sorted again; of the others, only
+    suffixes that the next pass reads are refined: 8 bytes on, then 16 (both by pointers of that depth), then as many as
+    are left of MATCH.
+    """
+    n, width = len(rows), WIDTH - 7
     flat = np.zeros((n, WIDTH), np.uint64)
     flat[:] = rows[:, :WIDTH]
-    eight = np.zeros((n, WIDTH - 7), np.uint64)
+    eight = np.zeros((n, width), np.uint64)
     for k in range(8):
-        eight |= flat[:, k : k + WIDTH - 7] << np.uint64(8 * k)
-    buckets = np.unique(eight, return_inverse=True)[1].reshape(eight.shape)
+        eight |= flat[:, k : k + width] << np.uint64(8 * k)
+    order = np.argsort(eight, axis=None, kind="stable")
+    grams = eight.ravel()[order]
+    start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    size = np.diff(np.append(start, len(order)))
+    pointers = np.empty(n * width, np.int64)
+    pointers[order] = np.repeat(start, size)
+    unresolved, last = order[np.repeat(size > 1, size)], width
     for step in (8, 16, MATCH - 32):
-        buckets = refine(buckets, step)
-    return buckets
+        last -= step
+        unresolved = unresolved[unresolved % width < last]
+        if len(unresolved):
+            unresolved = refine(pointers, unresolved, step)
+    return pointers.reshape(n, width)[:, : LEFT + 1]
 
 
 def smallest(keys: np.ndarray, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
