@@ -33,7 +33,7 @@ from . import pretok
 from .kit import map_texts, per_document, sha256_hex
 
 #: Pieces and pairs that a worker remembers; on reaching it, it forgets all and starts again.
-MEMO = 250_000
+MEMO = 120_000
 
 
 @lru_cache(maxsize=4)

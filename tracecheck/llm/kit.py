@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one call of a mapped function sees at most (one text may be longer).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_array(column: pa.Array) -> pa.Array:
@@ -71,6 +71,7 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array]]
             for at, to in slices(texts):
                 found = fn(texts.slice(at, to - at))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in range(width)), *found], names=[*names, *(n for n, _ in fields)])
+            pa.default_memory_pool().release_unused()  # workers live on, beside those of other stages
 
     return source.mapInArrow(run, schema)
 

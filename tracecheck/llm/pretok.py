@@ -15,8 +15,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
-from tokenizers import Regex, normalizers
 
 from .kit import text_buffers
 
@@ -30,8 +28,12 @@ TIKTOKEN, TOKENIZERS = "tiktoken", "tokenizers"
 def _matched(library: str, text: str, wanted: str, other: str) -> str:
     """The characters of a text that match `wanted`, by the library's own engine; `other` matches all others."""
     if library == TIKTOKEN:
+        import tiktoken  # only the library in use is loaded into a worker
+
         own = tiktoken.Encoding("classes", pat_str=wanted, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
         return own.decode_bytes(own.encode_ordinary(text)).decode()
+    from tokenizers import Regex, normalizers
+
     drop = normalizers.Replace(Regex(other), "")
     return "".join(drop.normalize_str(text[at : at + 4096]) for at in range(0, len(text), 4096))
 
