@@ -40,6 +40,8 @@ from .kit import checkpoint, map_texts, text_buffers
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a tile at most.
 TILE = 2048
+#: Tiles of one cell whose pairs are compared under one key, on either side.
+TOGETHER = 8
 #: Candidates that a text offers within a tile at first, besides its first partner, and their growth from round to round.
 NEAREST = 3
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
@@ -355,9 +357,12 @@ def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 yield ends(Tile.of(x.as_py(), similar.bits), Tile.of(y.as_py(), similar.bits))
 
-    parts = packed.select("cell", "part")
-    pairs = parts.toDF("ca", "pa").join(parts.toDF("cb", "pb"), (F.col("ca") == F.col("cb")) & (F.col("pa") <= F.col("pb")))
-    many = tile_pairs(pairs, packed, ["rows"], ["r1", "r2"]).mapInArrow(across, "a long, b long")
+    # Tiles meet by blocks of TOGETHER tiles: a key has a bounded number of tile pairs, and a tile goes to few keys.
+    own = (F.col("part") / TOGETHER).cast("int")
+    blocks = F.sequence(F.lit(0), ((F.col("parts") - 1) / TOGETHER).cast("int"))
+    left = packed.withColumn("own", own).select("cell", "part", F.col("rows").alias("r1"), F.col("own").alias("b1"), F.explode(F.filter(blocks, lambda b: b >= own)).alias("b2"))
+    right = packed.withColumn("own", own).select("cell", F.col("part").alias("p2"), F.col("rows").alias("r2"), F.explode(F.filter(blocks, lambda b: b <= own)).alias("b1"), F.col("own").alias("b2"))
+    many = left.join(right, ["cell", "b1", "b2"]).where("part <= p2").select("r1", "r2").mapInArrow(across, "a long, b long")
     return few.unionAll(many)
 
 
@@ -383,15 +388,16 @@ def verified(named: DataFrame, edges: DataFrame, similar: Similar) -> DataFrame:
 
 
 def tiles_with_sizes(cells: DataFrame) -> DataFrame:
-    """Tiles of (cell, node, group, n, map) rows: cell, part, rows (a Tile as bytes)."""
+    """Tiles of (cell, node, group, n, map) rows: cell, part, parts (of the cell), rows (a Tile as bytes)."""
     sizes = cells.groupBy("cell").agg(F.count("*").alias("__k"))
     parts = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("__k") / (TILE / 2))).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         tile = Tile(*(pdf[c].to_numpy(np.int64) for c in ("node", "group", "n")), np.frombuffer(b"".join(pdf["map"]), np.uint64))
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "rows": [tile.to_bytes()]})
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "parts": [pdf["parts"].iloc[0]], "rows": [tile.to_bytes()]})
 
-    return parts.select("cell", "part", "node", "group", "n", "map").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, rows binary")
+    counted = parts.withColumn("parts", F.ceil(F.col("__k") / (TILE / 2)).cast("int"))
+    return counted.select("cell", "part", "parts", "node", "group", "n", "map").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, parts int, rows binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, similar: Similar | None = None) -> DataFrame:
