@@ -297,7 +297,7 @@ def similar_links(named: DataFrame, nodes: DataFrame, known: DataFrame, similar:
 
     nodes: node, n, sketch, map. Texts that `known` connects aren't compared again.
     """
-    keyed = nodes.select(F.explode("sketch").alias("cell"), "node", "n", "map")
+    keyed = nodes.select(F.explode("sketch").alias("cell"), "node", "n")  # maps are joined to what is compared only
     sizes = keyed.groupBy("cell").agg(F.count("*").alias("__n")).where("__n > 1")
     met = checkpoint(keyed.join(sizes.select("cell"), "cell"))
     found, tested, most = known, None, NEAREST
@@ -305,7 +305,9 @@ def similar_links(named: DataFrame, nodes: DataFrame, known: DataFrame, similar:
         roots = components(found).withColumnRenamed("root", "group")
         grouped = met.join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
         mixed = grouped.groupBy("cell").agg(F.count("*").alias("__n"), F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("cell", "__n")
-        offers = checkpoint(offered(grouped.join(mixed, "cell"), similar, most).distinct())
+        rows = checkpoint(grouped.join(mixed, "cell"))  # groups only grow, so other cells are done with
+        met = rows.select("cell", "node", "n")
+        offers = checkpoint(offered(rows.join(nodes.select("node", "map"), "node"), similar, most).distinct())
         edges = offers.where("a <> b")
         fresh = checkpoint(edges.join(tested, ["a", "b"], "left_anti")) if tested is not None else edges
         found = checkpoint(found.unionAll(verified(named, fresh, similar)))
@@ -350,7 +352,7 @@ def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
             yield from pairs(held)
 
     few = met.where(F.col("__n") <= TILE).select("cell", "node", "group", "n", "map").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
-    packed = checkpoint(tiles_with_sizes(met.where(F.col("__n") > TILE).drop("__n")))
+    packed = checkpoint(tiles_with_sizes(met.where(F.col("__n") > TILE)))
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,16 +390,15 @@ def verified(named: DataFrame, edges: DataFrame, similar: Similar) -> DataFrame:
 
 
 def tiles_with_sizes(cells: DataFrame) -> DataFrame:
-    """Tiles of (cell, node, group, n, map) rows: cell, part, parts (of the cell), rows (a Tile as bytes)."""
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("__k"))
-    parts = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("__k") / (TILE / 2))).cast("int"))
+    """Tiles of (cell, node, group, n, map, __n: rows of the cell) rows: cell, part, parts (of the cell), rows (a Tile as bytes)."""
+    counted = cells.withColumn("parts", F.ceil(F.col("__n") / (TILE / 2)).cast("int"))
+    parts = counted.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         tile = Tile(*(pdf[c].to_numpy(np.int64) for c in ("node", "group", "n")), np.frombuffer(b"".join(pdf["map"]), np.uint64))
         return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "parts": [pdf["parts"].iloc[0]], "rows": [tile.to_bytes()]})
 
-    counted = parts.withColumn("parts", F.ceil(F.col("__k") / (TILE / 2)).cast("int"))
-    return counted.select("cell", "part", "parts", "node", "group", "n", "map").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, parts int, rows binary")
+    return parts.select("cell", "part", "parts", "node", "group", "n", "map").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, parts int, rows binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, similar: Similar | None = None) -> DataFrame:
