@@ -175,20 +175,19 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the nodes. Minima are pre-aggregated before they are shuffled.
     """
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
     while True:
         both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).unionAll(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("n").agg(F.min("m").alias("r")).select("n", F.least("n", "r").alias("r"))
+        seen = checkpoint(both.groupBy("n").agg(F.min("m").alias("r"), F.count("*").alias("k")))
+        # All are stars once each node with a smaller neighbour has that neighbour only.
+        if seen.where("r < n and k > 1").isEmpty():
+            return seen.where("r < n").select(F.col("n").alias("node"), F.col("r").alias("root"))
         # Large star: larger neighbours of n point to n's minimum.
+        least = seen.select("n", F.least("n", "r").alias("r"))
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("r").alias("v")).where("u <> v").distinct()
         # Small star: n and its smaller neighbours point to their minimum.
         low = large.groupBy("u").agg(F.min("v").alias("r"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("r").alias("v")), F.struct(F.col("v").alias("u"), F.col("r").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = checkpoint(small)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
 
 
 @dataclass(frozen=True)
@@ -292,27 +291,31 @@ def closest(left: Tile, right: Tile, similar: Similar, most: int) -> tuple[np.nd
     return np.concatenate(i), np.concatenate(j), np.concatenate(more)
 
 
-def similar_links(named: DataFrame, nodes: DataFrame, known: DataFrame, similar: Similar) -> DataFrame:
-    """`known` and further (a, b) node pairs, which connect all texts with the given share of shingles in common.
+def similar_roots(named: DataFrame, nodes: DataFrame, known: DataFrame, similar: Similar) -> DataFrame:
+    """(node, root) as of `components`, over the edges `known` and all pairs of the given share of shingles.
 
-    nodes: node, n, sketch, map. Texts that `known` connects aren't compared again.
+    nodes: node, n, sketch, map. Texts that are connected already aren't compared again, nor are cells in which each
+    text has offered all its candidates.
     """
     keyed = nodes.select(F.explode("sketch").alias("cell"), "node", "n")  # maps are joined to what is compared only
     sizes = keyed.groupBy("cell").agg(F.count("*").alias("__n")).where("__n > 1")
     met = checkpoint(keyed.join(sizes.select("cell"), "cell"))
-    found, tested, most = known, None, NEAREST
+    roots, again, tested, most = components(known), None, None, NEAREST
     while True:
-        roots = components(found).withColumnRenamed("root", "group")
-        grouped = met.join(roots, "node", "left").withColumn("group", F.coalesce("group", "node"))
-        mixed = grouped.groupBy("cell").agg(F.count("*").alias("__n"), F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("cell", "__n")
-        rows = checkpoint(grouped.join(mixed, "cell"))  # groups only grow, so other cells are done with
+        grouped = met.join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        grouped = grouped.withColumn("again", F.lit(True)) if again is None else grouped.join(again, "node", "left")
+        open_ = grouped.groupBy("cell").agg(F.count("*").alias("__n"), F.min("group").alias("x"), F.max("group").alias("y"), F.max("again").alias("again")).where("x <> y and again").select("cell", "__n")
+        rows = checkpoint(grouped.drop("again").join(open_, "cell"))  # groups only grow, so other cells are done with
         met = rows.select("cell", "node", "n")
         offers = checkpoint(offered(rows.join(nodes.select("node", "map"), "node"), similar, most).distinct())
         edges = offers.where("a <> b")
         fresh = checkpoint(edges.join(tested, ["a", "b"], "left_anti")) if tested is not None else edges
-        found = checkpoint(found.unionAll(verified(named, fresh, similar)))
-        if offers.where("a = b").isEmpty():
-            return found
+        found = checkpoint(verified(named, fresh, similar))
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
+        again = offers.where("a = b").select(F.col("a").alias("node"), F.lit(True).alias("again"))
+        if again.isEmpty():
+            return roots
         tested = fresh if tested is None else tested.unionAll(fresh)
         most *= NEAREST
 
@@ -409,7 +412,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if similar is None:
         key = ["fp"]
         nodes = one.groupBy("fp").agg(F.min("doc_id").alias("node"))
-        edges = links(nodes, radius)
+        roots = components(links(nodes, radius))
     else:
         # Equal fingerprints are linked, but their texts may differ: each set of shingles is a node of its own.
         key = ["fp", "digest"]
@@ -417,8 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
         same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
         known = checkpoint(links(firsts.select("fp", F.col("first").alias("node")), radius).unionAll(same))
-        edges = similar_links(named, nodes, known, similar)
-    roots = components(edges)
+        roots = similar_roots(named, nodes, known, similar)
     classes = nodes.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
     return fps.select("doc_id", *key).join(classes, key, "left").select("doc_id", "fp", "component_id")
 
