@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -106,5 +107,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Written to the shared folder as Parquet, and read from there by what follows.
+
+    For tables that are joined: Spark knows their sizes, so small ones are broadcast without a shuffle of the other side,
+    and many small files are read by few tasks.
+    """
+    spark = df.sparkSession
+    place = f"{shared_base(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -5,7 +5,7 @@ fingerprints are packed into tiles of equal population counts (of each 16-bit qu
 the radius have quarter counts that differ by at most the radius in sum, so all other tile pairs are skipped
 without loss; the rest is compared exactly with numpy exclusive-or and bit counts. A tile pair returns a
 spanning forest of its links, never all linked pairs. Components are then found by alternating star
-contractions over checkpointed tables.
+contractions over written tables.
 
 Beyond the fingerprints' links, `near_duplicates` can also link texts of a given similarity (`Similar`), for which
 fingerprints may differ in any number of bits. Texts that share one of their smallest shingle hashes meet in a tile;
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kit import checkpoint, map_texts, text_buffers
+from .kit import checkpoint, map_texts, table, text_buffers
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a tile at most.
@@ -174,10 +174,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star contractions: edges never grow in number, and rounds grow with the
     logarithm of the nodes. Minima are pre-aggregated before they are shuffled.
     """
-    e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).unionAll(e.select(F.col("v"), F.col("u")))
-        seen = checkpoint(both.groupBy("n").agg(F.min("m").alias("r"), F.count("*").alias("k")))
+        seen = table(both.groupBy("n").agg(F.min("m").alias("r"), F.count("*").alias("k")))
         # All are stars once each node with a smaller neighbour has that neighbour only.
         if seen.where("r < n and k > 1").isEmpty():
             return seen.where("r < n").select(F.col("n").alias("node"), F.col("r").alias("root"))
@@ -187,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: n and its smaller neighbours point to their minimum.
         low = large.groupBy("u").agg(F.min("v").alias("r"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("r").alias("v")), F.struct(F.col("v").alias("u"), F.col("r").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = checkpoint(small)
+        e = table(small)
 
 
 @dataclass(frozen=True)
@@ -299,18 +299,18 @@ def similar_roots(named: DataFrame, nodes: DataFrame, known: DataFrame, similar:
     """
     keyed = nodes.select(F.explode("sketch").alias("cell"), "node", "n")  # maps are joined to what is compared only
     sizes = keyed.groupBy("cell").agg(F.count("*").alias("__n")).where("__n > 1")
-    met = checkpoint(keyed.join(sizes.select("cell"), "cell"))
+    met = table(keyed.join(sizes.select("cell"), "cell"))
     roots, again, tested, most = components(known), None, None, NEAREST
     while True:
         grouped = met.join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
         grouped = grouped.withColumn("again", F.lit(True)) if again is None else grouped.join(again, "node", "left")
         open_ = grouped.groupBy("cell").agg(F.count("*").alias("__n"), F.min("group").alias("x"), F.max("group").alias("y"), F.max("again").alias("again")).where("x <> y and again").select("cell", "__n")
-        rows = checkpoint(grouped.drop("again").join(open_, "cell"))  # groups only grow, so other cells are done with
+        rows = table(grouped.drop("again").join(open_, "cell"))  # groups only grow, so other cells are done with
         met = rows.select("cell", "node", "n")
-        offers = checkpoint(offered(rows.join(nodes.select("node", "map"), "node"), similar, most).distinct())
+        offers = table(offered(rows.join(nodes.select("node", "map"), "node"), similar, most).distinct())
         edges = offers.where("a <> b")
-        fresh = checkpoint(edges.join(tested, ["a", "b"], "left_anti")) if tested is not None else edges
-        found = checkpoint(verified(named, fresh, similar))
+        fresh = table(edges.join(tested, ["a", "b"], "left_anti")) if tested is not None else edges
+        found = table(verified(named, fresh, similar))
         if not found.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
         again = offers.where("a = b").select(F.col("a").alias("node"), F.lit(True).alias("again"))
@@ -407,7 +407,7 @@ def tiles_with_sizes(cells: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, similar: Similar | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; with `similar`, texts of that similarity are linked too."""
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    fps = checkpoint(fingerprints(named, "text", keep=["doc_id"], size=size) if similar is None else _sketched(named, size, similar))
+    fps = table(fingerprints(named, "text", keep=["doc_id"], size=size) if similar is None else _sketched(named, size, similar))
     one = fps.where("doc_id is not null")
     if similar is None:
         key = ["fp"]
@@ -416,10 +416,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     else:
         # Equal fingerprints are linked, but their texts may differ: each set of shingles is a node of its own.
         key = ["fp", "digest"]
-        nodes = checkpoint(one.groupBy(*key).agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("n", "sketch", "map")]))
+        nodes = table(one.groupBy(*key).agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("n", "sketch", "map")]))
         firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
         same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        known = checkpoint(links(firsts.select("fp", F.col("first").alias("node")), radius).unionAll(same))
+        known = table(links(firsts.select("fp", F.col("first").alias("node")), radius).unionAll(same))
         roots = similar_roots(named, nodes, known, similar)
     classes = nodes.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
     return fps.select("doc_id", *key).join(classes, key, "left").select("doc_id", "fp", "component_id")
