@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracecheck.llm import bpe, decontam, pii, quality, simhash
-from tracecheck.llm.kit import checkpoint, free_name, shared_base
+from tracecheck.llm.kit import free_name, shared_base, table
 from tracecheck.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = simhash.near_duplicates(docs, similar=simhash.Similar())
     per_id = classes.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    per_id = checkpoint(per_id.where("n > 1 or c <> doc_id"))
+    per_id = table(per_id.where("n > 1 or c <> doc_id"))
     gone = free_name(docs, "_gone")
     goes = per_id.where("c <> doc_id").select(F.col("doc_id").alias(gone))
     kept = docs.join(goes, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
