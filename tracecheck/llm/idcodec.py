@@ -26,8 +26,8 @@ import numpy as np
 MAGIC, WIDE = b"ACM3", b"ACW3"
 #: Ids in a block.
 BLOCK = 2048
-#: Blocks that are coded side by side at most.
-LANES = 4096
+#: Blocks that are coded side by side at most; a frame takes some 60 bytes of memory an id while it is coded.
+LANES = 2048
 #: Slots of an order-1 or order-2 table.
 SLOT_BITS = 8
 _SLOTS = 1 << SLOT_BITS
@@ -398,7 +398,7 @@ def encode_frame(ids: np.ndarray) -> bytes:
         wide = np.asarray(ids, np.int64)
         low = encode_frame(wide & 0xFFFF)
         return b"".join([WIDE, np.array([len(low)], "<u8").tobytes(), low, encode_frame(wide >> 16)])
-    words, raw = _encode(np.asarray(ids, np.int64)) if len(ids) else ([], [])
+    words, raw = _encode(np.asarray(ids)) if len(ids) else ([], [])
     table = np.array([(len(w), len(r), zlib.crc32(r, zlib.crc32(w))) for w, r in zip(words, raw, strict=True)], "<u4").reshape(-1, 3)
     return b"".join([MAGIC, np.array([len(ids)], "<u8").tobytes(), table.tobytes(), *(x for pair in zip(words, raw, strict=True) for x in pair)])
 

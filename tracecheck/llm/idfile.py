@@ -32,7 +32,7 @@ END_ID = 0
 #: Ids in a frame, at most.
 FRAME_IDS = idcodec.BLOCK * idcodec.LANES
 #: Pieces that a worker remembers.
-MEMO = 1_500_000
+MEMO = 600_000
 
 
 class Encoder:
@@ -153,6 +153,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
                     if end <= k and size:
                         yield done()
                         held, size, written = [], 0, written + size
+                        pa.default_memory_pool().release_unused()
                         continue
                     end = min(max(end, k + 1), to - at)
                     own = ids[start[k] : start[end]]
