@@ -129,6 +129,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 O
 FROM f
 """
 
+#: Every 50-byte string of every text, as hex digits, and the smallest id that has it; then what is covered and what is left.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT r, doc_id, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i, h FROM d
+), w AS (
+  SELECT r, doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS k FROM p
+), m AS (
+  SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY k) AS least FROM w) WHERE least < doc_id
+), g AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM m
+), s AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM g
+), spans AS (
+  SELECT r, span, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY r, span
+), kept AS (
+  SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS from_, a AS to_, b - a AS size FROM spans
+), part AS (
+  SELECT r, count(*) AS n_spans, sum(size) AS n_removed, string_agg(substr(h, 2 * from_ + 1, 2 * (to_ - from_)), '' ORDER BY to_) AS before, max(to_ + size) AS last
+  FROM kept JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN part USING (r)
+"""
+
 #: op6's digests from the turns themselves; the length of the template's marks is worked out from the texts.
 OP6_SQL = r"""
 WITH t AS (
@@ -146,4 +173,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
