@@ -42,7 +42,7 @@ def coi_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.collect_set("c_mktsegment").alias("design"))
     s = _t(spark, sf_dir, "supplier")
     seg = F.element_at(F.array(*[F.lit(x) for x in ("BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE", "OTHER")]), (F.col("s_suppkey") % 6 + 1).cast("int"))
-    b = s.where("s_suppkey % 3 <> 1").groupBy(F.col("s_nationkey").alias("nation")).agg(F.collect_set(seg).alias("block"))
+    b = s.groupBy(F.col("s_nationkey").alias("nation")).agg(F.collect_set(seg).alias("block"))
     n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("nation"))
     empty = F.array().cast("array<string>")
     j = n.join(c, "nation", "left").join(b, "nation", "left").select("nation", F.coalesce("design", empty).alias("d"), F.coalesce("block", empty).alias("b"))
@@ -51,27 +51,29 @@ def coi_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def left_default_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _t(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("operator"))
+    """The operator of each part: the supplier of half its number, where there is one."""
+    s = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("k"), F.col("s_name").alias("operator"))
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name")
     return catalog.with_defaults(p, s, ["k"], {"operator": "shipped"})
 
 
 def anti_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that no line refers to."""
-    return catalog.orphans(_t(spark, sf_dir, "part").select("p_partkey"), "p_partkey", _t(spark, sf_dir, "lineitem").where("l_quantity > 45"), "l_partkey")
+    """Parts that no line refers to, when a line refers to its part's number rounded down to a multiple of 3."""
+    lines = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") - F.col("l_partkey") % 3).alias("l_partkey"))
+    return catalog.orphans(_t(spark, sf_dir, "part").select("p_partkey"), "p_partkey", lines, "l_partkey")
 
 
 def drop_duplicates_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations but for those named like a region's nation already kept, and for those that refer to a dropped one."""
+    """Nations but for those whose names another block has (one for each region), and for those that refer to a dropped one."""
     n = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.lit("NATION_"), (F.col("n_nationkey") % 7).cast("string")).alias("ref"))
-    kept = n.where("n_nationkey < 3").select(F.lower("n_name").alias("n_name"))
+    kept = _t(spark, sf_dir, "region").select(F.concat(F.lit("nation_"), F.col("r_regionkey").cast("string")).alias("n_name"))
     return catalog.drop_duplicates_against(n, kept, "n_name", "ref").select("n_nationkey")
 
 
 def undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines' suppliers that are also customers by number: a semi join of identifiers."""
+    """Suppliers that have twice a customer's number: a semi join of identifiers."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    c = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("s_suppkey"))
+    c = _t(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("s_suppkey"))
     return s.join(c, "s_suppkey", "left_semi")
 
 
@@ -104,13 +106,13 @@ ORACLES = {
     "catalog_totals": f"{_D} SELECT p_brand, count(*) AS designs, count(*) FILTER (skip_reason IS NULL) AS open_ok, count(*) FILTER (mutants > 0) AS with_mutants FROM d GROUP BY p_brand",
     "slug": f"SELECT page_id, {_SLUG.format(c='url')} AS slug FROM pages",
     "coi_overlap": """WITH d AS (SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS s FROM customer),
-      b AS (SELECT DISTINCT s_nationkey AS nation, ['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'HOUSEHOLD', 'FURNITURE', 'OTHER'][(s_suppkey % 6 + 1)::INT] AS s FROM supplier WHERE s_suppkey % 3 <> 1)
+      b AS (SELECT DISTINCT s_nationkey AS nation, ['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'HOUSEHOLD', 'FURNITURE', 'OTHER'][(s_suppkey % 6 + 1)::INT] AS s FROM supplier)
       SELECT n_nationkey AS nation, coalesce(string_agg(b.s, ',' ORDER BY b.s), '') AS overlap, CASE WHEN count(d.s) = 0 THEN 1.0 ELSE round(count(b.s)::DOUBLE / count(d.s), 6) END AS coverage
       FROM nation LEFT JOIN d ON d.nation = n_nationkey LEFT JOIN b ON b.nation = n_nationkey AND b.s = d.s GROUP BY n_nationkey""",
-    "left_default_lookup": "SELECT p_partkey AS k, p_name, coalesce(s_name, 'shipped') AS operator FROM part LEFT JOIN supplier ON s_suppkey = p_partkey AND s_suppkey % 2 = 0",
-    "anti_orphans": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
-    "drop_duplicates_by_name": "WITH k AS (SELECT lower(n_name) AS n FROM nation WHERE n_nationkey < 3), g AS (SELECT n_name FROM nation WHERE lower(n_name) IN (SELECT n FROM k)) SELECT n_nationkey FROM nation WHERE lower(n_name) NOT IN (SELECT n FROM k) AND 'NATION_' || (n_nationkey % 7) NOT IN (SELECT n_name FROM g)",
-    "undeclared": "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "left_default_lookup": "SELECT p_partkey AS k, p_name, coalesce(s_name, 'shipped') AS operator FROM part LEFT JOIN supplier ON s_suppkey * 2 = p_partkey",
+    "anti_orphans": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey - l_partkey % 3 FROM lineitem)",
+    "drop_duplicates_by_name": "WITH k AS (SELECT 'nation_' || r_regionkey AS n FROM region), g AS (SELECT n_name FROM nation WHERE lower(n_name) IN (SELECT n FROM k)) SELECT n_nationkey FROM nation WHERE lower(n_name) NOT IN (SELECT n FROM k) AND 'NATION_' || (n_nationkey % 7) NOT IN (SELECT n_name FROM g)",
+    "undeclared": "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey IN (SELECT c_custkey * 2 FROM customer)",
     "clock_vote": "SELECT n_regionkey, c_mktsegment FROM (SELECT n_regionkey, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n DESC, ascii(c_mktsegment)) = 1",
     "first_per_name": "SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) = 1",
 }

@@ -103,7 +103,7 @@ def inject_and_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers made of order lines: the block is extracted, merged with a kept one, thinned, and mended."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 3")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     stmt = F.concat(F.lit("a_"), F.col("l_linenumber").cast("string"), F.lit(": assert property (@(posedge clk) q <= "), F.col("l_suppkey").cast("string"), F.lit(");"))
     per = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", stmt.alias("s")))), lambda x: x["s"]), "\n").alias("s"))
     answer = F.concat(F.lit("<think>hm</think> Here it is:\n```systemverilog\n"), "s", F.lit("\nproperty p_cut; @(posedge clk) q\n```\n"))
@@ -241,7 +241,7 @@ ORACLES = {
     "design_context": """SELECT p_partkey, 'clk:input:1,rst_n:input:1,d:input:[' || (p_size % 8 + 1) || ':0],q:output:[' || (p_size % 8 + 1) || ':0]' AS ports, 'go' AS internals, 'LIMIT' AS constants,
       'clk' AS clock, 'rst_n' AS reset, true AS active_low, '' AS dual_edge FROM part""",
     "inject_and_strip": "SELECT p_partkey, 1 AS n_asserts, true AS replaced, true AS restored FROM part",
-    "block_edits": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem WHERE l_linenumber <= 3)
+    "block_edits": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem)
       SELECT l_orderkey, count(*) AS n_found, CASE WHEN bool_or(n = 2) THEN 'a_2' ELSE '' END AS dropped, count(*) FILTER (n <> 2) AS n_fresh, count(*) FILTER (n <> 1) AS n_left, count(*) FILTER (n <> 2) + 1 AS n_merged FROM l GROUP BY l_orderkey""",
     "format_values": "SELECT p_partkey, '0x' || lpad(lower(to_hex(p_partkey)), CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END, '0') AS shown, 'b' || bin(p_partkey) || 'x' AS unclean FROM part",
     "vcd_samples": f"{_E} SELECT trace_id, ti, t, buy, val FROM s",
