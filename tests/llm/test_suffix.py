@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
-from tracecheck.llm import suffix
+from tracecheck.llm import queries, suffix
 
 
 def brute(docs):
@@ -135,3 +136,11 @@ def test_buckets_of_equal_strings():
             text = row[o : o + suffix.MATCH].tobytes()
             assert same.setdefault(text, int(found[i, o])) == found[i, o]
             assert number.setdefault(int(found[i, o]), text) == text
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{sf}/documents.parquet')")
+    got = queries.op5_suffix_dedup(spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.ORACLES["op5_suffix_dedup"]).fetchall())
