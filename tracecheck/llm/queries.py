@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, idfile, pii, quality, simhash, suffix, toxicity
+from . import bpe, chat, decontam, divergence, idfile, pii, quality, simhash, suffix, toxicity
 from .kit import documents, shared_base
 
 
@@ -91,7 +91,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_toxicity, op3_token_counts, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_byte_bpe, op8_decontamination, op9_simhash, op10_pii)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_toxicity, op3_token_counts, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_byte_bpe, op8_decontamination, op9_simhash, op10_pii, op13_source_divergence)}
 
 #: op4's rules again, as SQL. A line's words, windows and marks are worked out with list functions and grouping.
 OP4_SQL = r"""
@@ -173,4 +177,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op6_chat_format": OP6_SQL}
+#: op13 again: all cells of terms and sources of a language, in whole numbers of 128 bits.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM d
+), g AS (SELECT DISTINCT lang, source FROM d
+), k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL
+), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang
+), cells AS (
+  SELECT g.lang, g.source, k.term, v, coalesce(c, 0) AS c FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), n AS (
+  SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n, sum(c) OVER (PARTITION BY lang, term) AS lc, sum(c) OVER (PARTITION BY lang) AS ln FROM cells
+), p AS (
+  SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 2)) // (n + 2 * v) AS p, 1 + (1000000000::HUGEINT * (lc + 2)) // (ln + 2 * v) AS q FROM n
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op13_source_divergence": OP13_SQL}
