@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, divergence, idfile, pii, quality, simhash, suffix, toxicity
+from . import bpe, chat, decontam, divergence, idfile, packing, pii, prefixes, quality, simhash, suffix, toxicity
 from .kit import documents, shared_base
 
 
@@ -91,11 +91,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op11_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_toxicity, op3_token_counts, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_byte_bpe, op8_decontamination, op9_simhash, op10_pii, op13_source_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_toxicity, op3_token_counts, op4_quality_rules, op5_suffix_dedup, op6_chat_format, op7_byte_bpe, op8_decontamination, op9_simhash, op10_pii, op11_multi_length_packing, op12_prefix_trie, op13_source_divergence)}
 
 #: op4's rules again, as SQL. A line's words, windows and marks are worked out with list functions and grouping.
 OP4_SQL = r"""
@@ -177,6 +185,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+#: op12 again: each prefix by a digest of all its turns; crc32 bit by bit.
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), s AS (SELECT c, max(pos) AS size FROM t GROUP BY c
+), crc AS (
+  SELECT c, size, c - ((c % 5) + 5) % 5 AS base, xor(4294967295, list_reduce(
+    list_transform(range(0, 8 * length(c::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(c::VARCHAR, (i // 8 + 1)::INT, 1))::BIGINT ELSE 0::BIGINT END),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT)) % 9 AS h FROM s
+), info AS (
+  SELECT crc.c, base, h, least(h, coalesce(s.size, 0)) AS shared, crc.size FROM crc LEFT JOIN s ON s.c = base
+), r AS (
+  SELECT info.c, pos, role, text FROM info JOIN t ON t.c = base WHERE pos <= shared
+  UNION ALL SELECT info.c, pos - h + shared, role, text FROM info JOIN t USING (c) WHERE pos > h
+), p AS (
+  SELECT c, pos AS depth, strlen(text) AS bytes, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ) OVER (PARTITION BY c ORDER BY pos)) AS path,
+    pos = max(pos) OVER (PARTITION BY c) AS ends FROM r
+  UNION ALL SELECT c, 0, 0, '', NOT EXISTS (SELECT 1 FROM r WHERE r.c = info.c) FROM info
+), n AS (
+  SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS own FROM p GROUP BY depth, path
+), up AS (
+  SELECT n.*, a.path AS over_path, a.conv_id AS parent FROM (SELECT n.*, p.path AS over_ FROM n LEFT JOIN p ON p.c = n.conv_id AND p.depth = n.depth - 1) n LEFT JOIN n a ON a.depth = n.depth - 1 AND a.path = n.over_
+), kids AS (SELECT depth - 1 AS depth, over_path AS path, count(*) AS k FROM up WHERE depth > 0 GROUP BY ALL
+), sub AS (
+  SELECT p.depth, p.path, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (kids.k IS NULL) AS leaves
+  FROM n JOIN p ON p.c = n.conv_id AND p.depth <= n.depth LEFT JOIN kids ON kids.depth = n.depth AND kids.path = n.path GROUP BY p.depth, p.path
+)
+SELECT conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, coalesce(k, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(own) AS ends_sha256
+FROM up LEFT JOIN kids USING (depth, path) JOIN sub USING (depth, path)
+"""
+
 #: op13 again: all cells of terms and sources of a language, in whole numbers of 128 bits.
 OP13_SQL = r"""
 WITH d AS (
@@ -206,4 +246,4 @@ WITH d AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op13_source_divergence": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op12_prefix_trie": OP12_SQL, "op13_source_divergence": OP13_SQL}
