@@ -31,7 +31,7 @@ from .kit import slices, table, text_array, text_buffers
 #: Documents of its language that a kept term is in, at least; ranks that are listed of a group's terms.
 LEAST_DOCS, RANKS = 10, 10
 #: Leaves that a task's trie holds; it is cut up and sent off once it has more.
-LEAVES = 400_000
+LEAVES = 150_000
 #: Bytes of a prefix's pieces up to which they are merged as they are, and the depth of the first cut.
 RANGE_BYTES, CUT = 32 << 20, 2
 #: Cells of a matrix of terms and sources worked on at once.
@@ -106,16 +106,18 @@ class Trie:
             yield terms[a][:depth], Trie(own, size, terms[a] + self.labels[int(ends[a + 1]) : int(ends[b])], self.first[a : b + 1] - c, self.group[c:d], self.count[c:d], self.docs[c:d])
 
     def to_bytes(self) -> bytes:
-        parts = [self.depth.astype(np.uint32), self.size.astype(np.uint32), np.diff(self.first).astype(np.uint32), self.group.astype(np.uint32), self.count.astype(np.int64), self.docs.astype(np.int64)]
-        return np.array([len(self.depth), len(self.group)], np.int64).tobytes() + b"".join(p.tobytes() for p in parts) + self.labels
+        """All numbers in as few bytes as the largest of their kind needs."""
+        parts = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (self.depth, self.size, np.diff(self.first), self.group, self.count, self.docs)]
+        head = np.array([len(self.depth), len(self.group), *(p.itemsize for p in parts)], np.int64)
+        return head.tobytes() + b"".join(p.tobytes() for p in parts) + self.labels
 
     @staticmethod
     def from_bytes(raw: bytes) -> Trie:
-        n, m = np.frombuffer(raw, np.int64, 2).tolist()
-        at, parts = 16, []
-        for size, kind in ((n, np.uint32), (n, np.uint32), (n, np.uint32), (m, np.uint32), (m, np.int64), (m, np.int64)):
-            parts.append(np.frombuffer(raw, kind, size, at).astype(np.int64))
-            at += size * np.dtype(kind).itemsize
+        n, m, *sizes = np.frombuffer(raw, np.int64, 8).tolist()
+        at, parts = 64, []
+        for many, size in zip((n, n, n, m, m, m), sizes, strict=True):
+            parts.append(np.frombuffer(raw, f"<u{size}", many, at).astype(np.int64))
+            at += many * size
         return Trie(parts[0], parts[1], raw[at:], np.concatenate([[0], np.cumsum(parts[2])]), *parts[3:])
 
 
@@ -217,6 +219,7 @@ def tries(docs: DataFrame) -> DataFrame:
                         held = [trie.counted(np.arange(len(groups.number)))]
                         rows = len(held[0])
                         limit = rows + LEAVES
+            pa.default_memory_pool().release_unused()
         yield from _pieces(folded(), groups.names(), CUT)
 
     return docs.select("text", "lang", "source").mapInArrow(run, _PIECES)
@@ -233,7 +236,7 @@ def cut_deeper(pieces: DataFrame) -> DataFrame:
 
         def run(batches: Iterable[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, _, langs, sources, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for _, _, langs, sources, raw in (tuple(x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
                     yield from _pieces(Trie.from_bytes(raw), list(zip(langs, sources, strict=True)), depth)
 
         pieces = table(pieces.join(heavy, "prefix", "left_anti").unionAll(pieces.join(heavy, "prefix", "left_semi").mapInArrow(run, _PIECES)))
@@ -272,11 +275,12 @@ def merged(pieces: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["lang", "trie", "sources", "v", "n"])
 
         for batch in batches:
-            for prefix, langs, sources, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for prefix, langs, sources, raw in (tuple(x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
                 if rows > limit:
                     if prefix != last:  # whole prefixes only
                         yield from out()
                         groups, held, rows, limit = Groups(), [], 0, LEAVES
+                        pa.default_memory_pool().release_unused()
                     else:
                         trie = Trie.of(pa.concat_tables(held))
                         held = [trie.counted(np.arange(len(groups.number)))]
@@ -342,7 +346,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = RANKS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, raw, names, every, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, raw, names, every, n, v in (tuple(x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
                 number = {name: k for k, name in enumerate(every)}
                 pairs, best = walk(Trie.from_bytes(raw), [number[x] for x in names], np.array(n, np.int64), v, ranks)
                 i, j = np.triu_indices(len(every), 1)
