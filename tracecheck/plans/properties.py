@@ -11,6 +11,7 @@ lands in `skipped` with its reason.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -195,11 +196,12 @@ class _Reader:
                 raise PropertyError(f"{name} is not supported")
             if len(args) not in ((1, 2) if name == "$past" else (1,)):
                 raise PropertyError(f"{name} has {len(args)} arguments")
-            if name == "$past":
-                if len(args) == 2 and (args[1][0] != "num" or not isinstance(args[1][1], int)):
-                    raise PropertyError("$past takes a whole number of rows")
-                return ("call", name, (args[0], args[1][1] if len(args) == 2 else 1))
-        return ("call", name, args)
+            if name != "$past":
+                return ("call", name, args)
+            if len(args) == 2 and (args[1][0] != "num" or not isinstance(args[1][1], int)):
+                raise PropertyError("$past takes a whole number of rows")
+            return ("call", name, (args[0], args[1][1] if len(args) == 2 else 1))
+        raise PropertyError(f"{name}(...) is not supported: neither functions nor properties with arguments are")
 
 
 def _whole(node: Node) -> int:
@@ -241,7 +243,8 @@ class Expression:
                     value = int(m["digits"].replace("_", ""), {"b": 2, "o": 8, "d": 10, "h": 16}[m["base"].lower()])
                 except ValueError:
                     raise PropertyError(f"can't read {m.group().strip()!r}") from None
-                tokens.append(("num", value, int(m["width"] or 32)))
+                width = int(m["width"] or 32)
+                tokens.append(("num", value & (1 << width) - 1, width))
             elif m["fill"] == "0":
                 tokens.append(("num", 0, 1))
             elif m["fill"]:
@@ -286,10 +289,10 @@ def _depth(node: Node) -> int:
 
 
 def width_of(node: Node, widths: Mapping[str, int]) -> int | None:
-    """Bits of an expression's value, where they are known."""
+    """Bits of an expression's value by itself, where they are known. A bare whole number has 32 at least."""
     kind = node[0]
     if kind == "num":
-        return node[2]
+        return node[2] or (max(32, node[1].bit_length()) if isinstance(node[1], int) else None)
     if kind == "name":
         return widths.get(node[1])
     if kind == "part":
@@ -302,28 +305,71 @@ def width_of(node: Node, widths: Mapping[str, int]) -> int | None:
         return 1
     if kind == "call":
         return width_of(node[2][0], widths) if node[1] == "$past" else (1 if node[1] in SAMPLED and node[1] != "$countones" else None)
+    if kind == "bin" and node[1] in ("<<", ">>"):
+        return width_of(node[2], widths)
     of = [width_of(x, widths) for x in _children(node)[1 if kind == "if" else 0 :]]
     return None if not of or None in of else max(of)
 
 
+#: A context whose width isn't known: nothing wraps.
+OPEN = -1
+
+
+def within(node: Node, widths: Mapping[str, int], context: int | None) -> int | None:
+    """Bits at which an operation is done: its own, or those of its context if they are more; None: not known."""
+    own = width_of(node, widths)
+    return None if own is None or context == OPEN else max(own, context or 0)
+
+
+def shared(x: Node, y: Node, widths: Mapping[str, int]) -> int:
+    """Bits at which two sides are compared, or OPEN."""
+    a, b = width_of(x, widths), width_of(y, widths)
+    return OPEN if a is None or b is None else max(a, b)
+
+
 def _mask(width: int) -> int:
     return (1 << width) - 1 if width < 64 else -1
 
 
-#: What a piece of SQL gives: a truth value, a number of bits, or a column whose type isn't known here.
-BOOL, BITS, ANY = "bool", "bits", "any"
+#: What a piece of SQL gives: a truth value, a number of bits, a string of over 63 bits, or a column whose type isn't known here.
+BOOL, BITS, WIDE, ANY = "bool", "bits", "wide", "any"
+#: Bits of numbers; what is wider is a string of bits, as value change dumps have it.
+MOST = 63
+
+
+def _clean(text: str, what: str) -> str:
+    """Null where a string of bits has unknown ones."""
+    return f"CASE WHEN {text} RLIKE '^[01]+$' THEN {what} END"
 
 
 def _truth(text: str, kind: str) -> str:
+    if kind == WIDE:
+        some = f"instr({text}, '1') > 0"
+        return f"({_clean(text, some)})"
     return text if kind == BOOL else f"({text} <> 0)" if kind == BITS else f"CAST({text} AS BOOLEAN)"
 
 
 def _bits(text: str, kind: str) -> str:
+    if kind == WIDE:
+        raise PropertyError(f"this operation is not supported over {MOST} bits")
     return text if kind == BITS else f"CAST({text} AS BIGINT)"
 
 
 def _number(text: str, kind: str) -> str:
-    return f"CAST({text} AS BIGINT)" if kind == BOOL else text
+    return _bits(text, kind) if kind in (BOOL, WIDE) else text
+
+
+def _wide(node: Node, back: int, widths: Mapping[str, int], width: int) -> str:
+    """SQL of the value as a string of `width` bits."""
+    if node[0] == "num":
+        return f"'{node[1]:0{width}b}'"
+    text, kind = _render(node, back, widths)
+    if kind != WIDE:
+        own = width_of(node, widths)
+        if own is None:
+            raise PropertyError(f"a value of over {MOST} bits is compared with one whose width isn't known")
+        text = f"bin({_bits(text, kind)})"
+    return f"lpad({text}, {width}, '0')"
 
 
 def _equal(op: str, a: tuple[str, str], b: tuple[str, str], x: Node, y: Node) -> str:
@@ -340,8 +386,8 @@ def _equal(op: str, a: tuple[str, str], b: tuple[str, str], x: Node, y: Node) ->
     return f"({sides[0][0]} {'=' if op == '==' else '<>'} {sides[1][0]})"
 
 
-def _render(node: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
-    """SQL at the row `back` rows ago, and what it gives."""
+def _render(node: Node, back: int, widths: Mapping[str, int], context: int | None = None) -> tuple[str, str]:
+    """SQL at the row `back` rows ago, and what it gives. context: bits of what the value is compared or combined with."""
     kind = node[0]
     if kind == "num":
         return repr(node[1]), BITS
@@ -350,82 +396,152 @@ def _render(node: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]
     if kind == "const":
         return {True: "true", False: "false", None: "NULL"}[node[1]], BOOL
     if kind == "name":
-        return (f"lag(`{node[1]}`, {back}) OVER w" if back else f"`{node[1]}`"), ANY
+        text = f"lag(`{node[1]}`, {back}) OVER w" if back else f"`{node[1]}`"
+        if (own := widths.get(node[1], 0)) > MOST:
+            # A shorter string of bits goes on with its first one if that is unknown, else with zeros.
+            return f"lpad({text}, {own}, CASE WHEN substr({text}, 1, 1) IN ('x', 'z') THEN substr({text}, 1, 1) ELSE '0' END)", WIDE
+        return text, ANY
     if kind == "part":
-        x = _bits(*_render(node[1], back, widths))
-        return f"(shiftright({x}, {node[3]}) & {_mask(node[2] - node[3] + 1)})", BITS
+        return _render_part(node, back, widths)
     if kind == "pick":
-        x, at = _bits(*_render(node[1], back, widths)), _bits(*_render(node[2], back, widths))
-        return f"(shiftright({x}, CAST({at} AS INT)) & {_mask(node[3])})", BITS
+        return _render_pick(node, back, widths)
     if kind == "cat":
-        if (width_of(node, widths) or 0) > 63:
-            raise PropertyError("a concatenation of over 63 bits is not supported")
+        if (width_of(node, widths) or 0) > MOST:
+            raise PropertyError(f"a concatenation of over {MOST} bits is not supported")
         out, at = [], 0
         for part in reversed(node[1]):
+            if part[0] == "num" and part[2] is None:
+                raise PropertyError("a number in a concatenation needs a width")
             n = width_of(part, widths) or 1
             out.append(f"shiftleft({_bits(*_render(part, back, widths))} & {_mask(n)}, {at})")
             at += n
         return f"({' | '.join(out)})", BITS
     if kind == "if":
-        yes, no = _render(node[2], back, widths), _render(node[3], back, widths)
+        yes, no = _render(node[2], back, widths, context), _render(node[3], back, widths, context)
         if yes[1] != no[1]:
             yes, no = (_bits(*yes), BITS), (_bits(*no), BITS)
         c = _truth(*_render(node[1], back, widths))
         return f"CASE WHEN {c} THEN {yes[0]} WHEN NOT {c} THEN {no[0]} END", yes[1]
     if kind == "un":
-        return _render_unary(node[1], node[2], back, widths)
+        return _render_unary(node, back, widths, context)
     if kind == "bin":
-        return _render_binary(node, back, widths)
+        return _render_binary(node, back, widths, context)
     if kind == "null":
-        return f"({_render(node[1], back, widths)[0]} IS {'NOT ' if node[2] else ''}NULL)", BOOL
+        return f"({_render(node[1], back, widths, OPEN)[0]} IS {'NOT ' if node[2] else ''}NULL)", BOOL
     if kind == "in":
-        listed = ", ".join(_render(x, back, widths)[0] for x in node[2])
-        return f"({_render(node[1], back, widths)[0]} {'NOT ' if node[3] else ''}IN ({listed}))", BOOL
+        listed = ", ".join(_render(x, back, widths, OPEN)[0] for x in node[2])
+        return f"({_render(node[1], back, widths, OPEN)[0]} {'NOT ' if node[3] else ''}IN ({listed}))", BOOL
     if kind == "like":
-        return f"({_render(node[1], back, widths)[0]} {'NOT ' if node[3] else ''}LIKE {_render(node[2], back, widths)[0]})", BOOL
-    return _render_call(node[1], node[2], back, widths)
-
-
-def _render_unary(op: str, x: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
+        return f"({_render(node[1], back, widths, OPEN)[0]} {'NOT ' if node[3] else ''}LIKE {_render(node[2], back, widths, OPEN)[0]})", BOOL
+    return _render_call(node[1], node[2], back, widths, context)
+
+
+def _render_part(node: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
+    _, base, high, low = node
+    n, own = high - low + 1, width_of(base, widths)
+    if own is not None and high >= own and base[0] == "name":
+        raise PropertyError(f"{base[1]}[{high}] is outside its {own} bits")
+    text, kind = _render(base, back, widths)
+    if kind == WIDE:
+        cut = f"substr({text}, {own - high}, {n})"
+        return (cut, WIDE) if n > MOST else (_clean(cut, f"CAST(conv({cut}, 2, 10) AS BIGINT)"), BITS)
+    if high >= MOST:
+        raise PropertyError(f"a select of bit {high} needs a declared width of over {MOST} bits")
+    return f"(shiftright({_bits(text, kind)}, {low}) & {_mask(n)})", BITS
+
+
+def _render_pick(node: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
+    """A select at a place that depends on the row; outside the value it is unknown."""
+    _, base, place, n = node
+    own = width_of(base, widths)
+    (text, kind), at = _render(base, back, widths), _bits(*_render(place, back, widths))
+    inside = f"{at} BETWEEN 0 AND {(own or MOST) - n}"
+    if kind == WIDE:
+        cut = f"substr({text}, CAST({own - n + 1} - {at} AS INT), {n})"
+        if n > MOST:
+            raise PropertyError(f"a select of over {MOST} bits needs a fixed place")
+        return f"CASE WHEN {inside} AND {cut} RLIKE '^[01]+$' THEN CAST(conv({cut}, 2, 10) AS BIGINT) END", BITS
+    return f"CASE WHEN {inside} THEN shiftright({_bits(text, kind)}, CAST({at} AS INT)) & {_mask(n)} END", BITS
+
+
+def _render_unary(node: Node, back: int, widths: Mapping[str, int], context: int | None) -> tuple[str, str]:
+    _, op, x = node
+    if op in ("-", "~"):
+        inner, wide = _render(x, back, widths, context), within(node, widths, context)
+        if wide is not None and (op == "~" or inner[1] != ANY or x[0] == "name"):
+            return f"({op}{_bits(*inner)} & {_mask(_narrow(wide))})", BITS
+        if op == "-":
+            return f"(- {_number(*inner)})", BITS if inner[1] == BOOL else inner[1]
+        return f"(~{_bits(*inner)})", BITS
     inner = _render(x, back, widths)
     if op == "!":
         return f"(NOT {_truth(*inner)})", BOOL
-    if op == "-":
-        return f"(- {_number(*inner)})", BITS if inner[1] == BOOL else inner[1]
-    own, width = _bits(*inner), width_of(x, widths)
-    if op == "~":
-        return (f"(~{own})" if width is None else f"(~{own} & {_mask(width)})"), BITS
+    width = width_of(x, widths)
     if op in ("&", "~&") and width is None:
         raise PropertyError("an and over all bits needs a known width")
-    test = {"&": f"({own} = {_mask(width or 1)})", "|": f"({own} <> 0)", "^": f"(bit_count({own}) % 2 = 1)"}[op[-1]]
-    return (f"(NOT {test})" if op[0] == "~" else test), BOOL
+    if inner[1] == WIDE:
+        text = inner[0]
+        test = _clean(text, {"&": f"instr({text}, '0') = 0", "|": f"instr({text}, '1') > 0", "^": f"length(replace({text}, '0', '')) % 2 = 1"}[op[-1]])
+    else:
+        own = _bits(*inner)
+        test = {"&": f"{own} = {_mask(width or 1)}", "|": f"{own} <> 0", "^": f"bit_count({own}) % 2 = 1"}[op[-1]]
+    return (f"(NOT ({test}))" if op[0] == "~" else f"({test})"), BOOL
+
+
+def _narrow(width: int) -> int:
+    if width > MOST:
+        raise PropertyError(f"arithmetic over {MOST} bits is not supported")
+    return width
+
+
+def _wrapped(op: str, a: str, b: str, width: int) -> str:
+    """a op b of two numbers of `width` bits, cut to as many; through decimals where a long could overflow."""
+    if width <= (31 if op == "*" else 62):
+        return f"(({a} {op} {b}) & {_mask(width)})"
+    whole = f"CAST({a} AS DECIMAL(19, 0)) {op} CAST({b} AS DECIMAL(19, 0))"
+    return f"CAST(pmod({whole}, CAST({1 << _narrow(width)} AS DECIMAL(20, 0))) AS BIGINT)"
 
 
-def _render_binary(node: Node, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
+def _render_binary(node: Node, back: int, widths: Mapping[str, int], context: int | None) -> tuple[str, str]:
     _, op, x, y = node
-    a, b = _render(x, back, widths), _render(y, back, widths)
     if op in ("and", "or"):
-        return f"({_truth(*a)} {op.upper()} {_truth(*b)})", BOOL
-    if op in ("==", "!="):
-        return _equal(op, a, b, x, y), BOOL
-    if op in ("<", "<=", ">", ">="):
-        return f"({_number(*a)} {op} {_number(*b)})", BOOL
+        return f"({_truth(*_render(x, back, widths))} {op.upper()} {_truth(*_render(y, back, widths))})", BOOL
+    if op in ("==", "!=", "<", "<=", ">", ">="):
+        both = shared(x, y, widths)
+        if max(both, width_of(x, widths) or 0, width_of(y, widths) or 0) > MOST:
+            n = max(both, width_of(x, widths) or 0, width_of(y, widths) or 0)
+            a, b = _wide(x, back, widths, n), _wide(y, back, widths, n)
+            return f"(CASE WHEN concat({a}, {b}) RLIKE '^[01]+$' THEN {a} {'=' if op == '==' else '<>' if op == '!=' else op} {b} END)", BOOL
+        a, b = _render(x, back, widths, both), _render(y, back, widths, both)
+        return (_equal(op, a, b, x, y) if op in ("==", "!=") else f"({_number(*a)} {op} {_number(*b)})"), BOOL
+    wide = within(node, widths, context)
+    inner = OPEN if wide is None else wide
+    a = _render(x, back, widths, inner)
     if op in ("<<", ">>"):
-        return f"shift{'left' if op == '<<' else 'right'}({_bits(*a)}, CAST({_bits(*b)} AS INT))", BITS
+        by = _bits(*_render(y, back, widths))
+        moved = f"shift{'left' if op == '<<' else 'right'}({_bits(*a)}, CAST({by} AS INT))"
+        if wide is not None and op == "<<":
+            moved = f"({moved} & {_mask(_narrow(wide))})"
+        if y[0] == "num":
+            return (moved if y[1] <= MOST else "0"), BITS
+        return f"CASE WHEN {by} > {MOST} THEN 0 ELSE {moved} END", BITS  # a longer shift would start again from the front
+    b = _render(y, back, widths, inner)
     if op in ("&", "|", "^", "~^"):
         both = f"({_bits(*a)} {op[-1]} {_bits(*b)})"
-        return (both if op != "~^" else f"(~{both})"), BITS
+        if op == "~^":
+            return (f"(~{both})" if wide is None else f"(~{both} & {_mask(_narrow(wide))})"), BITS
+        return both, BITS
+    if wide is not None and op in ("+", "-", "*"):
+        return _wrapped(op, _bits(*a), _bits(*b), wide), BITS
     return f"({_number(*a)} {op} {_number(*b)})", BITS if ANY not in (a[1], b[1]) else ANY
 
 
-def _render_call(name: str, args: tuple, back: int, widths: Mapping[str, int]) -> tuple[str, str]:
-    if not name.startswith("$"):
-        return f"{name}({', '.join(_render(a, back, widths)[0] for a in args)})", ANY
+def _render_call(name: str, args: tuple, back: int, widths: Mapping[str, int], context: int | None) -> tuple[str, str]:
     if name == "$past":
-        return _render(args[0], back + args[1], widths)
+        return _render(args[0], back + args[1], widths, context)
     now = _render(args[0], back, widths)
     if name in ("$countones", "$onehot", "$onehot0"):
-        n = f"bit_count({now[0]})"
+        n = f"bit_count({now[0]})" if now[1] != WIDE else _clean(now[0], f"length(replace({now[0]}, '0', ''))")
         return {"$countones": (n, BITS), "$onehot": (f"({n} = 1)", BOOL), "$onehot0": (f"({n} <= 1)", BOOL)}[name]
     before = _render(args[0], back + 1, widths)
     if name in ("$rose", "$fell"):
@@ -439,9 +555,14 @@ def _render_call(name: str, args: tuple, back: int, widths: Mapping[str, int]) -
 
 @dataclass
 class Defaults:
-    """What holds for a whole block: its disabling condition, names that stand for expressions, bits of signals."""
+    """What holds for a whole block: its clock and disabling condition, names that stand for expressions, bits of signals.
 
+    fallback disables properties that name neither a clock nor a condition.
+    """
+
+    clock: str | None = None
     disable: Expression | None = None
+    fallback: Expression | None = None
     known: dict[str, Node] = field(default_factory=dict)
     widths: dict[str, int] = field(default_factory=dict)
 
@@ -475,11 +596,17 @@ class Property:
     consequent: Sequence | None = None
     window: tuple[int, int] | None = None  # ##[m:n]
     disable: Expression | None = None
+    clock: str | None = None
 
 
 @dataclass(frozen=True)
 class Check:
-    """One thing to check at each row; conditions are SQL over a window named w."""
+    """One thing to check at each row; conditions are SQL over a window named w.
+
+    What is asked of all rows of a stretch is read from running counts: hits has their names and the conditions that
+    they count, and a condition holds somewhere in the last n rows if the count now and n rows ago differ. So a check's
+    SQL doesn't grow with its stretches.
+    """
 
     label: str
     kind: str
@@ -492,6 +619,9 @@ class Check:
     prop: Property | None = None
     part: Expression | None = None
     back: int = 0
+    hits: tuple[tuple[str, str], ...] = ()
+    #: Rows that the SQL reads back, at most.
+    reach: int = 0
 
     @property
     def base(self) -> str:
@@ -502,6 +632,16 @@ class Check:
 class Plan:
     checks: list[Check] = field(default_factory=list)
     skipped: list[tuple[str, str]] = field(default_factory=list)
+    #: The signal on whose rising edges rows are sampled, if the block names one.
+    clock: str | None = None
+
+    @property
+    def reach(self) -> int:
+        return max((c.reach for c in self.checks), default=0)
+
+    @property
+    def hits(self) -> dict[str, str]:
+        return {name: sql for c in self.checks for name, sql in c.hits}
 
     @property
     def max_history(self) -> int:
@@ -539,6 +679,8 @@ def parse_sequence(text: str, ranged: bool = False, defaults: Defaults | None =
             window = int(m[2]), int(m[3])
             if window[0] > window[1]:
                 raise PropertyError("a range goes backwards")
+    if scan.find_top_level(text, "##", at) >= 0 and any(scan.find_top_level(text, word, at) >= 0 for word in ("and", "or", "not")):
+        raise PropertyError("and, or, not beside a delay are not supported; use brackets or && || !")
     parts, offsets = [], []
     while True:
         nxt = scan.find_top_level(text, "##", at)
@@ -555,7 +697,7 @@ def parse_sequence(text: str, ranged: bool = False, defaults: Defaults | None =
     return Sequence(tuple(parts), tuple(offsets)), window
 
 
-def parse_implication(text: str, disable: Expression | None, defaults: Defaults | None = None) -> Property:
+def parse_implication(text: str, disable: Expression | None, defaults: Defaults | None = None, clock: str | None = None) -> Property:
     text = scan.strip_parens(text)
     for operator in ("|->", "|=>"):
         if (at := scan.find_top_level(text, operator)) >= 0:
@@ -563,50 +705,76 @@ def parse_implication(text: str, disable: Expression | None, defaults: Defaults
             if "|->" in right or "|=>" in right or "|->" in left or "|=>" in left:
                 raise PropertyError("nested implications are not supported")
             antecedent = parse_sequence(scan.strip_parens(left), defaults=defaults)[0]
-            if disable is not None and _same(antecedent, disable):
-                raise PropertyError("the antecedent is the disabling condition, so the check would be vacuous")
+            _refuse_reset(antecedent, disable)
             consequent, window = parse_sequence(right, True, defaults)
-            return Property(antecedent, operator, consequent, window, disable)
-    return Property(parse_sequence(text, defaults=defaults)[0], disable=disable)
+            return Property(antecedent, operator, consequent, window, disable, clock)
+    alone = parse_sequence(text, defaults=defaults)[0]
+    _refuse_reset(alone, disable)
+    return Property(alone, disable=disable, clock=clock)
+
+
+# Names that count as a reset.
+_RESET = re.compile(r"(?:rst|rst_n|reset|reset_n|resetn)", re.I)
+
 
+def _refuse_reset(antecedent: Sequence, disable: Expression | None) -> None:
+    """An antecedent that is a reset, or that the disabling condition or its opposite is, says nothing or says it always."""
 
-def _same(antecedent: Sequence, disable: Expression) -> bool:
-    """Whether the antecedent only holds where the property is disabled."""
-    squeeze = lambda t: re.sub(r"\s+", "", scan.strip_parens(t))
-    return len(antecedent.parts) == 1 and squeeze(antecedent.parts[0].text) == squeeze(disable.text)
+    def literal(text: str) -> tuple[str, bool]:
+        text, positive = re.sub(r"\s+", "", scan.strip_parens(text)), True
+        while text.startswith("!") and not text.startswith("!="):
+            text, positive = re.sub(r"\s+", "", scan.strip_parens(text[1:])), not positive
+        return text, positive
 
+    own = literal(" && ".join(p.text for p in antecedent.parts))
+    if _RESET.fullmatch(own[0]):
+        raise PropertyError("the antecedent is a reset; $rose of it tells of the first row after it")
+    if disable is not None and own[0] == literal(disable.text)[0]:
+        raise PropertyError("the antecedent is the disabling condition or its opposite, so it tells nothing")
 
+
+# Fixed by the language: clocking and disabling in front of a property, and their defaults.
 _CLOCK = re.compile(r"\s*@\s*\(\s*posedge\s+(\w+)\s*\)")
 _DISABLE = re.compile(r"\s*disable\s+iff\s*(?=\()")
+_DEFAULT_CLOCK = re.compile(r"\bdefault\s+clocking\b[^;@]*@\s*\(\s*posedge\s+(\w+)\s*\)", re.I)
 
 
 def parse_body(text: str, defaults: Defaults | None = None) -> list[Property]:
     """The properties that a body stands for: one, or one for each conjunct of implications."""
-    at = 0
+    at, defaults = 0, defaults or Defaults()
+    clock, disable = defaults.clock, defaults.disable
     if m := _CLOCK.match(text):
-        at = m.end()
-    disable = defaults.disable if defaults else None
+        at, clock = m.end(), m[1]
+    elif text.lstrip().startswith("@"):
+        raise PropertyError("only the rising edge of one signal is supported as a clock")
+    elif disable is None:
+        disable = defaults.fallback
     if m := _DISABLE.match(text, at):
         end = scan.closing(text, m.end())
         if end < 0:
             raise PropertyError("disable iff: a bracket is not closed")
-        disable, at = (defaults or Defaults()).expression(text[m.end() + 1 : end - 1]), end
+        disable, at = defaults.expression(text[m.end() + 1 : end - 1]), end
     body = scan.strip_parens(text[at:])
+    if not body:
+        raise PropertyError("the property is empty")
     parts = scan.split_top_level(body, "and")
     if len(parts) > 1:
         implied = [("|->" in p) or ("|=>" in p) for p in parts]
         if not any(implied):
-            return [parse_implication(body, disable, defaults)]
+            return [parse_implication(body, disable, defaults, clock)]
         if not all(implied):
             raise PropertyError("implications and plain expressions can't be mixed in a conjunction")
-    return [parse_implication(p, disable, defaults) for p in parts]
+    return [parse_implication(p, disable, defaults, clock) for p in parts]
+
 
+def _counted(condition: str) -> tuple[str, str]:
+    """A name for the running count of the rows at which a condition holds, and the condition."""
+    return f"__hits_{hashlib.md5(condition.encode()).hexdigest()[:12]}", condition
 
-def _gate(disable: Expression | None, rows: int) -> str:
-    """SQL: the disabling condition held at none of the last rows + 1 rows."""
-    if disable is None:
-        return "true"
-    return " AND ".join(f"NOT coalesce({disable.sql(k)}, false)" for k in range(rows + 1))
+
+def _somewhere(name: str, rows: int) -> str:
+    """SQL: what `name` counts held at one of the last `rows` rows."""
+    return f"(`{name}` - coalesce(lag(`{name}`, {rows}) OVER w, 0) > 0)"
 
 
 def checks_of(label: str, kind: str, prop: Property, min_depth: int = 0, auto_cover: bool = True, source: str = "") -> list[Check]:
@@ -615,20 +783,25 @@ def checks_of(label: str, kind: str, prop: Property, min_depth: int = 0, auto_co
     A check becomes live once the deepest row that it reads exists: the depth is a maximum, not a sum.
     """
     ante, span = prop.antecedent, prop.antecedent.span
-    reads = span + ante.history()
+    reads, held = span + ante.history(), prop.disable.history() if prop.disable else 0
 
-    def make(name: str, what: str, rows: int, condition: str | None, body: str, depth: int, part: Expression | None = None) -> Check:
-        return Check(name, what, max(depth, min_depth), _gate(prop.disable, rows), condition, body, source, prop, part, rows - span)
+    def make(name: str, what: str, rows: int, condition: str | None, body: str, depth: int, part: Expression | None = None, hits: tuple[tuple[str, str], ...] = ()) -> Check:
+        gate = "true"
+        if prop.disable is not None and not rows:
+            gate = f"NOT coalesce({prop.disable.sql()}, false)"
+        elif prop.disable is not None:
+            off = _counted(prop.disable.sql())
+            gate, hits = f"NOT {_somewhere(off[0], rows + 1)}", (*hits, off)
+        return Check(name, what, max(depth, min_depth), gate, condition, body, source, prop, part, rows - span, hits, max(depth, rows + 1 + held))
 
     if prop.operator is None or kind == "cover":
         return [make(label, kind, span, None, ante.ended(0), reads)]
     base, found = int(prop.operator == "|=>"), []
     if prop.window is not None:
         low, high = prop.window
-        target = prop.consequent.parts[0]
-        body = " OR ".join(f"coalesce({target.sql(k)}, false)" for k in range(high - low + 1))
-        rows = base + high
-        found.append(make(label, kind, rows + span, ante.ended(rows), f"({body})", max(rows + reads, high - low + target.history()), target))
+        target, rows = prop.consequent.parts[0], base + high
+        hit = _counted(target.sql())
+        found.append(make(label, kind, rows + span, ante.ended(rows), _somewhere(hit[0], high - low + 1), max(rows + reads, high - low + target.history()), target, (hit,)))
     else:
         for k, (part, offset) in enumerate(zip(prop.consequent.parts, prop.consequent.offsets, strict=True)):
             rows = base + offset
@@ -638,9 +811,13 @@ def checks_of(label: str, kind: str, prop: Property, min_depth: int = 0, auto_co
     return found
 
 
-_PROPERTY = re.compile(r"\bproperty\s+(\w+)\s*;(.*?)\bendproperty\b(?:\s*:\s*\w+)?", re.S)
+# Fixed by the language: the forms of declarations and statements.
+_PROPERTY = re.compile(r"\bproperty\s+(\w+)\s*(\((?:[^()]|\([^()]*\))*\))?\s*;(.*?)\bendproperty\b(?:\s*:\s*\w+)?", re.S)
 _STATEMENT = re.compile(r"(?:\b(\w+)\s*:\s*)?\b(assert|assume|cover)\s+property\s*(?=\()")
 _DEFAULT_DISABLE = re.compile(r"\bdefault\s+disable\s+iff\s*(?=\()")
+_DEFAULTS = re.compile(r"\bdefault\s+(?:disable\s+iff\s*\([^;]*\)|clocking\b[^;]*)\s*;(?:\s*endclocking\b(?:\s*:\s*\w+)?)?", re.I)
+_FRAME = re.compile(r"`(?:ifdef|ifndef|elsif|else|endif|undef|include|timescale|default_nettype|define)\b[^\n]*|\b(?:module|bind)\b[^;]*;|\bendmodule\b(?:\s*:\s*\w+)?|\b(?:generate|endgenerate)\b|\bgenvar\b[^;]*;")
+_OTHER = re.compile(r"\s*\bsequence\b.*?(?:\bendsequence\b(?:\s*:\s*\w+)?|\Z)|\s*\bproperty\b.*\Z|[^;]*;|[^;]+\Z", re.S)
 #: A declaration: a kind, a range, a name and perhaps a value; or an assignment.
 _DECLARED = re.compile(
     r"(?:^|(?<=;))[ \t]*(?:localparam|parameter|wire|logic|reg|bit|int|integer|assign)\b(?:\s+(?:signed|unsigned|int|logic|bit))*\s*"
@@ -662,54 +839,117 @@ def _declare(text: str, defaults: Defaults, plan: Plan) -> str:
             defaults.widths[m["name"]] = int(m["high"]) - int(m["low"]) + 1
         if m["value"]:
             try:
-                defaults.known[m["name"]] = defaults.expression(m["value"]).node
+                node = defaults.expression(m["value"]).node
             except PropertyError as e:
                 plan.skipped.append((m["name"], str(e)))
-    rest = _DECLARED.sub(" ", text)
-    plan.skipped += [(m[1], "code that runs is not supported") for m in _RUNNING.finditer(rest)]
+                continue
+            # A name with a range keeps that many bits of what it is given.
+            defaults.known[m["name"]] = ("part", node, defaults.widths[m["name"]] - 1, 0) if m["high"] else node
+    rest = _DECLARED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    found = [m[1] for m in _RUNNING.finditer(rest)]
+    plan.skipped += [(f, "code that runs is not supported") for f in found]
     return rest
 
 
+def _left_over(rest: str, plan: Plan) -> None:
+    """Whatever text no statement or declaration has taken is reported."""
+    for m in _OTHER.finditer(_FRAME.sub(" ", _DEFAULTS.sub(" ", rest))):
+        text = " ".join(m[0].split()).rstrip(";").strip()
+        if not text or _RUNNING.match(text):  # running code has been reported
+            continue
+        label = re.match(r"(\w+)\s*:\s*(.*)", text)
+        what = label[2] if label else text
+        if what.startswith("property "):
+            plan.skipped.append((what.split()[1], "the property is cut off"))
+        elif what.startswith("sequence "):
+            plan.skipped.append((what.split()[1], "sequence declarations are not supported"))
+        elif m[0].rstrip().endswith(";"):
+            plan.skipped.append((label[1] if label else text[:60], "the statement is not supported"))
+        else:
+            plan.skipped.append((text[:60], "the text is cut off"))
+
+
+def _blank(text: str, a: int, b: int) -> str:
+    return text[:a] + re.sub(r"[^\n]", " ", text[a:b]) + text[b:]
+
+
 def parse_block(text: str, min_depth: int = 0, auto_cover: bool = True, strict: bool = True, widths: Mapping[str, int] | None = None, disable: str | None = None) -> Plan:
-    """All checks of a block.
+    """All checks of a block; what it has besides is in `skipped`.
 
     strict: assumptions are refused, for they would weaken what is checked. widths: bits of signals, where they matter
-    (concatenations, ~ and & over all bits). disable: the condition that counts where neither a property nor the block
-    names one.
+    (arithmetic that wraps, concatenations, ~ and & over all bits, values of over 63 bits). disable: the condition that
+    counts for properties that name neither a clock nor a condition, where the block names none either. A block has one
+    clock: that of its first statement that names one, or of its default clocking; statements with another are skipped.
     """
     text = scan.strip_comments(text)
     text = scan.expand_macros(text, scan.defines(text))
+    whole, masked = text, scan.mask_strings(text)  # of the same length; what is in strings is no statement
     plan, defaults = Plan(), Defaults(widths=dict(widths or {}))
-    bodies = {m[1]: m[2].strip().rstrip(";") for m in _PROPERTY.finditer(text)}
-    rest = _declare(_PROPERTY.sub(" ", text), defaults, plan)
-    if m := _DEFAULT_DISABLE.search(text):
-        defaults.disable = defaults.expression(text[m.end() + 1 : scan.closing(text, m.end()) - 1])
-    elif disable is not None:
-        defaults.disable = defaults.expression(disable)
-    for n, m in enumerate(_STATEMENT.finditer(rest)):
-        end = scan.closing(rest, m.end())
-        if end < 0:
+    bodies: dict[str, str] = {}
+    for m in _PROPERTY.finditer(masked):
+        if m[2] and m[2][1:-1].strip():
+            plan.skipped.append((m[1], "a property with arguments is not supported"))
+        elif m[1] in bodies:
+            plan.skipped.append((m[1], "the property is declared again"))
+        else:
+            bodies[m[1]] = text[m.start(3) : m.end(3)].strip().rstrip(";")
+    for m in _PROPERTY.finditer(masked):
+        text, masked = _blank(text, *m.span()), _blank(masked, *m.span())
+    if m := _DEFAULT_CLOCK.search(masked):
+        defaults.clock = plan.clock = m[1]
+    for kind, condition in (("disable", _DEFAULT_DISABLE.search(masked)), ("fallback", disable)):
+        try:
+            if isinstance(condition, re.Match):
+                end = scan.closing(masked, condition.end())
+                setattr(defaults, kind, defaults.expression(text[condition.end() + 1 : end - 1] if end > 0 else ""))
+            elif condition is not None:
+                setattr(defaults, kind, defaults.expression(condition))
+        except PropertyError as e:
+            plan.skipped.append(("default disable iff", str(e)))
+    statements, at = [], 0
+    while m := _STATEMENT.search(masked, at):
+        end = scan.closing(masked, m.end())
+        stop = masked.find(";", end) if end > 0 else -1
+        if stop < 0:
             plan.skipped.append((m.group().strip(), "the statement is cut off"))
+            masked = _blank(masked, m.start(), len(masked))
             break
-        inside = rest[m.end() + 1 : end - 1].strip()
+        statements.append((m, text[m.end() + 1 : end - 1].strip(), masked[end:stop].strip(), text[m.start() : stop + 1]))
+        at = stop + 1
+    for m, *_, source in statements:
+        masked = _blank(masked, m.start(), m.start() + len(source))
+    rest = _declare(masked, defaults, plan)
+    _left_over(rest, plan)
+    labels: set[str] = set()
+    unnamed = 0
+    for m, inside, action, source in statements:
         named = inside if re.fullmatch(r"\w+", inside) else None
-        label = m[1] or f"{_PREFIX[m[2]]}_{named if named else n}"
-        if named and named not in bodies:
-            plan.skipped.append((label, f"property {named} is not declared"))
-            continue
-        if m[2] == "assume" and strict:
-            plan.skipped.append((label, "assumptions are not allowed"))
-            continue
+        known = named in bodies
+        unnamed += not m[1]
+        label = m[1] or f"{_PREFIX[m[2]]}_{named if known else f'{m[2]}_{unnamed}'}"
         try:
-            props = parse_body(bodies[named] if named else inside, defaults)
+            if action and not re.match(r"else\b|\$\w+|begin\b", action):
+                raise PropertyError(f"{action[:40]!r} behind the property is not supported")
+            if label in labels:
+                raise PropertyError("the label is used again")
+            if m[2] == "assume" and strict:
+                raise PropertyError("assumptions are not allowed")
+            if named and not known and any(item == named for item, _ in plan.skipped):
+                raise PropertyError(f"property {named} is not supported")
+            props = parse_body(bodies[named] if known else inside, defaults)
             made = []
-            for k, prop in enumerate(props):
-                made += checks_of(label if len(props) == 1 else f"{label}__k{k}", m[2], prop, min_depth, auto_cover, rest[m.start() : end])
-            if any(c.depth > MAX_HISTORY for c in made):
+            for k, prop in enumerate(props, 1):
+                made += checks_of(label if len(props) == 1 else f"{label}__k{k}", m[2], prop, min_depth, auto_cover, source)
+            if any(c.reach > MAX_HISTORY + 1 or c.depth > MAX_HISTORY for c in made):
                 raise PropertyError(f"reaches back over {MAX_HISTORY} rows")
+            clock = next((p.clock for p in props if p.clock), None)
+            if clock and plan.clock and clock != plan.clock:
+                raise PropertyError(f"a second clock, {clock} beside {plan.clock}")
+            plan.clock = plan.clock or clock
+            labels.add(label)
             plan.checks += made
         except PropertyError as e:
             plan.skipped.append((label, str(e)))
-    for left in scan.leftover_macros(rest):
+    for left in scan.leftover_macros(whole):
         plan.skipped.append((f"`{left}", "macro is not defined"))
     return plan

@@ -142,18 +142,63 @@ def dense_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skipped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a block with unsupported statements leaves unchecked, with reasons, and what it does check."""
+    """Verdicts of each user's events under a block of which most can't be checked, with the reasons."""
     block = """
       a_ok: assert property (vw |=> buy);
       a_rep: assert property (vw [*3] |-> buy);
       a_inf: assert property (vw |-> ##[1:$] buy);
-      a_ref: assert property (p_missing);
+      a_fun: assert property (sqrt(val) > 2);
       m_one: assume property (vw);
       a_far: assert property (vw |-> ##300 buy);
+      r_one: restrict property (vw);
+      sequence s_one; vw ##1 buy; endsequence
+      a_cut: assert property (vw |-> buy
     """
-    plan = parse_block(block, auto_cover=False)
-    rows = [("checked", c.label, f"depth {c.depth}") for c in plan.checks] + [("skipped", *s) for s in plan.skipped]
-    return spark.createDataFrame(rows, "what string, item string, reason string")
+    return monitor.report(events(spark, sf_dir), parse_block(block, auto_cover=False), BY, ORDER)
+
+
+def _half(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("half", F.month("ts") % 2)
+
+
+def _ticking(rows: DataFrame) -> DataFrame:
+    """With a clock that is high at odd numbers."""
+    return rows.withColumn("ck", F.col("num") % 2)
+
+
+def prop_clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks on the rows at rising edges of a clock column."""
+    plan = parse_block("property p; @(posedge ck) vw |=> val > $past(val); endproperty a_k: assert property (p); a_f: assert property ($rose(vw) |-> buy || num[1]);", auto_cover=False)
+    return monitor.verdicts(_ticking(events(spark, sf_dir)), plan, BY, ORDER)
+
+
+def prop_default_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block's default clock, over long traces that are cut up."""
+    plan = parse_block("default clocking cb @(posedge ck); endclocking\na_d: assert property (vw |=> ##[0:2] buy);", auto_cover=False)
+    return monitor.verdicts(_half(_ticking(events(spark, sf_dir))), plan, ["half"], ORDER, split=2048)
+
+
+def prop_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of four and three bits: what wraps at its width, and what doesn't."""
+    rows = _numbered(events(spark, sf_dir)).withColumn("cnt", F.col("cycle") % 16).withColumn("ptr", F.col("num") % 8)
+    block = """logic [3:0] cnt; wire [2:0] ptr;
+      a_w: assert property (1'b1 |=> cnt == $past(cnt) + 4'd1);
+      a_n: assert property (1'b1 |=> cnt == $past(cnt) + 1);
+      a_s: assert property (ptr - 3'd3 > 3'd4 |=> ptr + $past(ptr) != 3'd7);"""
+    return monitor.verdicts(rows, parse_block(block, auto_cover=False), BY, ORDER)
+
+
+def prop_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value of 72 bits, as a string of bits with unknown ones at times."""
+    word = F.when(F.col("err"), F.lit("x")).otherwise(F.concat(F.lpad(F.bin(F.col("num") % 256), 8, "0"), F.repeat(F.lit("01"), 32)))
+    block = "a_w: assert property (w[71:64] < 8'd60); a_p: assert property (vw |=> w > $past(w)); a_o: assert property ($countones(w) < 37);"
+    return monitor.verdicts(events(spark, sf_dir).withColumn("w", word), parse_block(block, auto_cover=False, widths={"w": 72}), BY, ORDER)
+
+
+def prop_long_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of 200 rows and a disabling condition over all of them, by running counts."""
+    plan = parse_block("a_l: assert property (disable iff (err && val > 85) vw && val > 80 |-> ##[1:200] sgn && val > 90);", auto_cover=False)
+    return monitor.verdicts(_half(events(spark, sf_dir)), plan, ["half"], ORDER)
 
 
 def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +219,7 @@ def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: _checked(n) for n in BLOCKS} | {
-    f.__name__: f for f in (prop_suite_verdicts, prop_reset_assumed, prop_split_traces, prop_assume, prop_violations, prop_first_fail, cex_window, changed_at_failure, step_by_change, step_by_edge, dense_forward_fill, skipped_items, stream_violations)
+    f.__name__: f for f in (prop_suite_verdicts, prop_reset_assumed, prop_split_traces, prop_assume, prop_violations, prop_first_fail, cex_window, changed_at_failure, step_by_change, step_by_edge, dense_forward_fill, skipped_items, prop_clocked, prop_default_clock, prop_wrap, prop_wide, prop_long_range, stream_violations)
 }
 
 # --- SQL: looks forward from each antecedent with joins, where the plan looks back with lags ---
@@ -203,6 +248,19 @@ def _delayed(k: int, bad: str, where: str = "") -> str:
     return f"SELECT a.user_id, b.c, {bad} AS bad {_AFTER.format(k=k)} {where}"
 
 
+def _on_clock(sql: str) -> str:
+    """Over the rows at which num is odd after a row at which it isn't."""
+    edges = """), t AS (SELECT e.* REPLACE (row_number() OVER (PARTITION BY user_id ORDER BY c) - 1 AS c) FROM (SELECT b.* FROM t0 b LEFT JOIN t0 a ON a.user_id = b.user_id AND a.c = b.c - 1
+      WHERE b.num % 2 = 1 AND coalesce(a.num % 2 = 0, true)) e), n AS ("""
+    return sql.replace("WITH t AS (", "WITH t0 AS (", 1).replace("), n AS (", edges, 1)
+
+
+def _by_half(sql: str) -> str:
+    """A trace for each parity of the month instead of each user."""
+    sql = sql.replace("SELECT user_id, event_id", "SELECT month(ts) % 2 AS user_id, event_id", 1).replace("PARTITION BY user_id", "PARTITION BY month(ts) % 2", 1)
+    return sql.replace("SELECT *, CASE WHEN n_rows", "SELECT user_id AS half, * EXCLUDE user_id, CASE WHEN n_rows", 1)
+
+
 _RANGE = """SELECT a.user_id, b.c, NOT EXISTS (SELECT 1 FROM t x WHERE x.user_id = a.user_id AND x.buy AND x.c BETWEEN a.c + {m} AND a.c + {n}) AS bad
   FROM t a JOIN t b ON b.user_id = a.user_id AND b.c = a.c + {n} WHERE a.{s}"""
 _FAIL = f"{_T}, f AS (SELECT b.user_id, min(b.c) AS failing_cycle {_AFTER.format(k=1)} AND NOT (b.val > a.val - 20) GROUP BY b.user_id)"
@@ -220,8 +278,8 @@ ORACLES = {
     "prop_sequence_ante": _verdicts(("a_s", "assert", 2, f"SELECT a.user_id, d.c, NOT d.buy AS bad {_SEQ3} WHERE a.vw AND b.clk")),
     "prop_multi_consequent": _verdicts(("a_m", "assert", 1, _delayed(1, "NOT b.clk")), ("a_m__c1", "assert", 2, _delayed(2, "NOT b.buy"))),
     "prop_conjunction": _verdicts(
-        ("a_c__k0", "assert", 0, "SELECT user_id, c, NOT (val > 5) AS bad FROM t WHERE vw"),
-        ("a_c__k1", "assert", 1, "SELECT a.user_id, b.c, NOT b.buy AS bad FROM t a JOIN t b ON b.user_id = a.user_id AND b.c = a.c + 1 WHERE a.clk"),
+        ("a_c__k1", "assert", 0, "SELECT user_id, c, NOT (val > 5) AS bad FROM t WHERE vw"),
+        ("a_c__k2", "assert", 1, "SELECT a.user_id, b.c, NOT b.buy AS bad FROM t a JOIN t b ON b.user_id = a.user_id AND b.c = a.c + 1 WHERE a.clk"),
     ),
     "prop_disable_iff": _verdicts(("a_x", "assert", 2, _delayed(2, "NOT b.buy", _DISABLED))),
     "prop_rose_fell": _verdicts(("a_f", "assert", 2, f"SELECT a.user_id, d.c, b.clk AND NOT d.clk AS bad {_SEQ3} WHERE b.vw AND NOT a.vw")),
@@ -244,8 +302,27 @@ ORACLES = {
     "prop_assume": _verdicts(("a_n", "assert", 1, _delayed(1, "NOT b.buy")))
     .replace("WITH t AS (", "WITH t0 AS (")
     .replace("), n AS (", "), t AS (SELECT * FROM t0 x WHERE NOT EXISTS (SELECT 1 FROM t0 p JOIN t0 q ON q.user_id = p.user_id AND q.c = p.c + 1 WHERE p.user_id = x.user_id AND q.c <= x.c AND p.vw AND q.sgn)), n AS (", 1),
-    "skipped_items": """SELECT * FROM (VALUES ('checked', 'a_ok', 'depth 1'), ('skipped', 'a_rep', 'repetition is not supported'), ('skipped', 'a_inf', 'an unbounded delay is not supported'),
-      ('skipped', 'a_ref', 'property p_missing is not declared'), ('skipped', 'm_one', 'property vw is not declared'), ('skipped', 'a_far', 'reaches back over 254 rows')) AS v(what, item, reason)""",
+    "skipped_items": f"""SELECT user_id, label AS item, verdict, NULL::VARCHAR AS reason FROM ({_verdicts(("a_ok", "assert", 1, _delayed(1, "NOT b.buy")))})
+      UNION ALL SELECT user_id, item, 'UNCHECKED', reason FROM (SELECT DISTINCT user_id FROM events), (VALUES ('a_rep', 'repetition is not supported'), ('a_inf', 'an unbounded delay is not supported'),
+      ('a_fun', 'sqrt(...) is not supported: neither functions nor properties with arguments are'), ('m_one', 'assumptions are not allowed'), ('a_far', 'reaches back over 254 rows'),
+      ('r_one', 'the statement is not supported'), ('s_one', 'sequence declarations are not supported'), ('a_cut: assert property', 'the statement is cut off')) AS v(item, reason)""",
+    "prop_clocked": _on_clock(_verdicts(
+        ("a_k", "assert", 1, _delayed(1, "NOT (b.val > a.val)")),
+        ("a_f", "assert", 1, "SELECT a.user_id, b.c, NOT (b.buy OR (b.num >> 1) % 2 = 1) AS bad FROM t a JOIN t b ON b.user_id = a.user_id AND b.c = a.c + 1 WHERE b.vw AND NOT a.vw"),
+    )),
+    "prop_default_clock": _by_half(_on_clock(_verdicts(("a_d", "assert", 3, _RANGE.format(m=1, n=3, s="vw"))))),
+    "prop_long_range": _by_half(_verdicts(("a_l", "assert", 200, _RANGE.replace("x.buy", "x.sgn AND x.val > 90").format(m=1, n=200, s="vw AND a.val > 80")
+        + " AND NOT EXISTS (SELECT 1 FROM t x WHERE x.user_id = a.user_id AND x.err AND x.val > 85 AND x.c BETWEEN a.c AND a.c + 200)"))),
+    "prop_wrap": _verdicts(
+        ("a_w", "assert", 1, "SELECT user_id, c, false AS bad FROM t WHERE c >= 1"),
+        ("a_n", "assert", 1, "SELECT user_id, c, c % 16 = 0 AS bad FROM t WHERE c >= 1"),
+        ("a_s", "assert", 1, _delayed(1, "(b.num % 8 + a.num % 8) % 8 = 7").replace("a.vw", "(a.num + 5) % 8 > 4")),
+    ),
+    "prop_wide": _verdicts(
+        ("a_w", "assert", 0, "SELECT user_id, c, err OR num % 256 >= 60 AS bad FROM t"),
+        ("a_p", "assert", 1, _delayed(1, "a.err OR b.err OR b.num % 256 <= a.num % 256")),
+        ("a_o", "assert", 0, "SELECT user_id, c, err OR bit_count((num % 256)::INT) >= 5 AS bad FROM t"),
+    ),
     "prop_suite_verdicts": f"""SELECT user_id, max(n_rows) AS n_rows, count(*) AS n_checks, count(*) FILTER (verdict = 'HOLDS') AS n_holds,
       count(*) FILTER (verdict = 'VIOLATED') AS n_violated, count(*) FILTER (verdict = 'VACUOUS') AS n_vacuous, count(*) FILTER (verdict = 'UNCHECKED') AS n_unchecked,
       min(first_hit) FILTER (verdict = 'VIOLATED') AS first_violation,
@@ -255,11 +332,11 @@ ORACLES = {
         "n AS (SELECT user_id, count(*) AS n_rows FROM t GROUP BY user_id)",
         "n AS (SELECT user_id, count(*) AS n_rows FROM t GROUP BY user_id HAVING NOT bool_or(err AND c < 2))",
     ),
-    "prop_split_traces": _verdicts(
+    "prop_split_traces": _by_half(_verdicts(
         ("a_l", "assert", 7, """SELECT a.user_id, d.c, NOT EXISTS (SELECT 1 FROM t x WHERE x.user_id = a.user_id AND x.buy AND x.c BETWEEN a.c + 2 AND a.c + 7) AS bad
           FROM t a JOIN t b ON b.user_id = a.user_id AND b.c = a.c + 1 JOIN t d ON d.user_id = a.user_id AND d.c = a.c + 7 WHERE a.vw AND b.clk"""),
         ("a_p", "assert", 1, _delayed(1, "NOT (b.val > a.val - 20)")),
-    ).replace("SELECT user_id, event_id", "SELECT month(ts) % 2 AS user_id, event_id", 1).replace("PARTITION BY user_id", "PARTITION BY month(ts) % 2", 1).replace("SELECT *, CASE WHEN n_rows", "SELECT user_id AS half, * EXCLUDE user_id, CASE WHEN n_rows", 1),
+    )),
     "prop_violations": f"{_T} SELECT a.user_id, 'a_x' AS label, b.c AS cycle {_AFTER.format(k=2)} AND NOT b.buy {_DISABLED}",
     "prop_first_fail": f"{_FAIL} SELECT user_id, failing_cycle FROM f",
     "cex_window": f"{_FAIL} SELECT t.user_id, c AS cycle, event_id, event_type, val, failing_cycle AS at FROM t JOIN f USING (user_id) WHERE c BETWEEN failing_cycle - 4 AND failing_cycle",
