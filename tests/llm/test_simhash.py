@@ -192,3 +192,59 @@ def test_no_candidate_is_left_uncompared(spark):
         plain = {x.doc_id: x.component_id for x in simhash.near_duplicates(df).collect()}
         assert len(set(plain.values())) > 100
         assert all(got[2 * k] == got[2 * k + 1] for k in range(60))
+
+
+def test_repeated_ids_lose_no_link(spark):
+    """Twelve ids with two texts each, both near another document's, in any row order."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    rows, want = [], {}
+    for k in range(12):
+        a, b = ([word() for _ in range(120)] for _ in range(2))
+        near_a, near_b = a[:114] + [word() for _ in range(6)], [word() for _ in range(5)] + b[5:]
+        rows += [(100 + k, " ".join(a)), (100 + k, " ".join(b)), (200 + k, " ".join(near_a)), (50 + k, " ".join(near_b))]
+        want |= {100 + k: 50 + k, 200 + k: 50 + k, 50 + k: 50 + k}
+    for seed in range(3):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+        got = simhash.near_duplicates(df, similar=simhash.Similar()).collect()
+        assert len(got) == 48 and {(x.doc_id, x.component_id) for x in got} == set(want.items())
+    # Fingerprints alone: what either text of an id is linked to is linked.
+    rows = [(5, "one two three four"), (5, "five six seven eight"), (7, "one two three four"), (3, "five six seven eight"), (9, "nine ten")]
+    assert {(x.doc_id, x.component_id) for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(5, 3), (7, 3), (3, 3), (9, 9)}
+
+
+def test_long_texts_are_told_apart():
+    """Unrelated texts around one shared paragraph: few are candidates, at any length; near duplicates always are."""
+    r = np.random.default_rng(8)
+    similar, shared = simhash.Similar(), r.integers(0, 1 << 63, 60).astype(np.uint64)
+    for n in (300, 1000, 2500, 5000, 20_000):
+        sets = [np.unique(np.concatenate([shared, r.integers(0, 1 << 63, int(n * f)).astype(np.uint64)])) for f in r.uniform(0.85, 1.15, 60)]
+        for k in range(0, 20, 2):  # near duplicates in pairs, some of them with maps of different sizes
+            sets[k + 1] = np.unique(np.concatenate([sets[k][: int(len(sets[k]) * 0.95)], r.integers(0, 1 << 63, int(n * 0.1)).astype(np.uint64)]))
+        size = np.array([len(s) for s in sets])
+        maps = [simhash.parity(s, simhash.map_bits(len(s), similar.bits)) for s in sets]
+        pairs = set()
+        for bits in {len(m) * 8 for m in maps} | {len(m) * 4 for m in maps if len(m) * 8 > similar.bits}:
+            at = [k for k, m in enumerate(maps) if len(m) * 8 == bits or (len(m) * 4 == bits and 0.8 * size[k] <= bits)]
+            tile = simhash.Tile.made(bits, np.array(at), np.array(at), size[at], [maps[k] for k in at])
+            i, j, _ = simhash.closest(tile, simhash.Tile.of(tile.to_bytes(), bits), similar, 1000)
+            pairs |= {tuple(sorted((at[x], at[y]))) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+        near = {(k, k + 1) for k in range(0, 20, 2)}
+        assert near <= pairs and len(pairs - near) <= 0.01 * 60 * 59 / 2
+
+
+def test_long_near_duplicates(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    head, docs = [word() for _ in range(40)], []
+    for k, n in enumerate((950, 1000, 1900, 2020, 4000, 4090)):  # maps of as many bits as their partners', or half
+        base = head + [word() for _ in range(n)]
+        docs += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base[: int(n * 0.98)] + [word() for _ in range(int(n * 0.1))]))]
+    for spread in (2048, 2):
+        simhash.TILE, before = spread, simhash.TILE
+        try:
+            got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similar=simhash.Similar()).collect()}
+        finally:
+            simhash.TILE = before
+        assert all(got[10 * k + 1] == 10 * k for k in range(6))
+        assert len({got[10 * k] for k in range(6)}) == 6

@@ -15,7 +15,8 @@ so far are merged into groups and it offers NEAREST times as many of other group
 lies in the text's own group.
 
 Defined results: a null or empty text, or one without a word, has fingerprint zero and links like any other.
-Repeated rows each get a row; rows of one id are one document, so what either of their texts is linked to is linked.
+Repeated rows each get a row; rows of one id are one document: texts are compared each by itself, and what either of an
+id's texts is linked to is linked.
 A null id takes part in no component of others' ids: it gets a null component unless its fingerprint also belongs to a
 document with an id. An empty table gives an empty table. Other columns of the input, whatever their names, don't take
 part.
@@ -44,6 +45,7 @@ TILE = 2048
 TOGETHER = 8
 #: Candidates that a text offers within a tile at first, besides its first partner, and their growth from round to round.
 NEAREST = 3
+_FAR = 0xFFFFFFFF
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
@@ -198,15 +200,27 @@ class Similar:
     share: float = 0.8
     #: Smallest shingle hashes of a text, of which two texts have to share one. At a share of 0.8, one in 10 ** 6 pairs does not.
     sketch: int = 8
-    #: Bits of a text's parity map. Each bit in which two maps differ is a shingle that only one of the texts has.
+    #: Bits of a text's parity map, at least; a text with more shingles has the next power of two, so that maps tell long
+    #: texts apart, too. Each bit in which two maps differ is a shingle that only one of the texts has.
     bits: int = 1024
     #: Candidates that are sent to the texts' scan; where there are more, texts are joined to them by a shuffle.
     sent: int = 100_000
 
 
+def map_bits(n: int, least: int) -> int:
+    """Bits of the parity map of n distinct hashes."""
+    return max(least, 1 << (n - 1).bit_length() if n else 1)
+
+
+def folded(raw: bytes, bits: int) -> bytes:
+    """A map of twice the bits as one of `bits`: that of the same hashes."""
+    halves = np.frombuffer(raw, np.uint8).reshape(2, bits // 8)
+    return (halves[0] ^ halves[1]).tobytes()
+
+
 def parity(own: np.ndarray, bits: int) -> bytes:
     """A bit is 1 if an odd number of the distinct hashes fall on it."""
-    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def _sketched(named: DataFrame, size: int, similar: Similar) -> DataFrame:
@@ -222,7 +236,7 @@ def _sketched(named: DataFrame, size: int, similar: Similar) -> DataFrame:
             counts.append(len(own))
             digests.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             smallest.append(own[: similar.sketch].view(np.int64))
-            maps.append(parity(own, similar.bits))
+            maps.append(parity(own, map_bits(len(own), similar.bits)))
         flat = np.concatenate([np.zeros(0, np.int64), *smallest])
         ends = np.concatenate([[0], np.cumsum([len(x) for x in smallest])])
         return [_signed(fps), pa.array(counts, pa.int64()), _signed(digests), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(maps, pa.binary())]
@@ -233,24 +247,36 @@ def _sketched(named: DataFrame, size: int, similar: Similar) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tile:
-    """Texts of one cell: node, group, number of shingles and parity map (a row a text)."""
+    """Texts of one cell with maps of equally many bits: node, group, number of shingles, guest, and map (a row a text).
+
+    A guest's own map has twice the bits; it is here, with a folded one, for the texts that are not guests.
+    """
 
     nodes: np.ndarray
     groups: np.ndarray
     n: np.ndarray
+    guest: np.ndarray
     maps: np.ndarray
 
     def to_bytes(self) -> bytes:
-        return b"".join([self.nodes.tobytes(), self.groups.tobytes(), self.n.tobytes(), self.maps.tobytes()])
+        return b"".join([self.nodes.tobytes(), self.groups.tobytes(), self.n.tobytes(), self.guest.astype(np.int64).tobytes(), self.maps.tobytes()])
 
     @staticmethod
     def of(raw: bytes, bits: int) -> Tile:
         rows = np.frombuffer(raw, np.uint64)
-        k = len(rows) // (3 + bits // 64)
-        return Tile(*rows[: 3 * k].view(np.int64).reshape(3, k), rows[3 * k :].reshape(k, -1))
+        k = len(rows) // (4 + bits // 64)
+        nodes, groups, n, guest = rows[: 4 * k].view(np.int64).reshape(4, k)
+        return Tile(nodes, groups, n, guest > 0, rows[4 * k :].reshape(k, -1))
+
+    @staticmethod
+    def made(bits: int, nodes: np.ndarray, groups: np.ndarray, n: np.ndarray, maps: list[bytes]) -> Tile:
+        """Of texts with maps of these bits, or twice as many."""
+        guest = np.array([len(m) * 8 > bits for m in maps], bool)
+        whole = b"".join(folded(m, bits) if g else m for m, g in zip(maps, guest.tolist(), strict=True))
+        return Tile(nodes, groups, n, guest, np.frombuffer(whole, np.uint64).reshape(len(maps), -1))
 
     def part(self, a: int, b: int) -> Tile:
-        return Tile(self.nodes[a:b], self.groups[a:b], self.n[a:b], self.maps[a:b])
+        return Tile(self.nodes[a:b], self.groups[a:b], self.n[a:b], self.guest[a:b], self.maps[a:b])
 
 
 def closest(left: Tile, right: Tile, similar: Similar, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,12 +293,12 @@ def closest(left: Tile, right: Tile, similar: Similar, most: int) -> tuple[np.nd
     for at in range(0, len(left.n), step):
         own = left.part(at, at + step)
         a, b = own.n.astype(np.float64)[:, None], right.n.astype(np.float64)[None, :]
-        good = (a + slack >= share * b) & (b + slack >= share * a) & (own.groups[:, None] != right.groups[None, :])
+        good = (a + slack >= share * b) & (b + slack >= share * a) & (own.groups[:, None] != right.groups[None, :]) & ~(own.guest[:, None] & right.guest[None, :])
         rows = np.flatnonzero(good.any(axis=1))
         if not len(rows):
             continue
         good = good[rows]
-        bits = np.zeros(good.shape, np.uint16)
+        bits = np.zeros(good.shape, np.uint32)
         for w in range(right.maps.shape[1]):
             bits += np.bitwise_count(own.maps[rows, w][:, None] ^ right.maps[:, w][None, :])
         good &= bits <= apart * (a[rows] + b) + slack
@@ -282,10 +308,10 @@ def closest(left: Tile, right: Tile, similar: Similar, most: int) -> tuple[np.nd
             continue
         i.append(rows + at)
         j.append(good.argmax(axis=1))
-        bits[~good] = 0xFFFF
+        bits[~good] = _FAR
         more.append(rows[good.sum(axis=1) > most] + at)
         near = np.argpartition(bits, most - 1, axis=1)[:, :most] if bits.shape[1] > most else np.broadcast_to(np.arange(bits.shape[1]), bits.shape)
-        x, y = np.nonzero(np.take_along_axis(bits, near, axis=1) < 0xFFFF)
+        x, y = np.nonzero(np.take_along_axis(bits, near, axis=1) < _FAR)
         i.append(rows[x] + at)
         j.append(near[x, y])
     return np.concatenate(i), np.concatenate(j), np.concatenate(more)
@@ -294,23 +320,24 @@ def closest(left: Tile, right: Tile, similar: Similar, most: int) -> tuple[np.nd
 def similar_roots(named: DataFrame, nodes: DataFrame, known: DataFrame, similar: Similar) -> DataFrame:
     """(node, root) as of `components`, over the edges `known` and all pairs of the given share of shingles.
 
-    nodes: node, n, sketch, map. Texts that are connected already aren't compared again, nor are cells in which each
-    text has offered all its candidates.
+    nodes: node, doc_id, n, digest, sketch, map. Texts that are connected already aren't compared again, nor are cells in
+    which each text has offered all its candidates. Cells are weighed by the sizes of their texts' maps.
     """
-    keyed = nodes.select(F.explode("sketch").alias("cell"), "node", "n")  # maps are joined to what is compared only
+    weight = F.ceil(F.octet_length("map") * 8 / similar.bits).cast("int")
+    keyed = nodes.select(F.explode("sketch").alias("cell"), "node", weight.alias("w"))  # maps are joined to what is compared only
     sizes = keyed.groupBy("cell").agg(F.count("*").alias("__n")).where("__n > 1")
     met = table(keyed.join(sizes.select("cell"), "cell"))
     roots, again, tested, most = components(known), None, None, NEAREST
     while True:
         grouped = met.join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
         grouped = grouped.withColumn("again", F.lit(True)) if again is None else grouped.join(again, "node", "left")
-        open_ = grouped.groupBy("cell").agg(F.count("*").alias("__n"), F.min("group").alias("x"), F.max("group").alias("y"), F.max("again").alias("again")).where("x <> y and again").select("cell", "__n")
+        open_ = grouped.groupBy("cell").agg(F.sum("w").alias("__n"), F.min("group").alias("x"), F.max("group").alias("y"), F.max("again").alias("again")).where("x <> y and again").select("cell", "__n")
         rows = table(grouped.drop("again").join(open_, "cell"))  # groups only grow, so other cells are done with
-        met = rows.select("cell", "node", "n")
-        offers = table(offered(rows.join(nodes.select("node", "map"), "node"), similar, most).distinct())
+        met = rows.select("cell", "node", "w")
+        offers = table(offered(rows.join(nodes.select("node", "n", "map"), "node"), similar, most).distinct())
         edges = offers.where("a <> b")
         fresh = table(edges.join(tested, ["a", "b"], "left_anti")) if tested is not None else edges
-        found = table(verified(named, fresh, similar))
+        found = table(verified(named, nodes, fresh, similar))
         if not found.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
         again = offers.where("a = b").select(F.col("a").alias("node"), F.lit(True).alias("again"))
@@ -321,7 +348,10 @@ def similar_roots(named: DataFrame, nodes: DataFrame, known: DataFrame, similar:
 
 
 def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
-    """(a, b) candidate pairs of the cells' texts, at most so many a text and tile; (a, a) for a text that has more."""
+    """(a, b) candidate pairs of the cells' texts, at most so many a text and tile; (a, a) for a text that has more.
+
+    A text meets those with maps of as many bits as its own and, if it may be similar to them, those with half as many.
+    """
 
     def ends(a: Tile, b: Tile) -> pa.RecordBatch:
         i, j, more = closest(a, b, similar, most)
@@ -333,11 +363,11 @@ def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
 
         def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(rows)
-            cell, node, group, n = (table.column(k).to_numpy() for k in range(4))
-            whole = Tile(node, group, n, np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(len(node), -1))
-            bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
-            found = [ends(t, t) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for t in [whole.part(a, b)]]
-            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+            cell, bits, node, group, n = (table.column(k).to_numpy() for k in range(5))
+            maps = table.column(5).to_pylist()
+            bounds = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (bits[1:] != bits[:-1]), [True]])).tolist()
+            found = [ends(t, t) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a + 1 for t in [Tile.made(int(bits[a]), node[a:b], group[a:b], n[a:b], maps[a:b])]]
+            yield from pa.Table.from_batches(found, _PAIRS).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
@@ -354,54 +384,63 @@ def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
         if held:
             yield from pairs(held)
 
-    few = met.where(F.col("__n") <= TILE).select("cell", "node", "group", "n", "map").repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
-    packed = checkpoint(tiles_with_sizes(met.where(F.col("__n") > TILE)))
+    own = F.octet_length("map") * 8
+    guest = (own > similar.bits) & (similar.share * F.col("n") <= own / 2 + 1e-6)
+    both = met.withColumn("bits", F.explode(F.when(guest, F.array(own, (own / 2).cast("int"))).otherwise(F.array(own))))
+    few = both.where(F.col("__n") <= TILE).select("cell", "bits", "node", "group", "n", "map").repartition("cell").sortWithinPartitions("cell", "bits").mapInArrow(compare, "a long, b long")
+    packed = checkpoint(tiles_with_sizes(both.where(F.col("__n") > TILE)))
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                yield ends(Tile.of(x.as_py(), similar.bits), Tile.of(y.as_py(), similar.bits))
+            for bits, x, y in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                yield ends(Tile.of(x.as_py(), bits.as_py()), Tile.of(y.as_py(), bits.as_py()))
 
     # Tiles meet by blocks of TOGETHER tiles: a key has a bounded number of tile pairs, and a tile goes to few keys.
     own = (F.col("part") / TOGETHER).cast("int")
     blocks = F.sequence(F.lit(0), ((F.col("parts") - 1) / TOGETHER).cast("int"))
-    left = packed.withColumn("own", own).select("cell", "part", F.col("rows").alias("r1"), F.col("own").alias("b1"), F.explode(F.filter(blocks, lambda b: b >= own)).alias("b2"))
-    right = packed.withColumn("own", own).select("cell", F.col("part").alias("p2"), F.col("rows").alias("r2"), F.explode(F.filter(blocks, lambda b: b <= own)).alias("b1"), F.col("own").alias("b2"))
-    many = left.join(right, ["cell", "b1", "b2"]).where("part <= p2").select("r1", "r2").mapInArrow(across, "a long, b long")
+    left = packed.withColumn("own", own).select("cell", "bits", "part", F.col("rows").alias("r1"), F.col("own").alias("b1"), F.explode(F.filter(blocks, lambda b: b >= own)).alias("b2"))
+    right = packed.withColumn("own", own).select("cell", "bits", F.col("part").alias("p2"), F.col("rows").alias("r2"), F.explode(F.filter(blocks, lambda b: b <= own)).alias("b1"), F.col("own").alias("b2"))
+    many = left.join(right, ["cell", "bits", "b1", "b2"]).where("part <= p2").select("bits", "r1", "r2").mapInArrow(across, "a long, b long")
     return few.unionAll(many)
 
 
-def verified(named: DataFrame, edges: DataFrame, similar: Similar) -> DataFrame:
-    """The edges whose texts have at least the given share of shingles in common."""
-    wanted, n = edges.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), edges.count()
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def verified(named: DataFrame, nodes: DataFrame, edges: DataFrame, similar: Similar) -> DataFrame:
+    """The edges between nodes whose texts have at least the given share of shingles in common."""
+    wanted, n = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), edges.count()
     if not n:
         return edges
+    wanted = wanted.join(nodes.select("node", F.col("doc_id").alias("__doc"), "digest"), "node")
     if n <= similar.sent:
         wanted = F.broadcast(wanted)
-    # A row for each id is enough: rows of one id and fingerprint are alike.
-    texts = named.join(wanted, F.col("doc_id") == F.col("__node"), "left_semi").dropDuplicates(["doc_id"])
+    # An id may have several texts: the node's are those with its digest, and one of them is enough.
+    texts = named.join(wanted, F.col("doc_id") == F.col("__doc")).select("node", "digest", "text")
 
     def shingles(texts_: pa.Array) -> list[pa.Array]:
-        own = [np.unique(shingle_hashes(t.encode(), similar.size)).view(np.int64) for t in texts_.to_pylist()]
+        own = [np.unique(shingle_hashes(t.encode(), similar.size)) for t in texts_.to_pylist()]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))]
+        flat = np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in own)])
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), _signed([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own])]
 
-    sets = map_texts(texts, "text", shingles, [("s", T.ArrayType(T.LongType()))], ["doc_id"])
-    both = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    sets = map_texts(texts, "text", shingles, [("s", T.ArrayType(T.LongType())), ("d", T.LongType())], ["node", "digest"]).where("d = digest").dropDuplicates(["node"])
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similar.share * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def tiles_with_sizes(cells: DataFrame) -> DataFrame:
-    """Tiles of (cell, node, group, n, map, __n: rows of the cell) rows: cell, part, parts (of the cell), rows (a Tile as bytes)."""
+    """Tiles of (cell, bits, node, group, n, map, __n: weight of the cell) rows: cell, bits, part, parts (of the cell), rows (a Tile as bytes)."""
     counted = cells.withColumn("parts", F.ceil(F.col("__n") / (TILE / 2)).cast("int"))
     parts = counted.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        tile = Tile(*(pdf[c].to_numpy(np.int64) for c in ("node", "group", "n")), np.frombuffer(b"".join(pdf["map"]), np.uint64))
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "parts": [pdf["parts"].iloc[0]], "rows": [tile.to_bytes()]})
+        bits = int(pdf["bits"].iloc[0])
+        tile = Tile.made(bits, *(pdf[c].to_numpy(np.int64) for c in ("node", "group", "n")), list(pdf["map"]))
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "bits": [bits], "part": [pdf["part"].iloc[0]], "parts": [pdf["parts"].iloc[0]], "rows": [tile.to_bytes()]})
 
-    return parts.select("cell", "part", "parts", "node", "group", "n", "map").groupBy("cell", "part").applyInPandas(pack, "cell long, part int, parts int, rows binary")
+    return parts.select("cell", "bits", "part", "parts", "node", "group", "n", "map").groupBy("cell", "bits", "part").applyInPandas(pack, "cell long, bits int, part int, parts int, rows binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE, similar: Similar | None = None) -> DataFrame:
@@ -409,19 +448,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     fps = table(fingerprints(named, "text", keep=["doc_id"], size=size) if similar is None else _sketched(named, size, similar))
     one = fps.where("doc_id is not null")
+    # Equal fingerprints are linked, but their texts may differ: with `similar`, each set of shingles is a node of its own.
+    key = ["fp"] if similar is None else ["fp", "digest"]
+    made = one.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), *[F.min_by(c, "doc_id").alias(c) for c in ("n", "sketch", "map") if similar is not None])
+    nodes = table(made.withColumn("node", F.monotonically_increasing_id()))  # a name of its own, for an id may have several texts
+    # Rows of an id that has several nodes link these.
+    several = one.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y"), *[F.min("digest").alias("u"), F.max("digest").alias("v")][: 2 * (len(key) - 1)])
+    several = table(several.where("x <> y" if similar is None else "x <> y or u <> v").select("doc_id"))
+    alike = one.join(several, "doc_id").select(F.col("doc_id").alias("id"), *key).join(nodes.select(*key, "node"), key)
+    alike = alike.join(alike.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a <> b")
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    known = links(firsts, radius).unionAll(alike)
     if similar is None:
-        key = ["fp"]
-        nodes = one.groupBy("fp").agg(F.min("doc_id").alias("node"))
-        roots = components(links(nodes, radius))
+        roots = components(known)
     else:
-        # Equal fingerprints are linked, but their texts may differ: each set of shingles is a node of its own.
-        key = ["fp", "digest"]
-        nodes = table(one.groupBy(*key).agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("n", "sketch", "map")]))
-        firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-        same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        known = table(links(firsts.select("fp", F.col("first").alias("node")), radius).unionAll(same))
-        roots = similar_roots(named, nodes, known, similar)
-    classes = nodes.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
+        same = nodes.join(firsts.withColumnRenamed("node", "first"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        roots = similar_roots(named, nodes, table(known.unionAll(same)), similar)
+    rooted = table(nodes.join(roots, "node", "left").select(*key, "doc_id", F.coalesce("root", "node").alias("root")))
+    classes = rooted.select(*key, "root").join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select(*key, "component_id")
     return fps.select("doc_id", *key).join(classes, key, "left").select("doc_id", "fp", "component_id")
 
 
