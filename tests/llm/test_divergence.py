@@ -73,7 +73,7 @@ def test_same_with_small_tries_and_deep_cuts(spark, made, monkeypatch):
     for cut in (pieces, deeper):
         terms, counts = [], []
         for prefix in sorted({p for p, _ in cut}):
-            m = divergence.Trie.of(pa.concat_tables([t.counted(np.zeros(1, np.int64)) for p, t in cut if p == prefix]))
+            m = divergence.Trie.of(divergence.Trie.joined([t for p, t in cut if p == prefix]).counted())
             terms += m.terms()
             counts += m.count.tolist()
         assert terms == at_once.terms() == sorted(terms) and counts == at_once.count.tolist()

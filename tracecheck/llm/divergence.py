@@ -18,7 +18,7 @@ the input, whatever their names, don't take part. Counts go to 9 * 10^15 a langu
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ LEAST_DOCS, RANKS = 10, 10
 LEAVES = 150_000
 #: Bytes of a prefix's pieces up to which they are merged as they are, and the depth of the first cut.
 RANGE_BYTES, CUT = 32 << 20, 2
+#: Bytes of terms whose paths are read off many at once.
+SHORT = 64
 #: Cells of a matrix of terms and sources worked on at once.
 CELLS = 1 << 20
 
@@ -62,38 +64,65 @@ class Trie:
     @staticmethod
     def of(counted: pa.Table) -> Trie:
         """The trie of counted terms (term, group, count, docs) in any order; equal ones are summed up."""
-        summed = counted.group_by(["term", "group"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
-        t = summed.take(pc.sort_indices(summed, [("term", "ascending"), ("group", "ascending")])).combine_chunks()
+        return Trie.built(summed(counted))
+
+    @staticmethod
+    def built(t: pa.Table) -> Trie:
+        """The trie of counted terms that `summed` has put in order."""
         if not len(t):
             none = np.zeros(0, np.int64)
-            return Trie(none, none, b"", np.zeros(1, np.int64), none.astype(np.int32), none, none)
-        offsets, raw = _bytes_of(t.column("term").combine_chunks())
+            return Trie(none, none, b"", np.zeros(1, np.int64), none, none, none)
+        terms = t.column("term").combine_chunks()
+        at = np.flatnonzero(_new_terms(terms))
+        offsets, raw = _bytes_of(terms.take(pa.array(at)))
         depth = common_depth(raw, offsets)
-        new = np.ones(len(t), bool)
-        new[1:] = (depth[1:] != np.diff(offsets)[1:]) | (np.diff(offsets)[1:] != np.diff(offsets)[:-1])
-        at = np.flatnonzero(new)
-        depth, start, end = depth[at], offsets[:-1][at], offsets[1:][at]
         inside = np.zeros(len(raw) + 1, np.int8)
-        np.add.at(inside, start + depth, 1)
-        np.add.at(inside, end, -1)
+        np.add.at(inside, offsets[:-1] + depth, 1)
+        np.add.at(inside, offsets[1:], -1)
         labels = raw[np.cumsum(inside[:-1]) > 0].tobytes()
-        first = np.append(at, len(t)).astype(np.int64)
-        return Trie(depth, end - start - depth, labels, first, *(t.column(c).to_numpy() for c in ("group", "count_sum", "docs_sum")))
+        return Trie(depth, np.diff(offsets) - depth, labels, np.append(at, len(t)).astype(np.int64), *(t.column(c).to_numpy() for c in ("group", "count", "docs")))
+
+    @staticmethod
+    def joined(tries: list[Trie]) -> Trie:
+        """The tries' leaves one after the other, for reading only: a trie starts anew where a leaf leaves the root."""
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(t.first) for t in tries]))])
+        parts = (np.concatenate([getattr(t, c) for t in tries]) for c in ("group", "count", "docs"))
+        return Trie(np.concatenate([t.depth for t in tries]), np.concatenate([t.size for t in tries]), b"".join(t.labels for t in tries), first, *parts)
 
     def terms(self) -> list[bytes]:
         """The leaves' paths, in UTF-8 order."""
-        found, path, at = [], b"", 0
-        for d, n in zip(self.depth.tolist(), self.size.tolist(), strict=True):
-            path = path[:d] + self.labels[at : at + n]
-            at += n
-            found.append(path)
-        return found
-
-    def counted(self, groups: np.ndarray) -> pa.Table:
+        return self.paths().to_pylist()
+
+    def paths(self) -> pa.Array:
+        """The leaves' paths as an array. A byte of a path comes from the last leaf that has one of its own at that depth."""
+        length = self.depth + self.size
+        if length.max(initial=0) > SHORT:
+            found, path, at = [], b"", 0
+            for d, n in zip(self.depth.tolist(), self.size.tolist(), strict=True):
+                path = path[:d] + self.labels[at : at + n]
+                at += n
+                found.append(path)
+            return pa.array(found, pa.large_binary())
+        labels, starts = np.frombuffer(self.labels, np.uint8), np.cumsum(self.size) - self.size
+        place, parts, step = np.arange(int(length.max(initial=0))), [], 1 << 14
+        above = np.zeros(len(place), np.int64)  # where in labels the last bytes at each depth are
+        for at in range(0, len(length), step):
+            depth, size = self.depth[at : at + step, None], self.size[at : at + step, None]
+            own = (place >= depth) & (place < depth + size)
+            where = np.where(own, starts[at : at + step, None] - depth + place, -1)
+            where[0] = np.where(own[0], where[0], above)
+            np.maximum.accumulate(where, axis=0, out=where)
+            above = where[-1]
+            parts.append(labels[where[place < depth + size]])
+        bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        raw = np.concatenate([np.zeros(0, np.uint8), *parts])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+
+    def counted(self, groups: np.ndarray | None = None) -> pa.Table:
         """What the trie was made of; groups: new numbers of its groups."""
         of = np.repeat(np.arange(len(self.depth)), np.diff(self.first))
-        terms = pa.array(self.terms(), pa.large_binary()).take(pa.array(of))
-        return pa.Table.from_arrays([terms, pa.array(groups[self.group], pa.int32()), pa.array(self.count), pa.array(self.docs)], schema=_COUNTED)
+        group = self.group if groups is None else groups[self.group]
+        return pa.Table.from_arrays([self.paths().take(pa.array(of)), pa.array(group.astype(np.int32)), pa.array(self.count), pa.array(self.docs)], schema=_COUNTED)
 
     def cut(self, depth: int) -> Iterator[tuple[bytes, Trie]]:
         """The tries below each prefix of `depth` bytes (or a whole shorter term)."""
@@ -121,6 +150,30 @@ class Trie:
         return Trie(parts[0], parts[1], raw[at:], np.concatenate([[0], np.cumsum(parts[2])]), *parts[3:])
 
 
+def summed(counted: pa.Table) -> pa.Table:
+    """Counted terms in order, each term and group once."""
+    if not len(counted):
+        return counted
+    terms = counted.column("term").combine_chunks().dictionary_encode()
+    order = pc.sort_indices(terms.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    group = counted.column("group").to_numpy().astype(np.int64)
+    many = int(group.max()) + 1
+    key = rank[terms.indices.to_numpy()] * many + group
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sums = (np.add.reduceat(counted.column(c).to_numpy()[by], at) for c in ("count", "docs"))
+    term, of = np.divmod(key[at], many)
+    return pa.Table.from_arrays([terms.dictionary.take(order).take(pa.array(term)), pa.array(of, pa.int32()), *map(pa.array, sums)], schema=_COUNTED)
+
+
+def _new_terms(terms: pa.Array) -> np.ndarray:
+    """True where a term isn't the one before it."""
+    return np.append(True, pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)) if len(terms) else np.zeros(0, bool)
+
+
 def _bytes_of(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
     raw = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[int(offsets[0]) : int(offsets[-1])]
@@ -174,7 +227,10 @@ def count_terms(texts: pa.Array, group: np.ndarray) -> pa.Table:
     n = len(terms.dictionary)
     pairs, counts = np.unique(doc * n + terms.indices.to_numpy(), return_counts=True)
     which, term = np.divmod(pairs, n)
-    return pa.Table.from_arrays([terms.dictionary.take(pa.array(term)), pa.array(group[which], pa.int32()), pa.array(counts.astype(np.int64)), pa.array(np.ones(len(pairs), np.int64))], schema=_COUNTED)
+    cells, of, docs = np.unique(group[which] * n + term, return_inverse=True, return_counts=True)
+    of_group, term = np.divmod(cells, n)
+    total = np.bincount(of, counts, len(cells)).astype(np.int64)  # below 2 ** 53
+    return pa.Table.from_arrays([terms.dictionary.take(pa.array(term)), pa.array(of_group, pa.int32()), pa.array(total), pa.array(docs.astype(np.int64))], schema=_COUNTED)
 
 
 _PIECES = "prefix binary, whole boolean, langs array<string>, sources array<string>, trie binary"
@@ -197,30 +253,22 @@ def tries(docs: DataFrame) -> DataFrame:
     """Pieces of the tasks' tries of docs (text, lang, source)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held, rows = Groups(), [], 0
-        limit = LEAVES
-
-        def folded() -> Trie:
-            return Trie.of(pa.concat_tables(held)) if held else Trie.of(_COUNTED.empty_table())
-
+        groups, held, rows, limit = Groups(), [], 0, LEAVES
         for batch in batches:
-            texts = text_array(batch.column(0))
-            group = groups.of(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            texts, names = text_array(batch.column(0)), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for a, b in slices(texts):
-                held.append(count_terms(texts.slice(a, b - a), group[a:b]))
+                held.append(count_terms(texts.slice(a, b - a), groups.of(names[a:b])))
                 rows += len(held[-1])
                 if rows > limit:
-                    trie = folded()
-                    if len(trie.group) > LEAVES:
-                        yield from _pieces(trie, groups.names(), CUT)
+                    held = [summed(pa.concat_tables(held))]
+                    rows = len(held[0])
+                    limit = rows + LEAVES
+                    if rows > LEAVES:
+                        yield from _pieces(Trie.built(held[0]), groups.names(), CUT)
                         groups, held, rows, limit = Groups(), [], 0, LEAVES
-                        group = groups.of(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-                    else:
-                        held = [trie.counted(np.arange(len(groups.number)))]
-                        rows = len(held[0])
-                        limit = rows + LEAVES
             pa.default_memory_pool().release_unused()
-        yield from _pieces(folded(), groups.names(), CUT)
+        if held:
+            yield from _pieces(Trie.of(pa.concat_tables(held)), groups.names(), CUT)
 
     return docs.select("text", "lang", "source").mapInArrow(run, _PIECES)
 
@@ -246,30 +294,31 @@ def merged(pieces: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Tries of the terms that each language keeps, by ranges of prefixes: lang, trie, sources (of its counters), and
     v, n: its terms, and the counts of each source."""
 
-    def kept(tries_: list[pa.Table], groups: Groups) -> Iterator[tuple]:
+    def kept(t: pa.Table, groups: Groups) -> Iterator[tuple]:
         names = groups.names()
         langs = {lang: k for k, lang in enumerate(dict.fromkeys(n[0] for n in names))}
-        lang_of = np.array([langs[n[0]] for n in names], np.int64)
-        trie = Trie.of(pa.concat_tables(tries_))
-        leaf = np.repeat(np.arange(len(trie.depth)), np.diff(trie.first))
-        lang = lang_of[trie.group]
-        docs = np.zeros((len(langs), len(trie.depth)), np.int64)
-        np.add.at(docs, (lang, leaf), trie.docs)
+        lang = np.array([langs[n[0]] for n in names], np.int64)[t.column("group").to_numpy()]
+        leaf = np.cumsum(_new_terms(t.column("term").combine_chunks())) - 1
+        docs = np.zeros((len(langs), int(leaf[-1]) + 1), np.int64)
+        np.add.at(docs, (lang, leaf), t.column("docs").to_numpy())
         stays = docs[lang, leaf] >= least_docs
-        counted = trie.counted(np.arange(len(names)))
         for name, k in langs.items():
-            own = counted.filter(pa.array(stays & (lang == k)))
+            own = t.filter(pa.array(stays & (lang == k)))
             if len(own):
                 used, group = np.unique(own.column("group").to_numpy(), return_inverse=True)
-                t = Trie.of(own.set_column(1, "group", pa.array(group, pa.int32())))
-                yield name, t.to_bytes(), [names[g][1] for g in used], len(t.depth), np.bincount(t.group, t.count, len(used)).astype(np.int64).tolist()
+                trie = Trie.built(own.set_column(1, "group", pa.array(group, pa.int32())))
+                sums = np.zeros(len(used), np.int64)
+                np.add.at(sums, trie.group, trie.count)
+                yield name, trie.to_bytes(), [names[g][1] for g in used], len(trie.depth), sums.tolist()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held, rows, last = Groups(), [], 0, None
-        limit = LEAVES
+        groups, held, waiting, rows, last, limit = Groups(), [], [], 0, None, LEAVES
+
+        def one() -> pa.Table:
+            return summed(pa.concat_tables([*held, Trie.joined(waiting).counted()] if waiting else held))
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = list(kept(held, groups)) if held else []
+            found = list(kept(one(), groups)) if rows else []
             if found:
                 kinds = (pa.string(), pa.binary(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["lang", "trie", "sources", "v", "n"])
@@ -279,15 +328,15 @@ def merged(pieces: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
                 if rows > limit:
                     if prefix != last:  # whole prefixes only
                         yield from out()
-                        groups, held, rows, limit = Groups(), [], 0, LEAVES
+                        groups, held, waiting, rows, limit = Groups(), [], [], 0, LEAVES
                         pa.default_memory_pool().release_unused()
                     else:
-                        trie = Trie.of(pa.concat_tables(held))
-                        held = [trie.counted(np.arange(len(groups.number)))]
+                        held, waiting = [one()], []
                         rows = len(held[0])
                         limit = rows + LEAVES
-                held.append(Trie.from_bytes(raw).counted(groups.of(zip(langs, sources, strict=True))))
-                rows += len(held[-1])
+                t = Trie.from_bytes(raw)
+                waiting.append(replace(t, group=groups.of(zip(langs, sources, strict=True))[t.group]))
+                rows += len(t.group)
                 last = prefix
         yield from out()
 
