@@ -134,7 +134,7 @@ def test_mutants(spark):
     (swap,) = [r for r in found if r.operator == "case_swap"]
     assert "2'd1: q <= a;" in swap.text and "2'd0: q <= b;" in swap.text
     (negated,) = [r for r in found if r.operator == "if_not"]
-    assert "else if (!go) q" in negated.text and negated.hunk == "-    else if (go) q <= q + 1;\n+    else if (!go) q <= q + 1;"
+    assert "else if (!go) q" in negated.text and negated.hunk == "@@ -10,3 +10,3 @@\n     if (!rst_n) q <= 0;\n-    else if (go) q <= q + 1;\n+    else if (!go) q <= q + 1;\n   always @(posedge clk) begin"
     few = mutation.mutants(df, "k", "code", limit=8).where("k = 1").collect()
     assert {r.text for r in few} == {r.text for r in found[:8]} and mutation.mutants(df, "k", "code", limit=0).count() == 0
     assert [(r.operator, r.text) for r in rows if r.k == 3] == [("add_sub", "module x; assign y = a - b; endmodule")]
@@ -213,3 +213,104 @@ def test_requests(spark):
     assert body["max_tokens"] == 5 and body["messages"][0]["content"] == "x"
     df = spark.createDataFrame([('{"choices": [{"message": {"content": "hi"}}]}',), ("{}",)], "r string")
     assert [r[0] for r in df.select(logs.reply_content("r")).collect()] == ["hi", None]
+
+
+BLOCK = """`ifdef FORMAL
+default clocking cb @(posedge clk); endclocking
+// why p
+// and more
+property p; a |-> b; endproperty
+  a_1: assert property (x) else $error("a; b: assert property (n);");
+a_2: assert property (p) else begin $error("q; end"); if (x) begin $fatal; end end
+assert property (q); // note ; here
+/* c: cover property (z); */ c_1: cover property (w)
+;
+logic z;
+`endif
+"""
+
+
+def test_statements_end_where_they_end(spark):
+    got = each(spark, source.items, BLOCK)
+    assert [(x.kind, x.name, x.ref, x.complete) for x in got] == [("property", "p", None, True), ("assert", "a_1", "x", True), ("assert", "a_2", "p", True), ("assert", None, "q", True), ("cover", "c_1", "w", True)]
+    assert got[1].text.endswith('n);");') and got[2].text.endswith("end end")
+    whole = each(spark, lambda b: F.array_join(F.transform(source.pieces(b), lambda x: x["raw"]), ""), BLOCK)
+    assert whole == each(spark, source.unwrap, BLOCK)
+    left = each(spark, lambda b: source.without_labels(b, F.array(F.lit("a_2"), F.lit("c_1"))), BLOCK)
+    assert "a_2" not in left and "property p;" not in left and "c_1" not in left and "logic z;" in left and "assert property (q);" in left and "default clocking" in left
+    cut = each(spark, source.strip_truncated, "a: assert property (x);\nlogic q; // b\nc: cover property (y\nd: assert property (z);")
+    assert cut == "`ifdef FORMAL\na: assert property (x);\nlogic q; // b\n`endif\n"
+    assert each(spark, source.strip_truncated, "") == "" and each(spark, source.strip_truncated, None) is None
+
+
+def test_merging(spark):
+    two = lambda a, b: each(spark, source.merge, a, b)
+    assert two("`ifdef FORMAL\na: assert property (x);\n`endif\n", "b: cover property (y);") == "`ifdef FORMAL\na: assert property (x);\n\nb: cover property (y);\n`endif\n"
+    assert two("", "b: cover property (y);") == two("b: cover property (y);", " \n") == "`ifdef FORMAL\nb: cover property (y);\n`endif\n" and two("", "") == ""
+
+
+def test_canonical_text(spark):
+    got = each(spark, source.canonical_or_raw, BLOCK)
+    assert got.canonical and "// why p\nproperty p;" in got.text and "and more" not in got.text and "note" not in got.text and "c: cover" not in got.text and 'n);");' in got.text
+    long = "// " + "w" * 200 + "\na: assert property (x);\n\n\n\n// tail\n"
+    assert each(spark, source.canonical_or_raw, long).text == "`ifdef FORMAL\na: assert property (x);\n`endif\n"
+    assert each(spark, source.unwrap_answer, "Sure:\n```\na: assert property (x);\n") == "`ifdef FORMAL\na: assert property (x);\n`endif\n"
+    for kept in ("a: assert property (x); // as it is", "no block at all"):
+        assert each(spark, source.unwrap_answer, kept) == kept
+    amid = "Well.\n`ifdef FORMAL\na: assert property (x);\n`endif\nThat is a: fine; thing."
+    assert each(spark, source.extract_block, amid) == "`ifdef FORMAL\na: assert property (x);\n`endif\n"
+
+
+def test_comments_of_whole_documents(spark):
+    """Texts with quotes, slashes and stars wherever they are, against the plain scanner."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.concat(F.lit("// "), "text", F.lit('\n"a // b" /* c\nd */ e " f'), "text").alias("t"))
+    rows = docs.select("t", source.strip_comments(F.col("t")).alias("s"), source.blank_comments(F.col("t")).alias("b")).collect()
+    assert all(r.s == scan.strip_comments(r.t) and r.b == scan.blank_comments(r.t) for r in rows)
+
+
+def test_sites_that_were_cut(spark):
+    """Conditions of any length, literals of any size, comparisons behind a conditional's colon."""
+    code = "module x;\n always_comb begin\n if ( ! req[i + (a * 3) - long_name_of_a_thing + 1] ) q = s ? a : b <= 3;\n w = 64'b0000000000000000000000000000000000000001; n = 123456789012345678901234567890; end\n case (s)\n 2'd0: q <= a;\n endcase\nendmodule"
+    rows = mutation.mutants(spark.createDataFrame([(1, code)], "k int, code string"), "k", "code", limit=100).collect()
+    made = {(r.operator, r.description.partition(" -> ")[2]) for r in rows}
+    assert ("if_not", "if (req[i + (a * 3) - long_name_of_a_thing + 1])") in made
+    assert ("le_ge", ">=") in made and ("le_lt", "<") in made
+    assert ("const_flip", "64'b" + "0" * 40) in made and ("const_flip", "123456789012345678901234567891") in made
+    assert not any(">= a;" in r.text for r in rows)  # an assignment behind a label
+
+
+def test_changes_with_lines_that_come_and_go(spark):
+    import difflib
+    import random
+
+    r, pairs = random.Random(3), []
+    for _ in range(60):
+        a = [r.choice("abcdef") * r.randint(1, 3) for _ in range(r.randint(0, 30))]
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 2)] = ["new"] * r.randint(0, 2)
+        pairs.append(("\n".join(a), "\n".join(b)))
+    pairs += [(None, "x"), ("x", None), ("", ""), ("\n".join("abcdefgh" * 6), "\n".join("xyzuvwst" * 6))]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    got = {x.k: x.h for x in df.select("k", mutation.hunk(F.col("a"), F.col("b")).alias("h")).collect()}
+    for k, (a, b) in enumerate(pairs[:60]):
+        if len(list(difflib.unified_diff(a.splitlines(), b.splitlines(), n=1))) > 42:
+            assert got[k] == ""
+            continue
+        old, new = a.splitlines(), b.splitlines()
+        back, at = [], 0
+        if len(got[k].splitlines()) < 12:  # whole: applied to the old lines, it gives the new ones
+            for line in got[k].splitlines():
+                if line.startswith("@@"):
+                    start, _, n = line.split()[1][1:].partition(",")
+                    to = int(start) - (n != "0")
+                    back += old[at:to]
+                    at = to
+                elif line[0] != "-":
+                    back.append(line[1:])
+                    at += line[0] == " "
+                else:
+                    at += 1
+            assert back + old[at:] == new
+    assert got[60] is None and got[61] is None and got[62] == "" and got[63] == ""

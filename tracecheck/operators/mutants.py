@@ -7,10 +7,15 @@ the place, one of each rule first, so the same text gives the same mutants where
 
 from __future__ import annotations
 
+import difflib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracecheck.sources.shared import checkpoint
 
 from . import source
 
@@ -35,9 +40,12 @@ SWAPS = (
 LEFT_ALONE = ("localparam", "parameter", "posedge", "negedge", "always", "initial", "for", "while", "repeat", "genvar", "generate")
 PROTECTED = ("rst_n", "rst", "reset", "reset_n", "resetn", "clk", "clock")
 
+# Lines of a change that are shown, and lines from which on none is.
+HUNK_LINES, HUNK_MOST = 12, 40
+
 _TOKEN = r"(?s)\d+'[A-Za-z]+[\w?]*|[A-Za-z_`$][\w$]*|\d+|===|!==|<<|>>|<=|>=|==|!=|&&|\|\||\n|[^\S\n]+|."
-#: Tokens that a rule looks at behind an if.
-_AHEAD = 8
+#: A condition of one name, with a select perhaps, as a piece of its own.
+_IF = r"(?s)if\s*\(\s*!?\s*[A-Za-z_]\w*(?:\[[^\[\]]*\])?\s*\)|[A-Za-z_0-9$]+|\s+|."
 
 
 def tokens(texts: DataFrame, key: str, code: str, protected: tuple[str, ...] = ()) -> DataFrame:
@@ -60,36 +68,55 @@ def tokens(texts: DataFrame, key: str, code: str, protected: tuple[str, ...] = (
             "case": F.sum(case).over(upto),
         }
     )
-    ends = F.col("tok").isin(";", "begin", "end", "else", ":", "endcase") & (F.col("depth") == 0)
+    # A colon ends a label, unless a conditional has begun in its statement.
+    hard = F.col("tok").isin(";", "begin", "end", "else", "endcase") & (F.col("depth") == 0)
+    t = t.withColumn("hard", F.coalesce(F.sum(hard.cast("int")).over(before), F.lit(0)))
+    asked = F.max((F.col("tok") == "?") & (F.col("depth") == 0)).over(Window.partitionBy(key, "hard").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("asked", F.coalesce(asked, F.lit(False)))
+    ends = hard | ((F.col("tok") == ":") & (F.col("depth") == 0) & ~F.col("asked"))
     t = t.withColumn("stmt", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
     alone = F.lower("tok").isin(*LEFT_ALONE, *PROTECTED, *(p.lower() for p in protected))
     return t.withColumn("kept", ~F.max(alone).over(Window.partitionBy(key, "line"))).where(~F.col("tok").rlike(r"^\s+$")).withColumn("stop", F.col("start") + F.length("tok"))
 
 
+def _flip_last(digits: Column) -> Column:
+    """Digits of any number, in any base of an even size, with the lowest bit flipped: only the last one changes."""
+    last = F.translate(F.lower(F.substring(digits, -1, 1)), "0123456789abcdef", "1032547698badcfe")
+    return F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), last)
+
+
+def _plain(digits: Column) -> Column:
+    """Without leading zeros."""
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
 def flip_literal(text: Column) -> Column:
-    """A sized literal with its lowest bit flipped; null where that has too many bits, or the digits don't fit the base."""
+    """A sized literal of any length with its lowest bit flipped; null where it has more bits than its width, or the digits don't fit the base."""
     width = F.regexp_extract(text, r"^(\d+)'", 1)
     mark = F.regexp_extract(text, r"^\d+('[sS]?[bBdDhH])", 1)
     digits = F.replace(F.regexp_extract(text, r"^\d+'[sS]?[bBdDhH]([0-9a-fA-F_]+)$", 1), F.lit("_"), F.lit(""))
     base = F.lower(F.substring(mark, -1, 1))
-    fits = F.when(base == "b", digits.rlike("^[01]+$")).when(base == "d", digits.rlike("^[0-9]+$")).otherwise(digits.rlike("^[0-9a-fA-F]+$")) & (F.length(digits) <= 15)
-    number = lambda k: F.conv(F.when(fits, digits), k, 10).cast("bigint")
-    value = F.when(base == "b", number(2)).when(base == "d", number(10)).otherwise(number(16))
-    new = value.bitwiseXOR(F.lit(1))
-    shown = F.when(base == "d", new.cast("string")).otherwise(F.lpad(F.when(base == "b", F.bin(new)).otherwise(F.hex(new)), F.greatest(F.length(digits), F.lit(1)), F.lit("0")))
-    shown = F.when((base == "h") & (digits != F.upper(digits)), F.lower(shown)).otherwise(shown)
-    wide = width.cast("int") > 0
-    return F.when(fits & (~wide | (F.length(F.bin(new)) <= width.cast("int"))), F.concat(width, mark, shown))
+    fits = F.when(base == "b", digits.rlike("^[01]+$")).when(base == "d", digits.rlike("^[0-9]+$")).otherwise(digits.rlike("^[0-9a-fA-F]+$"))
+    new = _flip_last(digits)
+    wide = F.when(width.rlike(r"^\d{1,9}$"), width).cast("int")
+    plain = _plain(new)
+    lead = F.length(F.bin(F.conv(F.substring(plain, 1, 1), 16, 10).cast("bigint")))
+    size = F.when(base == "b", F.length(plain)).otherwise((F.length(plain) - 1) * 4 + lead)
+    # A decimal number is held to the power of two where both are exact, else to its number of digits.
+    exact = (F.length(plain) <= 38) & (wide <= 120)
+    in_decimal = F.when(exact, F.when(F.length(plain) <= 38, plain).cast("decimal(38,0)") < F.pow(F.lit(2.0), F.least(wide, F.lit(120))).cast("decimal(38,0)")).otherwise(F.length(plain) <= F.floor(wide * 0.30102999566398) + 1)
+    small = (wide == 0) | F.when(base == "d", in_decimal).otherwise((size <= wide) | (plain == "0"))
+    shown = F.when(base == "d", plain).when((base == "h") & (digits == F.upper(digits)), F.upper(new)).when(base == "h", F.lower(new)).otherwise(new)
+    return F.when(fits & small, F.concat(width, mark, shown))
 
 
 def sites(texts: DataFrame, key: str, code: str, protected: tuple[str, ...] = ()) -> DataFrame:
     """(key, operator, parts): each change as an array of (start, stop, new), one element or two."""
     w = Window.partitionBy(key).orderBy("pos")
-    t = tokens(texts, key, code, protected)
+    t = checkpoint(tokens(texts, key, code, protected))  # written once, for four kinds of sites read it
     assigns = F.col("tok").isin("=", "<=") & (F.col("depth") == 0)
     earlier = Window.partitionBy(key, "stmt").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.collect_list(F.struct("tok", "stop")).over(w.rowsBetween(0, _AHEAD))
-    t = t.withColumns({"prev": F.lag("tok").over(w), "next": F.lead("tok").over(w), "assigned": F.coalesce(F.max(assigns).over(earlier), F.lit(False)), "ahead": ahead})
+    t = t.withColumns({"prev": F.lag("tok").over(w), "next": F.lead("tok").over(w), "assigned": F.coalesce(F.max(assigns).over(earlier), F.lit(False))})
     tok, prev = F.col("tok"), F.coalesce("prev", F.lit(""))
 
     def part(new: Column, start: Column | None = None, stop: Column | None = None) -> Column:
@@ -100,13 +127,9 @@ def sites(texts: DataFrame, key: str, code: str, protected: tuple[str, ...] = ()
     binary = ~tok.isin("+", "-") | ((F.col("index") == 0) & prev.rlike(r"[\w\]]$"))
     swaps = F.filter(F.array(*[F.struct(F.lit(n).alias("operator"), F.lit(old).alias("old"), F.lit(new).alias("new")) for n, old, new in SWAPS]), lambda s: s["old"] == tok)
     swapped = t.where(F.col("kept") & compares & binary).withColumn("s", F.explode(swaps)).select(key, "s.operator", F.array(part(F.col("s.new"))).alias("parts"))
-    text = F.array_join(F.transform("ahead", lambda x: x["tok"]), "")
-    tested = F.regexp_extract(text, r"^if\(!?([A-Za-z_]\w*(?:\[[^\[\]]+\])?)\)", 1)
-    close = F.filter("ahead", lambda x: x["tok"] == ")")[0]["stop"]
-    not_ = F.concat(F.lit("if ("), F.when(text.startswith("if(!"), "").otherwise("!"), tested, F.lit(")"))
-    negated = t.where((tok == "if") & F.col("kept") & (tested != "")).select(key, F.lit("if_not").alias("operator"), F.array(part(not_, stop=close)).alias("parts"))
-    plain = tok.rlike(r"^\d+$") & prev.isin("=", "<=") & (F.col("next") == ";") & (F.length("tok") <= 18)
-    flipped = F.when(plain, F.expr("try_cast(tok AS BIGINT)").bitwiseXOR(F.lit(1)).cast("string")).when(F.col("index") == 0, flip_literal(tok))
+    negated = polarity(texts, key, code, protected)
+    plain = tok.rlike(r"^\d+$") & prev.isin("=", "<=") & (F.col("next") == ";")
+    flipped = F.when(plain, _plain(_flip_last(tok))).when(F.col("index") == 0, flip_literal(tok))
     flips = t.where(F.col("kept")).withColumn("new", flipped).where("new is not null").select(key, F.lit("const_flip").alias("operator"), F.array(part(F.col("new"))).alias("parts"))
     # Labels of outermost case statements: what stands alone before a colon.
     label = t.where((F.col("case") == 1) & (F.col("depth") == 0) & (F.col("next") == ":") & F.col("kept") & tok.rlike(r"^[\w']+$") & (F.lower("tok") != "default") & prev.isin(";", "end", ")", "endcase"))
@@ -118,6 +141,20 @@ def sites(texts: DataFrame, key: str, code: str, protected: tuple[str, ...] = ()
     return reduce(DataFrame.unionByName, [swapped, negated, flips, swapped_arms])
 
 
+def polarity(texts: DataFrame, key: str, code: str, protected: tuple[str, ...] = ()) -> DataFrame:
+    """(key, operator, parts): each `if` over one name or its select, turned round."""
+    words = "|".join([*LEFT_ALONE, *PROTECTED, *(p.lower() for p in protected)])
+    masked = source.mask(F.col(code))
+    kept = F.transform(F.split(masked, "\n"), lambda x: ~x.rlike(rf"(?i)(?<![\w$`])(?:{words})(?![\w$])"))
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    t = texts.select(key, kept.alias("kept"), F.posexplode(F.regexp_extract_all(masked, F.lit(_IF), F.lit(0))).alias("pos", "tok"))
+    t = t.withColumns({"start": F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)), "line": F.coalesce(F.sum(F.regexp_count("tok", F.lit("\n"))).over(before), F.lit(0))})
+    name = F.regexp_replace(F.regexp_extract("tok", r"(?s)^if\s*\(\s*!?\s*(.*)\)$", 1), r"\s+$", "")
+    new = F.concat(F.lit("if ("), F.when(F.col("tok").rlike(r"^if\s*\(\s*!"), "").otherwise("!"), name, F.lit(")"))
+    part = F.struct("start", (F.col("start") + F.length("tok")).alias("stop"), new.alias("new"))
+    return t.where(F.col("tok").rlike(r"^if\s*\(") & F.element_at("kept", (F.col("line") + 1).cast("int"))).select(key, F.lit("if_not").alias("operator"), F.array(part).alias("parts"))
+
+
 def changed(text: Column, parts: Column) -> Column:
     """The text with the parts replaced; they come in order."""
     done = F.aggregate(
@@ -129,9 +166,19 @@ def changed(text: Column, parts: Column) -> Column:
 
 
 def hunk(before: Column, after: Column) -> Column:
-    """The changed lines, old and new."""
-    both = F.arrays_zip(F.split(before, "\n").alias("a"), F.split(after, "\n").alias("b"))
-    return F.array_join(F.transform(F.filter(both, lambda x: ~x["a"].eqNullSafe(x["b"])), lambda x: F.concat(F.lit("-"), x["a"], F.lit("\n+"), x["b"])), "\n")
+    """What changed between two texts: lines aligned with their common ones, one line of context; at most HUNK_LINES lines
+    of at most HUNK_MOST, else nothing."""
+
+    def one(a: str | None, b: str | None) -> str | None:
+        if a is None or b is None:
+            return None
+        lines = list(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="", n=1))[2:]
+        return "\n".join(lines[:HUNK_LINES]) if len(lines) <= HUNK_MOST else ""
+
+    def each(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return F.pandas_udf(each, T.StringType())(before, after)
 
 
 def mutants(texts: DataFrame, key: str, code: str, limit: int = 8, protected: tuple[str, ...] = ()) -> DataFrame:
@@ -139,7 +186,7 @@ def mutants(texts: DataFrame, key: str, code: str, limit: int = 8, protected: tu
 
     One of each rule comes first. key: a column that tells the texts apart.
     """
-    body = texts.select(key, source.strip_formal(F.col(code)).alias("__body"))
+    body = checkpoint(texts.select(key, source.strip_formal(F.col(code)).alias("__body")))
     place = F.md5(F.concat_ws(":", F.md5("__body"), "operator", F.col("parts")[0]["start"].cast("string")))
     made = sites(body, key, "__body", protected).join(body, key).withColumns({"__place": place, "text": changed(F.col("__body"), F.col("parts"))})
     made = made.where("text <> __body").groupBy(key, "text").agg(F.min_by(F.struct("operator", "parts", "__body", "__place"), "__place").alias("x")).select(key, "text", "x.*")

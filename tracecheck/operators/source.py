@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A string, a line comment, a block comment (which may not end), or other text.
-_PIECE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|[^"/]++|/'
+_PIECE = r'"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"?|//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|[^"/]++|/'
 _NAME = r"[A-Za-z_]\w*"
 
 
@@ -18,6 +18,11 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once: a lambda's variable stands for it wherever it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _pieces(text: Column, change) -> Column:
     return F.array_join(F.transform(_found(text, _PIECE), change), "")
 
@@ -82,36 +87,91 @@ def strip_formal(text: Column) -> Column:
 
 def unwrap(block: Column) -> Column:
     """The inside of `ifdef FORMAL ... `endif, or the text."""
-    inside = F.regexp_extract(block, r"(?s)(?:^|\n)[ \t]*`ifdef[ \t]+FORMAL\b[^\n]*\n(.*)\n[ \t]*`endif\b", 1)
-    return F.btrim(F.when(inside == "", block).otherwise(inside), F.lit(" \t\r\n"))
+    inside = lambda b: F.regexp_extract(b, r"(?s)(?:^|\n)[ \t]*`ifdef[ \t]+FORMAL\b[^\n]*\n(.*)\n[ \t]*`endif\b", 1)
+    return _let(block, lambda b: _let(inside(b), lambda x: F.btrim(F.when(x == "", b).otherwise(x), F.lit(" \t\r\n"))))
 
 
 def wrap(body: Column) -> Column:
-    text = F.btrim(body, F.lit(" \t\r\n"))
-    return F.when(text == "", "").when(text.startswith("`ifdef FORMAL"), F.concat(text, F.lit("\n"))).otherwise(F.concat(F.lit("`ifdef FORMAL\n"), text, F.lit("\n`endif\n")))
+    whole = lambda t: F.when(t == "", "").when(t.startswith("`ifdef FORMAL"), F.concat(t, F.lit("\n"))).otherwise(F.concat(F.lit("`ifdef FORMAL\n"), t, F.lit("\n`endif\n")))
+    return _let(F.btrim(body, F.lit(" \t\r\n")), whole)
 
 
 # --- statements of a block ---
 
-_PROPERTY = r"\bproperty\s+[A-Za-z_]\w*\s*[;(](?s:.*?)\bendproperty\b(?:[ \t]*:[ \t]*\w+)?"
-_LABELLED = r"[A-Za-z_]\w*\s*:\s*(?:assert|assume|cover)\s+property\s*\([^;]*+;"
-_CUT_OFF = r"(?:\bproperty\s+[A-Za-z_]|[A-Za-z_]\w*\s*:\s*(?:assert|assume|cover)\s+property\s*\()(?s:.*)\z"
+# Patterns over masked text, in which comments and strings are blank, so what is in them ends or starts nothing.
+_HEAD = r"(?:[A-Za-z_]\w*\s*:\s*)?\b(?:assert|assume|cover)\s+property\s*\("
+_DECLARED = r"\bproperty\s+[A-Za-z_]\w*\s*[;(]"
+_PROPERTY = _DECLARED + r"(?s:.*?)\bendproperty\b(?:[ \t]*:[ \t]*\w+)?(?:[ \t]*;)?"
+_PLAIN = rf"(?:(?!\b(?:assert|assume|cover)\s+property\b|{_DECLARED})[^;])"
+#: else begin ... end, with one more begin ... end inside it at most.
+_BEGIN = r"\)\s*else\s+begin\b(?s:(?:(?!\b(?:begin|end)\b).)*+(?:\bbegin\b(?:(?!\b(?:begin|end)\b).)*+\bend\b(?:(?!\b(?:begin|end)\b).)*+)*+)\bend\b(?:[ \t]*;)?"
+_STATEMENT = rf"{_HEAD}(?:{_PLAIN}*?{_BEGIN}|{_PLAIN}*+;)"
+_CUT_OFF = rf"(?:\bproperty\s+[A-Za-z_]|{_HEAD})(?s:.*)\z"
 ITEM = "struct<kind: string, name: string, ref: string, complete: boolean, text: string>"
 
 
+def pieces(block: Column) -> Column:
+    """A block's whole inner text in pieces, in order: its declarations as ITEM with `raw`, and what lies between them (kind null).
+
+    raw is the piece as it stands, with the blanks in front of a declaration and the line break behind it; all raws
+    together are the text.
+    """
+    lead, starts = r"(?:(?:(?<=\n)|\A)[ \t]++)?", rf"(?:{_HEAD}|\bproperty\s+[A-Za-z_])"
+    pattern = rf"(?i){lead}(?:{_PROPERTY}|{_STATEMENT}|{_CUT_OFF})(?:[ \t]*\n)?|(?s:.)(?:(?!{lead}{starts})(?s:.))*+"
+    start = F.struct(F.array().cast("array<struct<at: int, m: string>>").alias("out"), F.lit(1).alias("at"))
+    step = lambda x, m: F.struct(F.concat(x["out"], F.array(F.struct(x["at"].alias("at"), m.alias("m")))).alias("out"), (x["at"] + F.length(m)).alias("at"))
+
+    def item(piece: Column, inner: Column) -> Column:
+        def fields(m: Column, raw: Column) -> Column:
+            prop = F.regexp_extract(m, r"(?i)^property\s+([A-Za-z_]\w*)", 1)
+            kind = F.lower(F.regexp_extract(m, r"(?i)^(?:[A-Za-z_]\w*\s*:\s*)?(assert|assume|cover)\s+property\b", 1))
+            label = F.regexp_extract(m, r"^([A-Za-z_]\w*)\s*:", 1)
+            ref = F.regexp_extract(m, r"(?i)property\s*\(\s*([A-Za-z_]\w*)\s*\)", 1)
+            complete = F.when(prop != "", m.rlike(r"(?i)\bendproperty\b(?:[ \t]*:[ \t]*\w+)?(?:[ \t]*;)?\z")).otherwise(m.rlike(rf"(?i)\A(?:{_STATEMENT})\z"))
+            return F.struct(
+                F.when(prop != "", "property").when(kind != "", kind).alias("kind"),
+                F.when(prop != "", prop).when((kind != "") & (label != ""), label).alias("name"),
+                F.when((prop == "") & (ref != ""), ref).alias("ref"),
+                complete.alias("complete"),
+                F.btrim(raw, F.lit(" \t\r\n")).alias("text"),
+                raw.alias("raw"),
+            )
+
+        raw = F.substring(inner, piece["at"], F.length(piece["m"]))
+        return _let(F.btrim(piece["m"], F.lit(" \t\r\n")), lambda m: _let(raw, lambda r: fields(m, r)))
+
+    placed = lambda inner: F.aggregate(_found(mask(inner), pattern), start, step, lambda x: x["out"])
+    return _let(unwrap(block), lambda inner: F.transform(placed(inner), lambda p: item(p, inner)))
+
+
 def items(block: Column) -> Column:
-    """The declarations of a block, in order, as ITEM: kind (property, assert, assume, cover), name, the property it refers to."""
+    """The declarations of a block, in order, as ITEM: kind (property, assert, assume, cover), name (null without a label),
+    the property it refers to, whether it is complete, and its text."""
+    found = F.filter(pieces(block), lambda x: x["kind"].isNotNull())
+    return F.transform(found, lambda x: F.struct(*[x[f].alias(f) for f in ("kind", "name", "ref", "complete", "text")]))
+
 
-    def item(text: Column) -> Column:
-        label = F.regexp_extract(text, r"^([A-Za-z_]\w*)\s*:", 1)
-        prop = F.regexp_extract(text, r"^property\s+([A-Za-z_]\w*)", 1)
-        ref = F.regexp_extract(text, r"property\s*\(\s*([A-Za-z_]\w*)\s*\)", 1)
-        complete = F.when(prop != "", text.rlike(r"\bendproperty\b(?:[ \t]*:[ \t]*\w+)?\z")).otherwise(text.endswith(";"))
-        kind = F.when(prop != "", "property").otherwise(F.lower(F.regexp_extract(text, r"(?i):\s*(assert|assume|cover)\b", 1)))
-        name = F.when(prop != "", prop).otherwise(label)
-        return F.struct(kind.alias("kind"), name.alias("name"), F.when((prop == "") & (ref != ""), ref).alias("ref"), complete.alias("complete"), text.alias("text"))
+def rest(block: Column, stays) -> Column:
+    """The block without the declarations for which stays(item) is false; all other text is left as it is."""
+    left = F.filter(pieces(block), lambda x: x["kind"].isNull() | F.coalesce(stays(x), F.lit(True)))
+    return wrap(F.array_join(F.transform(left, lambda x: x["raw"]), ""))
 
-    return F.transform(_found(strip_comments(unwrap(block)), f"(?i){_PROPERTY}|{_LABELLED}|{_CUT_OFF}"), item)
+
+def strip_truncated(block: Column) -> Column:
+    """The block up to its first declaration that breaks off."""
+    return rest(block, lambda x: x["complete"])
+
+
+def without_labels(block: Column, labels: Column) -> Column:
+    """The block without the statements of these labels (in lower case), and without properties that none refers to any more."""
+    known = lambda x: F.concat_ws(":", F.when(x["kind"] == "property", "p").otherwise("s"), F.lower(F.coalesce(x["name"], F.lit(""))))
+    return _let(F.transform(strip_labels(items(block), labels), known), lambda names: rest(block, lambda x: F.array_contains(names, known(x))))
+
+
+def merge(kept: Column, fresh: Column) -> Column:
+    """Two blocks as one: the first one's text, an empty line, the second one's; an empty block adds nothing."""
+    inner = F.filter(F.array(*[F.coalesce(unwrap(x), F.lit("")) for x in (kept, fresh)]), lambda x: x != "")
+    return wrap(F.array_join(inner, "\n\n"))
 
 
 def written(parts: Column) -> Column:
@@ -125,11 +185,12 @@ def complete(parts: Column) -> Column:
 
 
 def labelled(parts: Column) -> Column:
-    return F.filter(parts, lambda x: x["kind"] != "property")
+    """The statements that have a label."""
+    return F.filter(parts, lambda x: (x["kind"] != "property") & x["name"].isNotNull())
 
 
 def has_kind(block: Column, *kinds: str) -> Column:
-    return F.exists(items(block), lambda x: x["kind"].isin(*kinds))
+    return F.exists(items(block), lambda x: x["kind"].isin(*kinds) & x["name"].isNotNull())
 
 
 def statements(blocks: DataFrame, by: list[str], block: str) -> DataFrame:
@@ -153,29 +214,80 @@ def drop_duplicates(fresh: DataFrame, kept: DataFrame, by: list[str]) -> tuple[D
 
 def strip_labels(parts: Column, labels: Column) -> Column:
     """Items without the statements of these labels (in lower case), and without properties that none refers to any more."""
-    left = F.filter(parts, lambda x: (x["kind"] == "property") | ~F.array_contains(labels, F.lower(x["name"])))
-    used = F.transform(left, lambda x: F.lower(F.coalesce(x["ref"], F.lit(""))))
-    return F.filter(left, lambda x: (x["kind"] != "property") | F.array_contains(used, F.lower(x["name"])))
+    left = F.filter(parts, lambda x: (x["kind"] == "property") | ~F.array_contains(labels, F.lower(F.coalesce(x["name"], F.lit("")))))
+    used = lambda found: F.transform(found, lambda x: F.lower(F.coalesce(x["ref"], F.lit(""))))
+    return _let(left, lambda found: _let(used(found), lambda u: F.filter(found, lambda x: (x["kind"] != "property") | F.array_contains(u, F.lower(x["name"])))))
 
 
 _HAS_STATEMENT = r"(?i)[A-Za-z_]\w*\s*:\s*(?:assert|assume|cover)\s+property\s*\("
-_CODE_LINE = r"(?i)^\s*(?:default\s+(?:clocking|disable)\b|`(?:define|undef|ifdef|ifndef|elsif|else|endif)\b)"
+_GUARDED = r"(?is)^[ \t]*`ifdef[ \t]+FORMAL\b.*?^[ \t]*`endif\b[^\n]*"
+_CODE_LINE = r"(?i)^\s*(?:default\s+(?:clocking|disable)\b|`(?:define|undef|ifdef|ifndef|elsif|else|endif)\b|(?:localparam|parameter|wire|logic|reg|bit|integer)\b[^;]*;)"
 
 
 def extract_block(answer: Column) -> Column:
-    """The block in a model's answer: from the first fence with a statement, or from bare text; null if there is none.
+    """The block in a model's answer; null if there is none.
 
-    Reasoning is left out unless only it holds statements. Prose around the statements goes.
+    From the first fence with a statement (one that isn't closed goes to the end), else from the first guarded block amid
+    prose, else from bare text. Reasoning is left out unless only it holds statements. Prose around the statements goes.
     """
-    plain = F.regexp_replace(answer, r"(?is)<think>.*?(?:</think>|\z)", "")
-    thought = F.regexp_extract(answer, r"(?is)<think>(.*?)(?:</think>|\z)", 1)
-    text = F.when(plain.rlike(_HAS_STATEMENT), plain).otherwise(thought)
-    fenced = F.try_element_at(F.filter(_found(text, r"(?s)```[A-Za-z]*[ \t]*\n(.*?)```", 1), lambda x: x.rlike(_HAS_STATEMENT)), F.lit(1))
-    inside = F.coalesce(fenced, F.regexp_replace(text, r"```[A-Za-z]*", ""))
-    parts = items(inside)
-    other = F.filter(F.split(unwrap(inside), "\n"), lambda x: x.rlike(_CODE_LINE))
-    body = F.concat_ws("\n", F.array_join(other, "\n"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n"))
-    return F.when(F.size(labelled(parts)) > 0, wrap(body))
+    plain = lambda t: F.regexp_replace(t, r"(?is)<think>.*?(?:</think>|\z)", "")
+    thought = lambda t: F.regexp_extract(t, r"(?is)<think>(.*?)(?:</think>|\z)", 1)
+    with_statement = lambda found: F.try_element_at(F.filter(found, lambda x: x.rlike(_HAS_STATEMENT)), F.lit(1))
+    fenced = lambda t: with_statement(_found(t, r"(?s)```[A-Za-z]*[ \t]*\n(.*?)(?:```|\z)", 1))
+    guarded = lambda t: with_statement(_found(t, "(?m)" + _GUARDED))
+    inside = lambda t: F.coalesce(fenced(t), guarded(t), F.regexp_replace(t, r"```[A-Za-z]*", ""))
+
+    def written_from(found: Column) -> Column:
+        between = F.array_join(F.transform(F.filter(found, lambda x: x["kind"].isNull()), lambda x: x["raw"]), "")
+        other = F.filter(F.split(strip_comments(between), "\n"), lambda x: x.rlike(_CODE_LINE))
+        parts = F.filter(found, lambda x: x["kind"].isNotNull())
+        body = F.concat_ws("\n", F.array_join(other, "\n"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n"))
+        return F.when(F.exists(found, lambda x: (x["kind"] != "property") & x["name"].isNotNull()), wrap(body))
+
+    text = _let(plain(answer), lambda p: F.when(p.rlike(_HAS_STATEMENT), p).otherwise(thought(answer)))
+    return _let(text, lambda t: _let(inside(t), lambda i: _let(pieces(i), written_from)))
+
+
+# Fixed value: the longest comment line that is kept above a declaration.
+_HEADER = 120
+
+
+def canonical(block: Column) -> Column:
+    """The block without its comments, but for the first line of a short run of comment lines right above code; complete only.
+
+    At most one empty line is left in a row.
+    """
+    comment = r"^\s*//"
+    code = r"(?i)^\s*(?:property\b|[A-Za-z_]\w*\s*:|assert\b|assume\b|cover\b|default\b)"
+
+    def lines(inner: Column) -> Column:
+        both = F.arrays_zip(F.split(inner, "\n").alias("a"), F.split(blank_comments(inner), "\n").alias("b"))
+        return F.transform(both, lambda x: F.struct(F.rtrim(F.when(x["a"].rlike(comment), x["a"]).otherwise(x["b"])).alias("t"), x["a"].rlike(comment).alias("c")))
+
+    def thinned(found: Column) -> Column:
+        # From the end: what is the next line of code below each line.
+        start = F.struct(F.array().cast("array<string>").alias("heads"), F.lit("").alias("head"))
+        step = lambda x, y: _let(F.when(~y["c"] & (y["t"] != ""), y["t"]).otherwise(x["head"]), lambda h: F.struct(F.concat(F.array(x["head"]), x["heads"]).alias("heads"), h.alias("head")))
+        heads = F.aggregate(F.reverse(found), start, step, lambda x: x["heads"])
+        leads = lambda x, i, h: (F.length(x["t"]) <= _HEADER) & h[i].rlike(code) & ((i == 0) | ~found[F.greatest(i - 1, F.lit(0))]["c"])
+        kept = lambda h: F.filter(found, lambda x, i: ~x["c"] | leads(x, i, h))
+        return F.array_join(F.transform(_let(heads, kept), lambda x: x["t"]), "\n")
+
+    return wrap(F.regexp_replace(_let(_let(unwrap(strip_truncated(block)), lines), thinned), r"\n{3,}", "\n\n"))
+
+
+def canonical_or_raw(block: Column) -> Column:
+    """struct(text, canonical): the canonical text, or the block as it was if its declarations wouldn't be the same (blanks and
+    comments aside)."""
+    declared = lambda x: F.transform(complete(items(strip_comments(x))), lambda y: F.regexp_replace(y["text"], r"\s+", ""))
+    same = lambda clean: F.coalesce(declared(clean) == declared(block), F.lit(False))
+    return _let(canonical(block), lambda clean: _let(same(clean), lambda ok: F.struct(F.when(ok, clean).otherwise(block).alias("text"), ok.alias("canonical"))))
+
+
+def unwrap_answer(answer: Column) -> Column:
+    """A text that may be a block already, or a model's answer: the block if there is one, else the text as it is."""
+    whole = lambda t: F.exists(items(t), lambda x: x["kind"] != "property") & ~t.rlike(r"```|(?i)</?think>")
+    return _let(answer, lambda t: F.when(whole(t), t).otherwise(F.coalesce(extract_block(t), t)))
 
 
 # --- modules ---

@@ -12,9 +12,9 @@ from tracecheck.sources.shared import checkpoint
 
 
 def _commented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are, between pieces of code; quotes, slashes and stars in them count."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plain = F.regexp_replace("text", r'["/*]', "")
-    return d.select("doc_id", F.concat(F.lit("x = 1; // "), plain, F.lit('\ny = "a // b"; /* c\nd */ z = 2;\n')).alias("code"))
+    return d.select("doc_id", F.concat(F.lit("x = 1; // "), F.coalesce("text", F.lit("")), F.lit('\ny = "a // b"; /* c\nd */ z = 2;\n')).alias("code"))
 
 
 def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,25 +101,47 @@ def inject_and_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("p_partkey", F.regexp_count("once", F.lit("assert")).cast("bigint").alias("n_asserts"), replaced.alias("replaced"), restored.alias("restored"))
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, answer): a model's answer of an order's lines, which breaks off after its last statement."""
+    n, s = F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")
+    named = F.concat(F.lit("property p_"), n, F.lit("; @(posedge clk) q <= "), s, F.lit("; endproperty\na_"), n, F.lit(": assert property (p_"), n, F.lit(");"))
+    plain = F.concat(F.lit("a_"), n, F.lit(": assert property (@(posedge clk) q <= "), s, F.lit(") else $error(\"late; line\");"))
+    begun = F.concat(F.lit("a_"), n, F.lit(": assert property (q <= "), s, F.lit(") else begin $display(\"x; end\"); $fatal; end"))
+    text = F.when(F.col("l_linenumber") % 3 == 0, plain).when(F.col("l_linenumber") % 3 == 1, named).otherwise(begun)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", text.alias("s")).alias("l"))
+    per = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["s"]), "\n").alias("s"))
+    return per.select("l_orderkey", F.concat(F.lit("<think>hm</think> Here it is:\n```systemverilog\n"), "s", F.lit("\nproperty p_cut; @(posedge clk) q\n```\n")).alias("answer"))
+
+
+#: What is declared already, in other cases and forms.
+_KEPT = "a_2: assert property (x);\nproperty P_4; y; endproperty\nb_4: cover property (P_4);"
+
+
 def block_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers made of order lines: the block is extracted, merged with a kept one, thinned, and mended."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    stmt = F.concat(F.lit("a_"), F.col("l_linenumber").cast("string"), F.lit(": assert property (@(posedge clk) q <= "), F.col("l_suppkey").cast("string"), F.lit(");"))
-    per = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", stmt.alias("s")))), lambda x: x["s"]), "\n").alias("s"))
-    answer = F.concat(F.lit("<think>hm</think> Here it is:\n```systemverilog\n"), "s", F.lit("\nproperty p_cut; @(posedge clk) q\n```\n"))
-    got = per.select("l_orderkey", source.written(source.complete(source.items(source.extract_block(answer)))).alias("block"))
-    kept = got.select("l_orderkey", F.lit("a_2: assert property (x);").alias("block"))
-    rows = source.statements(got, ["l_orderkey"], "block")
-    fresh, dropped = source.drop_duplicates(rows, source.statements(kept, ["l_orderkey"], "block"), ["l_orderkey"])
+    """Answers made of order lines: the block is extracted, mended, thinned, and merged with a kept one."""
+    got = checkpoint(_answers(spark, sf_dir).select("l_orderkey", source.strip_truncated(source.extract_block(F.col("answer"))).alias("block")))
+    by = ["l_orderkey"]
+    kept = got.select("l_orderkey", F.lit(_KEPT).alias("block"))
+    fresh, dropped = source.drop_duplicates(source.statements(got, by, "block"), source.statements(kept, by, "block"), by)
     marked = fresh.withColumn("gone", F.lit(False)).unionByName(dropped.withColumn("gone", F.lit(True)))
-    left = source.labelled(source.strip_labels(source.items(F.col("block")), F.array(F.lit("a_1"))))
-    per_order = marked.groupBy("l_orderkey").agg(
-        F.size(F.collect_set("name")).cast("bigint").alias("n_found"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("name")))), ",").alias("dropped"),
-        F.size(F.collect_set(F.when(~F.col("gone"), F.col("name")))).cast("bigint").alias("n_fresh"),
-    )
-    edited = got.select("l_orderkey", F.size(F.array_distinct(F.transform(left, lambda x: x["name"]))).cast("bigint").alias("n_left"))
-    return per_order.join(edited, "l_orderkey").select("*", (F.col("n_fresh") + 1).alias("n_merged"))
+    names = marked.groupBy("l_orderkey").agg(F.count_if("gone").alias("n_gone"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("name")))).alias("names"), F.count("*").alias("n_found"))
+    left = source.rest(F.col("block"), lambda x: ~F.array_contains(F.col("names"), x["name"]))
+    merged = got.join(names, "l_orderkey").withColumn("merged", source.merge(F.lit(_KEPT), left))
+    thinned = F.size(source.items(source.without_labels(F.col("block"), F.array(F.lit("a_1")))))
+    return merged.select("l_orderkey", "n_found", F.array_join("names", ",").alias("dropped"), thinned.cast("bigint").alias("n_left"), F.size(source.labelled(source.items(F.col("merged")))).cast("bigint").alias("n_merged"), F.md5("merged").alias("digest"))
+
+
+def canonical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with comments of any length, as answers or bare: what they are unwrapped to, and their canonical text."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey").cast("string")
+    block = F.concat(
+        F.lit("// "), "p_name", F.lit("\n// more of it\nproperty p_"), k, F.lit("; a |-> b; endproperty // b\n\n\n\n// "), F.expr("repeat(p_name, p_size)"), F.lit("\n\na_"), k,
+        F.lit(": assert property (p_"), k, F.lit(") else $error(\"// no; comment\");\n/* gone */\n// nothing below"),
+    )
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Sure.\n```verilog\n"), block, F.lit("\n"))).otherwise(block)
+    rows = p.select("p_partkey", source.unwrap_answer(text).alias("own"), source.canonical_or_raw(block).alias("c"))
+    return rows.select("p_partkey", F.md5("own").alias("digest"), F.col("c.text").alias("text"), F.col("c.canonical").alias("canonical"))
 
 
 def extract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +215,7 @@ def vcd_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (strip_comments, blank_comments, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_steps, vcd_traces)
+    for f in (strip_comments, blank_comments, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_steps, vcd_traces)
 }
 
 _E = """WITH e AS (SELECT user_id::VARCHAR AS trace_id, event_id AS t, event_type = 'purchase' AS b, CASE WHEN event_type <> 'view' THEN bin(floor(value)::BIGINT + 1) END AS v,
@@ -210,12 +232,13 @@ for _name, _value in (("k", "p_partkey"), ("w", "p_size % 8 + 1"), ("s", "p_size
 _SITES = """(VALUES ('gt_lt', 'assign go = (d ', '>', '<'), ('gt_ge', 'assign go = (d ', '>', '>='), ('and_or', 'assign go = (d > q) ', '&&', '||'), ('ne_eq', 'assign go = (d > q) && (d ', '!=', '=='),
   ('const_flip', 'assign go = (d > q) && (d != ', '@', '@'), ('if_not', 'else ', 'if (go)', 'if (!go)'), ('add_sub', 'q <= d ', '+', '-')) AS s(operator, lead, old, new)"""
 
+_CODES = r"""SELECT doc_id, code, regexp_extract_all(code, '"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*"?|//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|[^"/]+|/') AS p
+  FROM (SELECT doc_id, 'x = 1; // ' || coalesce(text, '') || chr(10) || 'y = "a // b"; /* c' || chr(10) || 'd */ z = 2;' || chr(10) AS code FROM documents)"""
+
 ORACLES = {
-    "strip_comments": r"""SELECT doc_id, md5('x = 1; ' || substr(c, 1 + coalesce(nullif(strpos(c, chr(10)), 0), 1) - 1) || 'y = "a // b";   z = 2;' || chr(10)) AS digest
-      FROM (SELECT doc_id, regexp_replace(text, '["/*]', '', 'g') || chr(10) AS c FROM documents)""",
-    "blank_comments": r"""SELECT doc_id, (length(c) + 41)::BIGINT AS n, (length(c) + 41)::BIGINT AS m,
-      md5(regexp_replace('x = 1; ' || substr(c, coalesce(nullif(strpos(c, chr(10)), 0), 1)) || 'y = "a // b"; ' || chr(10) || ' z = 2;' || chr(10), ' +', ' ', 'g')) AS digest
-      FROM (SELECT doc_id, regexp_replace(text, '["/*]', '', 'g') || chr(10) AS c FROM documents)""",
+    "strip_comments": rf"""SELECT doc_id, md5(array_to_string(list_transform(p, lambda x: CASE WHEN starts_with(x, '//') THEN '' WHEN starts_with(x, '/*') THEN ' ' ELSE x END), '')) AS digest FROM ({_CODES})""",
+    "blank_comments": rf"""SELECT doc_id, length(code) AS n, length(out) AS m, md5(regexp_replace(out, ' +', ' ', 'g')) AS digest FROM (SELECT *,
+      array_to_string(list_transform(p, lambda x: CASE WHEN starts_with(x, '//') OR starts_with(x, '/*') THEN regexp_replace(x, '[^\n]', ' ', 'g') ELSE x END), '') AS out FROM ({_CODES}))""",
     "module_prompts": """SELECT p_partkey, md5('module part_' || p_partkey || chr(10) || 'ports:' || chr(10) || '  input 1 clk' || chr(10) || '  input 1 rst_n' || chr(10) || '  input [' || w || ':0] d' || chr(10)
       || '  output [' || w || ':0] q' || chr(10) || 'inside:' || chr(10) || '  1 go' || chr(10) || 'constants: LIMIT' || chr(10) || 'clock: clk' || chr(10) || 'reset: rst_n, disable iff (!rst_n)') AS digest,
       'd,q,go,LIMIT' AS names, '`ifdef FORMAL' || chr(10) || 'a_smoke: assert property (@(posedge clk) d == d);' || chr(10) || '`endif' || chr(10) AS smoke FROM (SELECT *, p_size % 8 + 1 AS w FROM part)""",
@@ -225,7 +248,8 @@ ORACLES = {
         strpos(code, lead) - 1 + length(lead) AS place FROM m, {_SITES}),
       r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5(md5(code) || ':' || operator || ':' || place)) - 1 AS k, substr(code, 1, place) || new || substr(code, place + 1 + length(old)) AS changed FROM s)
       SELECT p_partkey, operator || '_' || k AS name, operator, old || ' -> ' || new AS description,
-        '-' || string_split(code, chr(10))[n] || chr(10) || '+' || string_split(changed, chr(10))[n] AS hunk
+        '@@ -' || (n - 1) || ',3 +' || (n - 1) || ',3 @@' || chr(10) || ' ' || string_split(code, chr(10))[n - 1] || chr(10) || '-' || string_split(code, chr(10))[n] || chr(10)
+          || '+' || string_split(changed, chr(10))[n] || chr(10) || ' ' || string_split(code, chr(10))[n + 1] AS hunk
       FROM (SELECT *, length(substr(code, 1, place)) - length(replace(substr(code, 1, place), chr(10), '')) + 1 AS n FROM r)""",
     "extract_blocks": """SELECT page_id, '`ifdef FORMAL' || chr(10) || 'property p_' || page_id || ';' || chr(10) || '  a |=> b;' || chr(10) || 'endproperty' || chr(10) || 'c_' || page_id || ': cover property (p_' || page_id || ');'
       || chr(10) || '`endif' || chr(10) AS block FROM pages""",
@@ -241,8 +265,18 @@ ORACLES = {
     "design_context": """SELECT p_partkey, 'clk:input:1,rst_n:input:1,d:input:[' || (p_size % 8 + 1) || ':0],q:output:[' || (p_size % 8 + 1) || ':0]' AS ports, 'go' AS internals, 'LIMIT' AS constants,
       'clk' AS clock, 'rst_n' AS reset, true AS active_low, '' AS dual_edge FROM part""",
     "inject_and_strip": "SELECT p_partkey, 1 AS n_asserts, true AS replaced, true AS restored FROM part",
-    "block_edits": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem)
-      SELECT l_orderkey, count(*) AS n_found, CASE WHEN bool_or(n = 2) THEN 'a_2' ELSE '' END AS dropped, count(*) FILTER (n <> 2) AS n_fresh, count(*) FILTER (n <> 1) AS n_left, count(*) FILTER (n <> 2) + 1 AS n_merged FROM l GROUP BY l_orderkey""",
+    "block_edits": """WITH x AS (SELECT l_orderkey, l_linenumber AS n, CASE l_linenumber % 3 WHEN 0 THEN 'a_' || l_linenumber || ': assert property (@(posedge clk) q <= ' || l_suppkey || ') else $error("late; line");'
+        WHEN 1 THEN 'property p_' || l_linenumber || '; @(posedge clk) q <= ' || l_suppkey || '; endproperty' || chr(10) || 'a_' || l_linenumber || ': assert property (p_' || l_linenumber || ');'
+        ELSE 'a_' || l_linenumber || ': assert property (q <= ' || l_suppkey || ') else begin $display("x; end"); $fatal; end' END AS s FROM lineitem),
+      g AS (SELECT l_orderkey, count(*) + count(*) FILTER (n % 3 = 1) AS n_found, concat_ws(',', CASE WHEN bool_or(n = 2) THEN 'a_2' END, CASE WHEN bool_or(n = 4) THEN 'a_4,p_4' END) AS dropped,
+        count(*) FILTER (n <> 1) + count(*) FILTER (n % 3 = 1 AND n <> 1) AS n_left, count(*) FILTER (n NOT IN (2, 4)) + 2 AS n_merged, string_agg(s, chr(10) ORDER BY n, s) FILTER (n NOT IN (2, 4)) AS s FROM x GROUP BY l_orderkey)
+      SELECT l_orderkey, n_found, dropped, n_left, n_merged, md5('`ifdef FORMAL' || chr(10) || 'a_2: assert property (x);' || chr(10) || 'property P_4; y; endproperty' || chr(10) || 'b_4: cover property (P_4);'
+        || coalesce(chr(10) || chr(10) || s, '') || chr(10) || '`endif' || chr(10)) AS digest FROM g""",
+    "canonical_blocks": """WITH b AS (SELECT *, 'property p_' || p_partkey || '; a |-> b; endproperty' AS p, 'a_' || p_partkey || ': assert property (p_' || p_partkey || ') else $error("// no; comment");' AS a,
+        '// ' || p_name AS one, '// ' || repeat(p_name, p_size) AS two, chr(10) AS nl FROM part)
+      SELECT p_partkey, md5(CASE WHEN p_partkey % 2 = 0 THEN '`ifdef FORMAL' || nl || p || ' // b' || nl || a || nl || '`endif' || nl
+          ELSE one || nl || '// more of it' || nl || p || ' // b' || nl || nl || nl || nl || two || nl || nl || a || nl || '/* gone */' || nl || '// nothing below' END) AS digest,
+        '`ifdef FORMAL' || nl || one || nl || p || nl || nl || CASE WHEN length(two) <= 120 THEN two || nl || nl ELSE '' END || a || nl || '`endif' || nl AS text, true AS canonical FROM b""",
     "format_values": "SELECT p_partkey, '0x' || lpad(lower(to_hex(p_partkey)), CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END, '0') AS shown, 'b' || bin(p_partkey) || 'x' AS unclean FROM part",
     "vcd_samples": f"{_E} SELECT trace_id, ti, t, buy, val FROM s",
     "vcd_steps": f"{_E} SELECT trace_id, ti, step FROM st",
