@@ -62,16 +62,24 @@ def test_malformed(bad):
 
 def test_dense_and_steps(spark):
     t = tables(spark)
-    s = trace.dense(t["changes"], t["times"], t["signals"])
+    s = trace.intervals(t["changes"], t["times"], t["signals"])
+    assert sorted(map(tuple, s.collect())) == sorted(map(tuple, trace.intervals(t["changes"], t["times"], t["signals"], split=True).collect()))
+    assert s.count() == 12  # one for each change that shows, and what comes before the first
     by = {}
-    for r in s.orderBy("ti").collect():
+    two = [trace.wide(t["changes"], t["times"], {"clk": "!", "n": "#", "never": "e"}, split=x).orderBy("ti").collect() for x in (False, True)]
+    assert two[0] == two[1] and [tuple(r)[3:] for r in two[0]] == [("1", "0000", "x"), ("0", "0000", "x"), ("1", "101", "x"), ("1", "101", "x")]
+    for r in trace.dense(s, t["times"]).orderBy("ti").collect():
         by.setdefault(r.code, []).append(r.raw)
     assert by["!"] == ["1", "0", "1", "1"] and by["#"] == ["0000", "0000", "101", "101"] and by["w"] == ["x", "x", "r1.5", "r1.5"] and by["e"] == ["x"] * 4
-    assert [(r.ti, r.step) for r in trace.steps(s, t["signals"], "clk").orderBy("ti").collect()] == [(0, 0), (2, 1)]
+    assert [(r.ti, r.step) for r in trace.steps(s, t["times"], t["signals"], "clk").orderBy("ti").collect()] == [(0, 0), (2, 1)]
     plain = t["signals"].where("name <> 'smt_step'")
-    assert [(r.ti, r.step) for r in trace.steps(s, plain, "clk").orderBy("ti").collect()] == [(0, 0), (2, 1)]
-    assert [r.ti for r in trace.steps(s, plain, "nothing").orderBy("ti").collect()] == [0, 1, 2, 3]
-    shown = trace.traces(s, trace.steps(s, t["signals"], "clk"), trace.visible(t["signals"], "top"))
+    assert [(r.ti, r.step) for r in trace.steps(s, t["times"], plain, "clk").orderBy("ti").collect()] == [(0, 0), (2, 1)]
+    assert [r.ti for r in trace.steps(s, t["times"], plain, "nothing").orderBy("ti").collect()] == [0, 1, 2, 3]
+    counted = [sorted(map(str, trace.counted_steps(s, trace.steps(s, t["times"], t["signals"], "clk"), split=x).collect())) for x in (False, True)]
+    assert counted[0] == counted[1]
+    names = spark.createDataFrame([("b.c",), ("z",), ("a",), ("a.b.c",)], "n string").orderBy(trace.trace_order(F.col("n")))
+    assert [r.n for r in names.collect()] == ["a", "z", "b.c", "a.b.c"]
+    shown = trace.traces(s, trace.steps(s, t["times"], t["signals"], "clk"), trace.visible(t["signals"], "top"))
     assert {r.name: r["values"] for r in shown.collect()} == {"clk": ["1", "1"], "n": ["0x0", "0x5"]}
 
 

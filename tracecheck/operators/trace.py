@@ -1,10 +1,16 @@
-"""Traces: change records to dense samples, steps, rendered values and counterexample windows."""
+"""Traces: change records to intervals, steps, rendered values and counterexample windows.
+
+A signal is a run of intervals [start, stop) of indices, one for each change, so tables grow with the changes and not with
+times by signals; what is asked at some indices (steps, samples) is found by counting these between the intervals' ends.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scan
+
 UNKNOWN = "x"
 
 
@@ -13,19 +19,45 @@ def last_change(changes: DataFrame) -> DataFrame:
     return changes.groupBy("trace_id", "ti", "code").agg(F.max_by("raw", "seq").alias("raw"))
 
 
-def dense(changes: DataFrame, times: DataFrame, signals: DataFrame) -> DataFrame:
-    """(trace_id, ti, t, code, raw): each signal's value at each index, 'x' before its first change.
+def intervals(changes: DataFrame, times: DataFrame, signals: DataFrame, split: bool = False) -> DataFrame:
+    """(trace_id, code, start, stop, raw): where each signal has which value, from index 0 to the trace's last; 'x' before its
+    first change.
+
+    changes: trace_id, ti, seq, code, raw (ti -1: before the first time); times: trace_id, ti, t; signals: trace_id, code.
+    split: changes of one signal don't fit one task.
+    """
+    whole = times.groupBy("trace_id").agg((F.max("ti") + 1).alias("n"))
+    never = signals.select("trace_id", F.lit(-2).alias("ti"), "code", F.lit(UNKNOWN).alias("raw")).distinct()
+    starts = last_change(changes).select("trace_id", F.col("ti").cast("int").alias("ti"), "code", "raw").unionByName(never.withColumn("ti", F.col("ti").cast("int")))
+    if split:
+        back = scan(starts.withColumn("__back", -F.col("ti")), ["trace_id", "code"], ["__back"], {"__next": ("previous", "ti")})
+    else:
+        back = starts.withColumn("__next", F.lead("ti").over(Window.partitionBy("trace_id", "code").orderBy("ti")))
+    start, stop = F.greatest("ti", F.lit(0)), F.coalesce("__next", "n")
+    ends = back.join(whole, "trace_id").select("trace_id", "code", start.alias("start"), stop.cast("int").alias("stop"), "raw")
+    return ends.where("start < stop")
+
+
+def dense(spans: DataFrame, times: DataFrame) -> DataFrame:
+    """(trace_id, ti, t, code, raw): each interval's value at each of its indices."""
+    each = spans.select("trace_id", "code", "raw", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("ti"))
+    return each.join(times.select("trace_id", "ti", "t"), ["trace_id", "ti"]).select("trace_id", "ti", "t", "code", "raw")
+
+
+def wide(changes: DataFrame, times: DataFrame, columns: dict[str, str], split: bool = False) -> DataFrame:
+    """(trace_id, ti, t, and a column for each name of `columns`): the values of a few signals (name -> code) at each index.
 
-    changes: trace_id, ti, seq, code, raw (ti -1: before the first time); times: trace_id, ti, t;
-    signals: trace_id, code. Values are carried forward within (trace, code), so one signal's history is one
-    window partition; the grid is times by the trace's own signals.
+    A row an index, with one shuffle by trace; changes are put side by side before values are carried forward.
     """
-    grid = times.join(signals.select("trace_id", "code").distinct(), "trace_id")
-    early = last_change(changes).where("ti < 0").select("trace_id", "code", F.lit(-1).alias("ti"), F.lit(None).cast("long").alias("t"), "raw")
-    at = grid.join(last_change(changes).where("ti >= 0"), ["trace_id", "ti", "code"], "left").select("trace_id", "code", "ti", "t", "raw")
-    w = Window.partitionBy("trace_id", "code").orderBy("ti").rowsBetween(Window.unboundedPreceding, 0)
-    filled = at.unionByName(early).withColumn("raw", F.coalesce(F.last("raw", ignorenulls=True).over(w), F.lit(UNKNOWN)))
-    return filled.where("ti >= 0").select("trace_id", "ti", "t", "code", "raw")
+    last = last_change(changes.where(F.col("code").isin(*columns.values())))
+    beside = last.groupBy("trace_id", "ti").agg(*[F.max(F.when(F.col("code") == code, F.col("raw"))).alias(name) for name, code in columns.items()])
+    rows = times.select("trace_id", "ti", "t").join(beside, ["trace_id", "ti"], "full")
+    if split:
+        filled = scan(rows.withColumnsRenamed({n: f"__{n}" for n in columns}), ["trace_id"], ["ti"], {n: ("last", f"__{n}") for n in columns})
+    else:
+        w = Window.partitionBy("trace_id").orderBy("ti").rowsBetween(Window.unboundedPreceding, 0)
+        filled = rows.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in columns})
+    return filled.where("t is not null").select("trace_id", "ti", "t", *[F.coalesce(n, F.lit(UNKNOWN)).alias(n) for n in columns])
 
 
 def forward_fill(rows: DataFrame, by: list[str], order: list[str], value: str, to: str, default: str = UNKNOWN) -> DataFrame:
@@ -52,24 +84,25 @@ def _numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("step", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).drop("__first", "__before")
 
 
-def steps(samples: DataFrame, signals: DataFrame, clock: str | None = None) -> DataFrame:
-    """(trace_id, ti, step): step marks change, else the clock rises, else each index; per trace, as far as there are any."""
+def steps(spans: DataFrame, times: DataFrame, signals: DataFrame, clock: str | None = None) -> DataFrame:
+    """(trace_id, ti, step): step marks change, else the clock rises, else each index; per trace, as far as there are any.
+
+    Only the intervals of the marking signals are read; where there are none, the indices.
+    """
     names = signals.select("trace_id", "ord", "code", "name", F.concat_ws(".", F.concat("scope", F.array("name"))).alias("full"))
 
     def first(name: str) -> DataFrame:
         hit = names.where((F.col("name") == name) | (F.col("full") == name))
-        return hit.groupBy("trace_id").agg(F.min_by("code", "ord").alias("code"))
+        return spans.join(hit.groupBy("trace_id").agg(F.min_by("code", "ord").alias("code")), ["trace_id", "code"]).withColumnRenamed("start", "ti")
 
     by, order = ["trace_id"], ["ti"]
-    marks = steps_by_change(samples.join(first("smt_step"), ["trace_id", "code"]), by, order, "raw").select("trace_id", "ti", "step", F.lit(0).alias("how"))
-    every = samples.select("trace_id", "ti").distinct()
-    rest = _numbered(every, by, order).select("trace_id", "ti", "step", F.lit(2).alias("how"))
-    all_ways = marks.unionByName(rest)
+    how = steps_by_change(first("smt_step"), by, order, "raw").select("trace_id", "ti", "step", F.lit(0).alias("how"))
     if clock is not None:
-        edges = steps_by_edge(samples.join(first(clock), ["trace_id", "code"]), by, order, F.col("raw") == "1")
-        all_ways = all_ways.unionByName(edges.select("trace_id", "ti", "step", F.lit(1).alias("how")))
-    best = F.min("how").over(Window.partitionBy("trace_id"))
-    return all_ways.withColumn("__best", best).where("how = __best").select("trace_id", "ti", "step")
+        edges = steps_by_edge(first(clock), by, order, F.col("raw") == "1")
+        how = how.unionByName(edges.select("trace_id", "ti", "step", F.lit(1).alias("how")))
+    marked = how.withColumn("__best", F.min("how").over(Window.partitionBy("trace_id"))).where("how = __best").select("trace_id", "ti", "step")
+    unmarked = times.join(how.select("trace_id").distinct(), "trace_id", "left_anti").select("trace_id", F.col("ti").cast("int").alias("ti"))
+    return marked.unionByName(_numbered(unmarked, by, order))
 
 
 def visible(signals: DataFrame, top: str | None = None, include_internal: bool = False, only: list[str] | None = None) -> DataFrame:
@@ -111,12 +144,40 @@ def format_value(raw: Column, width: Column) -> Column:
     return F.when(raw.startswith("r"), F.substring(raw, F.lit(2), F.length(raw))).when(width == 1, raw).when(raw.rlike("^[01]+$"), F.concat(F.lit("0x"), hexed)).otherwise(F.concat(F.lit("b"), raw))
 
 
-def traces(samples: DataFrame, steps_: DataFrame, signals: DataFrame) -> DataFrame:
-    """(trace_id, name, width, values): each signal's rendered values by step; a trace with few dots in its name first."""
-    at = samples.join(steps_, ["trace_id", "ti"]).join(signals.select("trace_id", "code", "name", "scope", "width"), ["trace_id", "code"])
+def counted_steps(spans: DataFrame, steps_: DataFrame, split: bool = False) -> DataFrame:
+    """spans with `first` and `n`: the first step in each interval and how many are there; those without a step are left out.
+
+    Steps and intervals' ends lie in one ordered stream, in which each end counts the steps before it.
+    """
+    points = spans.select("trace_id", F.explode(F.array("start", "stop")).alias("ti")).distinct().select("trace_id", "ti", F.lit(0).alias("is_step"))
+    line = points.unionByName(steps_.select("trace_id", F.col("ti").cast("int").alias("ti"), F.lit(1).alias("is_step")))
+    if split:
+        counted = scan(line, ["trace_id"], ["ti", "is_step"], {"before": ("sum", "is_step")})
+    else:
+        w = Window.partitionBy("trace_id").orderBy("ti", "is_step").rowsBetween(Window.unboundedPreceding, 0)
+        counted = line.withColumn("before", F.sum("is_step").over(w))
+    ends = counted.where("is_step = 0").select("trace_id", "ti", F.col("before").cast("int").alias("before"))
+    at = lambda end, to: ends.select("trace_id", F.col("ti").alias(end), F.col("before").alias(to))
+    found = spans.join(at("start", "first"), ["trace_id", "start"]).join(at("stop", "__after"), ["trace_id", "stop"])
+    return found.withColumn("n", F.col("__after") - F.col("first")).where("n > 0").drop("__after")
+
+
+def traces(spans: DataFrame, steps_: DataFrame, signals: DataFrame) -> DataFrame:
+    """(trace_id, name, width, values): each signal's rendered values by step. Each interval is rendered once.
+
+    In a report, traces go by `trace_order` of their names.
+    """
+    shown = signals.select("trace_id", "code", "name", "scope", "width")
+    at = counted_steps(spans.join(shown.select("trace_id", "code").distinct(), ["trace_id", "code"], "left_semi"), steps_).join(shown, ["trace_id", "code"])
     full = F.when(F.size("scope") > 1, F.concat_ws(".", F.concat(F.slice("scope", 2, F.size("scope")), F.array("name")))).otherwise(F.col("name"))
-    value = F.struct("step", format_value(F.col("raw"), F.col("width")).alias("v"))
-    return at.groupBy("trace_id", full.alias("name"), "width").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x["v"]).alias("values"))
+    run = F.struct("first", "n", format_value(F.col("raw"), F.col("width")).alias("v"))
+    values = F.flatten(F.transform(F.array_sort(F.collect_list(run)), lambda x: F.array_repeat(x["v"], x["n"])))
+    return at.groupBy("trace_id", full.alias("name"), "width").agg(values.alias("values"))
+
+
+def trace_order(name: Column) -> Column:
+    """A report's order of traces: those of fewer scopes first, then by name."""
+    return F.struct(F.size(F.split(name, r"\.")).alias("depth"), name.alias("name"))
 
 
 def counterexample(rows: DataFrame, failing: DataFrame, by: list[str], cycle: str, window: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecheck.operators import attempts, curate
+from tracecheck.operators import attempts, curate, repair
 from tracecheck.sources import logs
 
 BY = ["traj_id"]
@@ -124,9 +124,37 @@ def turn_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("answers"), F.count("*").alias("turns"))
 
 
+def _asked(frame: DataFrame) -> DataFrame:
+    """Two answers to each request, as a model could give them: the second one can't be read. Some first requests get none."""
+    n = F.col("turn").cast("string")
+    text = F.concat(F.lit("property p_"), n, F.lit("; q > "), n, F.lit("; endproperty\na_1: assert property (p_"), n, F.lit(");\na_2: assert property (y);\nc_1: cover property (y);"))
+    answer = F.when((F.col("job") % 4 == 3) & (F.col("turn") == 1), None).otherwise(text)
+    return frame.select("job", F.explode(F.array(F.lit(0), F.lit(1))).alias("sample"), answer.alias("answer"))
+
+
+def _scored(frame: DataFrame) -> DataFrame:
+    """Verdicts by a conversation's number: good at once, mended, never good, without a property that applies."""
+    kind, turn, whole = F.col("job") % 4, F.col("turn"), F.col("sample") >= 0
+    fails = whole & ((kind == 2) | ((kind == 1) & (turn == 1)))
+    labels = lambda c, *x: F.when(c, F.array(*[F.lit(v) for v in x])).otherwise(F.array().cast("array<string>"))
+    status = F.when(F.col("sample") == 1, "ERROR").when(fails, "FAIL").otherwise("PASS")
+    return frame.select(
+        "job", "turn", "sample", "sva", status.alias("status"), labels(fails, "a_1").alias("failed"), labels(F.lit(False)).alias("skipped"), labels((kind == 3) & (turn == 2), "a_2").alias("vacuous"),
+        F.when(fails, 3).alias("step"), F.lit(2).cast("long").alias("asserts"), F.lit(4).cast("long").alias("attempted"), F.lit(4).cast("long").alias("valid"), F.lit(2).cast("long").alias("killed"),
+    )
+
+
+def repair_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as blocks that are mended in four rounds at most."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    jobs = c.groupBy(F.col("conv_id").alias("job")).agg(F.lit("You write properties.").alias("system"), F.min_by("text", "turn").alias("user"))
+    found = repair.run_suite(jobs, _asked, _scored, turns=4, min_kill=0.5)
+    return found.select("job", "ord", "turn", "status", "proven", "from_survivors", "repeated", F.md5("sva").alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (winner, trajectories, suite_rates, suite_report, heal_rows, sft_rows, repeated_failure, best_of_n, log_types, jsonl_round_trip, chat_messages, history_trim, token_estimate, turn_count)
+    for f in (winner, trajectories, suite_rates, suite_report, heal_rows, sft_rows, repeated_failure, best_of_n, log_types, jsonl_round_trip, chat_messages, history_trim, token_estimate, turn_count, repair_loop)
 }
 
 _A = """WITH r AS (SELECT conv_id AS traj_id, turn AS ord, turn, text AS sva, length(text) AS n FROM conversations),
@@ -172,4 +200,14 @@ ORACLES = {
       f AS (SELECT conv_id, min(e) AS e FROM c, o WHERE floor((floor(chars * pow(0.7, e)) + 100) / 2.5) <= 600 GROUP BY conv_id)
       SELECT c.conv_id, floor(chars / 2.5)::BIGINT AS tokens, round(pow(0.7, coalesce(e, 5)), 6) AS share FROM c LEFT JOIN f USING (conv_id)""",
     "turn_count": "SELECT conv_id, count(*) FILTER (role = 'assistant') AS answers, count(*) AS turns FROM conversations GROUP BY conv_id",
+    "repair_loop": """WITH j AS (SELECT DISTINCT conv_id AS job FROM conversations), t AS (SELECT unnest([1, 2, 3, 4]) AS turn),
+      x AS (SELECT job, turn, job % 4 AS kind, 'property p_' || turn || '; q > ' || turn || '; endproperty' AS p, 'a_1: assert property (p_' || turn || ');' AS a1, 'a_2: assert property (y);' AS a2,
+        'c_1: cover property (y);' AS c1, chr(10) AS nl, '`ifdef FORMAL' || chr(10) AS o, chr(10) || '`endif' || chr(10) AS e FROM j, t WHERE turn <= CASE job % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 4 END),
+      r AS (SELECT job, turn, CASE WHEN kind = 2 OR kind = 1 AND turn = 1 THEN 'FAIL' WHEN kind = 3 AND turn = 1 THEN 'ERROR' ELSE 'PASS' END AS status,
+        kind IN (0, 1) AND NOT (kind = 1 AND turn = 1) OR kind = 3 AND turn = 3 AS proven, kind = 2 AND turn > 1 AS repeated, kind, o || a2 || nl || c1 || e AS rest,
+        CASE WHEN kind = 3 AND turn = 1 THEN '' WHEN turn = 1 OR kind = 3 AND turn = 2 THEN p || nl || a1 || nl || a2 || nl || c1
+          WHEN kind = 3 THEN o || replace(p, turn::VARCHAR, '2') || nl || replace(a1, 'p_3', 'p_2') || nl || c1 || nl || nl || p || nl || a2 || e
+          ELSE o || a2 || nl || c1 || nl || nl || p || nl || a1 || e END AS sva FROM x)
+      SELECT job, 2 * turn AS ord, turn, status, proven, false AS from_survivors, repeated, md5(sva) AS digest FROM r
+      UNION ALL SELECT job, 2 * turn + 1, turn, 'PASS', true, true, false, md5(rest) FROM r WHERE kind = 2 AND turn > 1""",
 }

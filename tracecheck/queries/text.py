@@ -193,29 +193,41 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: vcd.table_of(rows, t) for t in vcd.SCHEMAS}
 
 
+def _spans(tables: dict[str, DataFrame]) -> DataFrame:
+    return trace.intervals(tables["changes"], tables["times"], tables["signals"])
+
+
 def vcd_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _tables(spark, sf_dir)
-    s = trace.dense(tables["changes"], tables["times"], tables["signals"])
-    return s.groupBy("trace_id", "ti", "t").agg(F.max(F.when(F.col("code") == "!", F.col("raw"))).alias("buy"), F.max(F.when(F.col("code") == '"', F.col("raw"))).alias("val"))
+    return trace.wide(tables["changes"], tables["times"], {"buy": "!", "val": '"'})
+
+
+def vcd_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each signal has which value; a row a change."""
+    return _spans(_tables(spark, sf_dir)).select("trace_id", "code", F.col("start").alias("first"), F.col("stop").alias("last"), "raw")
+
+
+def vcd_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values at each index, from the intervals."""
+    tables = _tables(spark, sf_dir)
+    return trace.dense(_spans(tables), tables["times"])
 
 
 def vcd_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _tables(spark, sf_dir)
-    s = trace.dense(tables["changes"], tables["times"], tables["signals"])
-    return trace.steps(s, tables["signals"], "buy").select("trace_id", "ti", "step")
+    return trace.steps(_spans(tables), tables["times"], tables["signals"], "buy").select("trace_id", "ti", "step")
 
 
 def vcd_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _tables(spark, sf_dir)
-    s = trace.dense(tables["changes"], tables["times"], tables["signals"])
-    shown = trace.visible(tables["signals"], "top")
-    t = trace.traces(s, trace.steps(s, tables["signals"], "buy"), shown)
+    spans, shown = _spans(tables), trace.visible(tables["signals"], "top")
+    t = trace.traces(spans, trace.steps(spans, tables["times"], tables["signals"], "buy"), shown)
     return t.select("trace_id", "name", "width", F.size("values").alias("n"), F.md5(F.array_join("values", ",")).alias("digest"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (strip_comments, blank_comments, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_steps, vcd_traces)
+    for f in (strip_comments, blank_comments, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_intervals, vcd_dense, vcd_steps, vcd_traces)
 }
 
 _E = """WITH e AS (SELECT user_id::VARCHAR AS trace_id, event_id AS t, event_type = 'purchase' AS b, CASE WHEN event_type <> 'view' THEN bin(floor(value)::BIGINT + 1) END AS v,
@@ -279,6 +291,10 @@ ORACLES = {
         '`ifdef FORMAL' || nl || one || nl || p || nl || nl || CASE WHEN length(two) <= 120 THEN two || nl || nl ELSE '' END || a || nl || '`endif' || nl AS text, true AS canonical FROM b""",
     "format_values": "SELECT p_partkey, '0x' || lpad(lower(to_hex(p_partkey)), CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END, '0') AS shown, 'b' || bin(p_partkey) || 'x' AS unclean FROM part",
     "vcd_samples": f"{_E} SELECT trace_id, ti, t, buy, val FROM s",
+    "vcd_dense": f"{_E} SELECT trace_id, ti, t, '!' AS code, buy AS raw FROM s UNION ALL SELECT trace_id, ti, t, '\"', val FROM s",
+    "vcd_intervals": f"""{_E}, n AS (SELECT trace_id, count(*) AS n FROM e GROUP BY trace_id), c AS (SELECT trace_id, '!' AS code, ti, CASE WHEN b THEN '1' ELSE '0' END AS raw FROM e
+      UNION ALL SELECT trace_id, '"', ti, v FROM e WHERE v IS NOT NULL UNION ALL SELECT trace_id, '"', 0, 'x' FROM e WHERE ti = 0 AND v IS NULL)
+      SELECT trace_id, code, ti AS first, coalesce(lead(ti) OVER (PARTITION BY trace_id, code ORDER BY ti), n)::INT AS last, raw FROM c JOIN n USING (trace_id)""",
     "vcd_steps": f"{_E} SELECT trace_id, ti, step FROM st",
     "vcd_traces": f"""{_E}, f AS (SELECT trace_id, step, buy, CASE WHEN val = 'x' THEN 'bx' ELSE '0x' || regexp_replace(lower(to_hex(CAST(list_reduce(list_transform(string_split(val, ''), lambda c: CASE WHEN c = '1' THEN 1 ELSE 0 END), lambda p, q: p * 2 + q) AS BIGINT))), '^(.)$', '0\\1') END AS v FROM st)
       SELECT trace_id, 'buy' AS name, 1 AS width, count(*) AS n, md5(string_agg(buy, ',' ORDER BY step)) AS digest FROM f GROUP BY trace_id
