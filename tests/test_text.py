@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tracecheck.functions import scan
+from tracecheck.operators import macros, source
 from tracecheck.operators import mutants as mutation
-from tracecheck.operators import source
 from tracecheck.sources import designs, generation, logs
 
 MODULE = """module m #(parameter W = 4) (
@@ -36,9 +36,9 @@ def test_scanning():
     assert scan.split_top_level("a, (b, c), d[1,2]", ",") == ["a", " (b, c)", " d[1,2]"]
     assert scan.call_arguments("f(a, g(b, c))", 1) == (["a", "g(b, c)"], 13)
     assert scan.strip_parens("((a) + (b))") == "(a) + (b)"
-    known = scan.defines("`define A `B + 1\n`define B 2 // two\n`define F(x) x\n")
-    assert known == {"A": "`B + 1", "B": "2"} and scan.expand_macros("`A", known) == "2 + 1"
-    assert scan.leftover_macros("`ifdef X `Y `endif `Y // `Z") == ["Y"]
+    known = scan.macros("`define A `B + 1\n`define B 2 // two\n`define F(x) x\n`define FLAG\n`define L `L x\n")
+    assert known == {"A": "2 + 1", "B": "2", "L": "`L" + " x" * 8} and scan.with_macros("`A `FLAG `else", known) == "2 + 1 `FLAG `else"
+    assert scan.unknown_macros("`ifdef X `Y `endif `Y // `Z") == ["Y"] and scan.plain_labels("`a_1 : assert `else: `b") == "a_1 : assert `else: `b"
 
 
 def each(spark, make, *values):
@@ -314,3 +314,18 @@ def test_changes_with_lines_that_come_and_go(spark):
                     at += 1
             assert back + old[at:] == new
     assert got[60] is None and got[61] is None and got[62] == "" and got[63] == ""
+
+
+def test_macros_over_texts(spark):
+    """Nested, shared, repeated, looping and missing macros, against the plan-time ones."""
+    files = [(1, 0, "`define A `B + `C\n`define B `C * 2 // two\n`define C 3\n`define F(x) x\n`define FLAG"), (1, 1, "`define C 4\n`define L `L x"), (2, 0, "`define C 9"), (3, 0, None)]
+    texts = [(1, 1, "`A and `C `FLAG `F(1) `L"), (2, 1, ""), (3, 1, None), (4, 2, "`ifdef C\n`a_1: assert property (`C == `A);\n`endif"), (5, 3, "`C"), (6, None, "`C"), (7, 1, "no use")]
+    known = macros.definitions(spark.createDataFrame(files, "g int, ord int, code string"), ["g"], "code", "ord")
+    got = {r.k: r for r in macros.expanded(spark.createDataFrame(texts, "k int, g int, code string"), "k", ["g"], "code", known).withColumns({"left": macros.left_over(F.col("code")), "plain": macros.plain_labels(F.col("code"))}).collect()}
+    assert len(got) == 7 and got[2].code == "" and got[3].code is None and got[7].code == "no use"
+    for k, g, code in texts:
+        if code and g:
+            own = scan.macros("\n".join(t for x, _, t in files if x == g and t))
+            assert got[k].code == scan.with_macros(code, own) and got[k].left == scan.unknown_macros(got[k].code) and got[k].plain == scan.plain_labels(got[k].code)
+    assert got[1].code == "4 * 2 + 4 and 4 `FLAG `F(1) `L" + " x" * 8 and got[4].plain == "`ifdef C\na_1: assert property (9 == `A);\n`endif"
+    assert macros.expanded(spark.createDataFrame(texts, "k int, g int, code string"), "k", ["g"], "code", known.where("false")).count() == 7

@@ -91,27 +91,32 @@ def strip_parens(text: str) -> str:
     return text
 
 
-_DEFINE = re.compile(r"^[ \t]*`define[ \t]+([A-Za-z_]\w*)(?!\()[ \t]*([^\n]*?)[ \t]*$", re.M)
-_USE = re.compile(r"`([A-Za-z_]\w*)")
-#: Directives, which are no uses of a macro.
+_MACRO = re.compile(r"`([A-Za-z_]\w*)")
+#: Directives, which are no uses of a macro, and passes over a text in which macros inside macros are replaced.
 DIRECTIVES = frozenset("define undef ifdef ifndef elsif else endif include timescale default_nettype resetall celldefine endcelldefine line pragma".split())
+PASSES = 8
 
 
-def defines(text: str) -> dict[str, str]:
-    """Macros without arguments; the last definition counts."""
-    return {m[1]: m[2] for m in _DEFINE.finditer(blank_comments(text))}
+def macros(text: str) -> dict[str, str]:
+    """The text's macros that have a value and no arguments; those inside values are replaced already, so that a text
+    needs one pass."""
+    lines = (line.strip().split(None, 2) for line in blank_comments(text).splitlines())
+    known = {x[1]: x[2].strip() for x in lines if len(x) == 3 and x[0] == "`define" and re.fullmatch(r"[A-Za-z_]\w*", x[1])}
+    found = dict(known)
+    for _ in range(PASSES - 1):
+        found = {name: with_macros(value, known) for name, value in found.items()}
+    return found
 
 
-def expand_macros(text: str, known: dict[str, str], passes: int = 8) -> str:
-    """Uses of known macros replaced, and those inside them, `passes` times at most."""
-    for _ in range(passes):
-        new = _USE.sub(lambda m: known.get(m[1], m[0]), text)
-        if new == text:
-            break
-        text = new
-    return text
+def with_macros(text: str, known: dict[str, str]) -> str:
+    return _MACRO.sub(lambda m: m[0] if m[1] in DIRECTIVES else known.get(m[1], m[0]), text)
+
+
+def plain_labels(text: str) -> str:
+    """A stray tick in front of a label goes."""
+    return re.sub(r"`([A-Za-z_]\w*)(?=\s*:)", lambda m: m[0] if m[1] in DIRECTIVES else m[1], text)
 
 
-def leftover_macros(text: str) -> list[str]:
+def unknown_macros(text: str) -> list[str]:
     """Names of macros that are still used, as first seen."""
-    return list(dict.fromkeys(m[1] for m in _USE.finditer(mask_strings(text)) if m[1] not in DIRECTIVES))
+    return list(dict.fromkeys(m[1] for m in _MACRO.finditer(mask_strings(text)) if m[1] not in DIRECTIVES))

@@ -882,7 +882,7 @@ def parse_block(text: str, min_depth: int = 0, auto_cover: bool = True, strict:
     clock: that of its first statement that names one, or of its default clocking; statements with another are skipped.
     """
     text = scan.strip_comments(text)
-    text = scan.expand_macros(text, scan.defines(text))
+    text = scan.plain_labels(scan.with_macros(text, scan.macros(text)))
     whole, masked = text, scan.mask_strings(text)  # of the same length; what is in strings is no statement
     plan, defaults = Plan(), Defaults(widths=dict(widths or {}))
     bodies: dict[str, str] = {}
@@ -950,6 +950,6 @@ def parse_block(text: str, min_depth: int = 0, auto_cover: bool = True, strict:
             plan.checks += made
         except PropertyError as e:
             plan.skipped.append((label, str(e)))
-    for left in scan.leftover_macros(whole):
+    for left in scan.unknown_macros(whole):
         plan.skipped.append((f"`{left}", "macro is not defined"))
     return plan

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracecheck.operators import macros, source, trace
 from tracecheck.operators import mutants as mutation
-from tracecheck.operators import source, trace
 from tracecheck.sources import vcd
 from tracecheck.sources.shared import checkpoint
 
@@ -144,6 +144,19 @@ def canonical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.md5("own").alias("digest"), F.col("c.text").alias("text"), F.col("c.canonical").alias("canonical"))
 
 
+def macro_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' texts with the macros of their nation, whose values use others: what they become, and what is left over."""
+    k = F.col("n_nationkey").cast("string")
+    head = F.concat(F.lit("`define WIDTH_"), k, F.lit(" `BASE_"), k, F.lit(" + `BASE_"), k, F.lit(" // `NONE\n`define BASE_"), k, F.lit(" 7\n`define FLAG\n`define BASE_"), k, F.lit(" "), F.col("n_regionkey").cast("string"), F.lit("\n`define LOOP `LOOP x\n"))
+    files = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.lit(0).alias("ord"), head.alias("code"))
+    n = F.col("s_nationkey").cast("string")
+    text = F.concat(F.lit("`ifdef FORMAL\n`a_"), F.col("s_suppkey").cast("string"), F.lit(" : assert property (x == `WIDTH_"), n, F.lit("); // `GONE\nb: assert property (`NONE | `LOOP | `WIDTH_x | `FLAG);\n`endif"))
+    texts = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"), text.alias("code"))
+    known = macros.definitions(files, ["n_nationkey"], "code", "ord")
+    done = macros.expanded(texts, "s_suppkey", ["n_nationkey"], "code", known)
+    return done.select("s_suppkey", macros.plain_labels(F.col("code")).alias("code"), F.array_join(macros.left_over(macros.plain_labels(F.col("code"))), ",").alias("left_over"))
+
+
 def extract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that hold a page before their block: as reasoning, or as prose."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -227,7 +240,7 @@ def vcd_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (strip_comments, blank_comments, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_intervals, vcd_dense, vcd_steps, vcd_traces)
+    for f in (strip_comments, blank_comments, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, macro_texts, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_intervals, vcd_dense, vcd_steps, vcd_traces)
 }
 
 _E = """WITH e AS (SELECT user_id::VARCHAR AS trace_id, event_id AS t, event_type = 'purchase' AS b, CASE WHEN event_type <> 'view' THEN bin(floor(value)::BIGINT + 1) END AS v,
@@ -263,6 +276,9 @@ ORACLES = {
         '@@ -' || (n - 1) || ',3 +' || (n - 1) || ',3 @@' || chr(10) || ' ' || string_split(code, chr(10))[n - 1] || chr(10) || '-' || string_split(code, chr(10))[n] || chr(10)
           || '+' || string_split(changed, chr(10))[n] || chr(10) || ' ' || string_split(code, chr(10))[n + 1] AS hunk
       FROM (SELECT *, length(substr(code, 1, place)) - length(replace(substr(code, 1, place), chr(10), '')) + 1 AS n FROM r)""",
+    "macro_texts": """SELECT s_suppkey, '`ifdef FORMAL' || chr(10) || 'a_' || s_suppkey || ' : assert property (x == ' || n_regionkey || ' + ' || n_regionkey || '); // `GONE' || chr(10)
+      || 'b: assert property (`NONE | `LOOP x x x x x x x x | `WIDTH_x | `FLAG);' || chr(10) || '`endif' AS code, 'NONE,LOOP,WIDTH_x,FLAG' AS left_over
+      FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
     "extract_blocks": """SELECT page_id, '`ifdef FORMAL' || chr(10) || 'property p_' || page_id || ';' || chr(10) || '  a |=> b;' || chr(10) || 'endproperty' || chr(10) || 'c_' || page_id || ': cover property (p_' || page_id || ');'
       || chr(10) || '`endif' || chr(10) AS block FROM pages""",
     "clip_text": r"""SELECT doc_id, md5(CASE WHEN length(a) <= 400 THEN a
