@@ -45,7 +45,6 @@ TILE = 2048
 TOGETHER = 8
 #: Candidates that a text offers within a tile at first, besides its first partner, and their growth from round to round.
 NEAREST = 3
-_FAR = 0xFFFFFFFF
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
@@ -298,7 +297,7 @@ def closest(left: Tile, right: Tile, similar: Similar, most: int) -> tuple[np.nd
         if not len(rows):
             continue
         good = good[rows]
-        bits = np.zeros(good.shape, np.uint32)
+        bits = np.zeros(good.shape, np.uint16 if right.maps.shape[1] <= 1000 else np.uint32)
         for w in range(right.maps.shape[1]):
             bits += np.bitwise_count(own.maps[rows, w][:, None] ^ right.maps[:, w][None, :])
         good &= bits <= apart * (a[rows] + b) + slack
@@ -308,10 +307,11 @@ def closest(left: Tile, right: Tile, similar: Similar, most: int) -> tuple[np.nd
             continue
         i.append(rows + at)
         j.append(good.argmax(axis=1))
-        bits[~good] = _FAR
+        far = np.iinfo(bits.dtype).max
+        bits[~good] = far
         more.append(rows[good.sum(axis=1) > most] + at)
         near = np.argpartition(bits, most - 1, axis=1)[:, :most] if bits.shape[1] > most else np.broadcast_to(np.arange(bits.shape[1]), bits.shape)
-        x, y = np.nonzero(np.take_along_axis(bits, near, axis=1) < _FAR)
+        x, y = np.nonzero(np.take_along_axis(bits, near, axis=1) < far)
         i.append(rows[x] + at)
         j.append(near[x, y])
     return np.concatenate(i), np.concatenate(j), np.concatenate(more)
@@ -381,8 +381,10 @@ def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
             elif cut:
                 yield from pairs([batch.slice(0, cut)])
             held.append(batch.slice(cut))
+            pa.default_memory_pool().release_unused()
         if held:
             yield from pairs(held)
+        pa.default_memory_pool().release_unused()  # workers live on
 
     own = F.octet_length("map") * 8
     guest = (own > similar.bits) & (similar.share * F.col("n") <= own / 2 + 1e-6)
@@ -394,6 +396,7 @@ def offered(met: DataFrame, similar: Similar, most: int) -> DataFrame:
         for batch in batches:
             for bits, x, y in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 yield ends(Tile.of(x.as_py(), bits.as_py()), Tile.of(y.as_py(), bits.as_py()))
+            pa.default_memory_pool().release_unused()
 
     # Tiles meet by blocks of TOGETHER tiles: a key has a bounded number of tile pairs, and a tile goes to few keys.
     own = (F.col("part") / TOGETHER).cast("int")
