@@ -11,7 +11,8 @@ reading back is exact. The loss mask covers the assistants' texts.
 
 Defined results: a null text is an empty one; a null role is written as JSON null and read back as null; a null
 conversation id is a conversation of its own. Turns with equal numbers are ordered by role, then text. Repeated rows
-are repeated turns. Conversations of any length are put together; only whole conversations are written.
+are repeated turns. Conversations and texts of any length are put together; only whole conversations are written. An empty
+table gives an empty table. Other columns of the input, whatever their names, don't take part.
 """
 
 from __future__ import annotations

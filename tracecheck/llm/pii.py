@@ -8,7 +8,9 @@ whole text. The field is trained on made-up sentences when it is first used (see
 
 Defined results: a null or empty text has no span. Pattern spans always stay; a span of the field is added only if
 it overlaps none of them. Ties between equally good segmentations go to the one with the shorter last span, then to
-the type listed first. Long runs of digits take time in proportion to their length.
+the type listed first. Long runs of digits take time in proportion to their length. A null id is kept, and repeated rows
+each get a row. An empty table gives an empty table. Columns of the input that have a new column's name, case aside, are
+replaced by it.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Every rule is evaluated once per document; the ledger keeps the measurements and
 Policies are versioned masks over these bits, so a new policy, or an ablation, never reads a text again.
 
 Defined results: a null text counts as an empty one, which has no word and fails `few_words`. A null id is kept.
-Repeated rows each get their own row. Columns of the input other than id and text don't take part.
+Repeated rows each get their own row, and a null id has one like any other. An empty table gives an empty table. A text of
+any length is measured whole, in slices with other texts or alone. Columns of the input other than the text don't take part;
+those that have a new column's name, case aside, are replaced by it.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Categories, in the chain's order: plain (toxic, and written in the most frequent
 (toxic, in any other language), toxic (the label itself).
 
 Defined results: a null or empty text has no feature and gets the models' base rates. Rows with a null id or label
-aren't trained on, but are scored. Repeated rows each get a row. With no labelled row all probabilities are 0.
+aren't trained on, but are scored. Repeated rows each get a row. With no labelled row all probabilities are 0. Ties in the
+sample go by the hash of the id. An empty table gives an empty table. A text of any length is scored whole. Columns of the
+input that have a new column's name, case aside, are replaced by it.
 """
 
 from __future__ import annotations
