@@ -66,7 +66,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, their number, and digests of the ids and of the text decoded from them."""
+    """Each document's ids, their number, and digests of the ids and of the text decoded from them. Other columns than the
+    id end here."""
     return bpe.encode_and_check(docs, vocabulary("byte_bpe_50k.tiktoken"), keep=["doc_id"])
 
 
