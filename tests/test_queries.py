@@ -46,4 +46,4 @@ def test_entry_points(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
     if importlib.util.find_spec("tracecheck.llm"):
-        assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} and "pipeline" in names
+        assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} and "pipeline" in names

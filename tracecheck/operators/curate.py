@@ -102,8 +102,9 @@ def weighted_draw(rows: DataFrame, key: str, weight_: Column, draws: int | None,
     line = checkpoint(own.unionAll(points).repartitionByRange("__at", F.col("draw").isNotNull()).sortWithinPartitions("__at", F.col("draw").isNotNull()).withColumn("__part", F.spark_partition_id()))
     order = Window.partitionBy("__part").orderBy("__at", F.col("draw").isNotNull())
     filled = line.withColumn("row", F.last("row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("draw is not null")
-    # A range that begins with draws takes the last row of the ranges before it: one row a range.
-    last = line.where("draw is null").groupBy("__part").agg(F.max_by("row", "__at").alias("last")).withColumnRenamed("__part", "p")
-    ranges = line.select("__part").distinct().join(last, F.col("p") < F.col("__part"), "left").groupBy("__part").agg(F.max_by("last", "p").alias("carried"))
-    both = filled.join(F.broadcast(ranges), "__part").select("draw", F.coalesce("row", "carried").alias("row"))
+    # A range that begins with draws takes the last row of the ranges before it: one row a range is carried on in order.
+    last = line.groupBy("__part").agg(F.max_by("row", F.when(F.col("draw").isNull(), F.col("__at"))).alias("last"))
+    before_it = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = last.select("__part", F.last("last", ignorenulls=True).over(before_it).alias("carried"))
+    both = filled.join(ranges, "__part").select("draw", F.coalesce("row", "carried").alias("row"))
     return both.select("draw", "row.*")

@@ -47,6 +47,72 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("top"), "p_size", text.alias("code"))
 
 
+#: Modules of other forms: a reset that is active when high and a case; a reset on its falling edge, both clock edges and nested
+#: conditions; neither clock nor reset, and a second module. Comments and guarded text hold modules that aren't there.
+_VARIED = (
+    """// module fake_one (input x);
+module v_{k} (input logic sys_clk, input logic srst, input logic [1:0] sel, output logic [{w}:0] y);
+  /* module fake_two; endmodule */
+  logic busy;
+  always @(posedge sys_clk)
+    if (srst) y <= 0;
+    else if ( !busy ) begin
+      case (sel)
+        2'd0: y <= {s};
+        2'd1: y <= sel ? y : y <= 1;
+        default: y <= 0;
+      endcase
+    end
+endmodule
+""",
+    """module v_{k} (input ck, input nreset, input a, output reg q);
+`ifdef FORMAL
+`ifdef DEEP
+  module hidden; wire lost; endmodule
+`endif
+`else
+  wire kept;
+`endif
+  always @(posedge ck or negedge nreset)
+    if (!nreset) q <= 0; else q <= a;
+  always @(negedge ck) q <= !a;
+endmodule
+""",
+    """module helper_{k} (input i, output o);
+  assign o = !i; // o == i
+endmodule
+module v_{k} (input i, output o);
+  localparam DEPTH = {s};
+  wire mid;
+  helper_{k} h (.i(i), .o(mid));
+  assign o = mid == {w}'b{b};
+endmodule
+""",
+)
+
+
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.element_at(F.array(*[F.lit(t) for t in _VARIED]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    for name, c in (("k", F.col("p_partkey")), ("w", F.col("p_size") % 8 + 1), ("s", F.col("p_size")), ("b", F.col("p_partkey") % 2)):
+        text = F.replace(text, F.lit("{" + name + "}"), c.cast("string"))
+    return p.select("p_partkey", F.concat(F.lit("v_"), F.col("p_partkey").cast("string")).alias("top"), text.alias("code"))
+
+
+def varied_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found in modules of other forms."""
+    c = source.with_context(varied(spark, sf_dir), "code", "top")
+    names = F.array_join(source.module_names(source.strip_formal(F.col("code"))), ",")
+    ports, internals = _joined("ports", "name", "direction", "width"), _joined("internals", "name", "width")
+    return c.select("p_partkey", names.alias("names"), ports.alias("ports"), internals.alias("internals"), F.array_join("constants", ",").alias("constants"), "clock", "reset", "active_low", F.array_join(source.dual_edge_clocks(F.col("code")), ",").alias("dual_edge"))
+
+
+def varied_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mutants of modules of other forms."""
+    m = mutation.mutants(varied(spark, sf_dir), "p_partkey", "code", limit=50)
+    return m.select("p_partkey", "operator", "description", F.md5("text").alias("digest"))
+
+
 def module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Natively: comments can't hide a module here."""
     return modules(spark, sf_dir).select("p_partkey", F.array_join(F.regexp_extract_all("code", F.lit(r"\bmodule\s+([A-Za-z_]\w*)"), F.lit(1)), ",").alias("names"))
@@ -240,7 +306,7 @@ def vcd_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (strip_comments, blank_comments, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, macro_texts, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_intervals, vcd_dense, vcd_steps, vcd_traces)
+    for f in (strip_comments, blank_comments, varied_context, varied_mutants, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, macro_texts, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_intervals, vcd_dense, vcd_steps, vcd_traces)
 }
 
 _E = """WITH e AS (SELECT user_id::VARCHAR AS trace_id, event_id AS t, event_type = 'purchase' AS b, CASE WHEN event_type <> 'view' THEN bin(floor(value)::BIGINT + 1) END AS v,
@@ -260,7 +326,26 @@ _SITES = """(VALUES ('gt_lt', 'assign go = (d ', '>', '<'), ('gt_ge', 'assign go
 _CODES = r"""SELECT doc_id, code, regexp_extract_all(code, '"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*"?|//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|[^"/]+|/') AS p
   FROM (SELECT doc_id, 'x = 1; // ' || coalesce(text, '') || chr(10) || 'y = "a // b"; /* c' || chr(10) || 'd */ z = 2;' || chr(10) AS code FROM documents)"""
 
+#: The other modules in SQL, without guarded text, and their mutants.
+_BARE = [t if "`ifdef" not in t else t[: t.index("`ifdef")] + "  wire kept;\n" + t[t.rindex("`endif\n") + 7 :] for t in _VARIED]
+_VARIED_CODE = "CASE p_partkey % 3 " + " ".join(f"WHEN {k} THEN '" + t.replace("'", "''") + "'" for k, t in enumerate(_BARE)) + " END"
+for _name, _value in (("k", "p_partkey"), ("w", "p_size % 8 + 1"), ("s", "p_size"), ("b", "p_partkey % 2")):
+    _VARIED_CODE = f"replace({_VARIED_CODE}, '{{{_name}}}', ({_value})::VARCHAR)"
+_VARIED_SITES = """(VALUES (0, 'const_flip', 'if (srst) y <= ', '0', '1'), (0, 'const_flip', '2''d0: y <= ', '@s', '@t'), (0, 'const_flip', 'y : y <= ', '1', '0'), (0, 'const_flip', 'default: y <= ', '0', '1'),
+  (0, 'const_flip', 'case (sel)' || chr(10) || '        ', '2''d0', '2''d1'), (0, 'const_flip', ';' || chr(10) || '        ', '2''d1', '2''d0'), (0, 'if_not', 'sys_clk)' || chr(10) || '    ', 'if (srst)', 'if (!srst)'),
+  (0, 'if_not', 'else ', 'if ( !busy )', 'if (busy)'), (0, 'le_ge', 'sel ? y : y ', '<=', '>='), (0, 'le_lt', 'sel ? y : y ', '<=', '<'), (1, 'const_flip', 'if (!nreset) q <= ', '0', '1'),
+  (1, 'if_not', 'nreset)' || chr(10) || '    ', 'if (!nreset)', 'if (nreset)'), (2, 'const_flip', 'mid == ', '@b', '@c'), (2, 'eq_ne', 'assign o = mid ', '==', '!=')) AS v(form, operator, lead, old, new)"""
+
 ORACLES = {
+    "varied_context": """SELECT p_partkey, CASE WHEN f = 2 THEN 'helper_' || p_partkey || ',v_' || p_partkey ELSE 'v_' || p_partkey END AS names,
+      CASE f WHEN 0 THEN 'sys_clk:input:1,srst:input:1,sel:input:[1:0],y:output:[' || (p_size % 8 + 1) || ':0]' WHEN 1 THEN 'ck:input:1,nreset:input:1,a:input:1,q:output:1' ELSE 'i:input:1,o:output:1' END AS ports,
+      CASE f WHEN 0 THEN 'busy:1' WHEN 1 THEN 'kept:1' ELSE 'mid:1' END AS internals, CASE WHEN f = 2 THEN 'DEPTH' ELSE '' END AS constants, CASE f WHEN 0 THEN 'sys_clk' WHEN 1 THEN 'ck' END AS clock,
+      CASE f WHEN 0 THEN 'srst' WHEN 1 THEN 'nreset' END AS reset, CASE f WHEN 0 THEN false WHEN 1 THEN true END AS active_low, CASE WHEN f = 1 THEN 'ck' ELSE '' END AS dual_edge FROM (SELECT *, p_partkey % 3 AS f FROM part)""",
+    "varied_mutants": f"""WITH m AS (SELECT p_partkey, p_size AS s, p_size % 8 + 1 AS w, p_partkey % 2 AS b, p_partkey % 3 AS f, {_VARIED_CODE} AS code FROM part),
+      x AS (SELECT p_partkey, code, operator, lead, CASE old WHEN '@s' THEN s::VARCHAR WHEN '@b' THEN w || chr(39) || 'b' || b ELSE old END AS old,
+        CASE new WHEN '@t' THEN xor(s, 1)::VARCHAR WHEN '@c' THEN w || chr(39) || 'b' || (1 - b) ELSE new END AS new FROM m JOIN {_VARIED_SITES} ON form = f)
+      SELECT p_partkey, operator, old || ' -> ' || new AS description, md5(replace(code, lead || old, lead || new)) AS digest FROM x
+      UNION ALL SELECT p_partkey, 'case_swap', '2''d0 -> 2''d1', md5(replace(replace(replace(code, '2''d0:', '~~'), '2''d1:', '2''d0:'), '~~', '2''d1:')) FROM m WHERE f = 0""",
     "strip_comments": rf"""SELECT doc_id, md5(array_to_string(list_transform(p, lambda x: CASE WHEN starts_with(x, '//') THEN '' WHEN starts_with(x, '/*') THEN ' ' ELSE x END), '')) AS digest FROM ({_CODES})""",
     "blank_comments": rf"""SELECT doc_id, length(code) AS n, length(out) AS m, md5(regexp_replace(out, ' +', ' ', 'g')) AS digest FROM (SELECT *,
       array_to_string(list_transform(p, lambda x: CASE WHEN starts_with(x, '//') OR starts_with(x, '/*') THEN regexp_replace(x, '[^\n]', ' ', 'g') ELSE x END), '') AS out FROM ({_CODES}))""",
