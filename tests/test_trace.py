@@ -91,6 +91,33 @@ def test_data_source(spark, tmp_path):
     assert vcd.read_vcd(spark, f"file://{tmp_path}", "signals").count() == 6
 
 
+def test_a_dump_of_many_ranges(spark, tmp_path):
+    """One file of several byte ranges gives the same tables as the whole text."""
+    import random
+
+    r = random.Random(2)
+    head, first, rest = DUMP.partition("$enddefinitions $end\n")
+    body = [line for k in range(400) for line in (f"#{k // 2 * 3}", *(f"{r.choice('01xZ')}!" if r.random() < 0.5 else r.choice([f"b{k:b} #", "R2.5 w", "b1 ", "$comment x $end", "", "  1% "]) for _ in range(r.randint(0, 3))))]
+    texts = {"a": head + first + "\n".join(body) + "\n", "b": DUMP, "c": head + "$enddefinitions\n $end 1!\n#3\n0!"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.vcd").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        lines = vcd.read_lines(spark, f"file://{tmp_path}")
+        assert lines.where("trace_id like '%a.vcd'").select("block").distinct().count() > 5
+        got = {t: sorted(map(str, (tuple(x) for x in df.collect()))) for t, df in vcd.split_tables(lines).items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.createDataFrame([(f"file://{tmp_path}/{name}.vcd", text) for name, text in texts.items()], "trace_id string, text string")
+    for t in vcd.SCHEMAS:
+        want = sorted(str(tuple(x)) for x in vcd.parse_column(whole, "trace_id", "text", t).collect())
+        assert [x.replace("file:///", "file:/") for x in got[t]] == [x.replace("file:///", "file:/") for x in want], t
+    (tmp_path / "d.vcd").write_text("#0\n1!\n")
+    with pytest.raises(Exception, match="no .enddefinitions"):
+        vcd.split_tables(vcd.read_lines(spark, f"file://{tmp_path}"))["times"].collect()
+
+
 def test_format_value(spark):
     cases = [("1010", 4, "0xa"), ("0", 4, "0x0"), ("1", 1, "1"), ("x", 1, "x"), ("10x", 3, "b10x"), ("r2.5", 64, "2.5"), ("1" * 70, 70, "0x3" + "f" * 17), ("1", 70, "0x" + "0" * 17 + "1"), ("100000000", 8, "0x100")]
     df = spark.createDataFrame([(r, w) for r, w, _ in cases], "raw string, width int").withColumn("o", F.monotonically_increasing_id())

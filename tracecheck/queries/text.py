@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracecheck.operators import macros, source, trace
 from tracecheck.operators import mutants as mutation
 from tracecheck.sources import vcd
-from tracecheck.sources.shared import checkpoint
+from tracecheck.sources.shared import checkpoint, folder
 
 
 def _commented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,9 +304,18 @@ def vcd_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("trace_id", "name", "width", F.size("values").alias("n"), F.md5(F.array_join("values", ",")).alias("digest"))
 
 
+def vcd_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dumps as files, read by lines in byte ranges: how many times and changes each has, and digests of them."""
+    place = f"{folder(spark)}/dumps"
+    _dumps(spark, sf_dir).repartition("trace_id").select("text", F.col("trace_id").alias("user")).write.partitionBy("user").text(place)
+    tables = vcd.split_tables(vcd.read_lines(spark, place, "*.txt"))
+    changes = tables["changes"].groupBy("trace_id").agg(F.count("*").alias("n_changes"), F.max("ti").alias("last_ti"), F.sum(F.col("ti") * F.col("seq")).alias("places"), F.sum("t").alias("t_sum"))
+    return changes.select(F.regexp_extract("trace_id", "user=([^/]+)/", 1).alias("trace_id"), "n_changes", "last_ti", "places", "t_sum")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (strip_comments, blank_comments, varied_context, varied_mutants, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, macro_texts, extract_blocks, clip_text, job_files, format_values, vcd_samples, vcd_intervals, vcd_dense, vcd_steps, vcd_traces)
+    for f in (strip_comments, blank_comments, varied_context, varied_mutants, module_names, design_context, module_prompts, cone_of_blocks, mutants, inject_and_strip, block_edits, canonical_blocks, macro_texts, extract_blocks, clip_text, job_files, format_values, vcd_split, vcd_samples, vcd_intervals, vcd_dense, vcd_steps, vcd_traces)
 }
 
 _E = """WITH e AS (SELECT user_id::VARCHAR AS trace_id, event_id AS t, event_type = 'purchase' AS b, CASE WHEN event_type <> 'view' THEN bin(floor(value)::BIGINT + 1) END AS v,
@@ -392,6 +401,9 @@ ORACLES = {
         '`ifdef FORMAL' || nl || one || nl || p || nl || nl || CASE WHEN length(two) <= 120 THEN two || nl || nl ELSE '' END || a || nl || '`endif' || nl AS text, true AS canonical FROM b""",
     "format_values": "SELECT p_partkey, '0x' || lpad(lower(to_hex(p_partkey)), CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END, '0') AS shown, 'b' || bin(p_partkey) || 'x' AS unclean FROM part",
     "vcd_samples": f"{_E} SELECT trace_id, ti, t, buy, val FROM s",
+    "vcd_split": f"""{_E}, c AS (SELECT trace_id, ti, t, 0 AS k FROM e UNION ALL SELECT trace_id, ti, t, 1 FROM e WHERE v IS NOT NULL),
+      q AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ti, k) - 1 AS seq FROM c)
+      SELECT trace_id, count(*) AS n_changes, max(ti)::INT AS last_ti, sum(ti * seq)::BIGINT AS places, sum(t)::BIGINT AS t_sum FROM q GROUP BY trace_id""",
     "vcd_dense": f"{_E} SELECT trace_id, ti, t, '!' AS code, buy AS raw FROM s UNION ALL SELECT trace_id, ti, t, '\"', val FROM s",
     "vcd_intervals": f"""{_E}, n AS (SELECT trace_id, count(*) AS n FROM e GROUP BY trace_id), c AS (SELECT trace_id, '!' AS code, ti, CASE WHEN b THEN '1' ELSE '0' END AS raw FROM e
       UNION ALL SELECT trace_id, '"', ti, v FROM e WHERE v IS NOT NULL UNION ALL SELECT trace_id, '"', 0, 'x' FROM e WHERE ti = 0 AND v IS NULL)

@@ -4,6 +4,10 @@ spark.read.format("vcd").option("path", ...).option("table", "signals" | "times"
 
 Each file is one partition and one trace, named by its path. Paths are listed and files read through Spark's own
 binary reader in `read_vcd`, which works on any store; the data source reads paths that all executors can open.
+
+`read_lines` and `split_tables` are for dumps of any size: Spark's text reader cuts files into byte ranges, the header is
+read once, and what a line needs from the lines before it (the time, its index, the number of changes) is carried over the
+ends of ranges by running values. Only headers, which grow with the declared signals, are put together.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tracecheck.operators.scan import scan
+
 SCHEMAS = {
     "signals": "trace_id string, ord int, code string, name string, scope array<string>, width int, kind string",
     "times": "trace_id string, ti int, t long",
@@ -150,3 +156,40 @@ def read_vcd(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One table of all dumps under path, read by Spark itself."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.vcd").option("recursiveFileLookup", "true").load(path)
     return parse_column(files.selectExpr("path as trace_id", "decode(content, 'UTF-8') as text"), "trace_id", "text", table)
+
+
+def read_lines(spark: SparkSession, path: str, glob_filter: str = "*.vcd") -> DataFrame:
+    """(trace_id, block, row, value): the lines of all dumps under path; block and row give their order in a file."""
+    files = spark.read.option("pathGlobFilter", glob_filter).option("recursiveFileLookup", "true").text(path)
+    return files.select(F.col("_metadata.file_path").alias("trace_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+
+
+def split_tables(lines: DataFrame) -> dict[str, DataFrame]:
+    """The tables of dumps given as lines (trace_id, block, row, value). A dump without the header's end is an error."""
+    place = F.struct("block", "row")
+    marks = lines.groupBy("trace_id").agg(F.min(F.when(F.col("value").contains("$enddefinitions"), place)).alias("mark"))
+    marks = marks.withColumn("mark", F.when(F.col("mark").isNull(), F.raise_error(F.lit("no $enddefinitions")).cast("struct<block: bigint, row: bigint>")).otherwise(F.col("mark")))
+    # The header ends with the first $end behind the mark, on its line or a later one.
+    closes = F.when(place == F.col("mark"), F.col("value").rlike(r"\$enddefinitions.*?\$end\b")).otherwise((place > F.col("mark")) & F.col("value").rlike(r"\$end\b"))
+    ends = lines.join(marks, "trace_id").where(closes).groupBy("trace_id").agg(F.min(place).alias("end"))
+    known = lines.join(ends, "trace_id")
+    head = known.where(place <= F.col("end")).groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    signals = parse_column(head, "trace_id", "text", "signals")
+    # What stands behind the header's end on its line is the body's first line.
+    text = F.btrim(F.when(place == F.col("end"), F.regexp_extract("value", r"^(?:.*\$enddefinitions)?.*?\$end\b(.*)$", 1)).otherwise(F.col("value")), F.lit(" \t\r"))
+    vector, scalar = r"^([bBrR])(\S+)\s+(\S+)$", r"^([01xzXZ])\s*(.*)$"
+    is_vector = F.col("s").rlike("^[bBrR]")
+    raw = F.when(is_vector, F.concat(F.when(F.col("s").rlike("^[rR]"), "r").otherwise(""), F.regexp_extract("s", vector, 2))).otherwise(F.regexp_extract("s", scalar, 1))
+    body = known.where(place >= F.col("end")).select("trace_id", "block", "row", text.alias("s")).where(F.col("s") != "")
+    body = body.where(F.col("s").rlike("^#") | F.col("s").rlike(vector) | F.col("s").rlike(scalar)).select(
+        "trace_id",
+        "block",
+        "row",
+        F.when(F.col("s").startswith("#"), F.substring("s", F.lit(2), F.length("s")).cast("bigint")).alias("time"),
+        F.when(~F.col("s").startswith("#"), F.lower(raw)).alias("raw"),
+        F.when(~F.col("s").startswith("#"), F.when(is_vector, F.regexp_extract("s", vector, 3)).otherwise(F.btrim(F.regexp_extract("s", scalar, 2)))).alias("code"),
+    )
+    body = body.withColumns({"__time": F.col("time").isNotNull().cast("int"), "__change": F.col("time").isNull().cast("int")})
+    placed = scan(body, ["trace_id"], ["block", "row"], {"n": ("sum", "__time"), "t": ("last", "time"), "m": ("sum", "__change")}).withColumn("ti", (F.col("n") - 1).cast("int"))
+    changes = placed.where("time is null").select("trace_id", "ti", "t", (F.col("m") - 1).alias("seq"), "code", "raw")
+    return {"signals": signals, "times": placed.where("time is not null").select("trace_id", "ti", F.col("time").alias("t")), "changes": changes}
