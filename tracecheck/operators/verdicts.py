@@ -87,22 +87,30 @@ def base_label(label: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(label, r"\."), -1), r"(__k\d+)?(__c\d+|__cov)?$", "")
 
 
+# Lines of a checker's log, and endings of lines that say ERROR without being one.
+FAILED_AT = r"(?i)failed assertion\s+(\S+)\s+at\s+\S+\s+step\s+(\d+)"
+FAILED_IN = r"Assert failed in\s+\S+:\s+(\S+)"
+ERROR_LINE = r"(?:ERROR|error):\s*(.+)"
+NOT_REACHED = r"Unreached cover statement at\s+\S+:\s*(\S+)"
+REACHED = r"Reached cover statement in step\s+\d+\s+at\s+\S+:\s*(\S+)"
+NO_ERROR = ("returned ERROR", "DONE (ERROR")
+
+
 def parse_log(text: Column) -> dict[str, Column]:
     """What a checker's log says: failed base labels and their first step, errors, covers reached and not reached."""
 
     def each(pattern: str, group: int = 1) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    named, plain = each(r"(?i)failed assertion\s+(\S+)\s+at\s+\S+\s+step\s+\d+"), each(r"Assert failed in\s+\S+:\s+(\S+)")
-    steps = each(r"(?i)failed assertion\s+\S+\s+at\s+\S+\s+step\s+(\d+)")
-    errors = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(ERROR|error):\s*.") & ~x.contains("returned ERROR") & ~x.contains("DONE (ERROR"))
+    named, plain = each(FAILED_AT), each(FAILED_IN)
+    errors = F.filter(F.split(text, "\n"), lambda x: x.rlike(ERROR_LINE) & ~x.contains(NO_ERROR[0]) & ~x.contains(NO_ERROR[1]))
     last = lambda x: F.element_at(F.split(x, r"\."), -1)
     return {
         "failed": F.array_distinct(F.transform(F.when(F.size(named) > 0, named).otherwise(plain), base_label)),
-        "failing_step": F.array_min(F.transform(steps, lambda x: x.cast("int"))),
-        "errors": F.array_distinct(F.transform(errors, lambda x: F.btrim(F.regexp_extract(x, r"(?:ERROR|error):\s*(.+)", 1)))),
-        "unreached": F.array_distinct(F.transform(each(r"Unreached cover statement at\s+\S+:\s*(\S+)"), last)),
-        "reached": F.array_distinct(F.transform(each(r"Reached cover statement in step\s+\d+\s+at\s+\S+:\s*(\S+)"), last)),
+        "failing_step": F.array_min(F.transform(each(FAILED_AT, 2), lambda x: x.cast("int"))),
+        "errors": F.array_distinct(F.transform(errors, lambda x: F.btrim(F.regexp_extract(x, ERROR_LINE, 1)))),
+        "unreached": F.array_distinct(F.transform(each(NOT_REACHED), last)),
+        "reached": F.array_distinct(F.transform(each(REACHED), last)),
     }
 
 
