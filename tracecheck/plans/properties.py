@@ -860,9 +860,9 @@ def _left_over(rest: str, plan: Plan) -> None:
         label = re.match(r"(\w+)\s*:\s*(.*)", text)
         what = label[2] if label else text
         if what.startswith("property "):
-            plan.skipped.append((what.split()[1], "the property is cut off"))
+            plan.skipped.append((re.findall(r"\w+", what)[1], "the property is cut off"))
         elif what.startswith("sequence "):
-            plan.skipped.append((what.split()[1], "sequence declarations are not supported"))
+            plan.skipped.append((re.findall(r"\w+", what)[1], "sequence declarations are not supported"))
         elif m[0].rstrip().endswith(";"):
             plan.skipped.append((label[1] if label else text[:60], "the statement is not supported"))
         else:
