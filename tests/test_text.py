@@ -329,3 +329,14 @@ def test_macros_over_texts(spark):
             assert got[k].code == scan.with_macros(code, own) and got[k].left == scan.unknown_macros(got[k].code) and got[k].plain == scan.plain_labels(got[k].code)
     assert got[1].code == "4 * 2 + 4 and 4 `FLAG `F(1) `L" + " x" * 8 and got[4].plain == "`ifdef C\na_1: assert property (9 == `A);\n`endif"
     assert macros.expanded(spark.createDataFrame(texts, "k int, g int, code string"), "k", ["g"], "code", known.where("false")).count() == 7
+
+
+def test_plans_of_mutants(spark, tmp_path):
+    """From a file whose size says little of what is made of it: all cores work, and neither texts nor tokens are sent to all."""
+    place = str(tmp_path / "texts")
+    spark.createDataFrame([(k, MODULE.replace("m #", f"m{k} #")) for k in range(40)], "k int, code string").coalesce(1).write.parquet(place)
+    rows = mutation.mutants(spark.read.parquet(place), "k", "code")
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.groupBy("k").count().where("count = 8").count() == 40
+    pieces = rows.select("k", F.spark_partition_id().alias("p")).distinct()
+    assert pieces.count() == 40 and pieces.select("p").distinct().count() > spark.sparkContext.defaultParallelism

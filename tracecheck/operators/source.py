@@ -53,36 +53,46 @@ def strip_formal(text: Column) -> Column:
     """Without what `ifdef FORMAL guards; what its else branch holds stays.
 
     One pass over the lines with a stack of open directives: o for another one, f while FORMAL's own branch is open, k in
-    a branch beside it.
+    a branch beside it. A text that guards nothing is left as it is.
     """
-    lines = F.split(text, "\n")
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("out"))
+    guard = r"^\s*`ifdef\s+FORMAL\b"
 
     def step(state: Column, line: Column) -> Column:
         opened = state["open"]
-        word = F.regexp_extract(line, r"^\s*`(ifdef|ifndef|elsif|else|endif)\b", 1)
         shown = ~F.array_contains(opened, "f")
-        top = F.coalesce(F.try_element_at(opened, F.lit(-1)), F.lit(""))
-        below = F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0)))
-        around = ~F.array_contains(below, "f")
-        guards = shown & line.rlike(r"^\s*`ifdef\s+FORMAL\b")
-        push = lambda x, stack=opened: F.concat(stack, F.array(F.lit(x)))
-        stack = (
-            F.when(guards, push("f"))
-            .when(word.isin("ifdef", "ifndef"), push("o"))
-            .when(word == "endif", below)
-            .when((word == "else") & (top == "f"), push("k", below))
-            .when((word == "else") & (top == "k"), push("f", below))
-            .when((word == "elsif") & (top == "f"), push("o", below))
-            .when((word == "elsif") & (top == "k"), push("f", below))
-            .otherwise(opened)
+        out = lambda keep, new: F.when(keep, F.concat(state["out"], F.array(new))).otherwise(state["out"])
+        same = F.struct(opened.alias("open"), out(shown, line).alias("out"))
+
+        def directed(x: Column) -> Column:
+            word, guards, top, below = x["word"], x["guards"], x["top"], x["below"]
+            around = ~F.array_contains(below, "f")
+            push = lambda x, stack=opened: F.concat(stack, F.array(F.lit(x)))
+            stack = (
+                F.when(guards, push("f"))
+                .when(word.isin("ifdef", "ifndef"), push("o"))
+                .when(word == "endif", below)
+                .when((word == "else") & (top == "f"), push("k", below))
+                .when((word == "else") & (top == "k"), push("f", below))
+                .when((word == "elsif") & (top == "f"), push("o", below))
+                .when((word == "elsif") & (top == "k"), push("f", below))
+                .otherwise(opened)
+            )
+            ends = word.isin("endif", "else", "elsif")
+            keep = F.when(guards, F.lit(False)).when(ends & top.isin("f", "k"), (word == "elsif") & (top == "f") & around).when(ends & (top == "o"), around).otherwise(shown)
+            new = F.when((word == "elsif") & (top == "f"), F.replace(line, F.lit("`elsif"), F.lit("`ifdef"))).otherwise(line)
+            return F.struct(stack.alias("open"), out(keep, new).alias("out"))
+
+        known = F.struct(
+            F.regexp_extract(line, r"^\s*`(ifdef|ifndef|elsif|else|endif)\b", 1).alias("word"),
+            (shown & line.rlike(guard)).alias("guards"),
+            F.coalesce(F.try_element_at(opened, F.lit(-1)), F.lit("")).alias("top"),
+            F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0))).alias("below"),
         )
-        ends = (word == "endif") | (word == "else") | (word == "elsif")
-        keep = F.when(guards, F.lit(False)).when(ends & top.isin("f", "k"), (word == "elsif") & (top == "f") & around).when(ends & (top == "o"), around).otherwise(shown)
-        new = F.when((word == "elsif") & (top == "f"), F.replace(line, F.lit("`elsif"), F.lit("`ifdef"))).otherwise(line)
-        return F.struct(stack.alias("open"), F.when(keep, F.concat(state["out"], F.array(new))).otherwise(state["out"]).alias("out"))
+        return F.when(F.ltrim(line, F.lit(" \t\n\x0b\f\r")).startswith("`"), _let(known, directed)).otherwise(same)
 
-    return F.array_join(F.aggregate(lines, start, step, lambda s: s["out"]), "\n")
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("out"))
+    whole = lambda t: F.array_join(F.aggregate(F.split(t, "\n"), start, step, lambda s: s["out"]), "\n")
+    return _let(text, lambda t: F.when(t.rlike("(?m)" + guard), whole(t)).otherwise(t))
 
 
 def unwrap(block: Column) -> Column:

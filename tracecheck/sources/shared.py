@@ -28,3 +28,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def tasks(spark: SparkSession) -> int:
+    """In how many parts work is dealt out that costs far more than its input's size tells."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by their key: a small file of short rows is one task else, whatever is made of the rows. A number of parts
+    that is asked for isn't lowered by adaptive plans."""
+    return rows.repartition(tasks(rows.sparkSession), key)
