@@ -340,3 +340,11 @@ def test_plans_of_mutants(spark, tmp_path):
     assert rows.groupBy("k").count().where("count = 8").count() == 40
     pieces = rows.select("k", F.spark_partition_id().alias("p")).distinct()
     assert pieces.count() == 40 and pieces.select("p").distinct().count() > spark.sparkContext.defaultParallelism
+
+
+def test_varied_mutants_use_all_cores(spark):
+    from tracecheck.queries import text
+
+    rows = text.varied_mutants(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert text.varied(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
