@@ -348,3 +348,18 @@ def test_varied_mutants_use_all_cores(spark):
     rows = text.varied_mutants(spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
     assert text.varied(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_duplicates_within_a_row(spark):
+    """Against the rows' own joins; no block is shuffled but to put its answer together."""
+    from tracecheck.queries import text
+
+    blocks = ["a_2: assert property (x);\nproperty P_4; y; endproperty\nb: cover property (p_4);\nassert property (z);", "c: assume property (q);", "", "property p; x", None]
+    kept = "A_2: assert property (k);\nproperty p_4; k; endproperty\nassert property (k);"
+    df = spark.createDataFrame(list(enumerate(blocks)), "k int, b string").withColumn("kept", F.lit(kept))
+    gone = source.drop_duplicates(source.statements(df, ["k"], "b"), source.statements(df, ["k"], "kept"), ["k"])[1]
+    rows = df.select("k", source.items(F.col("b")).alias("f"), source.items(F.col("kept")).alias("h"))
+    within = rows.select("k", F.explode(source.duplicates(F.col("f"), F.col("h"))).alias("x")).select("k", "x.text")
+    assert sorted(map(tuple, within.collect())) == sorted(map(tuple, gone.select("k", "text").collect())) and within.count() == 3
+    plan = text.block_edits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "Scan ExistingRDD" not in plan

@@ -1,7 +1,7 @@
 """Hardware source text in columns and rows: comments, blocks of properties, modules, prompts and job files.
 
 Everything is built of Spark's own string and array functions, a text at a time inside its row, so nothing is shuffled;
-only edits that compare blocks with each other (`drop_duplicates`, `strip_labels`) join statement rows.
+only `drop_duplicates` joins statement rows, for blocks that lie in different rows (`duplicates`: in one).
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _where(text: Column, pattern: str, use) -> Column:
+    """use(text) where the pattern is found; other texts stay as they are."""
+    return _let(text, lambda t: F.when(t.rlike(pattern), use(t)).otherwise(t))
+
+
 def _pieces(text: Column, change) -> Column:
     return F.array_join(F.transform(_found(text, _PIECE), change), "")
 
@@ -39,7 +44,7 @@ def blank_comments(text: Column) -> Column:
 
 def mask(text: Column) -> Column:
     """Comments and strings become spaces."""
-    return _pieces(text, lambda p: F.when(p.startswith("//") | p.startswith("/*") | p.startswith('"'), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p))
+    return _where(text, '["/]', lambda t: _pieces(t, lambda p: F.when(p.startswith("//") | p.startswith("/*") | p.startswith('"'), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)))
 
 
 def slug(text: Column) -> Column:
@@ -126,29 +131,27 @@ def pieces(block: Column) -> Column:
     raw is the piece as it stands, with the blanks in front of a declaration and the line break behind it; all raws
     together are the text.
     """
+    # Where nothing starts with a word, nothing starts inside it.
     lead, starts = r"(?:(?:(?<=\n)|\A)[ \t]++)?", rf"(?:{_HEAD}|\bproperty\s+[A-Za-z_])"
-    pattern = rf"(?i){lead}(?:{_PROPERTY}|{_STATEMENT}|{_CUT_OFF})(?:[ \t]*\n)?|(?s:.)(?:(?!{lead}{starts})(?s:.))*+"
+    pattern = rf"(?i){lead}(?:{_PROPERTY}|{_STATEMENT}|{_CUT_OFF})(?:[ \t]*\n)?|(?s:.)(?:(?<!\w)(?!{lead}{starts})[A-Za-z_]\w*+|(?!{lead}{starts})(?s:.))*+"
     start = F.struct(F.array().cast("array<struct<at: int, m: string>>").alias("out"), F.lit(1).alias("at"))
     step = lambda x, m: F.struct(F.concat(x["out"], F.array(F.struct(x["at"].alias("at"), m.alias("m")))).alias("out"), (x["at"] + F.length(m)).alias("at"))
 
     def item(piece: Column, inner: Column) -> Column:
-        def fields(m: Column, raw: Column) -> Column:
-            prop = F.regexp_extract(m, r"(?i)^property\s+([A-Za-z_]\w*)", 1)
-            kind = F.lower(F.regexp_extract(m, r"(?i)^(?:[A-Za-z_]\w*\s*:\s*)?(assert|assume|cover)\s+property\b", 1))
-            label = F.regexp_extract(m, r"^([A-Za-z_]\w*)\s*:", 1)
-            ref = F.regexp_extract(m, r"(?i)property\s*\(\s*([A-Za-z_]\w*)\s*\)", 1)
-            complete = F.when(prop != "", m.rlike(r"(?i)\bendproperty\b(?:[ \t]*:[ \t]*\w+)?(?:[ \t]*;)?\z")).otherwise(m.rlike(rf"(?i)\A(?:{_STATEMENT})\z"))
-            return F.struct(
-                F.when(prop != "", "property").when(kind != "", kind).alias("kind"),
-                F.when(prop != "", prop).when((kind != "") & (label != ""), label).alias("name"),
-                F.when((prop == "") & (ref != ""), ref).alias("ref"),
-                complete.alias("complete"),
-                F.btrim(raw, F.lit(" \t\r\n")).alias("text"),
-                raw.alias("raw"),
-            )
-
+        # What is asked more than once is worked out once, and only of declarations. What is cut off goes to the text's end.
+        inside = piece["at"] + F.length(piece["m"]) <= F.length(inner)
+        fields = lambda kind, name, ref, done, m, raw: F.struct(kind.alias("kind"), name.alias("name"), ref.alias("ref"), done.alias("complete"), F.btrim(raw, F.lit(" \t\r\n")).alias("text"), raw.alias("raw"))
+        null = F.lit(None).cast("string")
+        done = lambda m: inside | m.rlike(r"(?i)\bendproperty\b(?:[ \t]*:[ \t]*\w+)?(?:[ \t]*;)?\z")
+        label = lambda m: F.nullif(F.regexp_extract(m, r"^([A-Za-z_]\w*)\s*:", 1), F.lit(""))
+        ref = lambda m: F.nullif(F.regexp_extract(m, r"(?i)property\s*\(\s*([A-Za-z_]\w*)\s*\)", 1), F.lit(""))
+        kind = lambda m: F.lower(F.regexp_extract(m, r"(?i)^(?:[A-Za-z_]\w*\s*:\s*)?(assert|assume|cover)\s+property\b", 1))
+        statement = lambda k, m, raw: F.when(k != "", fields(k, label(m), ref(m), inside | m.rlike(rf"(?i)\A(?:{_STATEMENT})\z"), m, raw)).otherwise(fields(null, null, null, F.lit(False), m, raw))
+        other = lambda m, raw: _let(kind(m), lambda k: statement(k, m, raw))
+        declared = lambda name, m, raw: F.when(name != "", fields(F.lit("property"), name, null, done(m), m, raw)).otherwise(other(m, raw))
+        whole = lambda m, raw: _let(F.regexp_extract(m, r"(?i)^property\s+([A-Za-z_]\w*)", 1), lambda name: declared(name, m, raw))
         raw = F.substring(inner, piece["at"], F.length(piece["m"]))
-        return _let(F.btrim(piece["m"], F.lit(" \t\r\n")), lambda m: _let(raw, lambda r: fields(m, r)))
+        return _let(F.btrim(piece["m"], F.lit(" \t\r\n")), lambda m: _let(raw, lambda r: whole(m, r)))
 
     placed = lambda inner: F.aggregate(_found(mask(inner), pattern), start, step, lambda x: x["out"])
     return _let(unwrap(block), lambda inner: F.transform(placed(inner), lambda p: item(p, inner)))
@@ -157,13 +160,23 @@ def pieces(block: Column) -> Column:
 def items(block: Column) -> Column:
     """The declarations of a block, in order, as ITEM: kind (property, assert, assume, cover), name (null without a label),
     the property it refers to, whether it is complete, and its text."""
-    found = F.filter(pieces(block), lambda x: x["kind"].isNotNull())
+    return declared(pieces(block))
+
+
+def declared(parts: Column) -> Column:
+    """The declarations among a block's pieces, as ITEM."""
+    found = F.filter(parts, lambda x: x["kind"].isNotNull())
     return F.transform(found, lambda x: F.struct(*[x[f].alias(f) for f in ("kind", "name", "ref", "complete", "text")]))
 
 
 def rest(block: Column, stays) -> Column:
     """The block without the declarations for which stays(item) is false; all other text is left as it is."""
-    left = F.filter(pieces(block), lambda x: x["kind"].isNull() | F.coalesce(stays(x), F.lit(True)))
+    return rest_of(pieces(block), stays)
+
+
+def rest_of(parts: Column, stays) -> Column:
+    """The same of a block's pieces."""
+    left = F.filter(parts, lambda x: x["kind"].isNull() | F.coalesce(stays(x), F.lit(True)))
     return wrap(F.array_join(F.transform(left, lambda x: x["raw"]), ""))
 
 
@@ -174,8 +187,13 @@ def strip_truncated(block: Column) -> Column:
 
 def without_labels(block: Column, labels: Column) -> Column:
     """The block without the statements of these labels (in lower case), and without properties that none refers to any more."""
+    return _let(pieces(block), lambda p: thinned(p, labels))
+
+
+def thinned(parts: Column, labels: Column) -> Column:
+    """The same of a block's pieces, which are asked more than once."""
     known = lambda x: F.concat_ws(":", F.when(x["kind"] == "property", "p").otherwise("s"), F.lower(F.coalesce(x["name"], F.lit(""))))
-    return _let(F.transform(strip_labels(items(block), labels), known), lambda names: rest(block, lambda x: F.array_contains(names, known(x))))
+    return _let(F.transform(strip_labels(declared(parts), labels), known), lambda names: rest_of(parts, lambda x: F.array_contains(names, known(x))))
 
 
 def merge(kept: Column, fresh: Column) -> Column:
@@ -222,6 +240,15 @@ def drop_duplicates(fresh: DataFrame, kept: DataFrame, by: list[str]) -> tuple[D
     return tuple(both.where("__gone" if gone else "not __gone").select(*fresh.columns) for gone in (False, True))
 
 
+def duplicates(fresh: Column, kept: Column) -> Column:
+    """`drop_duplicates` within a row: the items of `fresh` that `kept` declares already, or that refer to such a property."""
+    known = lambda x: F.concat(F.when(x["kind"] == "property", "p:").otherwise("s:"), F.lower(x["name"]))
+    has = lambda names, name: F.coalesce(F.array_contains(names, name), F.lit(False))
+    have = F.filter(F.transform(kept, known), lambda x: x.isNotNull())
+    lost = lambda h: F.transform(F.filter(fresh, lambda x: (x["kind"] == "property") & has(h, known(x))), lambda x: F.lower(x["name"]))
+    return _let(have, lambda h: _let(lost(h), lambda gone: F.filter(fresh, lambda x: has(h, known(x)) | has(gone, F.lower(x["ref"])))))
+
+
 def strip_labels(parts: Column, labels: Column) -> Column:
     """Items without the statements of these labels (in lower case), and without properties that none refers to any more."""
     left = F.filter(parts, lambda x: (x["kind"] == "property") | ~F.array_contains(labels, F.lower(F.coalesce(x["name"], F.lit("")))))
