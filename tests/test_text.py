@@ -363,3 +363,11 @@ def test_duplicates_within_a_row(spark):
     assert sorted(map(tuple, within.collect())) == sorted(map(tuple, gone.select("k", "text").collect())) and within.count() == 3
     plan = text.block_edits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_rows_of_modules_are_spread(spark):
+    """A file of a few rows is one task; the work on their texts isn't."""
+    from tracecheck.queries import text
+
+    for query in (text.varied_context, text.module_prompts, text.inject_and_strip, text.canonical_blocks, text.cone_of_blocks, text.design_context, text.format_values):
+        assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

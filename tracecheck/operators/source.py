@@ -358,8 +358,8 @@ def _names(text: Column) -> Column:
 
 
 def _first_of_each(values: Column, name) -> Column:
-    names = F.transform(values, name)
-    return F.filter(values, lambda x, i: F.array_position(names, name(x)) == i + 1)
+    first = lambda v, names: F.filter(v, lambda x, i: F.array_position(names, name(x)) == i + 1)
+    return _let(values, lambda v: _let(F.transform(v, name), lambda names: first(v, names)))
 
 
 def edges(text: Column, kind: str) -> Column:
@@ -369,27 +369,29 @@ def edges(text: Column, kind: str) -> Column:
 
 def dual_edge_clocks(text: Column) -> Column:
     """Nets that are used on both edges."""
-    return F.array_sort(F.array_distinct(F.array_intersect(edges(text, "posedge"), edges(text, "negedge"))))
+    both = lambda t: F.array_sort(F.array_distinct(F.array_intersect(edges(t, "posedge"), edges(t, "negedge"))))
+    return _let(text, lambda t: F.when(t.rlike(r"(?i)\bnegedge\b"), both(t)).when(t.isNotNull(), F.array().cast("array<string>")))
 
 
 def pick_clock(inputs: Column, rising: Column) -> Column:
     """An input with a clock's name, else that most often used on a rising edge, the earliest of equals."""
     named = F.try_element_at(F.filter(inputs, lambda n: n.rlike(CLOCK)), F.lit(1))
-    votes = F.transform(inputs, lambda n, i: F.struct(F.size(F.filter(rising, lambda r: r == n)).alias("n"), (-i).alias("i"), n.alias("name")))
-    best = F.array_max(F.filter(votes, lambda v: v["n"] > 0))
+    votes = lambda rose: F.transform(inputs, lambda n, i: F.struct(F.size(F.filter(rose, lambda r: r == n)).alias("n"), (-i).alias("i"), n.alias("name")))
+    best = _let(rising, lambda rose: F.array_max(F.filter(votes(rose), lambda v: v["n"] > 0)))
     return F.coalesce(named, best["name"])
 
 
 def active_low(reset: Column, rising: Column, falling: Column, body: Column) -> Column:
     """Whether the reset is active when low: by the edges it is used on, else by how conditions test it; null if that is even."""
     up, down = F.array_contains(rising, reset), F.array_contains(falling, reset)
-    flat = F.regexp_replace(body, r"\s+", "")  # conditions without blanks are looked up as plain text
+    # Conditions without blanks are looked up as plain text, each kind once.
+    flat = F.regexp_replace(body, r"\s+", "")
 
-    def tests(*forms: tuple[str, str]) -> Column:
+    def tests(flat: Column, *forms: tuple[str, str]) -> Column:
         return sum((F.regexp_count(flat, F.concat(F.lit(r"\bif\(\Q" + a), reset, F.lit(b + r"\E"))) for a, b in forms), F.lit(0))
 
-    low, high = tests(("!", ")"), ("!(", "))"), ("", "==1'b0)")), tests(("", ")"), ("", "==1'b1)"))
-    by_use = F.when(low > high, True).when(low < high, False)
+    counts = lambda t: F.struct(tests(t, ("!", ")"), ("!(", "))"), ("", "==1'b0)")).alias("low"), tests(t, ("", ")"), ("", "==1'b1)")).alias("high"))
+    by_use = _let(_let(flat, counts), lambda n: F.when(n["low"] > n["high"], True).when(n["low"] < n["high"], False))
     return F.when(up & ~down, False).when(down & ~up, True).otherwise(by_use)
 
 
@@ -405,16 +407,16 @@ def with_context(modules: DataFrame, code: str, top: str) -> DataFrame:
     m = m.withColumn("ports", _first_of_each(F.flatten(F.transform(chunks, port)), lambda p: p["name"]))
     known = F.transform("ports", lambda p: p["name"])
     inner = F.transform(_found(body, r"\b(?:reg|wire|logic|integer|bit)\b[^;()]*;"), lambda x: F.transform(_names(x), lambda n: F.struct(n.alias("name"), width(x).alias("width"))))
-    internals = F.filter(_first_of_each(F.flatten(inner), lambda p: p["name"]), lambda p: ~F.array_contains(known, p["name"]))
+    internals = _let(known, lambda k: F.filter(_first_of_each(F.flatten(inner), lambda p: p["name"]), lambda p: ~F.array_contains(k, p["name"])))
     constants = F.array_distinct(F.flatten(F.transform(_found(body, r"\blocalparam\b([^;]*);", 1), lambda x: _found(x, rf"({_NAME})\s*=(?!=)", 1))))
-    m = m.withColumns({"internals": internals, "constants": constants})
-    rising, falling = edges(body, "posedge"), edges(body, "negedge")
+    m = m.withColumns({"internals": internals, "constants": constants, "__rising": edges(body, "posedge"), "__falling": edges(body, "negedge")})
+    rising, falling = F.col("__rising"), F.col("__falling")
     inputs = F.transform(F.filter("ports", lambda p: p["direction"] == "input"), lambda p: p["name"])
     m = m.withColumn("clock", pick_clock(inputs, rising))
     others = F.filter(inputs, lambda n: ~n.eqNullSafe(F.col("clock")))
-    used = F.filter(_found(body, rf"(?i)\b(?:posedge|negedge)\s+({_NAME})", 1), lambda n: F.array_contains(others, n))
+    used = _let(others, lambda o: F.filter(_found(body, rf"(?i)\b(?:posedge|negedge)\s+({_NAME})", 1), lambda n: F.array_contains(o, n)))
     m = m.withColumn("reset", F.coalesce(F.try_element_at(F.filter(others, lambda n: n.rlike(RESET)), F.lit(1)), F.try_element_at(used, F.lit(1))))
-    return m.withColumn("active_low", active_low(F.col("reset"), rising, falling, body)).drop("__body")
+    return m.withColumn("active_low", active_low(F.col("reset"), rising, falling, body)).drop("__body", "__rising", "__falling")
 
 
 def interesting(ports: Column, internals: Column, constants: Column, clock: Column, reset: Column) -> Column:
