@@ -1,5 +1,8 @@
 """Source text: scanning, blocks, modules, mutants, contexts, catalogs."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tracecheck.functions import scan
@@ -371,3 +374,49 @@ def test_rows_of_modules_are_spread(spark):
 
     for query in (text.varied_context, text.module_prompts, text.inject_and_strip, text.canonical_blocks, text.cone_of_blocks, text.design_context, text.format_values):
         assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_text_is_worked_out_once_for_a_block_put_in(spark):
+    """However long the text, it is stripped and masked once, and the end of its module is looked for once."""
+    df = spark.createDataFrame([("`ifdef FORMAL\na\n`endif\nmodule m; // x\nendmodule\n",)], "code string")
+    got = df.select(source.inject(source.strip_formal(F.col("code")), F.lit("b: assert property (q);"), F.lit("m")).alias("x"))
+    assert got.first().x == "module m; // x\n\n`ifdef FORMAL\nb: assert property (q);\n`endif\nendmodule\n"
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=\\bendmodule") == 1 and plan.count("aggregate(") == 1
+
+
+def test_strip_formal_by_lines(spark):
+    """Runs of lines between directives give what single lines give: empty lines, carriage returns, no last line break, open guards."""
+    lines = ["", "a", "  `ifdef FORMAL", "`ifdef FORMAL\r", "`ifdef X", "`ifndef FORMAL", "`elsif Y", "`else", "`endif // e", "\f`endif", "`define Z", "x `endif", "`endiff", "\r"]
+    r = random.Random(5)
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(0, 14))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("t", source.strip_formal(F.col("t")).alias("s")).collect()
+    for row in rows:
+        assert row.s == _stripped_by_lines(row.t), row.t
+    assert sum(row.s != row.t for row in rows) > 100
+
+
+def _stripped_by_lines(text):
+    guard = re.compile(r"^[ \t\x0b\f\r\n]*`ifdef[ \t\x0b\f\r]+FORMAL\b", re.M)
+    if not guard.search(text):
+        return text
+    opened, out = [], []
+    for line in text.split("\n"):
+        word = (re.findall(r"^[ \t\x0b\f\r]*`(ifdef|ifndef|elsif|else|endif)\b", line) or [""])[0]
+        shown, top = "f" not in opened, opened[-1] if opened else ""
+        around = "f" not in opened[:-1]
+        if word in ("ifdef", "ifndef"):
+            guards = shown and bool(guard.match(line))
+            opened.append("f" if guards else "o")
+            keep = shown and not guards
+        elif word and top in ("f", "k"):
+            keep = word == "elsif" and top == "f" and around
+            line = line.replace("`elsif", "`ifdef") if word == "elsif" and top == "f" else line
+            opened[-1:] = [] if word == "endif" else [{"else": {"f": "k", "k": "f"}, "elsif": {"f": "o", "k": "f"}}[word][top]]
+        else:
+            keep = around if word and top == "o" else shown
+            if word == "endif":
+                opened[-1:] = []
+        if keep:
+            out.append(line)
+    return "\n".join(out)

@@ -57,10 +57,11 @@ def slug(text: Column) -> Column:
 def strip_formal(text: Column) -> Column:
     """Without what `ifdef FORMAL guards; what its else branch holds stays.
 
-    One pass over the lines with a stack of open directives: o for another one, f while FORMAL's own branch is open, k in
-    a branch beside it. A text that guards nothing is left as it is.
+    One pass over directives and the runs of lines between them, with a stack of open directives: o for another one, f while
+    FORMAL's own branch is open, k in a branch beside it. A text that guards nothing is left as it is.
     """
     guard = r"^\s*`ifdef\s+FORMAL\b"
+    directive = r"[^\S\n]*+`(?:ifdef|ifndef|elsif|else|endif)\b"
 
     def step(state: Column, line: Column) -> Column:
         opened = state["open"]
@@ -96,7 +97,9 @@ def strip_formal(text: Column) -> Column:
         return F.when(F.ltrim(line, F.lit(" \t\n\x0b\f\r")).startswith("`"), _let(known, directed)).otherwise(same)
 
     start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("out"))
-    whole = lambda t: F.array_join(F.aggregate(F.split(t, "\n"), start, step, lambda s: s["out"]), "\n")
+    # Each line ends with a line break here, the last one too; that one goes again.
+    runs = lambda t: _found(F.concat(t, F.lit("\n")), rf"{directive}[^\n]*+\n|(?:(?!\z|{directive})[^\n]*+\n)++")
+    whole = lambda t: F.regexp_replace(F.array_join(F.aggregate(runs(t), start, step, lambda s: s["out"]), ""), r"\n\z", "")
     return _let(text, lambda t: F.when(t.rlike("(?m)" + guard), whole(t)).otherwise(t))
 
 
@@ -336,12 +339,12 @@ def module_names(text: Column) -> Column:
 
 def inject(text: Column, block: Column, top: Column) -> Column:
     """The block before the endmodule of `top`; null if the block is empty or the module isn't there or doesn't end."""
-    clear = mask(text)
     pattern = F.concat(F.lit(r"(?s)^.*?\bmodule\s+"), top, F.lit(r"\b.*?(?=\bendmodule\b)"))
-    head = F.length(F.call_function("regexp_extract", clear, pattern, F.lit(0)))
-    there = (head > 0) & (F.btrim(strip_comments(block), F.lit(" \t\r\n")) != "")
-    before = F.rtrim(F.substring(text, F.lit(1), head), F.lit("\n"))
-    return F.when(there, F.concat(before, F.lit("\n\n"), wrap(block), F.substring(text, head + 1, F.length(text))))
+    head = lambda t: F.length(F.call_function("regexp_extract", mask(t), pattern, F.lit(0)))
+    there = lambda h: (h > 0) & (F.btrim(strip_comments(block), F.lit(" \t\r\n")) != "")
+    before = lambda t, h: F.rtrim(F.substring(t, F.lit(1), h), F.lit("\n"))
+    whole = lambda t, h: F.when(there(h), F.concat(before(t, h), F.lit("\n\n"), wrap(block), F.substring(t, h + 1, F.length(t))))
+    return _let(text, lambda t: _let(head(t), lambda h: whole(t, h)))
 
 
 # Names that are taken for a clock, for a reset, and for a reset that is active when low.
