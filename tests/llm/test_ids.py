@@ -1,8 +1,11 @@
+import cProfile
+import pstats
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -68,3 +71,27 @@ def test_many_frames(spark, tmp_path, monkeypatch):
     rows = sorted(idfile.read(spark, f"file://{tmp_path}/f").collect(), key=lambda x: x.doc_id)
     assert [x.doc_id for x in rows] == [i for i, _ in docs]
     assert [x.start for x in rows] == [0, *np.cumsum([x.n_tokens for x in rows])[:-1].tolist()]
+
+
+def test_calls_an_id():
+    """What a step costs is mostly its calls: each id's step makes few of them, however it is coded."""
+    ids = np.random.default_rng(3).integers(0, 50_000, 3 * idcodec.BLOCK)
+    frame = idcodec.encode_frame(ids)
+    for run in (lambda: idcodec.encode_frame(ids), lambda: idcodec.decode_frame(frame)):
+        with cProfile.Profile() as profile:
+            run()
+        assert pstats.Stats(profile).total_calls < 52 * idcodec.BLOCK
+
+
+def test_pieces_go_to_the_merges_at_once():
+    """Texts are split once: plain pieces aren't split again by the library, and each is merged once."""
+    texts = ["It's  a test, naïve 中文 ️x\n\t1234 \x00\xa0\xad end ", "", "a test" * 3, "it's it's"]
+    whole = Tokenizer.from_file(JSON)
+    own, merged = idfile.Encoder(JSON), []
+    merge = own.merges
+    own.tokenizer = None
+    own.merges = lambda piece: merged.append(piece) or merge(piece)
+    for _ in range(2):
+        ids, start = own.encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:], strict=True)] == [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert len(merged) == len(set(merged))

@@ -4,11 +4,11 @@ A frame is cut into blocks of BLOCK ids. Every block starts from the same empty
 be decoded alone; numpy codes all blocks of a frame side by side, one id of each at a time.
 
 Model. The two ids before give an order-2 and an order-1 prediction (the id that last followed there, with a
-confidence). Two binary events, "it is the order-2 id" and "it is the order-1 id", each get a probability that mixes
-two adaptive counters (by the predictions' confidence and agreement, and by recent success); the mixing weight moves
-towards the counter that was nearer to what came. An id that neither predicts is coded by the block's order-0
-distribution over whole ids, as often as each has come, with a share for those that haven't; such a new id is coded by
-the distribution of new ids' high bytes, and its low byte, about which nothing is known, goes as it is. The order-0
+confidence). The order-2 id is taken if it has been right before, else the order-1 id. The binary event that it is right
+has a probability that mixes the block's rates so far by either order's confidence and by both, each weighing as often as it
+has been asked, worked out anew at the ids of _MIX. Other ids are coded by the block's order-0
+distribution over whole ids, as often as each has come, with a share for those that haven't; such a new id, about which
+nothing is known, goes as it is, beside the coded words. The order-0
 distributions are worked out anew at the ids of _REBUILD. All arithmetic is on integers, so writer and reader agree to
 the bit. Ids over 16 bits are coded as two sequences, the low 16 bits and the rest.
 
@@ -23,20 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC, WIDE = b"ACM3", b"ACW3"
+MAGIC, WIDE = b"ACM4", b"ACW4"
 #: Ids in a block.
 BLOCK = 2048
 #: Blocks that are coded side by side at most; a frame takes some 60 bytes of memory an id while it is coded.
-LANES = 2048
+LANES = 3072
 #: Slots of an order-1 or order-2 table.
 SLOT_BITS = 8
 _SLOTS = 1 << SLOT_BITS
 _ONE = 1 << 16
-#: Probabilities of the binary events, and mixing weights, are of 32768.
-_P_BITS = 15
 _SCALE_BITS = 12
-#: Ids after which the order-0 distribution is worked out anew.
+#: Ids after which the order-0 distribution is worked out anew, and after which the prediction's probabilities are.
 _REBUILD = (0, 32, 128, 384, 768, 1280)
+_MIX = frozenset((16, 32, 48, 64, 96, 128, 192, *range(256, BLOCK, 256)))
 _M32, _M48 = (1 << 32) - 1, (1 << 48) - 1
 _H1, _H2, _H3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x27D4EB2F)
 
@@ -45,151 +44,108 @@ class DamagedBlock(ValueError):
     """A block whose bytes don't match its checksum."""
 
 
-class _Flag:
-    """The probability of one binary event for each lane: two counters, mixed."""
-
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int32) * 8
-        self.first, self.second = (np.full(lanes * 8, 1 << (_P_BITS - 2), np.int32) for _ in range(2))
-        self.weight = np.full(lanes, 1 << (_P_BITS - 1), np.int32)
-        self.recent = np.zeros(lanes, np.int32)
-
-    def cut(self, n: int) -> None:
-        for k in ("base", "weight", "recent"):
-            setattr(self, k, getattr(self, k)[:n])
-
-    def predict(self, context: np.ndarray) -> np.ndarray:
-        context += self.base
-        self.i, self.j = context.astype(np.int64), (self.base + self.recent).astype(np.int64)
-        self.p, self.q = self.first.take(self.i, mode="clip"), self.second.take(self.j, mode="clip")
-        mixed = self.p - self.q
-        mixed *= self.weight
-        mixed >>= _P_BITS
-        mixed += self.q
-        return mixed
-
-    def update(self, bit: np.ndarray, live: np.ndarray | None = None) -> None:
-        """bit: 0 or 1. live: lanes to learn from, as 0 or -1 (all by default)."""
-        target = bit << _P_BITS
-        p, q = target - self.p, target - self.q
-        # The weight goes a 64th of the way to whichever counter was nearer.
-        step = (np.abs(q) > np.abs(p)).astype(np.int32)
-        step <<= _P_BITS
-        step -= self.weight
-        step >>= 6
-        p >>= 4
-        q >>= 4
-        if live is None:
-            self.recent = ((self.recent << 1) | bit) & 7
-        else:
-            step &= live
-            p &= live
-            q &= live
-            # A lane that doesn't learn keeps its recent bits: it shifts by 0 and adds 0.
-            self.recent = ((self.recent << -live) | (bit & live)) & 7
-        p += self.p
-        q += self.q
-        self.first[self.i] = p
-        self.second[self.j] = q
-        self.weight += step
-
-
 class _Model:
     def __init__(self, lanes: int):
         self.n = lanes
         self.t1, self.t2 = (np.full(lanes * _SLOTS, -4, np.int32) for _ in range(2))
-        self.base = np.arange(lanes, dtype=np.uint32)
-        self.lanes = np.uint32(lanes)
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.a, self.b = _Flag(lanes), _Flag(lanes)
+        self.base = np.arange(lanes) << SLOT_BITS
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.lane = np.arange(lanes, dtype=np.int32) << 16
-        self.at256 = np.arange(lanes, dtype=np.int32) * 256
+        self.at32 = np.arange(lanes, dtype=np.int32) << 5
         self.slot_base = np.arange(lanes) << _SCALE_BITS
+        #: For each lane and context: how often the prediction was asked, and right.
+        self.asked, self.right = (np.zeros(lanes << 5, np.int32) for _ in range(2))
+        self.contexts: list[np.ndarray] = []
+        self.hits: list[np.ndarray] = []
         self.rebuild(np.zeros((0, lanes), np.int32), False)
+        self.mix()
 
     def cut(self, n: int) -> None:
         """Only the first n lanes go on."""
         self.n = n
-        for k in ("base", "last", "before", "at256", "lane", "slot_base", "new_start", "new_end"):
+        for k in ("base", "last", "before", "at32", "lane", "slot_base", "new_start", "new_end"):
             setattr(self, k, getattr(self, k)[:n])
-        self.a.cut(n)
-        self.b.cut(n)
+
+    def mix(self) -> None:
+        """The probability of a hit, of 65536, for each lane and context: the rates by the order-2 confidence and by the order-1
+        confidence (each with whether both predict the same id), mixed by how often each has been asked."""
+        if self.contexts:
+            context = np.concatenate(self.contexts)
+            self.asked += np.bincount(context, minlength=len(self.asked)).astype(np.int32)
+            self.right += np.bincount(context[np.concatenate(self.hits)], minlength=len(self.right)).astype(np.int32)
+            self.contexts, self.hits = [], []
+        asked, right = self.asked.reshape(-1, 4, 4, 2), self.right.reshape(-1, 4, 4, 2)
+        n, hits = 0, 0
+        for axis in (2, 1):
+            n_own, own = _summed(asked, axis), _summed(right, axis)
+            # The rate of n cases weighs n + 2, so the rates' mix is a quotient of sums.
+            n, hits = n + 4 * n_own + 8, hits + 4 * own + 1
+        n, hits = n + 16 * asked, hits + 16 * right
+        self.chance = (hits * np.int64(60927) // n + 1).astype(np.int32).ravel()
 
     def predict(self) -> None:
-        """Sets the predicted ids and how the 65536 parts are shared: `pa` to the order-2 id, `pb` to the order-1 id."""
-        last = self.last.view(np.uint32)
-        i1 = last * _H1
-        i2 = self.before.view(np.uint32) * _H3
-        i2 += last * _H2
-        for i in (i1, i2):  # slots are stored side by side for all lanes
-            i >>= np.uint32(32 - SLOT_BITS)
-            i *= self.lanes
-            i += self.base
-        self.i1, self.i2 = i1, i2 = i1.astype(np.int64), i2.astype(np.int64)
+        """Sets the predicted id, and which share of the 65536 parts it has: the order-2 id if it was right before, else the order-1 id."""
+        i1 = self.last * _H1
+        i2 = self.before * _H3
+        i2 += self.last * _H2
+        i1 >>= np.uint32(32 - SLOT_BITS)
+        i2 >>= np.uint32(32 - SLOT_BITS)
+        self.i1, self.i2 = i1, i2 = i1 + self.base, i2 + self.base
         self.e1, self.e2 = e1, e2 = self.t1.take(i1, mode="clip"), self.t2.take(i2, mode="clip")
-        self.o1, self.o2 = e1 >> 2, e2 >> 2
-        differ = (self.o1 != self.o2).astype(np.int32)
-        c1, c2 = e1 & 3, e2 & 3
-        c1 <<= 1
-        c1 += c2 > 0
-        c2 <<= 1
-        c2 += differ
-        self.differ = -differ
-        # The two predictions share 60930 parts at most; the rest stays over 4096, so each of its 4096 parts has a size.
-        pa = self.a.predict(c2)
-        pa *= 119
-        pa >>= 6
-        pb = 60928 - pa
-        pb >>= 1
-        pb *= self.b.predict(c1)
-        pb >>= _P_BITS - 1
-        pb += 1
-        pb &= self.differ
-        pa += 1
-        self.pa, self.pb = pa, pb
-        self.known = pa + pb
+        self.c1, self.c2 = c1, c2 = e1 & 3, e2 & 3
+        self.id = np.where(c2 > 0, e2, e1)
+        self.id >>= 2
+        context = c2 << 3
+        context += self.at32
+        context += c1 << 1
+        context += (e1 ^ e2).view(np.uint32) < 4
+        self.contexts.append(context)
+        # The prediction has 60928 parts at most; the rest stays over 4096, so each of its 4096 parts has a size.
+        self.known = self.chance.take(context, mode="clip")
         self.rest = _ONE - self.known
 
-    def places(self, ids: np.ndarray) -> np.ndarray:
-        """Each id's place in `keys`, or -1 (ids and result: steps by lanes). Looked up lane by lane, whose keys lie together."""
-        if not len(self.keys):
-            return np.full(ids.shape, -1, np.int32)
-        key = _turned(ids) | self.lane[:, None]
-        at = np.searchsorted(self.keys, key.ravel()).astype(np.int32)
-        np.minimum(at, len(self.keys) - 1, out=at)
-        at[self.keys.take(at) != key.ravel()] = -1
-        return _turned(at.reshape(key.shape))
-
-    def seen(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each lane's order-0 share starts and ends, of 4096 parts; and whether it is that of new ids."""
-        new = place < 0
+    def shares_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each id's order-0 share starts and ends, of 4096 parts; and whether it is that of new ids (ids and results: steps
+        by lanes). Looked up lane by lane, whose keys lie together."""
         if not len(self.keys):
-            return self.new_start, self.new_end, new
-        return np.where(new, self.new_start, self.starts.take(place, mode="clip")), np.where(new, self.new_end, self.ends.take(place, mode="clip")), new
-
-    def shares(self, start: np.ndarray, end: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of what was coded, of 65536: an order-0 share, or a hit of either prediction."""
+            return np.broadcast_to(self.new_start, ids.shape), np.broadcast_to(self.new_end, ids.shape), np.ones(ids.shape, bool)
+        key = _turned(ids)
+        start, end, new = np.empty_like(key), np.empty_like(key), np.empty(key.shape, bool)
+        bounds = np.searchsorted(self.keys, np.arange(0, self.n + 16, 16) << 16)
+        # Sixteen lanes at a time have a place for each of their ids.
+        table = np.full(16 << 16, -1, np.int32)
+        for k in range(0, self.n, 16):
+            some, own = slice(k, k + 16), slice(bounds[k >> 4], bounds[(k >> 4) + 1])
+            keys = self.keys[own] - (k << 16)
+            table[keys] = self.starts[own] << 13 | self.ends[own]
+            both = table.take(key[some] + self.lane[: len(key[some]), None])
+            table[keys] = -1
+            np.less(both, 0, out=new[some])
+            np.copyto(both, (self.new_start[some] << 13 | self.new_end[some])[:, None], where=new[some])
+            np.right_shift(both, 13, out=start[some])
+            np.bitwise_and(both, 0x1FFF, out=end[some])
+        return _turned(start), _turned(end), _turned(new)
+
+    def shares(self, start: np.ndarray, end: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of what was coded, of 65536: an order-0 share, or the hit of the prediction."""
         start, end = start * self.rest, end * self.rest
         for x in (start, end):
             x >>= _SCALE_BITS
             x += self.known
-        start = np.where(hit1, self.pa, start)
-        end = np.where(hit1, self.known, end)
-        start *= ~hit2
-        end = np.where(hit2, self.pa, end)
+        start *= ~hit
+        end = np.where(hit, self.known, end)
         end -= start
         return start, end
 
-    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, right1: np.ndarray) -> None:
-        """x: the ids. hit2: it is the order-2 id. hit1: it is the order-1 id and not hit2. right1: it is the order-1 id."""
-        two = hit2.astype(np.int32)
-        self.a.update(two)
-        self.b.update(hit1.astype(np.int32), self.differ & (two - 1))
+    def update(self, x: np.ndarray, hit: np.ndarray) -> None:
+        """x: the ids. hit: it is the predicted id."""
+        self.hits.append(hit)
         fresh = x << 2
-        for table, i, e, right in ((self.t2, self.i2, self.e2, hit2), (self.t1, self.i1, self.e1, right1)):
-            e += (e & 3) < 3
+        for table, i, e, c in ((self.t2, self.i2, self.e2, self.c2), (self.t1, self.i1, self.e1, self.c1)):
+            right = (e ^ fresh).view(np.uint32) < 4
+            e += c < 3
             table[i] = np.where(right, e, fresh)
-        self.before, self.last = self.last, x
+        self.before, self.last = self.last, x.view(np.uint32)
 
     def rebuild(self, seen: np.ndarray, slots: bool) -> None:
         """The order-0 distributions anew, from all ids so far (rows by lanes)."""
@@ -211,21 +167,13 @@ class _Model:
         self.keys, self.starts, self.ends = (lane << 16) | ids, end - size, end
         self.new_start = np.bincount(lane, size, minlength=n).astype(np.int32)
         self.new_end = np.full(n, 1 << _SCALE_BITS, np.int32)
-        count = np.bincount((lane << 8) | (ids >> 8), minlength=n * 256).reshape(n, 256).astype(np.int32)
-        freq = count * np.int32((1 << _SCALE_BITS) - 256)
-        freq //= np.maximum(distinct, 1)[:, None]
-        freq += 1
-        freq[:, 0] += (1 << _SCALE_BITS) - freq.sum(axis=1, dtype=np.int32)
-        start = np.cumsum(freq, axis=1, dtype=np.int32)
-        start -= freq
-        #: For each lane and high byte of a new id: where its share of 4096 parts starts, and its size, as start << 16 | size.
-        self.share = ((start << 16) | freq).ravel()
         if slots:
-            #: What each part stands for: the id's place in `keys`, or one for new ids; and the high byte.
-            parts = np.insert(size, np.cumsum(distinct), self.new_end - self.new_start)
-            what = np.insert(np.arange(len(ids), dtype=np.int32), np.cumsum(distinct), -1)
-            self.slots = np.repeat(what, parts)
-            self.high_slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), freq.ravel())
+            #: What each part stands for: the place in `entries` of id << 26 | start << 13 | end (-1 for the id of new ones).
+            behind = np.cumsum(distinct)
+            parts = np.insert(size, behind, self.new_end - self.new_start)
+            own = ids.astype(np.int64) << 26 | self.starts.astype(np.int64) << 13 | end
+            self.entries = np.insert(own, behind, np.int64(-1) << 26 | self.new_start.astype(np.int64) << 13 | self.new_end)
+            self.slots = np.repeat(np.arange(len(parts), dtype=np.int32), parts)
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -234,6 +182,13 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, n - (lanes - 1) * BLOCK
 
 
+def _summed(a: np.ndarray, axis: int) -> np.ndarray:
+    """a.sum(axis, keepdims=True) of four along the axis, which is quicker than sum where the array is that short there."""
+    some = [slice(None)] * a.ndim
+    parts = [a[(*some[:axis], slice(k, k + 1))] for k in range(4)]
+    return parts[0] + parts[1] + parts[2] + parts[3]
+
+
 def _turned(a: np.ndarray) -> np.ndarray:
     """The transpose, copied in strips that stay in the cache."""
     out = np.empty(a.shape[::-1], a.dtype)
@@ -251,24 +206,25 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     by_step = _turned(padded.reshape(lanes, BLOCK))
     m = _Model(lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _M48, np.int64)
-    words = np.zeros((2 * BLOCK + 4, lanes), np.int32)  # a new id takes up to two words; rows that aren't needed aren't touched
-    raw = np.zeros((BLOCK + 1, lanes), np.uint8)
-    flat, raw_flat = words.reshape(-1), raw.reshape(-1)
-    pos, raws = np.arange(lanes), np.arange(lanes)  # flat places: row * lanes + lane
-    all_low, all_pos, all_raws = low, pos, raws
+    words = np.zeros((BLOCK + 4, lanes), np.int32)  # rows that aren't needed aren't touched
+    bare = np.zeros((BLOCK, lanes), bool)  # ids that go as they are
+    flat = words.reshape(-1)
+    pos = np.arange(lanes)  # flat places: row * lanes + lane
+    all_low, all_pos = low, pos
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
             m.cut(lanes - 1)
-            low, rng, pos, raws = low[:-1], rng[:-1], pos[:-1], raws[:-1]
+            low, rng, pos = low[:-1], rng[:-1], pos[:-1]
         if t in _REBUILD:
             m.rebuild(by_step[:t], False)
-            since, places = t, m.places(by_step[t : min((k for k in _REBUILD if k > t), default=BLOCK), : m.n])
+            since, found = t, m.shares_of(by_step[t : min((k for k in _REBUILD if k > t), default=BLOCK), : m.n])
+        if t in _MIX:
+            m.mix()
         x = by_step[t, : m.n]
         m.predict()
-        hit2, right1 = x == m.o2, x == m.o1
-        hit1 = right1 & ~hit2
-        start, end, new = m.seen(places[t - since, : m.n])
-        start, size = m.shares(start, end, hit2, hit1)
+        hit = x == m.id
+        start, end, new = (f[t - since, : m.n] for f in found)
+        start, size = m.shares(start, end, hit)
         rng >>= 16
         low += rng * start
         rng *= size
@@ -283,24 +239,12 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         low <<= shift
         short *= lanes
         pos += short
-        e = np.flatnonzero(new & ~(hit1 | hit2))
-        if len(e):
-            both = m.share[m.at256[e] + (x[e] >> 8)]
-            r, p = rng[e] >> _SCALE_BITS, pos[e]
-            own = low[e] + r * (both >> 16)
-            r *= both & 0xFFFF
-            flat[p] = (own >> 32).astype(np.int32)
-            short = r <= _M32
-            rng[e] = np.where(short, r << 16, r)
-            low[e] = np.where(short, (own & _M32) << 16, own)
-            pos[e] = p + short * lanes
-            raw_flat[raws[e]] = x[e].astype(np.uint8)
-            raws[e] += lanes
-        m.update(x, hit2, hit1, right1)
+        np.greater(new, hit, out=bare[t, : m.n])
+        m.update(x, hit)
     for shift in (32, 16, 0):
         flat[all_pos] = (all_low >> shift) & (0xFFFF if shift < 32 else 0x1FFFF)
         all_pos += lanes
-    n_words, n_raw = all_pos // lanes, all_raws // lanes
+    n_words = all_pos // lanes
     rows = int(n_words.max())
     words = words[:rows]
     words[np.arange(rows)[:, None] >= n_words] = 0
@@ -309,18 +253,19 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         carry = flat[over] >> 16
         flat[over] &= 0xFFFF
         flat[over - lanes] += carry
-    of_words, of_raw = _turned(words.astype("<u2")), _turned(raw)
-    return [of_words[i, : n_words[i]].tobytes() for i in range(lanes)], [of_raw[i, : n_raw[i]].tobytes() for i in range(lanes)]
+    of_words, raw = _turned(words.astype("<u2")), padded[_turned(bare).ravel()].astype("<u2")
+    ends = np.cumsum(np.count_nonzero(bare, axis=0)).tolist()
+    return [of_words[i, : n_words[i]].tobytes() for i in range(lanes)], [raw[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
     lanes, tail = _lanes(n)
     depth = max(len(w) // 2 for w in words) + 4
     by_row = np.zeros((lanes, depth), np.uint16)
-    raw_row = np.zeros((lanes, max(map(len, raw), default=0) + 1), np.uint8)
+    raw_row = np.zeros((lanes, max(map(len, raw), default=0) // 2 + 1), np.uint16)
     for i, (w, r) in enumerate(zip(words, raw, strict=True)):
         by_row[i, : len(w) // 2] = np.frombuffer(w, "<u2")
-        raw_row[i, : len(r)] = np.frombuffer(r, np.uint8)
+        raw_row[i, : len(r) // 2] = np.frombuffer(r, "<u2")
     flat, raw_flat = _turned(by_row).reshape(-1), _turned(raw_row).reshape(-1)
     m = _Model(lanes)
     pos, raws = np.arange(lanes), np.arange(lanes)
@@ -337,13 +282,13 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
             code, rng, pos, raws = code[:-1], rng[:-1], pos[:-1], raws[:-1]
         if t in _REBUILD and t:
             m.rebuild(out[:t], True)
+        if t in _MIX:
+            m.mix()
         m.predict()
         rng >>= 16
         value = (code / rng).astype(np.int32)  # quotients under 2**17 of 48-bit integers: exact
         np.minimum(value, _ONE - 1, out=value)
-        hit2 = value < m.pa
-        plain = value >= m.known
-        hit1 = ~(hit2 | plain)
+        hit = value < m.known
         # For lanes that predict the id, the slot is any; it is not used.
         value -= m.known
         value += 1
@@ -352,12 +297,10 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         slot = (value / m.rest).astype(np.int64)
         slot &= (1 << _SCALE_BITS) - 1
         slot += m.slot_base
-        which = m.slots.take(slot, mode="clip")
-        new = which < 0
-        start, end, _ = m.seen(which)
-        x = m.keys.take(which, mode="clip") & 0xFFFF if len(m.keys) else np.zeros(m.n, np.int32)
-        x = np.where(plain, x, np.where(hit2, m.o2, m.o1))
-        start, size = m.shares(start, end, hit2, hit1)
+        entry = m.entries.take(m.slots.take(slot, mode="clip"), mode="clip")
+        x = np.where(hit, m.id, (entry >> 26).astype(np.int32))
+        both = (entry & 0x3FFFFFF).astype(np.int32)
+        start, size = m.shares(both >> 13, both & 0x1FFF, hit)
         code -= rng * start
         rng *= size
         short = (rng <= _M32).astype(np.int64)
@@ -368,22 +311,13 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         code |= more
         short *= lanes
         pos += short
-        e = np.flatnonzero(new & plain)
+        e = np.flatnonzero((entry < 0) & ~hit)
         if len(e):
-            r, own = rng[e] >> _SCALE_BITS, code[e]
-            high = m.high_slots[np.minimum(own // r, (1 << _SCALE_BITS) - 1) + m.slot_base[e]].astype(np.int32)
-            both = m.share[m.at256[e] + high]
-            own -= r * (both >> 16)
-            r *= both & 0xFFFF
-            short = r <= _M32
-            p = pos[e]
-            rng[e] = np.where(short, r << 16, r)
-            code[e] = np.where(short, own << 16 | flat.take(p, mode="clip"), own)
-            pos[e] = p + short * lanes
-            x[e] = high << 8 | raw_flat.take(raws[e], mode="clip")
-            raws[e] += lanes
+            at = raws[e]
+            x[e] = raw_flat.take(at, mode="clip")
+            raws[e] = at + lanes
         out[t, : m.n] = x
-        m.update(x, hit2, hit1, x == m.o1)
+        m.update(x, hit)
     return _turned(out).reshape(-1)[:n]
 
 

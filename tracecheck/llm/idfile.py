@@ -35,11 +35,21 @@ FRAME_IDS = idcodec.BLOCK * idcodec.LANES
 MEMO = 600_000
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(seen)))}
+
+
+_CHARACTERS = _byte_characters()
+
+
 class Encoder:
     """Ids by the tokenizers library. The library sees each distinct piece once; texts with a special string, whole."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -50,38 +60,42 @@ class Encoder:
 
     def numbers(self, pieces: list[bytes]) -> np.ndarray:
         """Each piece's number; the library encodes those that are new."""
-        known = self.known
-        # Words that lead with a space come first, for they can be encoded together.
-        new = [p for p in pieces if p not in known]
-        new.sort(key=lambda p: p[0] != 0x20)
-        if len(known) + len(new) > MEMO and known:
+        if len(self.known) > MEMO:
             self.forget()
-            known, new = self.known, pieces
+        known = self.known
+        numbers = list(map(known.get, pieces))
+        new = [k for k, number in enumerate(numbers) if number is None]
         flat, bounds = [self.flat], [self.bounds]
-        end = len(self.flat)
-        for at in range(0, len(new), 512):
-            ids, ends = self._library([p.decode() for p in new[at : at + 512]])
+        end, count = len(self.flat), len(self.bounds) - 1
+        for at in range(0, len(new), 4096):
+            some = [pieces[k] for k in new[at : at + 4096]]
+            ids, ends = self._library(some)
             flat.append(ids)
             bounds.append(end + ends)
             end += len(ids)
+            own = range(count + at, count + at + len(some))
+            known.update(zip(some, own, strict=True))
+            for k, number in zip(new[at : at + 4096], own, strict=True):
+                numbers[k] = number
         if new:
-            known.update(zip(new, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(new)), strict=True))
             self.flat, self.bounds = np.concatenate(flat), np.concatenate(bounds)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        return np.array(numbers, np.int64)
 
-    def _library(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _library(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of the pieces, and where each piece's end.
 
-        Pieces that lead with a space join to a text that the library splits at the same places, which is quicker
-        than one word after the other; if it finds another number of words, they are given as words.
+        Pieces are what the library's own splitting gives, so they go to its merges at once, each byte as the character
+        that stands for it there.
         """
-        words = "".join(some) if all(p[0] == " " and len(p) > 1 and not p[1].isspace() for p in some) else some
-        for text in (words, some):
-            e = self.tokenizer.encode(text, is_pretokenized=text is some, add_special_tokens=False)
-            word = np.array(e.word_ids, np.int64)
-            if len(word) and word[-1] == len(some) - 1:
-                break
-        return np.array(e.ids, np.int32), np.searchsorted(word, np.arange(len(some)), side="right")
+        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some))).tolist()
+        text = b"".join(some).decode("latin-1").translate(_CHARACTERS)
+        ids: list[int] = []
+        counts, at = [], 0
+        for end in ends:
+            ids += [t.id for t in self.merges(text[at:end])]
+            counts.append(len(ids))
+            at = end
+        return np.array(ids, np.int32), np.array(counts, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each document's followed by END_ID, and each document's first (n + 1 values)."""

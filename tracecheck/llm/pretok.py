@@ -95,7 +95,7 @@ def split(texts: pa.Array, library: str = TIKTOKEN) -> tuple[list[bytes], np.nda
         starts = lead[np.flatnonzero(piece_starts(points, np.searchsorted(lead, inner), library))]
     ends = np.append(starts, size).astype(np.int64)
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
-    return pieces.dictionary.to_pylist(), pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, offsets)
+    return pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, offsets)
 
 
 def split_around(texts: pa.Array, special: re.Pattern[str] | None, library: str = TIKTOKEN) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
