@@ -95,3 +95,38 @@ def test_pieces_go_to_the_merges_at_once():
         ids, start = own.encode(pa.array(texts, pa.large_string()))
         assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:], strict=True)] == [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
     assert len(merged) == len(set(merged))
+
+
+def test_the_writer_follows_slots_instead_of_steps():
+    """The writer's model is worked out for whole blocks, so a step only moves the coder; it is what the reader finds step by step."""
+    ids = np.random.default_rng(4).choice(np.random.default_rng(5).zipf(1.3, 900) % 65536, 2 * idcodec.BLOCK)
+    ids[700:1400] = ids[:700]  # contexts that come again
+    with cProfile.Profile() as profile:
+        idcodec.encode_frame(ids)
+    assert pstats.Stats(profile).total_calls < 10 * idcodec.BLOCK  # 22 for each step before
+    x = ids.reshape(2, -1).astype(np.int32)
+    rest, hit, *_ = idcodec._modelled(x)
+    model = idcodec._Model(2)
+    for t in range(idcodec.BLOCK):
+        if t in idcodec._MIX:
+            model.mix()
+        model.predict()
+        assert (model.rest == rest[:, t]).all() and ((model.id == x[:, t]) == hit[:, t]).all()
+        model.update(x[:, t], hit[:, t])
+
+
+def test_pieces_that_come_again_stay_known(monkeypatch):
+    """A full memory forgets the pieces that only one slice had, not those in use."""
+    monkeypatch.setattr(idfile, "MEMO", 300)
+    own, merged = idfile.Encoder(JSON), []
+    merge = own.merges
+    own.merges = lambda piece: merged.append(piece) or merge(piece)
+    whole = Tokenizer.from_file(JSON)
+    for k in range(12):
+        text = "these words come again " + " ".join(f"w{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90))
+        ids, _ = own.encode(pa.array([text], pa.large_string()))
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+    assert len(own.known) < 500 and len(merged) == len(set(merged))
+    own.used[:] = 2
+    own.thin()  # too many are in use: none stays
+    assert not own.known and own.encode(pa.array(["these words"], pa.large_string()))[0].tolist() == [*whole.encode("these words", add_special_tokens=False).ids, 0]

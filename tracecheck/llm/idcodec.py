@@ -10,9 +10,11 @@ has been asked, worked out anew at the ids of _MIX. Other ids are coded by the b
 distribution over whole ids, as often as each has come, with a share for those that haven't; such a new id, about which
 nothing is known, goes as it is, beside the coded words. The order-0
 distributions are worked out anew at the ids of _REBUILD. All arithmetic is on integers, so writer and reader agree to
-the bit. Ids over 16 bits are coded as two sequences, the low 16 bits and the rest.
+the bit. The writer knows all ids, so it works the model out for whole blocks (_modelled) and only moves the coder id by id; the
+reader has to go id by id (_Model). Ids over 16 bits are coded as two sequences, the low 16 bits and the rest.
 
-Coder. A 48-bit range coder that renormalises by 16-bit words. A word may carry into the one before; carries
+Coder. A 48-bit range coder that renormalises by 16-bit words. The share of a miss is cut into 4096 parts, which order-0 shares
+are made of; what is above them is the hit's. A word may carry into the one before; carries
 stay in the words until the block ends and are settled then.
 """
 
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC, WIDE = b"ACM4", b"ACW4"
+MAGIC, WIDE = b"ACM5", b"ACW5"
 #: Ids in a block.
 BLOCK = 2048
 #: Blocks that are coded side by side at most; a frame takes some 60 bytes of memory an id while it is coded.
@@ -36,6 +38,8 @@ _SCALE_BITS = 12
 #: Ids after which the order-0 distribution is worked out anew, and after which the prediction's probabilities are.
 _REBUILD = (0, 32, 128, 384, 768, 1280)
 _MIX = frozenset((16, 32, 48, 64, 96, 128, 192, *range(256, BLOCK, 256)))
+#: Blocks whose models are worked out together, so that they stay in the cache.
+_GROUP = 32
 _M32, _M48 = (1 << 32) - 1, (1 << 48) - 1
 _H1, _H2, _H3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x27D4EB2F)
 
@@ -44,47 +48,57 @@ class DamagedBlock(ValueError):
     """A block whose bytes don't match its checksum."""
 
 
+def _chances(asked: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The probability of a hit, of 65536, for each context (the last axis, of 32), from how often each has been asked and right: the
+    rates by the order-2 confidence and by the order-1 confidence (each with whether both predict the same id), mixed by how often
+    each has been asked."""
+    shape = asked.shape
+    asked, right = asked.reshape(-1, 4, 4, 2), right.reshape(-1, 4, 4, 2)
+    n, hits = 0, 0
+    for axis in (2, 1):
+        n_own, own = _summed(asked, axis), _summed(right, axis)
+        # The rate of n cases weighs n + 2, so the rates' mix is a quotient of sums.
+        n, hits = n + 4 * n_own + 8, hits + 4 * own + 1
+    n, hits = n + 16 * asked, hits + 16 * right
+    return (hits * np.int64(60927) // n + 1).astype(np.int32).reshape(shape)
+
+
 class _Model:
+    """What the reader knows, an id of each lane at a time."""
+
     def __init__(self, lanes: int):
         self.n = lanes
         self.t1, self.t2 = (np.full(lanes * _SLOTS, -4, np.int32) for _ in range(2))
         self.base = np.arange(lanes) << SLOT_BITS
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.lane = np.arange(lanes, dtype=np.int32) << 16
         self.at32 = np.arange(lanes, dtype=np.int32) << 5
         self.slot_base = np.arange(lanes) << _SCALE_BITS
         #: For each lane and context: how often the prediction was asked, and right.
         self.asked, self.right = (np.zeros(lanes << 5, np.int32) for _ in range(2))
         self.contexts: list[np.ndarray] = []
         self.hits: list[np.ndarray] = []
-        self.rebuild(np.zeros((0, lanes), np.int32), False)
+        self.slots = np.zeros(lanes << _SCALE_BITS, np.int32)
+        self.rebuild(np.zeros((0, lanes), np.int32))
         self.mix()
 
     def cut(self, n: int) -> None:
         """Only the first n lanes go on."""
         self.n = n
-        for k in ("base", "last", "before", "at32", "lane", "slot_base", "new_start", "new_end"):
+        for k in ("base", "last", "before", "at32", "slot_base"):
             setattr(self, k, getattr(self, k)[:n])
 
     def mix(self) -> None:
-        """The probability of a hit, of 65536, for each lane and context: the rates by the order-2 confidence and by the order-1
-        confidence (each with whether both predict the same id), mixed by how often each has been asked."""
+        """The probabilities of a miss anew, of 65536, for each lane and context."""
         if self.contexts:
             context = np.concatenate(self.contexts)
             self.asked += np.bincount(context, minlength=len(self.asked)).astype(np.int32)
             self.right += np.bincount(context[np.concatenate(self.hits)], minlength=len(self.right)).astype(np.int32)
             self.contexts, self.hits = [], []
-        asked, right = self.asked.reshape(-1, 4, 4, 2), self.right.reshape(-1, 4, 4, 2)
-        n, hits = 0, 0
-        for axis in (2, 1):
-            n_own, own = _summed(asked, axis), _summed(right, axis)
-            # The rate of n cases weighs n + 2, so the rates' mix is a quotient of sums.
-            n, hits = n + 4 * n_own + 8, hits + 4 * own + 1
-        n, hits = n + 16 * asked, hits + 16 * right
-        self.chance = (hits * np.int64(60927) // n + 1).astype(np.int32).ravel()
+        self.miss = _ONE - _chances(self.asked.reshape(-1, 32), self.right.reshape(-1, 32)).ravel().astype(np.int64)
 
     def predict(self) -> None:
-        """Sets the predicted id, and which share of the 65536 parts it has: the order-2 id if it was right before, else the order-1 id."""
+        """Sets the predicted id, and which share of the 65536 parts other ids have: the order-2 id if it was right before, else the
+        order-1 id."""
         i1 = self.last * _H1
         i2 = self.before * _H3
         i2 += self.last * _H2
@@ -100,42 +114,7 @@ class _Model:
         context += c1 << 1
         context += (e1 ^ e2).view(np.uint32) < 4
         self.contexts.append(context)
-        # The prediction has 60928 parts at most; the rest stays over 4096, so each of its 4096 parts has a size.
-        self.known = self.chance.take(context, mode="clip")
-        self.rest = _ONE - self.known
-
-    def shares_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each id's order-0 share starts and ends, of 4096 parts; and whether it is that of new ids (ids and results: steps
-        by lanes). Looked up lane by lane, whose keys lie together."""
-        if not len(self.keys):
-            return np.broadcast_to(self.new_start, ids.shape), np.broadcast_to(self.new_end, ids.shape), np.ones(ids.shape, bool)
-        key = _turned(ids)
-        start, end, new = np.empty_like(key), np.empty_like(key), np.empty(key.shape, bool)
-        bounds = np.searchsorted(self.keys, np.arange(0, self.n + 16, 16) << 16)
-        # Sixteen lanes at a time have a place for each of their ids.
-        table = np.full(16 << 16, -1, np.int32)
-        for k in range(0, self.n, 16):
-            some, own = slice(k, k + 16), slice(bounds[k >> 4], bounds[(k >> 4) + 1])
-            keys = self.keys[own] - (k << 16)
-            table[keys] = self.starts[own] << 13 | self.ends[own]
-            both = table.take(key[some] + self.lane[: len(key[some]), None])
-            table[keys] = -1
-            np.less(both, 0, out=new[some])
-            np.copyto(both, (self.new_start[some] << 13 | self.new_end[some])[:, None], where=new[some])
-            np.right_shift(both, 13, out=start[some])
-            np.bitwise_and(both, 0x1FFF, out=end[some])
-        return _turned(start), _turned(end), _turned(new)
-
-    def shares(self, start: np.ndarray, end: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of what was coded, of 65536: an order-0 share, or the hit of the prediction."""
-        start, end = start * self.rest, end * self.rest
-        for x in (start, end):
-            x >>= _SCALE_BITS
-            x += self.known
-        start *= ~hit
-        end = np.where(hit, self.known, end)
-        end -= start
-        return start, end
+        self.rest = self.miss.take(context, mode="clip")
 
     def update(self, x: np.ndarray, hit: np.ndarray) -> None:
         """x: the ids. hit: it is the predicted id."""
@@ -147,33 +126,47 @@ class _Model:
             table[i] = np.where(right, e, fresh)
         self.before, self.last = self.last, x.view(np.uint32)
 
-    def rebuild(self, seen: np.ndarray, slots: bool) -> None:
-        """The order-0 distributions anew, from all ids so far (rows by lanes)."""
-        t, n = len(seen), self.n
-        rows = np.sort(_turned(seen[:, :n]).astype(np.uint16), axis=1, kind="stable")
-        fresh = np.ones((n, t), bool)
-        np.not_equal(rows[:, 1:], rows[:, :-1], out=fresh[:, 1:])
-        at = np.flatnonzero(fresh)
-        lane = (at // max(t, 1)).astype(np.int32)
-        ids = rows.ravel()[at].astype(np.int32)
-        distinct = np.bincount(lane, minlength=n).astype(np.int32)
-        # Of the parts, each id gets one and a share by its count; new ids count as often as different ids have come.
-        size = np.diff(np.append(at, n * t)).astype(np.int32) * ((1 << _SCALE_BITS) - 256 - distinct[lane])
-        size //= t + distinct[lane]
-        size += 1
-        end = np.cumsum(size, dtype=np.int64)
-        first = np.concatenate([[0], end])[np.cumsum(distinct) - distinct]
-        end = (end - first[lane]).astype(np.int32)
-        self.keys, self.starts, self.ends = (lane << 16) | ids, end - size, end
-        self.new_start = np.bincount(lane, size, minlength=n).astype(np.int32)
-        self.new_end = np.full(n, 1 << _SCALE_BITS, np.int32)
-        if slots:
-            #: What each part stands for: the place in `entries` of id << 26 | start << 13 | end (-1 for the id of new ones).
-            behind = np.cumsum(distinct)
-            parts = np.insert(size, behind, self.new_end - self.new_start)
-            own = ids.astype(np.int64) << 26 | self.starts.astype(np.int64) << 13 | end
-            self.entries = np.insert(own, behind, np.int64(-1) << 26 | self.new_start.astype(np.int64) << 13 | self.new_end)
-            self.slots = np.repeat(np.arange(len(parts), dtype=np.int32), parts)
+    def rebuild(self, seen: np.ndarray) -> None:
+        """The order-0 distributions anew, from all ids so far (rows by lanes): what each of a lane's 4096 parts stands for, as the place
+        in `entries` of id << 26 | start << 13 | size (-1 for the id of new ones)."""
+        t, n, known, count = len(seen), self.n, [], 0
+        for k in range(0, n, _GROUP):
+            rows = np.sort(seen[:, k : min(k + _GROUP, n)].T, axis=1)
+            fresh = np.ones(rows.shape, bool)
+            np.not_equal(rows[:, 1:], rows[:, :-1], out=fresh[:, 1:])
+            distinct = np.count_nonzero(fresh, axis=1)
+            at = np.flatnonzero(fresh)
+            size = _sizes(np.diff(at, append=rows.size).astype(np.int32), t, np.repeat(distinct.astype(np.int32), distinct))
+            # Behind a lane's ids stands the share of new ones.
+            ends = np.cumsum(distinct + 1)
+            own = np.ones(len(at) + len(rows), bool)
+            own[ends - 1] = False
+            sizes = np.zeros(len(own), np.int64)
+            sizes[own] = size
+            end = np.cumsum(sizes)
+            left = (np.arange(1, len(rows) + 1) << _SCALE_BITS) - end[ends - 1]
+            left[1:] -= left[:-1].copy()
+            sizes[ends - 1] = left
+            start = np.cumsum(sizes) - sizes
+            start &= (1 << _SCALE_BITS) - 1
+            entry = np.full(len(own), -1, np.int64)
+            entry[own] = rows.ravel()[at]
+            entry <<= 26
+            entry |= start << 13
+            entry |= sizes
+            known.append(entry)
+            self.slots[k << _SCALE_BITS : k + len(rows) << _SCALE_BITS] = np.repeat(np.arange(count, count + len(own), dtype=np.int32), sizes)
+            count += len(own)
+        self.entries = np.concatenate(known)
+
+
+def _sizes(count: np.ndarray, t: int, distinct: np.ndarray) -> np.ndarray:
+    """How many of the 4096 parts each id has that came `count` times among t ids: one, and a share by its count. The other parts
+    are for new ids, which count as often as different ids have come."""
+    size = count * ((1 << _SCALE_BITS) - 256 - distinct)
+    size //= t + distinct
+    size += 1
+    return size
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -197,37 +190,135 @@ def _turned(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's keys (of 20 bits at most) in order, equal ones in that of their places, and those places; all rows in one."""
+    n, t = key.shape
+    both = key.astype(np.uint32) << np.uint32(12)
+    both |= np.arange(t, dtype=np.uint32)
+    both.sort(axis=1)
+    return (both >> np.uint32(12)).ravel(), ((both & np.uint32(0xFFF)) + (np.arange(n) * t)[:, None]).ravel()
+
+
+def _led(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What a table's slot holds before each id (id << 2 | confidence, -4 at first), where key is its slot (lanes by steps).
+
+    A slot holds the last id that came to it, and how often in a row that was right before.
+    """
+    n, t = x.shape
+    slot, order = _sorted(key)
+    own = x.ravel()[order]
+    first = np.ones(n * t, bool)
+    np.not_equal(slot[1:], slot[:-1], out=first[1:])
+    first[::t] = True
+    again = np.zeros(n * t, bool)
+    np.equal(own[1:], own[:-1], out=again[1:])
+    again &= ~first
+    held = own << 2
+    for _ in range(3):
+        held += again
+        again[1:] &= again[:-1]
+    state = np.empty(n * t, np.int32)
+    state[1:] = held[:-1]
+    state[first] = -4
+    out = np.empty(n * t, np.int32)
+    out[order] = state
+    return out.reshape(n, t)
+
+
+def _modelled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each id of whole blocks (lanes by steps): the parts of 65536 that other ids than the predicted have, whether it is the
+    predicted id, its order-0 share's start and size, and whether that is the share of new ids.
+
+    The writer knows all ids, so it follows each slot of the tables through the block instead of each step.
+    """
+    n, t = x.shape
+    before = np.zeros((n, t + 2), np.uint32)
+    before[:, 2:] = x
+    last, before = before[:, 1:-1], before[:, :-2]
+    shift = np.uint32(32 - SLOT_BITS)
+    e1 = _led(x, last * _H1 >> shift)
+    e2 = _led(x, before * _H3 + last * _H2 >> shift)
+    c1, c2 = e1 & 3, e2 & 3
+    hit = np.where(c2 > 0, e2, e1) >> 2 == x
+    context = c2 << 3
+    context += c1 << 1
+    context += (e1 ^ e2).view(np.uint32) < 4
+    # Each id's place among the contexts of all spans between two mixes.
+    points = sorted(_MIX)
+    span = np.searchsorted(points, np.arange(t), side="right")
+    spans = len(points) + 1
+    context += (np.arange(n)[:, None] * spans + span).astype(np.int32) << 5
+    counts = (np.bincount(c, minlength=n * spans * 32).reshape(n, spans, 32) for c in (context.ravel(), context[hit]))
+    asked, right = (np.cumsum(c, axis=1) - c for c in counts)
+    miss = (_ONE - _chances(asked.astype(np.int32), right.astype(np.int32))).astype(np.uint16).ravel().take(context)
+    # Each id's number among the block's different ids, by their order.
+    by_id, order = _sorted(x)
+    fresh = np.zeros((n, t), np.int32)
+    np.not_equal(by_id[1:], by_id[:-1], out=fresh.reshape(-1)[1:], casting="unsafe")
+    fresh[:, 0] = 0
+    fresh = np.cumsum(fresh, axis=1, dtype=np.int32)
+    width = int(fresh[:, -1].max()) + 1
+    number = np.empty(n * t, np.int64)
+    number[order] = (fresh + (np.arange(n, dtype=np.int32) * width)[:, None]).ravel()
+    number = number.reshape(n, t)
+    start, size, new = np.empty((n, t), np.uint16), np.empty((n, t), np.uint16), np.empty((n, t), bool)
+    count = np.zeros((n, width), np.int32)
+    for a, b in zip(_REBUILD, (*_REBUILD[1:], t), strict=True):
+        here = number[:, a:b].ravel()
+        seen = count > 0
+        share = _sizes(count, a, np.count_nonzero(seen, axis=1).astype(np.int32)[:, None]) if a else count.copy()
+        share *= seen
+        end = np.cumsum(share, axis=1, dtype=np.int32)
+        new_start = end[:, -1:].copy()
+        end -= share
+        share <<= 13
+        share |= end
+        # The share of new ids is behind all others.
+        np.copyto(share, 1 << 26 | (1 << _SCALE_BITS) - new_start << 13 | new_start, where=~seen)
+        both = share.ravel().take(here).reshape(n, -1)
+        start[:, a:b], size[:, a:b], new[:, a:b] = both & 0x1FFF, both >> 13 & 0x1FFF, both >> 26
+        count += np.bincount(here, minlength=n * width).reshape(n, width).astype(np.int32)
+    return miss, hit, start, size, new & ~hit
+
+
 def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Words and verbatim bytes of each block."""
     n = len(ids)
     lanes, tail = _lanes(n)
-    padded = np.zeros(lanes * BLOCK, np.int32)
-    padded[:n] = ids
-    by_step = _turned(padded.reshape(lanes, BLOCK))
-    m = _Model(lanes)
+    padded = np.zeros((lanes, BLOCK), np.int32)
+    padded.reshape(-1)[:n] = ids
+    rest, start, size = (np.empty((BLOCK, lanes), np.uint16) for _ in range(3))
+    hits = np.empty((BLOCK, lanes), bool)
+    raw: list[bytes] = []
+    for k in range(0, lanes, _GROUP):
+        some = slice(k, k + _GROUP)
+        miss, hit, first, parts, new = _modelled(padded[some])
+        if k + _GROUP >= lanes:
+            new[-1, tail:] = False
+        # A hit lies behind all order-0 shares.
+        first[hit] = 1 << _SCALE_BITS
+        rest[:, some], hits[:, some], start[:, some], size[:, some] = miss.T, hit.T, first.T, parts.T
+        raw += [own[is_new].astype("<u2").tobytes() for own, is_new in zip(padded[some], new, strict=True)]
+    del padded
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _M48, np.int64)
-    words = np.zeros((BLOCK + 4, lanes), np.int32)  # rows that aren't needed aren't touched
-    bare = np.zeros((BLOCK, lanes), bool)  # ids that go as they are
+    words = np.zeros((lanes, BLOCK + 4), np.int32)  # pages that aren't needed aren't touched
     flat = words.reshape(-1)
-    pos = np.arange(lanes)  # flat places: row * lanes + lane
+    first_word = np.arange(lanes) * (BLOCK + 4)
+    pos = first_word.copy()
     all_low, all_pos = low, pos
+    m = lanes
     for t in range(BLOCK if lanes > 1 else tail):
-        if t == tail and m.n == lanes:
-            m.cut(lanes - 1)
+        if t == tail and m == lanes:
+            m = lanes - 1
             low, rng, pos = low[:-1], rng[:-1], pos[:-1]
-        if t in _REBUILD:
-            m.rebuild(by_step[:t], False)
-            since, found = t, m.shares_of(by_step[t : min((k for k in _REBUILD if k > t), default=BLOCK), : m.n])
-        if t in _MIX:
-            m.mix()
-        x = by_step[t, : m.n]
-        m.predict()
-        hit = x == m.id
-        start, end, new = (f[t - since, : m.n] for f in found)
-        start, size = m.shares(start, end, hit)
-        rng >>= 16
-        low += rng * start
-        rng *= size
+        part = rng >> 16
+        part *= rest[t, :m]
+        part >>= _SCALE_BITS
+        before = part * start[t, :m]
+        low += before
+        part *= size[t, :m]
+        np.subtract(rng, before, out=part, where=hits[t, :m])
+        rng = part
         # All lanes write; what a lane that isn't short writes is written over by its next word.
         flat[pos] = (low >> 32).astype(np.int32)
         short = (rng <= _M32).astype(np.int64)
@@ -237,25 +328,22 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         keep |= _M32
         low &= keep
         low <<= shift
-        short *= lanes
         pos += short
-        np.greater(new, hit, out=bare[t, : m.n])
-        m.update(x, hit)
     for shift in (32, 16, 0):
         flat[all_pos] = (all_low >> shift) & (0xFFFF if shift < 32 else 0x1FFFF)
-        all_pos += lanes
-    n_words = all_pos // lanes
-    rows = int(n_words.max())
-    words = words[:rows]
-    words[np.arange(rows)[:, None] >= n_words] = 0
-    flat = words.reshape(-1)
-    while len(over := np.flatnonzero(flat >> 16)):
-        carry = flat[over] >> 16
-        flat[over] &= 0xFFFF
-        flat[over - lanes] += carry
-    of_words, raw = _turned(words.astype("<u2")), padded[_turned(bare).ravel()].astype("<u2")
-    ends = np.cumsum(np.count_nonzero(bare, axis=0)).tolist()
-    return [of_words[i, : n_words[i]].tobytes() for i in range(lanes)], [raw[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+        all_pos += 1
+    n_words = all_pos - first_word
+    words = words[:, : int(n_words.max())]
+    words[np.arange(words.shape[1]) >= n_words[:, None]] = 0
+    while True:
+        lane, over = np.nonzero(words >> 16)
+        if not len(lane):
+            break
+        carry = words[lane, over] >> 16
+        words[lane, over] &= 0xFFFF
+        words[lane, over - 1] += carry
+    of_words = words.astype("<u2")
+    return [of_words[i, :k].tobytes() for i, k in enumerate(n_words.tolist())], raw
 
 
 def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
@@ -266,56 +354,55 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
     for i, (w, r) in enumerate(zip(words, raw, strict=True)):
         by_row[i, : len(w) // 2] = np.frombuffer(w, "<u2")
         raw_row[i, : len(r) // 2] = np.frombuffer(r, "<u2")
-    flat, raw_flat = _turned(by_row).reshape(-1), _turned(raw_row).reshape(-1)
+    flat, raw_flat = by_row.reshape(-1), raw_row.reshape(-1)
     m = _Model(lanes)
-    pos, raws = np.arange(lanes), np.arange(lanes)
+    pos, raws = np.arange(lanes) * depth, np.arange(lanes) * raw_row.shape[1]
     code = np.zeros(lanes, np.int64)
     for _ in range(3):
         code = code << 16 | flat[pos]
-        pos += lanes
+        pos += 1
     rng = np.full(lanes, _M48, np.int64)
     out = np.zeros((BLOCK, lanes), np.int32)
-    m.rebuild(out[:0], True)
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
             m.cut(lanes - 1)
             code, rng, pos, raws = code[:-1], rng[:-1], pos[:-1], raws[:-1]
         if t in _REBUILD and t:
-            m.rebuild(out[:t], True)
+            m.rebuild(out[:t])
         if t in _MIX:
             m.mix()
         m.predict()
-        rng >>= 16
-        value = (code / rng).astype(np.int32)  # quotients under 2**17 of 48-bit integers: exact
-        np.minimum(value, _ONE - 1, out=value)
-        hit = value < m.known
+        part = rng >> 16
+        part *= m.rest
+        part >>= _SCALE_BITS
+        slot = (code / part).astype(np.int64)  # quotients under 2**17 of 48-bit integers: exact
+        hit = slot >> _SCALE_BITS > 0
         # For lanes that predict the id, the slot is any; it is not used.
-        value -= m.known
-        value += 1
-        value <<= _SCALE_BITS
-        value -= 1
-        slot = (value / m.rest).astype(np.int64)
         slot &= (1 << _SCALE_BITS) - 1
         slot += m.slot_base
         entry = m.entries.take(m.slots.take(slot, mode="clip"), mode="clip")
         x = np.where(hit, m.id, (entry >> 26).astype(np.int32))
-        both = (entry & 0x3FFFFFF).astype(np.int32)
-        start, size = m.shares(both >> 13, both & 0x1FFF, hit)
-        code -= rng * start
-        rng *= size
+        start = entry >> 13
+        start &= 0x1FFF
+        start[hit] = 1 << _SCALE_BITS
+        start *= part
+        code -= start
+        part *= entry & 0x1FFF
+        np.subtract(rng, start, out=part, where=hit)
+        rng = part
         short = (rng <= _M32).astype(np.int64)
         shift = short << 4
         rng <<= shift
         code <<= shift
         more = flat.take(pos, mode="clip") & -short
         code |= more
-        short *= lanes
         pos += short
         e = np.flatnonzero((entry < 0) & ~hit)
         if len(e):
             at = raws[e]
             x[e] = raw_flat.take(at, mode="clip")
-            raws[e] = at + lanes
+            at += 1
+            raws[e] = at
         out[t, : m.n] = x
         m.update(x, hit)
     return _turned(out).reshape(-1)[:n]

@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from . import idcodec, pretok
+from . import idcodec, kit, pretok
 from .kit import per_document, slices, text_array
 
 END_ID = 0
 #: Ids in a frame, at most.
 FRAME_IDS = idcodec.BLOCK * idcodec.LANES
-#: Pieces that a worker remembers.
+#: Pieces that a worker remembers, and those of one slice more.
 MEMO = 600_000
+#: Text bytes of a slice: in a larger one fewer pieces are met for the first time, each of which is looked up.
+SLICE_BYTES = 2 * kit.SLICE_BYTES
 
 
 def _byte_characters() -> dict[int, int]:
@@ -54,32 +57,44 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        #: Each known piece's number; its ids are flat[bounds[number]:bounds[number + 1]].
+        #: Each known piece's number; its ids are flat[bounds[number]:bounds[number + 1]], and `used` counts its slices.
         self.known: dict[bytes, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.bounds, self.used = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def thin(self) -> None:
+        """Forgets the pieces that only one slice had; all of them if the others are many."""
+        kept = np.flatnonzero(self.used > 1)
+        if len(kept) > MEMO // 2:
+            return self.forget()
+        number = np.full(len(self.used), -1)
+        number[kept] = np.arange(len(kept))
+        self.known = {piece: n for piece, n in zip(self.known, number[list(self.known.values())].tolist(), strict=True) if n >= 0}
+        sizes = np.diff(self.bounds)[kept]
+        self.flat, self.bounds = pretok.gather(kept, self.flat, self.bounds), np.concatenate([[0], np.cumsum(sizes)])
+        self.used = np.zeros(len(kept), np.int32)
 
     def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """Each piece's number; the library encodes those that are new."""
+        """The number of each of a slice's different pieces; the library encodes those that are new."""
         if len(self.known) > MEMO:
-            self.forget()
+            self.thin()
         known = self.known
-        numbers = list(map(known.get, pieces))
-        new = [k for k, number in enumerate(numbers) if number is None]
+        numbers = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(numbers < 0)
         flat, bounds = [self.flat], [self.bounds]
         end, count = len(self.flat), len(self.bounds) - 1
         for at in range(0, len(new), 4096):
-            some = [pieces[k] for k in new[at : at + 4096]]
+            some = [pieces[k] for k in new[at : at + 4096].tolist()]
             ids, ends = self._library(some)
             flat.append(ids)
             bounds.append(end + ends)
             end += len(ids)
-            own = range(count + at, count + at + len(some))
-            known.update(zip(some, own, strict=True))
-            for k, number in zip(new[at : at + 4096], own, strict=True):
-                numbers[k] = number
-        if new:
+            known.update(zip(some, range(count + at, count + at + len(some)), strict=True))
+        if len(new):
+            numbers[new] = np.arange(count, count + len(new))
             self.flat, self.bounds = np.concatenate(flat), np.concatenate(bounds)
-        return np.array(numbers, np.int64)
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
+        self.used[numbers] += 1
+        return numbers
 
     def _library(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of the pieces, and where each piece's end.
@@ -158,7 +173,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
 
         for batch in batches:
             texts = text_array(batch.column(1))
-            for at, to in slices(texts):
+            for at, to in slices(texts, SLICE_BYTES):
                 ids, start = encoder(vocabulary).encode(texts.slice(at, to - at))
                 k = 0
                 while k < to - at:
