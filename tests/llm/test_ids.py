@@ -130,3 +130,27 @@ def test_pieces_that_come_again_stay_known(monkeypatch):
     own.used[:] = 2
     own.thin()  # too many are in use: none stays
     assert not own.known and own.encode(pa.array(["these words"], pa.large_string()))[0].tolist() == [*whole.encode("these words", add_special_tokens=False).ids, 0]
+
+
+def test_no_frame_of_few_blocks(spark, tmp_path, monkeypatch):
+    """What a task has beyond a full frame isn't left to a frame of few blocks, whose steps cost as many calls."""
+    monkeypatch.setattr(idfile, "FRAME_IDS", 100)
+    for n in (21, 29, 33, 52):  # documents of 5 ids: 105 to 260 ids
+        docs = spark.createDataFrame([(i, "a a a a") for i in range(n)], "doc_id long, text string")
+        idfile.write(docs, f"file://{tmp_path}/f{n}", JSON, partitions=1)
+        sizes = [r.n_ids for r in spark.read.parquet(f"file://{tmp_path}/f{n}").orderBy("start").collect()]
+        assert sum(sizes) == 5 * n and max(sizes) <= 100 and min(sizes) >= 50
+
+
+def test_many_pieces_go_to_the_merges_in_one_call():
+    """The library is called for thousands of pieces, not for each; also where no byte is free to stand between pieces."""
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}é" for i in range(600)), "\n\x00ÿÁ\xc0 õþ" * 3]
+    whole = Tokenizer.from_file(JSON)
+    for inner in (None, ord(idfile._BETWEEN)):
+        own, merged = idfile.Encoder(JSON), []
+        own.inner = inner or own.inner
+        merge = own.merges
+        own.merges = lambda text, merge=merge, merged=merged: merged.append(text) or merge(text)
+        ids, start = own.encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:], strict=True)] == [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert len(own.known) > 600 and len(merged) == 1

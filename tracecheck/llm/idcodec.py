@@ -28,8 +28,9 @@ import numpy as np
 MAGIC, WIDE = b"ACM5", b"ACW5"
 #: Ids in a block.
 BLOCK = 2048
-#: Blocks that are coded side by side at most; a frame takes some 60 bytes of memory an id while it is coded.
-LANES = 3072
+#: Blocks that are coded side by side at most: a step costs its calls, however many blocks it serves. A frame takes some 20 bytes
+#: of memory an id while it is coded.
+LANES = 4096
 #: Slots of an order-1 or order-2 table.
 SLOT_BITS = 8
 _SLOTS = 1 << SLOT_BITS
@@ -38,10 +39,18 @@ _SCALE_BITS = 12
 #: Ids after which the order-0 distribution is worked out anew, and after which the prediction's probabilities are.
 _REBUILD = (0, 32, 128, 384, 768, 1280)
 _MIX = frozenset((16, 32, 48, 64, 96, 128, 192, *range(256, BLOCK, 256)))
+_SPAN = 256
 #: Blocks whose models are worked out together, so that they stay in the cache.
 _GROUP = 32
 _M32, _M48 = (1 << 32) - 1, (1 << 48) - 1
 _H1, _H2, _H3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x27D4EB2F)
+_HASHES = np.array([[_H1], [_H2], [_H3]])
+#: What the confidences of both orders count in a context's number.
+_WEIGHTS = np.array([[2], [8]], np.int32)
+#: The confidence after a slot's entry, xor the id that came, was 0 to 3 (it was right) or more (it was not).
+_HELD = np.array([1, 2, 3, 3, 0], np.int32)
+#: Where an id is the predicted one, its order-0 share starts behind all others and has no size.
+_AT_HIT = 1 << _SCALE_BITS + 13
 
 
 class DamagedBlock(ValueError):
@@ -64,74 +73,80 @@ def _chances(asked: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """What the reader knows, an id of each lane at a time."""
+    """What the reader knows, an id of each lane at a time. Rows of two are of order 1 and of order 2."""
 
     def __init__(self, lanes: int):
         self.n = lanes
-        self.t1, self.t2 = (np.full(lanes * _SLOTS, -4, np.int32) for _ in range(2))
-        self.base = np.arange(lanes) << SLOT_BITS
-        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.table = np.full(2 * lanes << SLOT_BITS, -4, np.int32)
+        self.base = np.arange(2 * lanes).reshape(2, lanes) << SLOT_BITS
+        self.last, self.carried = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.at32 = np.arange(lanes, dtype=np.int32) << 5
         self.slot_base = np.arange(lanes) << _SCALE_BITS
         #: For each lane and context: how often the prediction was asked, and right.
         self.asked, self.right = (np.zeros(lanes << 5, np.int32) for _ in range(2))
-        self.contexts: list[np.ndarray] = []
-        self.hits: list[np.ndarray] = []
-        self.slots = np.zeros(lanes << _SCALE_BITS, np.int32)
+        #: The contexts since the last mix, and which of their predictions were right.
+        self.contexts, self.hits, self.since = np.empty((_SPAN, lanes), np.int32), np.empty((_SPAN, lanes), bool), 0
+        self.slots = np.zeros(lanes << _SCALE_BITS, np.uint16)
         self.rebuild(np.zeros((0, lanes), np.int32))
         self.mix()
 
     def cut(self, n: int) -> None:
         """Only the first n lanes go on."""
         self.n = n
-        for k in ("base", "last", "before", "at32", "slot_base"):
-            setattr(self, k, getattr(self, k)[:n])
+        for k in ("base", "last", "carried", "at32", "slot_base", "first_entry", "contexts", "hits"):
+            setattr(self, k, getattr(self, k)[..., :n])
 
     def mix(self) -> None:
         """The probabilities of a miss anew, of 65536, for each lane and context."""
-        if self.contexts:
-            context = np.concatenate(self.contexts)
-            self.asked += np.bincount(context, minlength=len(self.asked)).astype(np.int32)
-            self.right += np.bincount(context[np.concatenate(self.hits)], minlength=len(self.right)).astype(np.int32)
-            self.contexts, self.hits = [], []
+        if self.since:
+            context = self.contexts[: self.since] << 1
+            context += self.hits[: self.since]
+            counts = np.bincount(context.ravel(), minlength=2 * len(self.asked)).astype(np.int32)
+            self.asked += counts[::2]
+            self.asked += counts[1::2]
+            self.right += counts[1::2]
+            self.since = 0
         self.miss = _ONE - _chances(self.asked.reshape(-1, 32), self.right.reshape(-1, 32)).ravel().astype(np.int64)
 
     def predict(self) -> None:
         """Sets the predicted id, and which share of the 65536 parts other ids have: the order-2 id if it was right before, else the
         order-1 id."""
-        i1 = self.last * _H1
-        i2 = self.before * _H3
-        i2 += self.last * _H2
-        i1 >>= np.uint32(32 - SLOT_BITS)
-        i2 >>= np.uint32(32 - SLOT_BITS)
-        self.i1, self.i2 = i1, i2 = i1 + self.base, i2 + self.base
-        self.e1, self.e2 = e1, e2 = self.t1.take(i1, mode="clip"), self.t2.take(i2, mode="clip")
-        self.c1, self.c2 = c1, c2 = e1 & 3, e2 & 3
-        self.id = np.where(c2 > 0, e2, e1)
+        i = self.last * _HASHES
+        i[1] += self.carried
+        self.carried = i[2]
+        i = i[:2]
+        i >>= np.uint32(32 - SLOT_BITS)
+        self.i = i + self.base
+        self.e = e = self.table.take(self.i, mode="clip")
+        c = e & 3
+        self.id = np.where(c[1] > 0, e[1], e[0])
         self.id >>= 2
-        context = c2 << 3
+        c *= _WEIGHTS
+        context = self.contexts[self.since]
+        np.add(c[0], c[1], out=context)
+        context += (e[0] ^ e[1]).view(np.uint32) < 4
         context += self.at32
-        context += c1 << 1
-        context += (e1 ^ e2).view(np.uint32) < 4
-        self.contexts.append(context)
         self.rest = self.miss.take(context, mode="clip")
 
     def update(self, x: np.ndarray, hit: np.ndarray) -> None:
         """x: the ids. hit: it is the predicted id."""
-        self.hits.append(hit)
+        self.hits[self.since] = hit
+        self.since += 1
         fresh = x << 2
-        for table, i, e, c in ((self.t2, self.i2, self.e2, self.c2), (self.t1, self.i1, self.e1, self.c1)):
-            right = (e ^ fresh).view(np.uint32) < 4
-            e += c < 3
-            table[i] = np.where(right, e, fresh)
-        self.before, self.last = self.last, x.view(np.uint32)
+        self.e ^= fresh
+        held = _HELD.take(self.e.view(np.uint32), mode="clip")
+        held += fresh
+        self.table[self.i] = held
+        self.last = x.view(np.uint32)
 
     def rebuild(self, seen: np.ndarray) -> None:
         """The order-0 distributions anew, from all ids so far (rows by lanes): what each of a lane's 4096 parts stands for, as the place
-        in `entries` of id << 26 | start << 13 | size (-1 for the id of new ones)."""
+        among the lane's `entries` of id << 26 | start << 13 | size (-1 for the id of new ones)."""
         t, n, known, count = len(seen), self.n, [], 0
+        self.first_entry = np.empty(n, np.int64)
         for k in range(0, n, _GROUP):
-            rows = np.sort(seen[:, k : min(k + _GROUP, n)].T, axis=1)
+            rows = seen[:, k : min(k + _GROUP, n)].T.astype(np.int32, order="C")
+            rows.sort(axis=1)
             fresh = np.ones(rows.shape, bool)
             np.not_equal(rows[:, 1:], rows[:, :-1], out=fresh[:, 1:])
             distinct = np.count_nonzero(fresh, axis=1)
@@ -141,7 +156,7 @@ class _Model:
             ends = np.cumsum(distinct + 1)
             own = np.ones(len(at) + len(rows), bool)
             own[ends - 1] = False
-            sizes = np.zeros(len(own), np.int64)
+            sizes = np.zeros(len(own), np.int32)
             sizes[own] = size
             end = np.cumsum(sizes)
             left = (np.arange(1, len(rows) + 1) << _SCALE_BITS) - end[ends - 1]
@@ -155,7 +170,10 @@ class _Model:
             entry |= start << 13
             entry |= sizes
             known.append(entry)
-            self.slots[k << _SCALE_BITS : k + len(rows) << _SCALE_BITS] = np.repeat(np.arange(count, count + len(own), dtype=np.int32), sizes)
+            firsts = ends - distinct - 1
+            self.first_entry[k : k + len(rows)] = count + firsts
+            number = np.arange(len(own)) - np.repeat(firsts, distinct + 1)
+            self.slots[k << _SCALE_BITS : k + len(rows) << _SCALE_BITS] = np.repeat(number.astype(np.uint16), sizes)
             count += len(own)
         self.entries = np.concatenate(known)
 
@@ -248,9 +266,11 @@ def _modelled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     span = np.searchsorted(points, np.arange(t), side="right")
     spans = len(points) + 1
     context += (np.arange(n)[:, None] * spans + span).astype(np.int32) << 5
-    counts = (np.bincount(c, minlength=n * spans * 32).reshape(n, spans, 32) for c in (context.ravel(), context[hit]))
-    asked, right = (np.cumsum(c, axis=1) - c for c in counts)
-    miss = (_ONE - _chances(asked.astype(np.int32), right.astype(np.int32))).astype(np.uint16).ravel().take(context)
+    counts = np.bincount(((context << 1) + hit).ravel(), minlength=n * spans * 64).astype(np.int32).reshape(n, spans, 32, 2)
+    right = counts[..., 1].copy()
+    asked = counts[..., 0] + right
+    asked, right = (np.cumsum(c, axis=1, dtype=np.int32) - c for c in (asked, right))
+    miss = (_ONE - _chances(asked, right)).astype(np.uint16).ravel().take(context)
     # Each id's number among the block's different ids, by their order.
     by_id, order = _sorted(x)
     fresh = np.zeros((n, t), np.int32)
@@ -285,20 +305,21 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Words and verbatim bytes of each block."""
     n = len(ids)
     lanes, tail = _lanes(n)
-    padded = np.zeros((lanes, BLOCK), np.int32)
+    padded = np.zeros((lanes, BLOCK), np.uint16)
     padded.reshape(-1)[:n] = ids
     rest, start, size = (np.empty((BLOCK, lanes), np.uint16) for _ in range(3))
     hits = np.empty((BLOCK, lanes), bool)
     raw: list[bytes] = []
     for k in range(0, lanes, _GROUP):
         some = slice(k, k + _GROUP)
-        miss, hit, first, parts, new = _modelled(padded[some])
+        miss, hit, first, parts, new = _modelled(padded[some].astype(np.int32))
         if k + _GROUP >= lanes:
             new[-1, tail:] = False
         # A hit lies behind all order-0 shares.
         first[hit] = 1 << _SCALE_BITS
         rest[:, some], hits[:, some], start[:, some], size[:, some] = miss.T, hit.T, first.T, parts.T
-        raw += [own[is_new].astype("<u2").tobytes() for own, is_new in zip(padded[some], new, strict=True)]
+        bare, ends = padded[some][new].astype("<u2").tobytes(), (2 * np.cumsum(np.count_nonzero(new, axis=1))).tolist()
+        raw += [bare[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     del padded
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _M48, np.int64)
     words = np.zeros((lanes, BLOCK + 4), np.int32)  # pages that aren't needed aren't touched
@@ -317,8 +338,8 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         before = part * start[t, :m]
         low += before
         part *= size[t, :m]
-        np.subtract(rng, before, out=part, where=hits[t, :m])
-        rng = part
+        rng -= before
+        rng = np.where(hits[t, :m], rng, part)
         # All lanes write; what a lane that isn't short writes is written over by its next word.
         flat[pos] = (low >> 32).astype(np.int32)
         short = (rng <= _M32).astype(np.int64)
@@ -336,7 +357,7 @@ def _encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     words = words[:, : int(n_words.max())]
     words[np.arange(words.shape[1]) >= n_words[:, None]] = 0
     while True:
-        lane, over = np.nonzero(words >> 16)
+        lane, over = np.nonzero(words > 0xFFFF)
         if not len(lane):
             break
         carry = words[lane, over] >> 16
@@ -362,7 +383,7 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         code = code << 16 | flat[pos]
         pos += 1
     rng = np.full(lanes, _M48, np.int64)
-    out = np.zeros((BLOCK, lanes), np.int32)
+    out = np.zeros((BLOCK, lanes), np.uint16)
     for t in range(BLOCK if lanes > 1 else tail):
         if t == tail and m.n == lanes:
             m.cut(lanes - 1)
@@ -375,34 +396,34 @@ def _decode(n: int, words: list[bytes], raw: list[bytes]) -> np.ndarray:
         part = rng >> 16
         part *= m.rest
         part >>= _SCALE_BITS
-        slot = (code / part).astype(np.int64)  # quotients under 2**17 of 48-bit integers: exact
-        hit = slot >> _SCALE_BITS > 0
+        quotient = code / part  # under 2**17, of 48-bit integers: its whole part is exact
+        hit = quotient >= 1 << _SCALE_BITS
+        slot = quotient.astype(np.int64)
         # For lanes that predict the id, the slot is any; it is not used.
         slot &= (1 << _SCALE_BITS) - 1
         slot += m.slot_base
-        entry = m.entries.take(m.slots.take(slot, mode="clip"), mode="clip")
+        place = m.slots.take(slot, mode="clip") + m.first_entry
+        entry = np.where(hit, _AT_HIT, m.entries.take(place, mode="clip"))
         x = np.where(hit, m.id, (entry >> 26).astype(np.int32))
+        new = entry < 0
+        x = np.where(new, raw_flat.take(raws, mode="clip"), x)
+        raws += new
         start = entry >> 13
         start &= 0x1FFF
-        start[hit] = 1 << _SCALE_BITS
         start *= part
         code -= start
-        part *= entry & 0x1FFF
-        np.subtract(rng, start, out=part, where=hit)
-        rng = part
+        rng -= start
+        entry &= 0x1FFF
+        part *= entry
+        rng = np.where(hit, rng, part)
         short = (rng <= _M32).astype(np.int64)
         shift = short << 4
         rng <<= shift
         code <<= shift
-        more = flat.take(pos, mode="clip") & -short
-        code |= more
+        np.negative(short, out=shift)
+        shift &= flat.take(pos, mode="clip")
+        code |= shift
         pos += short
-        e = np.flatnonzero((entry < 0) & ~hit)
-        if len(e):
-            at = raws[e]
-            x[e] = raw_flat.take(at, mode="clip")
-            at += 1
-            raws[e] = at
         out[t, : m.n] = x
         m.update(x, hit)
     return _turned(out).reshape(-1)[:n]

@@ -79,12 +79,12 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray, library: str = TIKTOKEN
     return start
 
 
-def split(texts: pa.Array, library: str = TIKTOKEN) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct(texts: pa.Array, library: str = TIKTOKEN) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct pieces, the number of the piece at each place, and each text's first place (n + 1 values)."""
     offsets, raw = text_buffers(texts)
     size = int(offsets[-1])
     if not size:
-        return [], np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     data = np.frombuffer(raw, np.uint8)
     points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)
     inner = offsets[:-1][offsets[:-1] < size]
@@ -95,7 +95,13 @@ def split(texts: pa.Array, library: str = TIKTOKEN) -> tuple[list[bytes], np.nda
         starts = lead[np.flatnonzero(piece_starts(points, np.searchsorted(lead, inner), library))]
     ends = np.append(starts, size).astype(np.int64)
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
-    return pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, offsets)
+    return pieces.dictionary, pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, offsets)
+
+
+def split(texts: pa.Array, library: str = TIKTOKEN) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """As distinct, with the pieces as a list."""
+    pieces, code, first = distinct(texts, library)
+    return pieces.to_numpy(zero_copy_only=False).tolist(), code, first
 
 
 def split_around(texts: pa.Array, special: re.Pattern[str] | None, library: str = TIKTOKEN) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
