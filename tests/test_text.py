@@ -420,3 +420,31 @@ def _stripped_by_lines(text):
         if keep:
             out.append(line)
     return "\n".join(out)
+
+
+def test_pieces_of_an_answer_in_one_cut(spark):
+    """What an answer's own pieces give is what the written block gives, which is cut again twice; counts are those of the items."""
+    bits = ["property p; a |-> b; endproperty\n", "a_1: assert property (p);", 'b: assert property (q) else begin $display("x; end"); end\n', "\n", "  ", "; ", "// c; assert property (\n", '"x', "assert property ", "cover property (", "p)", "wire w;\n", "```verilog\n", "/* d\n", "*/", "endproperty : p", "property q", "\x01", "\x03.", "property (x)", ":"]
+    r = random.Random(9)
+    texts = [None, "", *("".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(600))]
+    t = F.col("t")
+    wanted = source.pieces(source.strip_truncated(source.extract_block(t)))
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    rows = df.select("t", source.extracted_pieces(t).alias("got"), wanted.alias("wanted"), source.count_declared(t).alias("n"), F.size(source.items(t)).alias("n_items"), source.count_labelled(t).alias("m"), F.size(source.labelled(source.items(t))).alias("m_items"), F.array_join(F.transform(source.pieces(t), lambda x: x["raw"]), "").alias("whole"), source.unwrap(t).alias("inner")).collect()
+    for x in rows:
+        assert x.got == x.wanted and x.whole == x.inner, x.t
+        assert x.t is None or (x.n, x.m) == (x.n_items, x.m_items), x.t
+    assert sum(bool(x.got) and len(x.got) > 1 for x in rows) > 50
+
+
+def test_comments_are_never_cut_in_two(spark):
+    got = each(spark, source.items, "a: assert property (x); /* one\ntwo; */\nb: cover property (y);")
+    assert [(x.name, x.text) for x in got] == [("a", "a: assert property (x); /* one\ntwo; */"), ("b", "b: cover property (y);")]
+    answer = "```\na: assert property (x); /* one\ntwo */\nb: cover property (y);\n```"
+    assert [x.name for x in each(spark, lambda t: source.items(source.extract_block(t)), answer)] == ["a", "b"]
+
+
+def test_long_statements_are_cut(spark):
+    """Runs are passed at once, so a statement's length is no depth of the pattern's."""
+    long = "a: assert property (" + "x || !y && " * 20_000 + "z);\nb: cover property (y);"
+    assert [x.name for x in each(spark, source.items, long)] == ["a", "b"]

@@ -6,6 +6,8 @@ only `drop_duplicates` joins statement rows, for blocks that lie in different ro
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def slug(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(F.btrim(text)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def _trimmed(text: Column) -> Column:
+    """text without blanks and line breaks at its ends."""
+    return F.regexp_extract(text, r"(?s)\A[ \t\r\n]*+(.*[^ \t\r\n])", 1)
+
+
 # --- conditional text ---
 
 
@@ -106,58 +113,120 @@ def strip_formal(text: Column) -> Column:
 def unwrap(block: Column) -> Column:
     """The inside of `ifdef FORMAL ... `endif, or the text."""
     inside = lambda b: F.regexp_extract(b, r"(?s)(?:^|\n)[ \t]*`ifdef[ \t]+FORMAL\b[^\n]*\n(.*)\n[ \t]*`endif\b", 1)
-    return _let(block, lambda b: _let(inside(b), lambda x: F.btrim(F.when(x == "", b).otherwise(x), F.lit(" \t\r\n"))))
+    return _let(block, lambda b: _let(inside(b), lambda x: _trimmed(F.when(x == "", b).otherwise(x))))
 
 
 def wrap(body: Column) -> Column:
     whole = lambda t: F.when(t == "", "").when(t.startswith("`ifdef FORMAL"), F.concat(t, F.lit("\n"))).otherwise(F.concat(F.lit("`ifdef FORMAL\n"), t, F.lit("\n`endif\n")))
-    return _let(F.btrim(body, F.lit(" \t\r\n")), whole)
+    return _let(_trimmed(body), whole)
 
 
 # --- statements of a block ---
 
-# Patterns over masked text, in which comments and strings are blank, so what is in them ends or starts nothing.
-_HEAD = r"(?:[A-Za-z_]\w*\s*:\s*)?\b(?:assert|assume|cover)\s+property\s*\("
-_DECLARED = r"\bproperty\s+[A-Za-z_]\w*\s*[;(]"
-_PROPERTY = _DECLARED + r"(?s:.*?)\bendproperty\b(?:[ \t]*:[ \t]*\w+)?(?:[ \t]*;)?"
-_PLAIN = rf"(?:(?!\b(?:assert|assume|cover)\s+property\b|{_DECLARED})[^;])"
+# Patterns over text as it stands. A comment or a string counts as a blank and is passed whole, so what is in it ends or starts
+# nothing. Runs are passed at once, up to the letters at which something can start or end, and none is given back.
+_SKIP = r'(?:"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+"?+|//[^\n]*+|/\*(?:[^*]+|\*(?!/))*+(?:\*/|\z))'
+_OTHER = rf"{_SKIP}|/(?![/*])"
+_ANY = rf"(?:[ \t\r\n]+|{_SKIP})*+"
+_S = rf"(?:\s+|{_SKIP})*+"
+_SS = rf"(?:\s+|{_SKIP})++"
+_T = rf"(?:[ \t]+|{_SKIP})*+"
+_WORD = r"[A-Za-z_](?>\w*)"
+_KIND = rf"(?i:assert|assume|cover){_SS}(?i:property)"
+_LABEL, _KEYWORD_OF = rf"(?:({_WORD}){_S}:{_S})?", "((?i:assert|assume|cover))"
+#: Heads keep their groups: label, keyword, name. `_plain` is for places where nothing is kept.
+_HEAD = rf"{_LABEL}\b{_KEYWORD_OF}{_SS}(?i:property){_S}\("
+_DECLARED = rf"\b(?i:property){_SS}({_WORD}){_S}[;\(]"
+_PROPERTY = rf'{_DECLARED}(?:[^yY"/]+|(?!(?<=\b(?i:endpropert))[yY]\b)[yY]|{_OTHER})*+([yY])(?:{_T}:{_T}\w+)?(?:{_T};)?'
 #: else begin ... end, with one more begin ... end inside it at most.
-_BEGIN = r"\)\s*else\s+begin\b(?s:(?:(?!\b(?:begin|end)\b).)*+(?:\bbegin\b(?:(?!\b(?:begin|end)\b).)*+\bend\b(?:(?!\b(?:begin|end)\b).)*+)*+)\bend\b(?:[ \t]*;)?"
-_STATEMENT = rf"{_HEAD}(?:{_PLAIN}*?{_BEGIN}|{_PLAIN}*+;)"
-_CUT_OFF = rf"(?:\bproperty\s+[A-Za-z_]|{_HEAD})(?s:.*)\z"
+_WORDS = rf'(?:[^bBeE"/]+|(?!\b(?i:begin|end)\b)[bBeE]|{_OTHER})*+'
+_BEGIN = rf"\){_S}(?i:else){_SS}(?i:begin)\b{_WORDS}(?:\b(?i:begin)\b{_WORDS}\b(?i:end)\b{_WORDS})*+\b(?i:end)\b"
+_UNTIL = rf"(?!{_BEGIN})\)|{_OTHER})*+(;|{_BEGIN}(?:{_T};)?)"
+
+
+def _plain(pattern: str) -> str:
+    """A pattern without groups."""
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
+
+
+# The word property tells of another declaration; most statements don't have it again.
+_STATEMENT = rf'{_HEAD}(?:(?={_S}({_WORD}){_S}\))|)(?:(?:[^;)"/yY]+|(?<!(?i:propert))[yY]|{_UNTIL}|(?:[^;)"/aAcCpP]+|(?!\b{_plain(_KIND)}\b|{_plain(_DECLARED)})[aAcCpP]|{_UNTIL})'
+_STARTS = rf"(?:{_plain(_HEAD)}|\b(?i:property){_SS}[A-Za-z_])"
+_LEAD = rf"(?:(?:(?<=\n)|\A)(?:[ \t]+|{_SKIP})++)?"
+_CUT_OFF = rf"(?:{_HEAD}|\b(?i:property){_SS}({_WORD}))(?s:.*)\z"
+#: A head without its parenthesis starts nothing, but counts as a statement that isn't complete where a piece begins with it.
+_LOOSE = rf"{_ANY}{_LABEL}{_KEYWORD_OF}{_SS}(?i:property)\b(?!{_S}(?:[\(A-Za-z_]|:{_S}{_plain(_KIND)}{_S}\())"
+# Where nothing starts with a word, nothing starts inside it.
+_CUT = (
+    rf"{_LEAD}(?:{_PROPERTY}|{_STATEMENT}|{_CUT_OFF})(?:{_T}\n)?"
+    rf"|(?:{_LOOSE}|{_SKIP}|(?s:.))(?:(?<!\w)(?!{_LEAD}{_STARTS})[A-Za-z_]\w*|(?!{_LEAD}{_STARTS})(?:{_SKIP}|(?s:.)))*+"
+)
+#: What comes before a piece: the keyword of a loose head, a property's name, a statement's label and keyword, what it refers to if
+#: its head tells, and twice what ends it, where it is complete.
+_MARKS = "\x01$12\x02$1$10\x02$3$8$11\x02$4$9$12\x02$5\x02$2$6\x02$7\x02$0"
 ITEM = "struct<kind: string, name: string, ref: string, complete: boolean, text: string>"
 
 
-def pieces(block: Column) -> Column:
-    """A block's whole inner text in pieces, in order: its declarations as ITEM with `raw`, and what lies between them (kind null).
+def _cut(text: Column) -> Column:
+    """A text in pieces: each declaration, with the blanks in front of it and the line break behind it, and what lies between
+    them. All pieces together are the text.
 
-    raw is the piece as it stands, with the blanks in front of a declaration and the line break behind it; all raws
-    together are the text.
+    One pass of one pattern writes what it found in front of each piece (_MARKS). Characters of the text that stand for marks are
+    written otherwise until `_raw`; what they are written as is neither a word's nor a blank nor an end either.
     """
-    # Where nothing starts with a word, nothing starts inside it.
-    lead, starts = r"(?:(?:(?<=\n)|\A)[ \t]++)?", rf"(?:{_HEAD}|\bproperty\s+[A-Za-z_])"
-    pattern = rf"(?i){lead}(?:{_PROPERTY}|{_STATEMENT}|{_CUT_OFF})(?:[ \t]*\n)?|(?s:.)(?:(?<!\w)(?!{lead}{starts})[A-Za-z_]\w*+|(?!{lead}{starts})(?s:.))*+"
-    start = F.struct(F.array().cast("array<struct<at: int, m: string>>").alias("out"), F.lit(1).alias("at"))
-    step = lambda x, m: F.struct(F.concat(x["out"], F.array(F.struct(x["at"].alias("at"), m.alias("m")))).alias("out"), (x["at"] + F.length(m)).alias("at"))
-
-    def item(piece: Column, inner: Column) -> Column:
-        # What is asked more than once is worked out once, and only of declarations. What is cut off goes to the text's end.
-        inside = piece["at"] + F.length(piece["m"]) <= F.length(inner)
-        fields = lambda kind, name, ref, done, m, raw: F.struct(kind.alias("kind"), name.alias("name"), ref.alias("ref"), done.alias("complete"), F.btrim(raw, F.lit(" \t\r\n")).alias("text"), raw.alias("raw"))
-        null = F.lit(None).cast("string")
-        done = lambda m: inside | m.rlike(r"(?i)\bendproperty\b(?:[ \t]*:[ \t]*\w+)?(?:[ \t]*;)?\z")
-        label = lambda m: F.nullif(F.regexp_extract(m, r"^([A-Za-z_]\w*)\s*:", 1), F.lit(""))
-        ref = lambda m: F.nullif(F.regexp_extract(m, r"(?i)property\s*\(\s*([A-Za-z_]\w*)\s*\)", 1), F.lit(""))
-        kind = lambda m: F.lower(F.regexp_extract(m, r"(?i)^(?:[A-Za-z_]\w*\s*:\s*)?(assert|assume|cover)\s+property\b", 1))
-        statement = lambda k, m, raw: F.when(k != "", fields(k, label(m), ref(m), inside | m.rlike(rf"(?i)\A(?:{_STATEMENT})\z"), m, raw)).otherwise(fields(null, null, null, F.lit(False), m, raw))
-        other = lambda m, raw: _let(kind(m), lambda k: statement(k, m, raw))
-        declared = lambda name, m, raw: F.when(name != "", fields(F.lit("property"), name, null, done(m), m, raw)).otherwise(other(m, raw))
-        whole = lambda m, raw: _let(F.regexp_extract(m, r"(?i)^property\s+([A-Za-z_]\w*)", 1), lambda name: declared(name, m, raw))
-        raw = F.substring(inner, piece["at"], F.length(piece["m"]))
-        return _let(F.btrim(piece["m"], F.lit(" \t\r\n")), lambda m: _let(raw, lambda r: whole(m, r)))
-
-    placed = lambda inner: F.aggregate(_found(mask(inner), pattern), start, step, lambda x: x["out"])
-    return _let(unwrap(block), lambda inner: F.transform(placed(inner), lambda p: item(p, inner)))
+    away = lambda t: F.replace(F.replace(F.replace(t, F.lit("\x03"), F.lit("\x03,")), F.lit("\x01"), F.lit("\x03.")), F.lit("\x02"), F.lit("\x03-"))
+    marked = F.split(F.regexp_replace(_where(text, "[\x01-\x03]", away), _CUT, _MARKS), "\x01")
+    return _let(marked, lambda m: F.slice(m, 2, F.size(m)))
+
+
+def _raw(escaped: Column) -> Column:
+    """The last field of a piece of `_cut` as it stands in the text."""
+    back = lambda t: F.replace(F.replace(F.replace(t, F.lit("\x03-"), F.lit("\x02")), F.lit("\x03."), F.lit("\x01")), F.lit("\x03,"), F.lit("\x03"))
+    return F.when(escaped.contains("\x03"), back(escaped)).otherwise(escaped)
+
+
+def _text(piece: Column) -> Column:
+    return _raw(F.substring_index(piece, "\x02", -1))
+
+
+def _declares(piece: Column) -> Column:
+    return ~piece.startswith("\x02\x02\x02\x02")
+
+
+def _has_label(piece: Column) -> Column:
+    """Whether a piece is a statement with a label."""
+    return F.when(piece.startswith("\x02"), piece.startswith("\x02\x02") & ~piece.startswith("\x02\x02\x02")).otherwise(piece.rlike("\\A\\w+\x02\x02\\w"))
+
+
+def _fields(cut: Column, put=lambda raw, last: raw) -> Column:
+    """The pieces of `_cut` as structs, like ITEM with `raw` instead of `text`; put(raw, last): as what a raw is handed on. What is
+    asked once is not put by: each step of an array copies it."""
+    null = F.lit(None).cast("string")
+    about = rf"(?i:property){_S}\({_S}({_WORD}){_S}\)"
+    sought = lambda raw: F.regexp_extract(raw, rf'\A(?:[^pP"/]+|(?!{_plain(about)})[pP]|{_OTHER})*+{about}', 1)
+    ended = lambda raw: _trimmed(mask(raw)).rlike(r"(?i)\bendproperty\b(?:[ \t]*:[ \t]*\w+)?(?:[ \t]*;)?\z")
+
+    def item(m: Column, inside: Column) -> Column:
+        own, label, word, ref, done, more = (m[k] for k in range(1, 7))
+        named, statement = own != "", word != ""
+        raw = _raw(m[7])
+        # What a head doesn't tell may still come, if the word does.
+        later = (ref == "") & ((done == "") | F.lower(done).contains("property"))
+        return F.struct(
+            F.when(named, "property").when(statement, F.lower(word)).alias("kind"),
+            F.when(named, own).when(statement & (label != ""), label).otherwise(null).alias("name"),
+            F.when(statement, F.nullif(F.when(later, sought(raw)).otherwise(ref), F.lit(""))).alias("ref"),
+            F.when(named, inside | (done != "") | ended(raw)).when(statement, inside | (done != "") | (more != "")).otherwise(F.lit(False)).alias("complete"),
+            put(raw, ~inside).alias("raw"),
+        )
+
+    return _let(F.transform(cut, lambda x: F.split(x, "\x02")), lambda x: F.transform(x, lambda m, i: item(m, i + 1 < F.size(x))))
+
+
+def pieces(block: Column) -> Column:
+    """A block's whole inner text in pieces, in order: its declarations (kind, name, ref, complete as in ITEM) with `raw`, and
+    what lies between them (kind null). raw is the piece as it stands."""
+    return _fields(_cut(unwrap(block)))
 
 
 def items(block: Column) -> Column:
@@ -169,7 +238,7 @@ def items(block: Column) -> Column:
 def declared(parts: Column) -> Column:
     """The declarations among a block's pieces, as ITEM."""
     found = F.filter(parts, lambda x: x["kind"].isNotNull())
-    return F.transform(found, lambda x: F.struct(*[x[f].alias(f) for f in ("kind", "name", "ref", "complete", "text")]))
+    return F.transform(found, lambda x: F.struct(*[x[f].alias(f) for f in ("kind", "name", "ref", "complete")], _trimmed(x["raw"]).alias("text")))
 
 
 def rest(block: Column, stays) -> Column:
@@ -179,13 +248,24 @@ def rest(block: Column, stays) -> Column:
 
 def rest_of(parts: Column, stays) -> Column:
     """The same of a block's pieces."""
-    left = F.filter(parts, lambda x: x["kind"].isNull() | F.coalesce(stays(x), F.lit(True)))
-    return wrap(F.array_join(F.transform(left, lambda x: x["raw"]), ""))
+    return joined(F.filter(parts, lambda x: x["kind"].isNull() | F.coalesce(stays(x), F.lit(True))))
+
+
+def joined(parts: Column) -> Column:
+    """Pieces as a block again."""
+    return wrap(F.array_join(F.transform(parts, lambda x: x["raw"]), ""))
+
+
+def _breaks_off(parts: Column) -> Column:
+    return F.exists(parts, lambda x: x["kind"].isNotNull() & ~x["complete"])
 
 
 def strip_truncated(block: Column) -> Column:
     """The block up to its first declaration that breaks off."""
-    return rest(block, lambda x: x["complete"])
+    # Only the last piece can break off.
+    kept = lambda cut: F.when(_breaks_off(_fields(F.slice(cut, -1, 1))), F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    whole = lambda cut: wrap(F.array_join(F.transform(_let(cut, kept), _text), ""))
+    return _let(_cut(unwrap(block)), lambda cut: F.when(F.size(cut) > 0, whole(cut)).when(cut.isNotNull(), ""))
 
 
 def without_labels(block: Column, labels: Column) -> Column:
@@ -195,8 +275,15 @@ def without_labels(block: Column, labels: Column) -> Column:
 
 def thinned(parts: Column, labels: Column) -> Column:
     """The same of a block's pieces, which are asked more than once."""
-    known = lambda x: F.concat_ws(":", F.when(x["kind"] == "property", "p").otherwise("s"), F.lower(F.coalesce(x["name"], F.lit(""))))
-    return _let(F.transform(strip_labels(declared(parts), labels), known), lambda names: rest_of(parts, lambda x: F.array_contains(names, known(x))))
+    return joined(thinned_parts(parts, labels))
+
+
+def thinned_parts(parts: Column, labels: Column) -> Column:
+    """The pieces that stay then."""
+    name = lambda x, field="name": F.lower(F.coalesce(x[field], F.lit("")))
+    stays = lambda x: F.coalesce(~F.array_contains(labels, name(x)), F.lit(False))
+    used = F.transform(F.filter(parts, lambda x: x["kind"].isNotNull() & (x["kind"] != "property") & stays(x)), lambda x: name(x, "ref"))
+    return _let(used, lambda u: F.filter(parts, lambda x: F.when(x["kind"].isNull(), True).when(x["kind"] == "property", F.array_contains(u, name(x))).otherwise(stays(x))))
 
 
 def merge(kept: Column, fresh: Column) -> Column:
@@ -220,6 +307,16 @@ def labelled(parts: Column) -> Column:
     return F.filter(parts, lambda x: (x["kind"] != "property") & x["name"].isNotNull())
 
 
+def count_declared(block: Column) -> Column:
+    """How many declarations a block has: the size of its `items`."""
+    return F.size(F.filter(_cut(unwrap(block)), _declares))
+
+
+def count_labelled(block: Column) -> Column:
+    """How many statements with a label a block has: the size of `labelled` of its `items`."""
+    return F.size(F.filter(_cut(unwrap(block)), _has_label))
+
+
 def has_kind(block: Column, *kinds: str) -> Column:
     return F.exists(items(block), lambda x: x["kind"].isin(*kinds) & x["name"].isNotNull())
 
@@ -245,11 +342,12 @@ def drop_duplicates(fresh: DataFrame, kept: DataFrame, by: list[str]) -> tuple[D
 
 def duplicates(fresh: Column, kept: Column) -> Column:
     """`drop_duplicates` within a row: the items of `fresh` that `kept` declares already, or that refer to such a property."""
-    known = lambda x: F.concat(F.when(x["kind"] == "property", "p:").otherwise("s:"), F.lower(x["name"]))
     has = lambda names, name: F.coalesce(F.array_contains(names, name), F.lit(False))
-    have = F.filter(F.transform(kept, known), lambda x: x.isNotNull())
-    lost = lambda h: F.transform(F.filter(fresh, lambda x: (x["kind"] == "property") & has(h, known(x))), lambda x: F.lower(x["name"]))
-    return _let(have, lambda h: _let(lost(h), lambda gone: F.filter(fresh, lambda x: has(h, known(x)) | has(gone, F.lower(x["ref"])))))
+    named = lambda properties: F.transform(F.filter(kept, lambda x: ((x["kind"] == "property") == properties) & x["name"].isNotNull()), lambda x: F.lower(x["name"]))
+    again = lambda h, x: has(F.when(x["kind"] == "property", h["properties"]).otherwise(h["others"]), F.lower(x["name"]))
+    lost = lambda h: F.transform(F.filter(fresh, lambda x: (x["kind"] == "property") & again(h, x)), lambda x: F.lower(x["name"]))
+    have = F.struct(named(True).alias("properties"), named(False).alias("others"))
+    return _let(have, lambda h: _let(lost(h), lambda gone: F.filter(fresh, lambda x: again(h, x) | has(gone, F.lower(x["ref"])))))
 
 
 def strip_labels(parts: Column, labels: Column) -> Column:
@@ -259,33 +357,57 @@ def strip_labels(parts: Column, labels: Column) -> Column:
     return _let(left, lambda found: _let(used(found), lambda u: F.filter(found, lambda x: (x["kind"] != "property") | F.array_contains(u, F.lower(x["name"])))))
 
 
-_HAS_STATEMENT = r"(?i)[A-Za-z_]\w*\s*:\s*(?:assert|assume|cover)\s+property\s*\("
+_HAS_STATEMENT = r"[A-Za-z_](?>\w*\s*):\s*+(?i:assert|assume|cover)\s++(?i:property)\s*+\("
 _GUARDED = r"(?is)^[ \t]*`ifdef[ \t]+FORMAL\b.*?^[ \t]*`endif\b[^\n]*"
 _CODE_LINE = r"(?i)^\s*(?:default\s+(?:clocking|disable)\b|`(?:define|undef|ifdef|ifndef|elsif|else|endif)\b|(?:localparam|parameter|wire|logic|reg|bit|integer)\b[^;]*;)"
 
 
+def _extracted(answer: Column, use) -> Column:
+    """use(cut) of the pieces of the text in an answer that holds its statements."""
+    plain = lambda t: F.regexp_replace(t, r"<(?i:think)>(?:[^<]+|<(?!/(?i:think)>))*+(?:</(?i:think)>|\z)", "")
+    thought = lambda t: F.regexp_extract(t, r"(?is)<think>(.*?)(?:</think>|\z)", 1)
+    with_statement = lambda found: F.try_element_at(F.filter(found, lambda x: x.rlike(_HAS_STATEMENT)), F.lit(1))
+    fenced = lambda t: with_statement(_found(t, r"```[A-Za-z]*[ \t]*\n((?:[^`]+|`(?!``))*+)(?:```|\z)", 1))
+    guarded = lambda t: with_statement(_found(t, "(?m)" + _GUARDED))
+    inside = lambda t: F.coalesce(fenced(t), guarded(t), F.regexp_replace(t, r"```[A-Za-z]*", ""))
+    text = _let(plain(answer), lambda p: F.when(p.rlike(_HAS_STATEMENT), p).otherwise(thought(answer)))
+    return _let(text, lambda t: _let(inside(t), lambda i: _let(_cut(unwrap(i)), use)))
+
+
+def _written_from(cut: Column) -> Column:
+    """Lines of code between declarations, and the declarations, a line each at least."""
+    between = F.array_join(F.transform(F.filter(cut, lambda x: ~_declares(x)), _text), "")
+    other = lambda text: F.filter(F.split(strip_comments(text), "\n"), lambda x: x.rlike(_CODE_LINE))
+    # Where all pieces are declarations, nothing is between them.
+    around = lambda parts: F.when(F.size(parts) == F.size(cut), "").otherwise(F.array_join(_let(between, other), "\n"))
+    body = lambda parts: F.concat_ws("\n", around(parts), F.array_join(F.transform(parts, lambda x: _trimmed(_text(x))), "\n"))
+    return wrap(_let(F.filter(cut, _declares), body))
+
+
 def extract_block(answer: Column) -> Column:
     """The block in a model's answer; null if there is none.
 
     From the first fence with a statement (one that isn't closed goes to the end), else from the first guarded block amid
     prose, else from bare text. Reasoning is left out unless only it holds statements. Prose around the statements goes.
     """
-    plain = lambda t: F.regexp_replace(t, r"(?is)<think>.*?(?:</think>|\z)", "")
-    thought = lambda t: F.regexp_extract(t, r"(?is)<think>(.*?)(?:</think>|\z)", 1)
-    with_statement = lambda found: F.try_element_at(F.filter(found, lambda x: x.rlike(_HAS_STATEMENT)), F.lit(1))
-    fenced = lambda t: with_statement(_found(t, r"(?s)```[A-Za-z]*[ \t]*\n(.*?)(?:```|\z)", 1))
-    guarded = lambda t: with_statement(_found(t, "(?m)" + _GUARDED))
-    inside = lambda t: F.coalesce(fenced(t), guarded(t), F.regexp_replace(t, r"```[A-Za-z]*", ""))
+    return _extracted(answer, lambda cut: F.when(F.exists(cut, _has_label), _written_from(cut)))
 
-    def written_from(found: Column) -> Column:
-        between = F.array_join(F.transform(F.filter(found, lambda x: x["kind"].isNull()), lambda x: x["raw"]), "")
-        other = F.filter(F.split(strip_comments(between), "\n"), lambda x: x.rlike(_CODE_LINE))
-        parts = F.filter(found, lambda x: x["kind"].isNotNull())
-        body = F.concat_ws("\n", F.array_join(other, "\n"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n"))
-        return F.when(F.exists(found, lambda x: (x["kind"] != "property") & x["name"].isNotNull()), wrap(body))
 
-    text = _let(plain(answer), lambda p: F.when(p.rlike(_HAS_STATEMENT), p).otherwise(thought(answer)))
-    return _let(text, lambda t: _let(inside(t), lambda i: _let(pieces(i), written_from)))
+def extracted_pieces(answer: Column) -> Column:
+    """`pieces` of `strip_truncated` of `extract_block`.
+
+    Where an answer's text is declarations alone, without comments, these are its own pieces, a line each: they are written a line
+    each, and nothing of them reads otherwise for it. Other texts are written and cut again.
+    """
+
+    # A piece in the way is a line already, or it is made one.
+    lined = lambda raw, last: F.when(last, _trimmed(raw)).when(raw.rlike(r"\A\w[^\n]*[\w;]\n\z"), raw).otherwise(F.concat(_trimmed(raw), F.lit("\n")))
+    kept = lambda cut: F.when(_breaks_off(_fields(F.slice(cut, -1, 1))), F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    same = lambda cut: _let(kept(cut), lambda x: _fields(x, lined))
+    ends = lambda x: ~F.rtrim(_text(x), F.lit(" \t\r\n")).endswith('"')
+    plain = lambda cut: F.forall(cut, lambda x: x.startswith("\x02") & _declares(x) & ~x.contains("/")) & F.forall(F.slice(cut, F.greatest(F.size(cut) - 1, F.lit(1)), 2), ends)
+    again = lambda cut: pieces(strip_truncated(_written_from(cut)))
+    return _extracted(answer, lambda cut: F.when(F.exists(cut, _has_label), F.when(plain(cut), same(cut)).otherwise(again(cut))))
 
 
 # Fixed value: the longest comment line that is kept above a declaration.
